@@ -59,7 +59,7 @@ def compare(spark, con, fn, sql, sf_dir):
     seconds = time.time() - started
     if sql is None:
         return None, left.num_rows, seconds
-    right = con.execute(sql).fetch_arrow_table()
+    right = con.execute(sql).to_arrow_table()
     names_l, types_l, rows_l = canonical(left)
     names_r, types_r, rows_r = canonical(right)
     if names_l != names_r:
