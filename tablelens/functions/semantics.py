@@ -6,6 +6,8 @@ nulls first in both directions, and lenient parsing never raises.
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Date layouts accepted for text columns, tried in this order.
@@ -106,3 +108,10 @@ def pearson_skew(mean: Column, median: Column, std: Column) -> Column:
 def title_case(name: str) -> str:
     """Readable label for a column name."""
     return name.replace("_", " ").title()
+
+
+def half_up(x: float | None, digits: int) -> float | None:
+    """Round half away from zero on the decimal form, as SQL engines do."""
+    if x is None or x != x or x in (float("inf"), float("-inf")):
+        return x
+    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP))

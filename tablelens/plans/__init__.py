@@ -1,4 +1,4 @@
 """All named queries; importing a module registers its queries."""
 
-from tablelens.plans import tables  # noqa: F401
+from tablelens.plans import findings, profiles, tables  # noqa: F401
 from tablelens.plans.registry import CHECKS, QUERIES  # noqa: F401

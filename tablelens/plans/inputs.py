@@ -21,12 +21,16 @@ LI_SPIKES = """li_spikes AS (SELECT * REPLACE (
   CASE WHEN l_orderkey % 97 = 0 THEN l_extendedprice * 10 ELSE l_extendedprice END AS l_extendedprice)
   FROM lineitem)"""
 
+LI_BULK = """li_bulk AS (SELECT * REPLACE (
+  CASE WHEN l_orderkey % 97 = 0 THEN l_quantity * 20 ELSE l_quantity END AS l_quantity,
+  CASE WHEN l_orderkey % 20 = 0 THEN l_returnflag ELSE 'Z' END AS l_returnflag) FROM lineitem)"""
+
 CUST_DIRTY = """cust_dirty AS (SELECT * REPLACE ('  ' || c_name || ' ' AS c_name,
   CASE c_custkey % 10 WHEN 1 THEN 'N/A' WHEN 2 THEN '' WHEN 3 THEN ' null ' WHEN 4 THEN 'NaN'
   ELSE c_mktsegment END AS c_mktsegment) FROM customer)"""
 
 ORDERS_SHIFT = """orders_shift AS (SELECT * REPLACE (
-  CASE WHEN o_orderdate >= TIMESTAMP '2001-03-01' THEN o_totalprice * 8 ELSE o_totalprice END AS o_totalprice)
+  CASE WHEN o_orderdate >= TIMESTAMP '2000-12-01' THEN o_totalprice * 8 ELSE o_totalprice END AS o_totalprice)
   FROM orders)"""
 
 GEO_VARIANTS = """geo_variants AS (SELECT c_custkey, c_acctbal,
@@ -61,6 +65,16 @@ def li_spikes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def li_bulk(spark: SparkSession, sf: str) -> DataFrame:
+    quantity, order = F.col("l_quantity"), F.col("l_orderkey")
+    return table(spark, sf, "lineitem").withColumns(
+        {
+            "l_quantity": F.when(order % 97 == 0, quantity * 20).otherwise(quantity),
+            "l_returnflag": F.when(order % 20 == 0, F.col("l_returnflag")).otherwise("Z"),
+        }
+    )
+
+
 def cust_dirty(spark: SparkSession, sf: str) -> DataFrame:
     k, seg = F.col("c_custkey") % 10, F.col("c_mktsegment")
     return table(spark, sf, "customer").withColumns(
@@ -73,7 +87,7 @@ def cust_dirty(spark: SparkSession, sf: str) -> DataFrame:
 
 def orders_shift(spark: SparkSession, sf: str) -> DataFrame:
     price = F.col("o_totalprice")
-    late = F.col("o_orderdate") >= F.lit("2001-03-01").cast("timestamp_ntz")
+    late = F.col("o_orderdate") >= F.lit("2000-12-01").cast("timestamp_ntz")
     return table(spark, sf, "orders").withColumn("o_totalprice", F.when(late, price * 8).otherwise(price))
 
 
