@@ -177,17 +177,16 @@ def narrative(df: DataFrame, metric: str, dimension: str | None = None, date: st
 def context_summary(p: Profile, kpis: DataFrame, anomalies: DataFrame, name: str, geo: str | None) -> DataFrame:
     """(position, line): the table in a few lines of text; every input is one row or a top-k."""
     metric = p.primary["metric"]
+    texts = (
+        F.lit(f"Dataset: {name}"),
+        F.format_string("Primary target metric: %s", "metric_name"),
+        F.format_string("Total rows: %d", "total_records"),
+        F.format_string("Total aggregate value: %,.2f", "total_value"),
+        F.format_string("Mean value: %,.2f", "mean_value"),
+        F.format_string("Growth Rate (Period-over-Period): %.1f%%", "growth_rate"),
+    )
     head = kpis.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).alias("position"), F.lit(f"Dataset: {name}").alias("line")),
-                F.struct(F.lit(1), F.format_string("Primary target metric: %s", "metric_name")),
-                F.struct(F.lit(2), F.format_string("Total rows: %d", "total_records")),
-                F.struct(F.lit(3), F.format_string("Total aggregate value: %,.2f", "total_value")),
-                F.struct(F.lit(4), F.format_string("Mean value: %,.2f", "mean_value")),
-                F.struct(F.lit(5), F.format_string("Growth Rate (Period-over-Period): %.1f%%", "growth_rate")),
-            )
-        )
+        F.inline(F.array(*[F.struct(F.lit(i).alias("position"), t.alias("line")) for i, t in enumerate(texts)]))
     )
     spark = p.df.sparkSession
     lists = []

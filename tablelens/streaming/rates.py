@@ -6,7 +6,7 @@ across partitions and micro-batches, and the watermark bounds how much is kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablelens.functions.semantics import col
 
@@ -17,7 +17,11 @@ P95 = 0.95
 
 def late_after(df: DataFrame, time: str, delay: str | None) -> DataFrame:
     """Bound lateness on streams; batch tables are taken as they are."""
-    return df.withWatermark(time, delay) if df.isStreaming and delay else df
+    if not (df.isStreaming and delay):
+        return df
+    if isinstance(df.schema[time].dataType, T.TimestampNTZType):  # watermarks need an instant
+        df = df.withColumn(time, col(time).cast("timestamp"))
+    return df.withWatermark(time, delay)
 
 
 def event_rate(df: DataFrame, time: str, group: str, delay: str | None = "10 minutes") -> DataFrame:
