@@ -174,9 +174,11 @@ def narrative(df: DataFrame, metric: str, dimension: str | None = None, date: st
     return reduce(DataFrame.unionByName, parts)
 
 
-def context_summary(p: Profile, kpis: DataFrame, anomalies: DataFrame, name: str, geo: str | None) -> DataFrame:
+def context_summary(
+    p: Profile, kpis: DataFrame, anomalies: DataFrame, name: str, geo: str | None, metric: str | None = None
+) -> DataFrame:
     """(position, line): the table in a few lines of text; every input is one row or a top-k."""
-    metric = p.primary["metric"]
+    metric = metric or p.primary["metric"]
     texts = (
         F.lit(f"Dataset: {name}"),
         F.format_string("Primary target metric: %s", "metric_name"),

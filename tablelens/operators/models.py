@@ -7,8 +7,10 @@ SQL projection, so a stored model scores any table in a single JVM pass.
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -202,9 +204,9 @@ def prepare(p: Profile, target: str, folds: int, label: Column) -> tuple[Pipelin
 
 def regression_models(rows: int, trees: int, depth: int, boosts: int) -> dict:
     return {
-        "LinearRegression": LinearRegression(solver="normal" if rows else "auto"),
+        "LinearRegression": LinearRegression(solver="normal"),
         # The penalty of a sum of squares, restated for Spark's mean of squares.
-        "Ridge": LinearRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False),
+        "Ridge": LinearRegression(regParam=1.0 / max(rows, 1), standardization=False, solver="normal"),
         "RandomForestRegressor": RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED),
         "GradientBoostingRegressor": GBTRegressor(maxIter=boosts, maxDepth=min(5, depth), seed=SEED),
     }
@@ -248,8 +250,17 @@ def _folds(rows: int) -> int:
     return 5 if rows >= 200 else 3
 
 
-def _mean(values: list[float]) -> float:
-    return sum(values) / len(values)
+def _cross_validate(ready: DataFrame, folds: int, predict, evaluators) -> tuple[float, ...]:
+    """Mean scores over the folds; the folds are independent jobs and run side by side."""
+
+    def one(fold: int) -> list[float]:
+        train, test = ready.filter(F.col("fold") != fold), ready.filter(F.col("fold") == fold)
+        scored = predict(train, test)
+        return [e.evaluate(scored) for e in evaluators]
+
+    with ThreadPoolExecutor(folds) as pool:
+        found = list(pool.map(inheritable_thread_target(ready.sparkSession)(one), range(folds)))
+    return tuple(sum(column) / folds for column in zip(*found))
 
 
 def regression_tournament(p: Profile, target: str, trees: int = 100, depth: int = 10, boosts: int = 100) -> Tournament:
@@ -260,12 +271,7 @@ def regression_tournament(p: Profile, target: str, trees: int = 100, depth: int
     rmse = RegressionEvaluator(metricName="rmse")
 
     def judge(predict) -> tuple[float, float]:
-        pairs = []
-        for fold in range(k):
-            train, test = ready.filter(F.col("fold") != fold), ready.filter(F.col("fold") == fold)
-            scored = predict(train, test)
-            pairs.append((r2.evaluate(scored), rmse.evaluate(scored)))
-        return _mean([a for a, _ in pairs]), _mean([b for _, b in pairs])
+        return _cross_validate(ready, k, predict, (r2, rmse))
 
     def by_mean(train: DataFrame, test: DataFrame) -> DataFrame:
         return test.withColumn("prediction", F.lit(train.agg(F.avg("label")).first()[0]))
@@ -291,12 +297,7 @@ def classification_tournament(p: Profile, target: str, trees: int = 100, depth:
     accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
 
     def judge(predict) -> tuple[float, float]:
-        pairs = []
-        for fold in range(k):
-            train, test = ready.filter(F.col("fold") != fold), ready.filter(F.col("fold") == fold)
-            scored = predict(train, test)
-            pairs.append((f1.evaluate(scored), accuracy.evaluate(scored)))
-        return _mean([a for a, _ in pairs]), _mean([b for _, b in pairs])
+        return _cross_validate(ready, k, predict, (f1, accuracy))
 
     def by_chance(train: DataFrame, test: DataFrame) -> DataFrame:
         """Draw classes with the frequencies of the training rows; one count per class."""
@@ -334,7 +335,7 @@ def holdout_forecast(p: Profile, target: str, order_by: list[str]) -> Tournament
     late = at_or_after(df, order_by, edge)
     ready = durable(fitted.transform(df.withColumn("__late", late)).select("features", col(target).cast("double").alias("label"), "__late"))
     final_train = df.filter(at_or_after(df, order_by, last) & ~late).select(col(target).cast("double")).first()[0]
-    model = LinearRegression(regParam=1.0 / max(split, 1), standardization=False)
+    model = LinearRegression(regParam=1.0 / max(split, 1), standardization=False, solver="normal")
     test = ready.filter("__late")
     scored = model.fit(ready.filter(~F.col("__late"))).transform(test)
     rmse = RegressionEvaluator(metricName="rmse")

@@ -277,7 +277,7 @@ def context_summary(spark, sf):
     p = Profile(df)
     k = dashboard.kpis(df, "c_acctbal", ["c_custkey"], "c_mktsegment", "region")
     found = forest.univariate_anomalies(df, "c_acctbal", ["c_custkey"], category="c_mktsegment", geo="region")
-    return insights.context_summary(p, k, found, "customers", "region")
+    return insights.context_summary(p, k, found, "customers", "region", "c_acctbal")
 
 
 # Name words of the metric that is forecast first.
