@@ -68,7 +68,8 @@ def sort_key(name: str, descending: bool) -> Column:
 
 def parse_time(c: Column) -> Column:
     """Text to timestamp by the fixed layouts; null where none fits."""
-    looks_like_date = c.rlike(r"^\d{2,4}[-/]\d{2}[-/]\d{2,4}")
+    short = F.length(c).between(8, 26)
+    looks_like_date = short & c.rlike(r"^\d{2,4}[-/]\d{2}[-/]\d{2,4}")
     parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(layout)) for layout in DATE_LAYOUTS])
     return F.when(looks_like_date, parsed)
 

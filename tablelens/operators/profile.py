@@ -8,6 +8,7 @@ on its first few, so they do not depend on row order.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -23,7 +24,7 @@ from tablelens.functions.semantics import (
     parse_time,
 )
 from tablelens.operators.dashboard import duplicate_rows, top_counts, value_counts
-from tablelens.operators.ranks import BUFFER_ROWS, exact_quantiles
+from tablelens.operators.ranks import FINAL_ROWS, exact_quantiles
 
 PROFILE_VERSION = "2.0"
 
@@ -116,7 +117,11 @@ def _measures(df: DataFrame, field: T.StructField) -> dict[str, Column]:
     if is_numeric(field.dataType):
         v = c.cast("double")
         out |= {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "std": F.stddev_samp(v)}
-        out["money"] = F.count_if((v >= 0) & (F.round(v, 4) == v))
+        # At most four decimals: scaling to whole numbers and back gives the same double.
+        plain = v >= 0
+        if isinstance(field.dataType, FLOAT_TYPES):
+            plain = plain & (F.rint(v * 10000) / 10000 == v)
+        out["money"] = F.count_if(plain)
     elif isinstance(field.dataType, T.StringType):
         trimmed = F.trim(c)
         out |= {
@@ -124,10 +129,21 @@ def _measures(df: DataFrame, field: T.StructField) -> dict[str, Column]:
             "dates": F.count_if(parse_time(c).isNotNull()),
             "geo": F.coalesce(F.bool_or(F.lower(c).isin(*GEO_VALUES)), F.lit(False)),
         }
-        out |= {k: F.count_if(trimmed.rlike(p)) for k, p in TEXT_PATTERNS.items()}
+        out |= {k: F.count_if(_cheap_test(k, trimmed) & trimmed.rlike(p)) for k, p in TEXT_PATTERNS.items()}
     return out
 
 
+def _cheap_test(kind: str, text: Column) -> Column:
+    """What every match of a pattern satisfies; keeps the pattern off most values."""
+    if kind == "email":
+        return text.contains("@")
+    if kind == "url":
+        return text.startswith("http")
+    if kind == "phone":
+        return (F.length(text) >= 7) & F.left(text, F.lit(1)).isin(*"+0123456789-(). \t\n")
+    return F.length(text).between(4, 11)
+
+
 def _countable(field: T.StructField) -> Column:
     """The column in a form whose distinct values can be counted."""
     c = col(field.name)
@@ -139,10 +155,10 @@ def _countable(field: T.StructField) -> Column:
 class Profile:
     """Lazy profile of a table; each part runs its aggregate once when first read."""
 
-    def __init__(self, df: DataFrame, exact_distinct: bool = True, buffer_rows: int = BUFFER_ROWS):
+    def __init__(self, df: DataFrame, exact_distinct: bool = True, final_rows: int = FINAL_ROWS):
         self.df = df
         self.exact_distinct = exact_distinct
-        self.buffer_rows = buffer_rows
+        self.final_rows = final_rows
 
     # -- shared aggregates ---------------------------------------------------
 
@@ -193,7 +209,7 @@ class Profile:
     @cached_property
     def quartiles(self) -> dict[str, list]:
         return exact_quantiles(
-            self.df, {n: [0.25, 0.5, 0.75] for n in self.numeric}, self.rows, self.buffer_rows
+            self.df, {n: [0.25, 0.5, 0.75] for n in self.numeric}, self.rows, self.final_rows
         )
 
     @cached_property
@@ -498,39 +514,27 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> list[tuple[str, str,
     values = [col(c).cast("double") for c in columns]
     complete = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)]).na.drop()
     n = len(columns)
-    spread = [F.stddev_pop(f"c{i}").alias(f"s{i}") for i in range(n)]
-    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    r: dict[tuple[int, int], float | None] = {}
-    first = complete.agg(F.count(F.lit(1)).alias("n"), *spread).first() if n > 12 else None
-    if n > 40:  # one Gram matrix instead of many pairwise aggregates
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-
-        if first["n"] >= 3:
-            packed = VectorAssembler(inputCols=complete.columns, outputCol="v").transform(complete)
-            matrix = Correlation.corr(packed, "v").first()[0].toArray()
-            r = {p: float(matrix[p]) for p in pairs}
-    else:
-        step = 70
-        for start in range(0, len(pairs), step):
-            part = pairs[start : start + step]
-            exprs = [F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in part]
-            if first is None:
-                exprs = [F.count(F.lit(1)).alias("n"), *spread, *exprs]
-            row = complete.agg(*exprs).first()
-            first = first or row
-            r |= {(i, j): row[f"r{i}_{j}"] for i, j in part}
+    names = [f"c{i}" for i in range(n)]
+    # First the means, then sums of products around them: plain sums, one scan each.
+    first = complete.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names]).first()
     if first["n"] < 3:
         return []
-    varies = [bool(first[f"s{i}"]) for i in range(n)]
+    around = complete.select(*[(F.col(c) - F.lit(first[c])).alias(c) for c in names])
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    product: dict[tuple[int, int], float] = {}
+    for start in range(0, len(pairs), 100):
+        part = pairs[start : start + 100]
+        row = around.agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i, j in part]).first()
+        product |= dict(zip(part, row))
+    varies = [product[(i, i)] > 0 for i in range(n)]
 
     def value(i: int, j: int) -> float | None:
         if not (varies[i] and varies[j]):
             return None
         if i == j:
             return 1.0
-        found = r[(min(i, j), max(i, j))]
-        return None if found is None or found != found else half_up(found, 4)
+        found = product[(min(i, j), max(i, j))] / math.sqrt(product[(i, i)] * product[(j, j)])
+        return None if found != found else half_up(max(-1.0, min(1.0, found)), 4)
 
     return [(columns[i], columns[j], value(i, j)) for i in range(n) for j in range(n)]
 

@@ -16,7 +16,7 @@ from tablelens.functions.semantics import (
     string_columns,
 )
 from tablelens.operators.dashboard import top_counts, value_counts
-from tablelens.operators.ranks import BUFFER_ROWS, exact_quantiles
+from tablelens.operators.ranks import FINAL_ROWS, exact_quantiles
 
 # Cell texts that stand for a missing value.
 NULL_TOKENS = ("", "N/A", "null", "NaN")
@@ -152,8 +152,8 @@ def quality_score(df: DataFrame, rules: list[Rule], keys: list[str]) -> DataFram
     )
 
 
-def _medians(df: DataFrame, rows: int, buffer_rows: int) -> dict:
-    found = exact_quantiles(df, {c: [0.5] for c in numeric_columns(df)}, rows, buffer_rows)
+def _medians(df: DataFrame, rows: int, final_rows: int) -> dict:
+    found = exact_quantiles(df, {c: [0.5] for c in numeric_columns(df)}, rows, final_rows)
     return {c: v[0] for c, v in found.items()}
 
 
@@ -165,10 +165,10 @@ def _categories(df: DataFrame) -> list[str]:
     ]
 
 
-def impute(df: DataFrame, rows: int | None = None, buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+def impute(df: DataFrame, rows: int | None = None, final_rows: int = FINAL_ROWS) -> DataFrame:
     """Numeric nulls become the median (columns turn double), others the most frequent value."""
     rows = df.count() if rows is None else rows
-    medians = _medians(df, rows, buffer_rows)
+    medians = _medians(df, rows, final_rows)
     names = _categories(df)
     modes: dict[str, str] = {}
     if names:
@@ -189,10 +189,10 @@ def impute(df: DataFrame, rows: int | None = None, buffer_rows: int = BUFFER_ROW
 
 
 def winsorize(
-    df: DataFrame, rows: int | None = None, low: float = 0.01, high: float = 0.99, buffer_rows: int = BUFFER_ROWS
+    df: DataFrame, rows: int | None = None, low: float = 0.01, high: float = 0.99, final_rows: int = FINAL_ROWS
 ) -> DataFrame:
     """Clip numeric columns to their low and high quantiles."""
-    limits = exact_quantiles(df, {c: [low, high] for c in numeric_columns(df)}, rows, buffer_rows)
+    limits = exact_quantiles(df, {c: [low, high] for c in numeric_columns(df)}, rows, final_rows)
 
     def cell(name: str) -> Column:
         c = col(name)

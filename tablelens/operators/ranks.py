@@ -1,11 +1,13 @@
 """Exact order statistics, quantiles and rank cut-offs without a global sort.
 
-``percentile`` keeps every distinct value of a column in one aggregation
-buffer, so it is only used on a set of rows known to be small.  Above that
-size, a sketch (``percentile_approx``) brackets each wanted rank, one scan
-counts the rows below and inside the bracket, and the search goes on strictly
-inside it.  Every pass is a single map-side-combined aggregate: nothing is
-shuffled but a few numbers per partition, and the answer is exact.
+To find the value at a rank, the range of a column is cut into a few thousand
+equal steps and the rows per step are counted, with the smallest and largest
+value of each step: one scan whose result is a few thousand numbers per column.
+The step holding the rank becomes the new range, until it holds one value only
+or few enough rows to be sorted.  Heavily skewed or infinite ranges, where
+equal steps do not split the rows, are narrowed by a quantile sketch instead.
+Counts combine inside each task, so nothing large is shuffled, and every
+answer is exact whatever the size or skew of the table.
 """
 
 from __future__ import annotations
@@ -17,36 +19,48 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablelens.functions.semantics import col, order_number
 
-# Rows an exact aggregation buffer may hold.
+# Rows of one group that may be sorted in one task.
 BUFFER_ROWS = 1_000_000
+# Rows left in a range when it is sorted instead of cut again.
+FINAL_ROWS = 50_000
+# Steps a range is cut into, and rounds before the sketch takes over.
+STEPS = 4096
+STEP_ROUNDS = 4
 # Sketch accuracy: the rank error is at most rows / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 20_000
 
 
 @dataclass
-class _Bracket:
-    """One wanted rank (0-based among non-null values) and what is known about it."""
-
-    column: Column
-    rank: int
-    rows: int  # candidate rows still inside
-    low: object = None  # exclusive bounds once set
-    high: object = None
-    value: object = None
-    done: bool = False
-
-    def inside(self) -> Column:
-        c = self.column
-        test = c.isNotNull()
-        if self.low is not None:
-            test = test & (c > F.lit(self.low))
-        if self.high is not None:
-            test = test & (c < F.lit(self.high))
-        return F.when(test, c)
+class _Range:
+    """Where the value at one rank must lie: inclusive bounds that are actual values."""
+
+    slot: int  # which column
+    rank: int  # 0-based among the rows of the range
+    rows: int
+    low: object
+    high: object
+
+    @property
+    def settled(self) -> bool:
+        return self.low == self.high
+
+    @property
+    def step(self) -> float:
+        """Steps per unit, or 0 when the range cannot be cut evenly."""
+        width = float(self.high) - float(self.low)
+        scale = STEPS / width if width > 0 else 0.0
+        return scale if math.isfinite(width) and math.isfinite(scale) else 0.0
+
+    @property
+    def place(self) -> tuple:
+        return (self.slot, self.low, self.high)
+
+    def covers(self, c: Column) -> Column:
+        return (c >= F.lit(self.low)) & (c <= F.lit(self.high))
 
 
 def _aggregate(df: DataFrame, exprs: list[Column]) -> list:
-    """Evaluate many aggregates in one scan (in slices, to keep code generation)."""
+    """Evaluate many aggregates in few scans (in slices, to keep code generation)."""
     out: list = []
     for start in range(0, len(exprs), 100):
         part = exprs[start : start + 100]
@@ -55,93 +69,155 @@ def _aggregate(df: DataFrame, exprs: list[Column]) -> list:
     return out
 
 
-def _narrow(df: DataFrame, open_: list[_Bracket], accuracy: int) -> None:
-    """Shrink every open bracket to the open interval between two sketch values."""
+def _cut(df: DataFrame, columns: list[Column], open_: list[_Range]) -> None:
+    """Replace every open range by the step of it that holds its rank."""
+    places = list(dict.fromkeys(r.place for r in open_))
+    first = {r.place: r for r in open_}
+    cells = []
+    for number, place in enumerate(places):
+        r, c = first[place], columns[place[0]]
+        at = F.floor((c.cast("double") - F.lit(float(r.low))) * F.lit(r.step))
+        step = F.least(F.lit(STEPS - 1), F.greatest(F.lit(0), at)).cast("int")
+        cells.append(F.when(r.covers(c), F.struct((step + F.lit(number * STEPS)).alias("s"), c.alias("v"))))
+    counted = (
+        df.select(F.explode(F.array(*cells)).alias("x"))
+        .filter(F.col("x").isNotNull())
+        .groupBy("x.s")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("low"), F.max("x.v").alias("high"))
+        .collect()  # at most STEPS rows per range
+    )
+    steps: list[list] = [[] for _ in places]
+    for row in sorted(counted, key=lambda row: row["s"]):
+        steps[row["s"] // STEPS].append(row)
+    for r in open_:
+        for row in steps[places.index(r.place)]:
+            if r.rank < row["n"]:
+                kind = type(r.low)
+                r.low, r.high, r.rows = kind(row["low"]), kind(row["high"]), row["n"]
+                break
+            r.rank -= row["n"]
+
+
+def _sketch(df: DataFrame, columns: list[Column], open_: list[_Range], accuracy: int) -> None:
+    """Shrink ranges to what lies between two sketch values around the rank."""
+    inside = [F.when(r.covers(columns[r.slot]), columns[r.slot]) for r in open_]
     sketches = []
-    for b in open_:
-        slack = 2 * b.rows / accuracy + 2
-        lo = max(0.0, (b.rank - slack) / b.rows)
-        hi = min(1.0, (b.rank + 1 + slack) / b.rows)
-        sketches.append(F.percentile_approx(b.inside(), [lo, hi], accuracy))
+    for r, c in zip(open_, inside):
+        slack = 2 * r.rows / accuracy + 2
+        share = [max(0.0, (r.rank - slack) / r.rows), min(1.0, (r.rank + 1 + slack) / r.rows)]
+        sketches.append(F.percentile_approx(c, share, accuracy))
     bounds = _aggregate(df, sketches)
-    counts = []
-    for b, (lo, hi) in zip(open_, bounds):
-        v = b.inside()
-        counts += [
-            F.count_if(v < F.lit(lo)),
-            F.count_if(v == F.lit(lo)),
-            F.count_if((v > F.lit(lo)) & (v < F.lit(hi))),
-            F.count_if(v == F.lit(hi)),
+    counts: list[Column] = []
+    for c, (a, b) in zip(inside, bounds):
+        below, between, above = c < F.lit(a), (c > F.lit(a)) & (c < F.lit(b)), c > F.lit(b)
+        counts += [F.count_if(below), F.count_if(c == F.lit(a)), F.count_if(between), F.count_if(c == F.lit(b))]
+        counts += [F.max(F.when(below, c)), F.min(F.when(between, c)), F.max(F.when(between, c)), F.min(F.when(above, c))]
+    found = _aggregate(df, counts)
+    for i, (r, (a, b)) in enumerate(zip(open_, bounds)):
+        below, at_a, between, at_b, top_below, low_in, high_in, low_above = found[8 * i : 8 * i + 8]
+        at_b = 0 if a == b else at_b
+        parts = [
+            (below, r.low, top_below),
+            (at_a, a, a),
+            (between, low_in, high_in),
+            (at_b, b, b),
+            (r.rows - below - at_a - between - at_b, low_above, r.high),
         ]
-    numbers = _aggregate(df, counts)
-    for i, (b, (lo, hi)) in enumerate(zip(open_, bounds)):
-        below, at_low, between, at_high = numbers[4 * i : 4 * i + 4]
-        if lo == hi:
-            at_high = 0
-        rank = b.rank - below
-        if rank < 0:  # the sketch overshot: keep everything under it
-            b.high, b.rows = lo, below
-        elif rank < at_low:
-            b.value, b.done = lo, True
-        elif rank < at_low + between:
-            b.low, b.high, b.rank, b.rows = lo, hi, rank - at_low, between
-        elif rank < at_low + between + at_high:
-            b.value, b.done = hi, True
-        else:  # undershot: keep everything above it
-            b.low, b.rank = hi, rank - at_low - between - at_high
-            b.rows = b.rows - below - at_low - between - at_high
+        for n, low, high in parts:
+            if r.rank < n:
+                r.low, r.high, r.rows = low, high, n
+                break
+            r.rank -= n
+
+
+def _sort(df: DataFrame, columns: list[Column], last: list[_Range]) -> None:
+    """Settle ranges that hold few rows by counting up their sorted values."""
+    places = list(dict.fromkeys(r.place for r in last))
+    first = {r.place: r for r in last}
+    cells = [
+        F.when(first[p].covers(columns[p[0]]), F.struct(F.lit(i).alias("p"), columns[p[0]].alias("v")))
+        for i, p in enumerate(places)
+    ]
+    values = (
+        df.select(F.explode(F.array(*cells)).alias("x"))
+        .filter(F.col("x").isNotNull())
+        .groupBy("x.p", "x.v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # A window partition holds at most FINAL_ROWS values.
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+    wanted = F.lit(False)
+    for r in last:
+        hit = (F.col("upto") > F.lit(r.rank)) & (F.col("upto") - F.col("n") <= F.lit(r.rank))
+        wanted = wanted | ((F.col("p") == F.lit(places.index(r.place))) & hit)
+    rows = values.withColumn("upto", upto).filter(wanted).collect()  # one row per rank
+    for r in last:
+        number = places.index(r.place)
+        value = next(x["v"] for x in rows if x["p"] == number and x["upto"] - x["n"] <= r.rank < x["upto"])
+        r.low = r.high = value
 
 
 def order_stats(
     df: DataFrame,
     wanted: list[tuple[Column, list[int]]],
     rows: list[int],
-    buffer_rows: int = BUFFER_ROWS,
+    final_rows: int = FINAL_ROWS,
     accuracy: int = SKETCH_ACCURACY,
+    spans: list | None = None,
 ) -> list[list]:
-    """Exact values at 0-based ranks; ``rows`` holds the non-null count per column."""
-    brackets = [
-        [_Bracket(c, r, n) for r in ranks] for (c, ranks), n in zip(wanted, rows)
-    ]
-    flat = [b for group in brackets for b in group]
-    while True:
-        open_ = [b for b in flat if not b.done and b.rows > buffer_rows]
-        if not open_:
-            break
-        _narrow(df, open_, accuracy)
-    last = [b for b in flat if not b.done]
-    exprs = [
-        F.percentile(b.inside(), F.lit(b.rank / (b.rows - 1) if b.rows > 1 else 0.0)) for b in last
+    """Exact values at 0-based ranks among the non-null values.
+
+    ``rows`` counts those values per column, ``spans`` lists min and max per column if known.
+    """
+    names = [f"__o{i}" for i in range(len(wanted))]
+    df = df.select(*[c.alias(n) for (c, _), n in zip(wanted, names)])
+    columns = [F.col(n) for n in names]
+    if spans is None:
+        spans = _aggregate(df, [e for c in columns for e in (F.min(c), F.max(c))])
+    ranges = [
+        [_Range(i, r, rows[i], spans[2 * i], spans[2 * i + 1]) for r in ranks] for i, (_, ranks) in enumerate(wanted)
     ]
-    for b, v in zip(last, _aggregate(df, exprs)):
-        b.value = v
-    return [[b.value for b in group] for group in brackets]
+    flat = [r for group in ranges for r in group]
+    rounds = 0
+    while open_ := [r for r in flat if not r.settled and r.rows > final_rows]:
+        even = [r for r in open_ if r.step > 0 and rounds < STEP_ROUNDS]
+        uneven = [r for r in open_ if r not in even]
+        if even:
+            _cut(df, columns, even)
+        if uneven:
+            _sketch(df, columns, uneven, accuracy)
+        rounds += 1
+    if last := [r for r in flat if not r.settled]:
+        _sort(df, columns, last)
+    return [[r.low for r in group] for group in ranges]
 
 
 def exact_quantiles(
     df: DataFrame,
     probs: dict[str, list[float]],
     rows: int | None = None,
-    buffer_rows: int = BUFFER_ROWS,
+    final_rows: int = FINAL_ROWS,
     where: dict[str, Column] | None = None,
 ) -> dict[str, list]:
     """Linear-interpolated quantiles per column; null for a column without values.
 
     ``rows`` is an optional known upper bound of the row count.  ``where`` maps
     a name to the expression to measure when it is not simply that column.
+    NaN counts as missing.
     """
-    exprs = {n: (where[n] if where and n in where else col(n)).cast("double") for n in probs}
+    exprs = {n: F.nullif((where[n] if where and n in where else col(n)).cast("double"), F.lit(math.nan)) for n in probs}
     if not probs:
         return {}
     if rows is None:
         rows = df.count()
-    if rows <= buffer_rows:
+    if rows <= final_rows:
         names = list(probs)
         out = _aggregate(df, [F.percentile(exprs[n], [float(p) for p in probs[n]]) for n in names])
         return {n: (list(v) if v is not None else [None] * len(probs[n])) for n, v in zip(names, out)}
     names = list(probs)
-    counts = dict(zip(names, _aggregate(df, [F.count(exprs[n]) for n in names])))
-    wanted, sizes, keep = [], [], []
+    seen = _aggregate(df, [e for n in names for e in (F.count(exprs[n]), F.min(exprs[n]), F.max(exprs[n]))])
+    counts = dict(zip(names, seen[::3]))
+    wanted, sizes, keep, spans = [], [], [], []
     for n in names:
         if counts[n] == 0:
             continue
@@ -151,8 +227,10 @@ def exact_quantiles(
             ranks += [math.floor(at), math.ceil(at)]
         wanted.append((exprs[n], ranks))
         sizes.append(counts[n])
+        at = 3 * names.index(n)
+        spans += seen[at + 1 : at + 3]
         keep.append(n)
-    values = dict(zip(keep, order_stats(df, wanted, sizes, buffer_rows)))
+    values = dict(zip(keep, order_stats(df, wanted, sizes, final_rows, spans=spans)))
     result = {}
     for n in names:
         if counts[n] == 0:
@@ -175,6 +253,7 @@ def order_cutoffs(
     ranks: list[int],
     rows: int | None = None,
     buffer_rows: int = BUFFER_ROWS,
+    final_rows: int = FINAL_ROWS,
 ) -> list[tuple]:
     """The sort-key tuples standing at the given 0-based ranks of a total order.
 
@@ -189,7 +268,7 @@ def order_cutoffs(
     def settle(value, name: str):
         return value if _fractional(df, name) else int(value)
 
-    first = [settle(v, order_by[0]) for v in order_stats(df, [(keys[0], ranks)], [rows], buffer_rows)[0]]
+    first = [settle(v, order_by[0]) for v in order_stats(df, [(keys[0], ranks)], [rows], final_rows)[0]]
     if len(keys) == 1:
         return [(v,) for v in first]
     counts = _aggregate(
@@ -203,7 +282,7 @@ def order_cutoffs(
             small.append((i, value, rank - below))
         else:  # a hot key: search on inside its rows by the remaining keys
             rest = order_cutoffs(
-                df.filter(keys[0] == F.lit(value)), order_by[1:], [rank - below], ties, buffer_rows
+                df.filter(keys[0] == F.lit(value)), order_by[1:], [rank - below], ties, buffer_rows, final_rows
             )
             found[i] = (value, *rest[0])
     if small:

@@ -187,7 +187,7 @@ def distribution_shift(p: Profile, date: str, tie_break: list[str]) -> list[Sign
     buckets = max(4, min(10, rows // 15))
     size = rows // buckets
     order_by = [date, *tie_break]
-    cutoffs = order_cutoffs(df, order_by, [b * size for b in range(1, buckets)], rows, p.buffer_rows)
+    cutoffs = order_cutoffs(df, order_by, [b * size for b in range(1, buckets)], rows, final_rows=p.final_rows)
     when = as_time(df, date)
     exprs = [e for i, c in enumerate(p.numeric) for e in (F.avg(col(c)).alias(f"m{i}"), F.count(col(c)).alias(f"n{i}"))]
     means = (
