@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -94,8 +95,13 @@ class ColumnFacts:
     dtype: T.DataType
     rows: int
     nulls: int
-    cardinality: int  # null counts as a value
     measures: dict
+    distinct: Callable[[], dict]  # counted for all columns at once, when first needed
+
+    @property
+    def cardinality(self) -> int:
+        """Distinct values, null counting as one."""
+        return self.distinct()[self.name] + (1 if self.nulls else 0)
 
     @property
     def filled(self) -> int:
@@ -174,16 +180,24 @@ class Profile:
                     slots.append((f.name, key))
                     exprs.append(e.alias(f"m{i}_{key}"))
             row = self.df.agg(*exprs).first()
-            counter = F.count_distinct if self.exact_distinct else F.approx_count_distinct
-            distinct = self.df.agg(*[counter(_countable(f)).alias(f"d{i}") for i, f in enumerate(part)]).first()
-            for i, f in enumerate(part):
+            for f in part:
                 got = {key: row[1 + j] for j, (name, key) in enumerate(slots) if name == f.name}
-                nulls = got.pop("nulls")
                 found[f.name] = ColumnFacts(
-                    f.name, f.dataType, row["rows"], nulls, distinct[i] + (1 if nulls else 0), got
+                    f.name, f.dataType, row["rows"], got.pop("nulls"), got, lambda: self.distinct_counts
                 )
         return found
 
+    @cached_property
+    def distinct_counts(self) -> dict[str, int]:
+        counter = F.count_distinct if self.exact_distinct else F.approx_count_distinct
+        fields = self.df.schema.fields
+        found: dict[str, int] = {}
+        for start in range(0, len(fields), 25):
+            part = fields[start : start + 25]
+            row = self.df.agg(*[counter(_countable(f)).alias(f"d{i}") for i, f in enumerate(part)]).first()
+            found |= {f.name: row[i] for i, f in enumerate(part)}
+        return found
+
     @cached_property
     def rows(self) -> int:
         return next(iter(self.facts.values())).rows if self.facts else self.df.count()
@@ -202,6 +216,9 @@ class Profile:
 
     @property
     def numeric(self) -> list[str]:
+        types = {f.name: f.dataType for f in self.df.schema.fields}
+        if not any(isinstance(t, T.ByteType) for t in types.values()):
+            return [n for n, t in types.items() if is_numeric(t)]  # no scan needed
         return [n for n, c in self.categories.items() if c == "numeric"]
 
     # -- statistics ------------------------------------------------------------
