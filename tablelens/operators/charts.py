@@ -39,7 +39,7 @@ def _grouping(p: Profile) -> list[str]:
 
 
 def score_numeric(p: Profile) -> list[tuple]:
-    names = [n for n in p.numeric if p.facts[n].filled]
+    names = [n for n in p.numeric if p.facts[n].filled and p.quartiles[n][0] is not None]
     exprs = []
     for i, n in enumerate(names):
         v = col(n).cast("double")

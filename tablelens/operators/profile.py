@@ -258,7 +258,7 @@ class Profile:
                 out[n] = dict.fromkeys(("min", "max", "mean", "std", "skew")) | {"outlier_count": 0.0}
                 continue
             median, std = self.quartiles[n][1], m["std"]
-            usable = self.facts[n].filled >= 3 and std and std > 0
+            usable = self.facts[n].filled >= 3 and median is not None and std and std > 0
             out[n] = {
                 "min": half_up(m["min"], 4),
                 "max": half_up(m["max"], 4),

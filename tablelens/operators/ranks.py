@@ -259,9 +259,9 @@ def order_cutoffs(
 
     Works key by key: an exact order statistic of the first key, then of the
     next key among its ties, and so on.  ``order_by`` must be unique as a whole
-    and free of nulls for the ranks to be exact.
+    for the ranks to be exact.  Nulls sort first.
     """
-    keys = [order_number(df, k).cast("long" if not _fractional(df, k) else "double") for k in order_by]
+    keys = [_sort_key(df, k) for k in order_by]
     if rows is None:
         rows = df.count()
 
@@ -308,11 +308,18 @@ def _fractional(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
 
 
+def _sort_key(df: DataFrame, name: str) -> Column:
+    """The column as a number that sorts like it, nulls first."""
+    if _fractional(df, name):
+        return F.coalesce(order_number(df, name).cast("double"), F.lit(-1.7976931348623157e308))
+    return F.coalesce(order_number(df, name).cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
 def at_or_after(df: DataFrame, order_by: list[str], cutoff: tuple) -> Column:
     """True for rows that sort at or after ``cutoff``, as a plain predicate."""
     test: Column | None = None
     for name, value in reversed(list(zip(order_by, cutoff))):
-        key = order_number(df, name)
+        key = _sort_key(df, name)
         if test is None:
             test = key >= F.lit(value)
         else:

@@ -61,9 +61,9 @@ def iqr_outliers(p: Profile) -> list[Signal]:
     if p.rows < 10:
         return out
     for n in p.stats_columns:
-        if p.facts[n].filled < 10:
-            continue
         q1, _, q3 = p.quartiles[n]
+        if p.facts[n].filled < 10 or q1 is None:
+            continue
         share = p.outliers[n] / p.rows
         if q3 - q1 > 0 and OUTLIER_BAND[0] <= share <= OUTLIER_BAND[1]:
             low, high = iqr_fences(q1, q3)

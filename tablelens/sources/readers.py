@@ -25,10 +25,10 @@ def read_csv(
 def pick_encoding(spark: SparkSession, path: str) -> str:
     """The first encoding that decodes the whole input.
 
-    Invalid UTF-8 shows up as the replacement character; the next encoding in
-    the list accepts any byte, so it is the one used otherwise.
+    Lines are read as raw bytes and tested for valid UTF-8; the next encoding
+    in the list accepts any byte, so it is the one used otherwise.
     """
-    bad = spark.read.option("encoding", ENCODINGS[0]).text(path).filter(F.col("value").contains("�"))
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value"))
     return ENCODINGS[1] if bad.limit(1).count() else ENCODINGS[0]
 
 
