@@ -225,9 +225,9 @@ class Profile:
 
     @cached_property
     def quartiles(self) -> dict[str, list]:
-        return exact_quantiles(
-            self.df, {n: [0.25, 0.5, 0.75] for n in self.numeric}, self.rows, self.final_rows
-        )
+        known = {n: (self.facts[n].filled, self.facts[n].measures["min"], self.facts[n].measures["max"]) for n in self.numeric}
+        wanted = {n: [0.25, 0.5, 0.75] for n in self.numeric}
+        return exact_quantiles(self.df, wanted, self.rows, self.final_rows, known=known)
 
     @cached_property
     def outliers(self) -> dict[str, int]:

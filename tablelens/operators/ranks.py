@@ -22,7 +22,7 @@ from tablelens.functions.semantics import col, order_number
 # Rows of one group that may be sorted in one task.
 BUFFER_ROWS = 1_000_000
 # Rows left in a range when it is sorted instead of cut again.
-FINAL_ROWS = 50_000
+FINAL_ROWS = 200_000
 # Steps a range is cut into, and rounds before the sketch takes over.
 STEPS = 4096
 STEP_ROUNDS = 4
@@ -69,33 +69,66 @@ def _aggregate(df: DataFrame, exprs: list[Column]) -> list:
     return out
 
 
+def _hits(df: DataFrame, columns: list[Column], ranges: list[_Range], more=None) -> tuple[DataFrame, list[tuple]]:
+    """(p, v) for every value lying in one of the ranges; p numbers the distinct ranges.
+
+    Ranges of one column that do not overlap share one conditional, so a row
+    yields few cells however many ranks are wanted.
+    """
+    first = {r.place: r for r in ranges}
+    places = sorted(first, key=lambda p: (p[0], p[1]))
+    layers: list[list[int]] = []
+    for number, (slot, low, _) in enumerate(places):
+        home = next((x for x in layers if places[x[-1]][0] == slot and places[x[-1]][2] < low), None)
+        if home is None:
+            layers.append([number])
+        else:
+            home.append(number)
+    cells = []
+    for layer in layers:
+        number, extra, c = F, F, columns[places[layer[0]][0]]
+        for i in layer:
+            r = first[places[i]]
+            number = number.when(r.covers(c), F.lit(i))
+            if more:
+                extra = extra.when(r.covers(c), more(r, c))
+        parts = [number.alias("p"), c.alias("v")] + ([extra.alias("s")] if more else [])
+        cells.append(F.struct(*parts))
+    found = df.select(F.explode(F.array(*cells)).alias("x")).filter(F.col("x.p").isNotNull()).select("x.*")
+    return found, places
+
+
+def _pick(counts: DataFrame, order: str, ranges: list[_Range], places: list[tuple]) -> dict[tuple, object]:
+    """The counted row each rank falls into; one row per rank is collected."""
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy(order))
+    wanted = F.lit(False)
+    for r in ranges:
+        hit = (F.col("upto") > F.lit(r.rank)) & (F.col("upto") - F.col("n") <= F.lit(r.rank))
+        wanted = wanted | ((F.col("p") == F.lit(places.index(r.place))) & hit)
+    rows = counts.withColumn("upto", upto).filter(wanted).collect()
+    return {
+        (r.place, r.rank): next(
+            x for x in rows if places[x["p"]] == r.place and x["upto"] - x["n"] <= r.rank < x["upto"]
+        )
+        for r in ranges
+    }
+
+
 def _cut(df: DataFrame, columns: list[Column], open_: list[_Range]) -> None:
     """Replace every open range by the step of it that holds its rank."""
-    places = list(dict.fromkeys(r.place for r in open_))
-    first = {r.place: r for r in open_}
-    cells = []
-    for number, place in enumerate(places):
-        r, c = first[place], columns[place[0]]
+
+    def step(r: _Range, c: Column) -> Column:
         at = F.floor((c.cast("double") - F.lit(float(r.low))) * F.lit(r.step))
-        step = F.least(F.lit(STEPS - 1), F.greatest(F.lit(0), at)).cast("int")
-        cells.append(F.when(r.covers(c), F.struct((step + F.lit(number * STEPS)).alias("s"), c.alias("v"))))
-    counted = (
-        df.select(F.explode(F.array(*cells)).alias("x"))
-        .filter(F.col("x").isNotNull())
-        .groupBy("x.s")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("low"), F.max("x.v").alias("high"))
-        .collect()  # at most STEPS rows per range
-    )
-    steps: list[list] = [[] for _ in places]
-    for row in sorted(counted, key=lambda row: row["s"]):
-        steps[row["s"] // STEPS].append(row)
+        return F.least(F.lit(STEPS - 1), F.greatest(F.lit(0), at)).cast("int")
+
+    found, places = _hits(df, columns, open_, step)
+    # At most STEPS rows per range.
+    counts = found.groupBy("p", "s").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    picked = _pick(counts, "s", open_, places)
     for r in open_:
-        for row in steps[places.index(r.place)]:
-            if r.rank < row["n"]:
-                kind = type(r.low)
-                r.low, r.high, r.rows = kind(row["low"]), kind(row["high"]), row["n"]
-                break
-            r.rank -= row["n"]
+        row, kind = picked[(r.place, r.rank)], type(r.low)
+        r.rank -= row["upto"] - row["n"]
+        r.low, r.high, r.rows = kind(row["low"]), kind(row["high"]), row["n"]
 
 
 def _sketch(df: DataFrame, columns: list[Column], open_: list[_Range], accuracy: int) -> None:
@@ -131,30 +164,12 @@ def _sketch(df: DataFrame, columns: list[Column], open_: list[_Range], accuracy:
 
 
 def _sort(df: DataFrame, columns: list[Column], last: list[_Range]) -> None:
-    """Settle ranges that hold few rows by counting up their sorted values."""
-    places = list(dict.fromkeys(r.place for r in last))
-    first = {r.place: r for r in last}
-    cells = [
-        F.when(first[p].covers(columns[p[0]]), F.struct(F.lit(i).alias("p"), columns[p[0]].alias("v")))
-        for i, p in enumerate(places)
-    ]
-    values = (
-        df.select(F.explode(F.array(*cells)).alias("x"))
-        .filter(F.col("x").isNotNull())
-        .groupBy("x.p", "x.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # A window partition holds at most FINAL_ROWS values.
-    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
-    wanted = F.lit(False)
-    for r in last:
-        hit = (F.col("upto") > F.lit(r.rank)) & (F.col("upto") - F.col("n") <= F.lit(r.rank))
-        wanted = wanted | ((F.col("p") == F.lit(places.index(r.place))) & hit)
-    rows = values.withColumn("upto", upto).filter(wanted).collect()  # one row per rank
+    """Settle ranges that hold few rows (at most FINAL_ROWS) by counting up their sorted values."""
+    found, places = _hits(df, columns, last)
+    picked = _pick(found.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n")), "v", last, places)
     for r in last:
-        number = places.index(r.place)
-        value = next(x["v"] for x in rows if x["p"] == number and x["upto"] - x["n"] <= r.rank < x["upto"])
-        r.low = r.high = value
+        row, kind = picked[(r.place, r.rank)], type(r.low)
+        r.low = r.high = kind(row["v"])
 
 
 def order_stats(
@@ -198,12 +213,14 @@ def exact_quantiles(
     rows: int | None = None,
     final_rows: int = FINAL_ROWS,
     where: dict[str, Column] | None = None,
+    known: dict[str, tuple] | None = None,
 ) -> dict[str, list]:
     """Linear-interpolated quantiles per column; null for a column without values.
 
     ``rows`` is an optional known upper bound of the row count.  ``where`` maps
     a name to the expression to measure when it is not simply that column.
-    NaN counts as missing.
+    NaN counts as missing.  ``known`` may hold (values, min, max) per column from
+    an earlier scan.
     """
     exprs = {n: F.nullif((where[n] if where and n in where else col(n)).cast("double"), F.lit(math.nan)) for n in probs}
     if not probs:
@@ -215,7 +232,10 @@ def exact_quantiles(
         out = _aggregate(df, [F.percentile(exprs[n], [float(p) for p in probs[n]]) for n in names])
         return {n: (list(v) if v is not None else [None] * len(probs[n])) for n, v in zip(names, out)}
     names = list(probs)
-    seen = _aggregate(df, [e for n in names for e in (F.count(exprs[n]), F.min(exprs[n]), F.max(exprs[n]))])
+    if known is not None and all(n in known and known[n][2] == known[n][2] for n in names):
+        seen = [x for n in names for x in known[n]]
+    else:
+        seen = _aggregate(df, [e for n in names for e in (F.count(exprs[n]), F.min(exprs[n]), F.max(exprs[n]))])
     counts = dict(zip(names, seen[::3]))
     wanted, sizes, keep, spans = [], [], [], []
     for n in names:

@@ -133,19 +133,8 @@ def keyword_search(
         *[F.struct(F.lit(i).alias("attribute"), F.array_distinct(words(F.col(a))).alias("words")) for i, a in enumerate(SEARCH_ORDER)]
     )
     exploded = documents.select("id", F.inline(attributes)).select("id", "attribute", F.explode("words").alias("word"))
-    hits = exploded.withColumn(
-        "h",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(typos(F.col("word"), w).isNotNull(), F.struct(F.lit(i).alias("q"), typos(F.col("word"), w).alias("t")))
-                        for i, w in enumerate(asked)
-                    ]
-                )
-            )
-        ),
-    )
+    tests = F.array(*[F.struct(F.lit(i).alias("q"), typos(F.col("word"), w).alias("t")) for i, w in enumerate(asked)])
+    hits = exploded.select("id", "attribute", F.explode(tests).alias("h")).filter(F.col("h.t").isNotNull())
     best = hits.groupBy("id", F.col("h.q").alias("q")).agg(F.min("h.t").alias("t"), F.min("attribute").alias("a"))
     ranked = (
         best.groupBy("id")
