@@ -100,3 +100,24 @@ def run_query(df: DataFrame, spec: QuerySpec, strict: bool = False) -> DataFrame
     keys += [sort_key(c, False) for c in spec.tie_break if c in df.columns]
     # A sort directly under a limit becomes one top-k per task, not a full sort.
     return (df.orderBy(*keys) if keys else df).limit(spec.limit)
+
+
+def auto_model(profile, name: str) -> SemanticModel:
+    """A model from the column profile: groupable columns as dimensions, total and average per number."""
+    metrics: dict[str, Metric] = {}
+    dimensions: dict[str, str] = {}
+    for column, kind in profile.categories.items():
+        label = column.replace(" ", "_").lower()
+        if kind in ("categorical", "datetime") or profile.roles[column] in ("geo", "temporal"):
+            dimensions[label] = column
+        elif kind == "numeric":
+            metrics[f"total_{label}"] = Metric(column, "sum")
+            metrics[f"average_{label}"] = Metric(column, "avg")
+    return SemanticModel(name, metrics, dimensions)
+
+
+def model_terms(spark, model: SemanticModel) -> DataFrame:
+    """(kind, name, column, agg) of every term; bounded by the number of columns."""
+    rows = [("dimension", n, c, None) for n, c in model.dimensions.items()]
+    rows += [("metric", n, m.column, m.agg) for n, m in model.metrics.items()]
+    return spark.createDataFrame(rows, "kind string, name string, `column` string, agg string")

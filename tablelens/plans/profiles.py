@@ -377,3 +377,16 @@ def profile_store(spark, sf):
     append_profile(prof.stored_rows(part, "part", new), path)
     latest = latest_profiles(spark, path)
     return latest.select("dataset", "column", "role", "cardinality", "profile_version", "profiled_at", "stale")
+
+
+@query(
+    "semantic_model",
+    f"""{typed_sql('orders_text')}, d AS (SELECT *, cat IN ('categorical', 'datetime') OR role IN ('geo', 'temporal') AS dim FROM typed)
+    SELECT 'dimension' AS kind, "column" AS name, "column", CAST(NULL AS VARCHAR) AS agg FROM d WHERE dim
+    UNION ALL SELECT 'metric', 'total_' || "column", "column", 'sum' FROM d WHERE NOT dim AND cat = 'numeric'
+    UNION ALL SELECT 'metric', 'average_' || "column", "column", 'avg' FROM d WHERE NOT dim AND cat = 'numeric'""",
+)
+def semantic_model(spark, sf):
+    from tablelens.operators.query import auto_model, model_terms
+
+    return model_terms(spark, auto_model(Profile(orders_text(spark, sf)), "orders"))
