@@ -259,7 +259,9 @@ def _cross_validate(ready: DataFrame, folds: int, predict, evaluators) -> tuple[
         return [e.evaluate(scored) for e in evaluators]
 
     with ThreadPoolExecutor(folds) as pool:
-        found = list(pool.map(inheritable_thread_target(ready.sparkSession)(one), range(folds)))
+        # One wrapper per fold: each carries its own copy of the session's job properties.
+        jobs = [pool.submit(inheritable_thread_target(ready.sparkSession)(one), fold) for fold in range(folds)]
+        found = [j.result() for j in jobs]
     return tuple(sum(column) / folds for column in zip(*found))
 
 
