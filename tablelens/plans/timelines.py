@@ -25,9 +25,9 @@ def daily(spark, sf):
     return series.daily_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", KEY)
 
 
-@query("daily_series", f"WITH {DAILY} SELECT o_orderpriority, ds, round(y, 5) AS y FROM daily")
+@query("daily_series", f"WITH {DAILY} SELECT o_orderpriority, ds, round(y, 7) AS y FROM daily")
 def daily_series(spark, sf):
-    return daily(spark, sf).withColumn("y", F.round("y", 5))
+    return daily(spark, sf).withColumn("y", F.round("y", 7))
 
 
 LINE = f"""WITH {DAILY}, s AS (SELECT o_orderpriority, regr_sxy(y, i) / (regr_sxx(y, i) + 1) AS slope, avg(y) AS my, avg(i) AS mx, max(ds) AS last, max(n) AS n FROM idx GROUP BY 1),
@@ -37,12 +37,12 @@ LINE = f"""WITH {DAILY}, s AS (SELECT o_orderpriority, regr_sxy(y, i) / (regr_sx
 @query(
     "trend_line",
     LINE
-    + """ SELECT o_orderpriority, ds, round(y, 5) AS y, round(intercept + slope * i, 2) AS line, false AS is_forecast FROM idx JOIN l USING (o_orderpriority)
+    + """ SELECT o_orderpriority, ds, round(y, 7) AS y, round(intercept + slope * i, 2) AS line, false AS is_forecast FROM idx JOIN l USING (o_orderpriority)
     UNION ALL SELECT o_orderpriority, CAST(last + k AS DATE), NULL, round(intercept + slope * (n - 1 + k), 2), true FROM l, (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS k)""",
 )
 def trend_line(spark, sf):
     out = series.trend_line(daily(spark, sf), KEY)
-    return out.select("o_orderpriority", "ds", F.round("y", 5).alias("y"), F.round("line", 2).alias("line"), "is_forecast")
+    return out.select("o_orderpriority", "ds", F.round("y", 7).alias("y"), F.round("line", 2).alias("line"), "is_forecast")
 
 
 @query(
@@ -100,11 +100,11 @@ def scenarios(spark, sf):
     "lag_features",
     f"""WITH {DAILY}, g AS (SELECT o_orderpriority, ds, y, lag(y, 1) OVER w AS l1, lag(y, 2) OVER w AS l2, lag(y, 3) OVER w AS l3, lag(y, 7) OVER w AS l7
       FROM daily WINDOW w AS (PARTITION BY o_orderpriority ORDER BY ds))
-    SELECT o_orderpriority, ds, round(y, 5) AS y, round(l1, 5) AS y_lag_1, round(l2, 5) AS y_lag_2, round(l3, 5) AS y_lag_3, round(l7, 5) AS y_lag_7 FROM g WHERE l7 IS NOT NULL""",
+    SELECT o_orderpriority, ds, round(y, 7) AS y, round(l1, 7) AS y_lag_1, round(l2, 7) AS y_lag_2, round(l3, 7) AS y_lag_3, round(l7, 7) AS y_lag_7 FROM g WHERE l7 IS NOT NULL""",
 )
 def lag_features(spark, sf):
     out = series.lag_features(daily(spark, sf), KEY)
-    return out.select("o_orderpriority", "ds", *[F.round(c, 5).alias(c) for c in ("y", "y_lag_1", "y_lag_2", "y_lag_3", "y_lag_7")])
+    return out.select("o_orderpriority", "ds", *[F.round(c, 7).alias(c) for c in ("y", "y_lag_1", "y_lag_2", "y_lag_3", "y_lag_7")])
 
 
 @query(
