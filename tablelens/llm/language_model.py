@@ -53,7 +53,7 @@ class Vocabulary:
     total: int  # N
     distinct: int  # V
     ends: int
-    words: list[str]  # the most counted words, descending, ties by word
+    words: list[str]  # at most `frequent` of the most counted words, descending, ties by word
     numbers: np.ndarray
 
 
@@ -67,7 +67,15 @@ def count_words(docs: DataFrame, text_col: str = "text", frequent: int = FREQUEN
     counts = stored(tokens.groupBy("word").agg(F.count("*").alias("c")), "vocabulary")
     ends = docs.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(frequent).toPandas()
+    # the head is cut at a count: as many whole steps of counts as fit into `frequent` words
+    step = F.floor(F.log2("c") * 64).cast("int")
+    least = None
+    for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # about 64 x 60 rows at most
+        frequent -= row["count"]
+        if frequent < 0:
+            break
+        least = row["step"]
+    head = counts.filter(step >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "word"], ascending=[False, True])
     return Vocabulary(counts, sums[0] + ends, sums[1] + (ends > 0), ends, head["word"].tolist(), head["c"].to_numpy(np.int64))
 
 
