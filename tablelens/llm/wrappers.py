@@ -32,8 +32,10 @@ Repeated rows stay; other columns never matter.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import json
+import operator
 import re
 from collections.abc import Iterator
 
@@ -112,24 +114,35 @@ def tokens(source: str) -> tuple[list[str], list[str]]:
 
 def fold(stream: list[str]) -> tuple[list, list[int]]:
     """Fold neighbouring copies; also the pattern's slot number of every text of the stream."""
-    slots = iter(range(len(stream)))
-    items: list = [(t, [next(slots)] if t == "#" else []) for t in stream]  # item, texts by slot
-    items = [(t, [[n] for n in own]) for t, own in items]
-    keys: dict[str, int] = {}
-    name = lambda item: keys.setdefault(json.dumps(item), len(keys))
+    count = 0
+    items: list = []  # item, its name, the texts of each of its slots
+    for token in stream:
+        if token == "#":
+            items.append((token, token, [[count]]))
+            count += 1
+        else:
+            items.append((token, token, []))
     for period in range(1, PERIOD + 1):
-        names = [name(i) for i, _ in items]
+        n = len(items)
+        if n < 2 * period:
+            break
+        names = [i[1] for i in items]
+        if not any(map(operator.eq, names, names[period:])):
+            continue
         out: list = []
-        at, n = 0, len(items)
+        at = 0
         while at < n:
             end = at + period
+            if end >= n or names[at] != names[end]:
+                out.append(items[at])
+                at += 1
+                continue
             while names[end : end + period] == names[at : at + period] and end + period <= n:
                 end += period
-            body = [i for i, _ in items[at : at + period]]
+            body = [i[0] for i in items[at : at + period]]
             if end - at > period and (period == 1 or _balanced(body)) and not (period == 1 and body[0] != "#" and isinstance(body[0], str)):
-                copies = (end - at) // period
-                merged = [sum((items[at + c * period + k][1][s] for c in range(copies)), []) for k in range(period) for s in range(len(items[at + k][1]))]
-                out.append((["+", body], merged))
+                merged = [sum((items[at + c + k][2][s] for c in range(0, end - at, period)), []) for k in range(period) for s in range(len(items[at + k][2]))]
+                out.append((["+", body], "(" + " ".join(names[at : at + period]) + ")+", merged))
                 at = end
             else:
                 out.append(items[at])
@@ -137,12 +150,12 @@ def fold(stream: list[str]) -> tuple[list, list[int]]:
         items = out
     owner = {}
     number = 0
-    for _, own in items:
+    for _, _, own in items:
         for texts in own:
             for t in texts:
                 owner[t] = number
             number += 1
-    return [i for i, _ in items], [owner[t] for t in sorted(owner)]
+    return [i[0] for i in items], [owner[t] for t in range(count)]
 
 
 def _balanced(body: list) -> bool:
@@ -335,8 +348,14 @@ def page_blocks(stream: list[str], texts: list[str], keep: list[bool]) -> str:
 def skeleton(source: str) -> tuple[str, list[int], list[str], list[str]]:
     """Skeleton text, its slot of every text, the stream and the texts of one page."""
     stream, texts = tokens(source)
-    pattern, owner = fold(stream)
-    return json.dumps(pattern, ensure_ascii=False, separators=(",", ":")), owner, stream, texts
+    text, owner = _folded(tuple(stream))
+    return text, owner, stream, texts
+
+
+@functools.lru_cache(maxsize=4096)
+def _folded(stream: tuple[str, ...]) -> tuple[str, list[int]]:
+    pattern, owner = fold(list(stream))
+    return json.dumps(pattern, ensure_ascii=False, separators=(",", ":")), owner
 
 
 def _slot_texts(owner: list[int], texts: list[str], n: int) -> list[int]:
