@@ -33,7 +33,8 @@ from tablelens.llm.common import stored
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 ORDER = 4
 FOLDS = 5
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
+KINDS = ("allow", "block")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _START, _END = "\x02", "\x03"
 
@@ -64,26 +65,22 @@ def _ngrams(url: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(url) + 1), lambda i: F.substring(text, i, F.lit(ORDER + 1)))
 
 
-def _witten_bell(grams: DataFrame, examples: DataFrame, side: str, symbols: int) -> DataFrame:
-    """Log probability of the last character of every distinct n-gram under one kind's model."""
-    n = F.col("n")
-    counts = examples.filter(F.col("kind") == side).groupBy("gram").agg(F.sum("n").alias("n"))
-    out = grams.withColumn("p", F.lit(1.0 / symbols))
+def _log_ratios(grams: DataFrame, examples: DataFrame, symbols: int) -> DataFrame:
+    """Log p(accepted) - log p(rejected) of the last character of every distinct n-gram (Witten-Bell)."""
+    count = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind)
+    counts = examples.groupBy("gram").agg(*[count(k) for k in KINDS])
+    out = grams.select("gram", *[F.lit(1.0 / symbols).alias(f"p_{k}") for k in KINDS])
     for order in range(ORDER + 1):
         # a context of `order` characters and the character after it
-        tail = F.substring("gram", -(order + 1), order + 1) if order < ORDER else F.col("gram")
-        seen = counts.groupBy(tail.alias("tail")).agg(F.sum("n").alias("n"))
+        tail = F.expr(f"right(gram, {order + 1})")
+        seen = counts.groupBy(tail.alias("tail")).agg(*[F.sum(k).alias(k) for k in KINDS])
         context = F.expr("left(tail, length(tail) - 1)")
-        totals = seen.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        out = (
-            out.withColumn("tail", tail)
-            .withColumn("context", F.expr(f"left(tail, {order})"))
-            .join(seen, "tail", "left")
-            .join(totals, "context", "left")
-            .withColumn("p", F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce(n, F.lit(0)) + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))))
-            .select("gram", "p", *[c for c in out.columns if c not in ("gram", "p", "tail", "context")])
-        )
-    return out.select("gram", F.ln("p").alias(f"log_{side}"))
+        sums = [f(k) for k in KINDS for f in (lambda k: F.sum(k).alias(f"total_{k}"), lambda k: F.count_if(F.col(k) > 0).alias(f"kinds_{k}"))]
+        totals = seen.groupBy(context.alias("context")).agg(*sums)
+        met = out.withColumn("tail", tail).withColumn("context", F.expr(f"left(tail, {order})")).join(seen, "tail", "left").join(totals, "context", "left")
+        smooth = lambda k: (F.coalesce(F.col(k), F.lit(0)) + F.col(f"kinds_{k}") * F.col(f"p_{k}")) / (F.col(f"total_{k}") + F.col(f"kinds_{k}"))
+        out = met.select("gram", *[F.when(F.col(f"total_{k}") > 0, smooth(k)).otherwise(F.col(f"p_{k}")).alias(f"p_{k}") for k in KINDS])
+    return out.select("gram", (F.ln("p_allow") - F.ln("p_block")).alias("ratio"))
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
@@ -100,8 +97,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     examples = counts.filter("action IS NOT NULL AND NOT held").select(F.col("action").alias("kind"), "gram", "n")
     symbols = counts.select(F.substring("gram", -1, 1).alias("c")).distinct().count()
     grams = counts.select("gram").distinct()
-    models = [_witten_bell(grams, examples, side, max(1, symbols)) for side in ("allow", "block")]
-    scores = stored(models[0].join(models[1], "gram").select("gram", (F.col("log_allow") - F.col("log_block")).alias("ratio")), "ratios")
+    scores = stored(_log_ratios(grams, examples, max(1, symbols)), "ratios")
     if scores.count() <= BROADCAST_ROWS:
         scores = F.broadcast(scores)
     each = rows.filter("__url <> ''").select("__row", F.explode(_ngrams("__url")).alias("gram")).join(scores, "gram")
