@@ -99,7 +99,7 @@ def read_members(source, size: int) -> dict[str, Member]:
     """
     tail_at = max(0, size - 66_000)  # a comment has at most 65,535 bytes
     tail = source.read_at(size - tail_at, tail_at)
-    end = tail.rfind(_END)
+    end = tail.rfind(_END, 0, max(0, len(tail) - 18))  # the record has at least 22 bytes
     while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] > len(tail):
         end = tail.rfind(_END, 0, end)
     if end < 0:
