@@ -129,7 +129,8 @@ def mix(placed: DataFrame, targets: DataFrame, seed: int = 0, block: int = BLOCK
     """The mix: shard, slot, source, block, row, first_word, words (a slot lists its block's parts)."""
     slots, pieces = slot_table(targets, seed), block_pieces(placed, block)
     key = lambda df: df.withColumn("key", F.xxhash64(F.col("source").isNull(), "source"))
-    met = key(slots).join(key(pieces).withColumnRenamed("source", "s"), ["key", "block"])
+    # both sides grow with the corpus, though the planner sees a small table before it is expanded
+    met = key(slots).hint("merge").join(key(pieces).withColumnRenamed("source", "s"), ["key", "block"])
     return met.filter(F.col("source").eqNullSafe(F.col("s"))).select("shard", "slot", "source", "block", "row", "first_word", "words")
 
 
