@@ -121,7 +121,7 @@ def links(fingerprints: DataFrame, col: str = "fingerprint") -> DataFrame:
         ).alias("key"),
     ).select("b", "key.side", "key.half")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    return plain.join(ball, ["side", "half"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return plain.hint("merge").join(ball, ["side", "half"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
