@@ -92,7 +92,7 @@ def laid_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     order = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("mark"))
     more = ["text"] if keep_text else []
     rows = stored(rows.select("id", "source", "size", order.alias("order"), F.monotonically_increasing_id().alias("row"), *more), "sizes")
-    buckets = max(1, rows.count() // RANGE) * 4
+    buckets = max(64, 4 * rows.count() // RANGE)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("order"), F.lit(buckets)))
     within = Window.partitionBy("source", "bucket").orderBy("order", "row")
     rows = rows.withColumn("place", F.sum("size").over(within) - F.col("size"))
