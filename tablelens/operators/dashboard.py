@@ -125,8 +125,8 @@ def top_counts(counts: DataFrame, n: int) -> DataFrame:
 
 
 def category_breakdown(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
-    """Top counts of the first four categorical columns, null counting as a value."""
-    return top_counts(value_counts(df, columns[:4]), n)
+    """Top counts of the given columns, null counting as a value."""
+    return top_counts(value_counts(df, columns), n)
 
 
 def geo_rollup(df: DataFrame, geo: str, metric: str) -> DataFrame:

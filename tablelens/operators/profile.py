@@ -427,7 +427,7 @@ class Profile:
             return float(self.facts[n].cardinality)
 
         wanted.sort(key=weight, reverse=True)
-        return mutual_information(self.df, target, wanted[:10], self.numeric, self.rows)
+        return mutual_information(self.df, target, wanted, self.numeric, self.rows)
 
     def information_df(self) -> DataFrame:
         schema = "target string, column string, mi_score double, cells long"

@@ -130,20 +130,24 @@ def validate(df: DataFrame, rules: list[Rule], keys: list[str], per_rule: int =
 
 
 def quality_score(df: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
-    """One row: score, rows, missing cells and anomalies found by the rules."""
-    anomalies = F.coalesce(validate(df, rules, keys).agg(F.count(F.lit(1))).scalar(), F.lit(0))
+    """One row: score, rows, missing cells and all failures of the rules (at most ten per rule lower the score)."""
+    per_rule = failures(df, rules, keys).groupBy("column", "reason").agg(F.count(F.lit(1)).alias("n"))
+    sums = per_rule.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.least(F.col("n"), F.lit(10))), F.lit(0)).alias("counted"))).scalar()
+    needed = [r.column for r in rules if r.some_value and r.column in df.columns]
+    empty = sum(((F.count(col(c)) == 0).cast("long") for c in needed), F.lit(0))
     repeated = len(df.columns) - len(set(df.columns))
     counted = df.agg(
         F.count(F.lit(1)).alias("rows"),
         sum((F.count_if(col(c).isNull()) for c in df.columns), F.lit(0)).cast("long").alias("missing"),
-    )
+        F.when(F.count(F.lit(1)) > 0, empty).otherwise(0).cast("long").alias("empty"),
+    ).withColumn("found", sums)
     share = F.coalesce(F.try_divide(F.col("missing"), F.col("rows") * len(df.columns)), F.lit(0.0))
     deductions = (
         F.least(F.lit(30), F.floor(share * 100))
-        + F.least(F.lit(40), F.col("anomalies") * 2)
+        + F.least(F.lit(40), (F.col("found.counted") + F.col("empty")) * 2)
         + F.lit(min(10, 5 * repeated))
     )
-    return counted.withColumn("anomalies", anomalies).select(
+    return counted.withColumn("anomalies", F.col("found.n") + F.col("empty")).select(
         F.when(F.col("rows") == 0, F.lit(0)).otherwise(F.greatest(F.lit(10), F.lit(100) - deductions)).cast("int").alias("quality_score"),
         "rows",
         "missing",
@@ -161,12 +165,22 @@ def _categories(df: DataFrame) -> list[str]:
     return [
         f.name
         for f in df.schema.fields
-        if not is_numeric(f.dataType) and not isinstance(f.dataType, TIME_TYPES)
+        if not is_numeric(f.dataType) and not isinstance(f.dataType, (*TIME_TYPES, T.ArrayType, T.MapType, T.StructType))
     ]
 
 
+def _without_nan(df: DataFrame) -> DataFrame:
+    """NaN is a missing number."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.withColumns({c: F.when(~F.isnan(col(c)), col(c)) for c in floats}) if floats else df
+
+
 def impute(df: DataFrame, rows: int | None = None, final_rows: int = FINAL_ROWS) -> DataFrame:
-    """Numeric nulls become the median (columns turn double), others the most frequent value."""
+    """Numeric nulls and NaN become the median (columns turn double), others the most frequent value.
+
+    Nested columns stay as they are.
+    """
+    df = _without_nan(df)
     rows = df.count() if rows is None else rows
     medians = _medians(df, rows, final_rows)
     names = _categories(df)
@@ -191,7 +205,8 @@ def impute(df: DataFrame, rows: int | None = None, final_rows: int = FINAL_ROWS)
 def winsorize(
     df: DataFrame, rows: int | None = None, low: float = 0.01, high: float = 0.99, final_rows: int = FINAL_ROWS
 ) -> DataFrame:
-    """Clip numeric columns to their low and high quantiles."""
+    """Clip numeric columns to their low and high quantiles; NaN becomes null."""
+    df = _without_nan(df)
     limits = exact_quantiles(df, {c: [low, high] for c in numeric_columns(df)}, rows, final_rows)
 
     def cell(name: str) -> Column:

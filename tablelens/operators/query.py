@@ -36,7 +36,7 @@ class QuerySpec:
     filters: tuple[Filter, ...] = ()
     sort_by: str | None = None
     sort_desc: bool = True
-    limit: int = 100
+    limit: int | None = None  # None: all rows
     tie_break: tuple[str, ...] = field(default=())
 
 
@@ -98,6 +98,11 @@ def run_query(df: DataFrame, spec: QuerySpec, strict: bool = False) -> DataFrame
     if spec.sort_by and spec.sort_by in df.columns:
         keys.append(sort_key(spec.sort_by, spec.sort_desc))
     keys += [sort_key(c, False) for c in spec.tie_break if c in df.columns]
+    if spec.limit is None:
+        return df.orderBy(*keys) if keys else df
+    # The group columns break ties, so that a limit always picks the same rows.
+    grouped = [d for d in dict.fromkeys(spec.dimensions) if d in df.columns]
+    keys += [sort_key(d, False) for d in grouped if d not in (spec.sort_by, *spec.tie_break)]
     # A sort directly under a limit becomes one top-k per task, not a full sort.
     return (df.orderBy(*keys) if keys else df).limit(spec.limit)
 

@@ -2,50 +2,82 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROW_LIMIT = 100
 # Relations that may never be read.
 PRIVATE_TABLES = ("users", "refresh_tokens", "user_dashboards", "semantic_memory")
+# The only plan nodes a statement may have: no commands, scripts, table functions or hints.
+PLAIN_NODES = frozenset(
+    """Aggregate CTERelationDef Distinct Except Filter GlobalLimit Intersect Join LateralJoin LocalLimit Offset OneRowRelation
+    Project Sort SubqueryAlias Union UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases
+    UnresolvedWith WithWindowDefinition""".split()
+)
+# Functions that call programs or read what lies outside the allowed tables.
+CLOSED_FUNCTIONS = frozenset("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length".split())
 
 
 class NotAllowed(ValueError):
     """The statement is not a plain read of allowed tables."""
 
 
-def strip_comments(sql: str) -> str:
-    sql = re.sub(r"/\*.*?\*/", " ", sql, flags=re.DOTALL)
-    return re.sub(r"--[^\n]*", " ", sql).strip().rstrip(";").strip()
+def _items(seq) -> Iterator:
+    return (seq.apply(i) for i in range(seq.size()))
 
 
-def relations(spark: SparkSession, sql: str) -> set[str]:
-    """Names of all tables a statement reads; fails unless it is a single query."""
+def _walk(node, plans: list, functions: list, shadows: set[str]) -> None:
+    """All plan nodes below ``node`` (also in subqueries), functions called, and names of common tables."""
+    plans.append(node)
+    if node.getClass().getSimpleName() == "UnresolvedWith":
+        for pair in _items(node.cteRelations()):
+            shadows.add(pair._1().lower())
+            _walk(pair._2(), plans, functions, shadows)
+    for child in _items(node.children()):
+        _walk(child, plans, functions, shadows)
+    stack = list(_items(node.expressions()))
+    while stack:
+        e = stack.pop()
+        if e.getClass().getSimpleName() == "UnresolvedFunction":
+            functions.append(e.nameParts().last().lower())
+        if hasattr(e, "getClass") and any(c.getSimpleName() == "SubqueryExpression" for c in _classes(e)):
+            _walk(e.plan(), plans, functions, shadows)
+        stack.extend(_items(e.children()))
+
+
+def _classes(e) -> Iterator:
+    c = e.getClass()
+    while c is not None:
+        yield c
+        c = c.getSuperclass()
+
+
+def read_only_sql(spark: SparkSession, sql: str, allowed: set[str], limit: int | None = None) -> DataFrame:
+    """Run a query over the ``allowed`` tables; ``limit`` holds where the statement has no limit of its own."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as error:
         raise NotAllowed(f"cannot parse: {str(error).splitlines()[0]}") from error
-    text = plan.treeString()
-    names = {m.lower() for m in re.findall(r"UnresolvedRelation \[([^\]]+)\]", text)}
-    return {n.replace(", ", ".") for n in names}
-
-
-def read_only_sql(spark: SparkSession, sql: str, limit: int = ROW_LIMIT, allowed: set[str] | None = None) -> DataFrame:
-    """Run a SELECT; a limit is added when the statement has none."""
-    clean = strip_comments(sql)
-    if not clean.lower().startswith("select"):
-        raise NotAllowed("only SELECT statements may run")
-    plan = spark._jsparkSession.sessionState().sqlParser()
-    names = relations(spark, clean)
-    # A command parses to a command node even when it hides behind a leading SELECT.
-    if "command" in plan.parsePlan(clean).getClass().getSimpleName().lower():
-        raise NotAllowed("only queries may run")
+    if plan.getClass().getSimpleName() == "UnresolvedWith":
+        raise NotAllowed("a statement starts with SELECT")
+    plans: list = []
+    functions: list[str] = []
+    shadows: set[str] = set()
+    _walk(plan, plans, functions, shadows)
+    odd = {n.getClass().getSimpleName() for n in plans} - PLAIN_NODES
+    if odd:
+        raise NotAllowed(f"only plain queries may run, not {sorted(odd)}")
+    closed = CLOSED_FUNCTIONS.intersection(functions)
+    if closed:
+        raise NotAllowed(f"closed functions: {sorted(closed)}")
+    names = {".".join(_items(n.multipartIdentifier())).lower() for n in plans if n.getClass().getSimpleName() == "UnresolvedRelation"}
+    names -= shadows
     private = {n for n in names if n.split(".")[-1] in PRIVATE_TABLES}
     if private:
         raise NotAllowed(f"private tables: {sorted(private)}")
-    if allowed is not None and not names <= {a.lower() for a in allowed}:
-        raise NotAllowed(f"unknown tables: {sorted(names - {a.lower() for a in allowed})}")
-    df = spark.sql(clean)
-    has_limit = re.search(r"\blimit\s+\d+\s*$", clean, flags=re.IGNORECASE) is not None
-    return df if has_limit else df.limit(limit)
+    unknown = names - {a.lower() for a in allowed}
+    if unknown:
+        raise NotAllowed(f"unknown tables: {sorted(unknown)}")
+    df = spark.sql(sql)
+    limited = plan.getClass().getSimpleName() in ("GlobalLimit", "LocalLimit", "Offset")
+    return df if limit is None or limited else df.limit(limit)

@@ -58,7 +58,7 @@ def latest_n(spark, sf):
 @query(
     "insight_store",
     """WITH s AS (SELECT o_orderpriority AS dataset, o_orderstatus AS title, CAST(count(*) % 100 AS INTEGER) AS score FROM orders GROUP BY ALL)
-       SELECT dataset, title, CASE WHEN dataset = '5-LOW' THEN CAST(99 AS INTEGER) ELSE score END AS score FROM s WHERE dataset <> '5-LOW' OR title = 'F'""",
+       SELECT dataset, title, CASE WHEN dataset = '5-LOW' THEN CAST(99 AS INTEGER) ELSE score END AS score FROM s WHERE dataset NOT IN ('5-LOW', '1-URGENT') OR dataset = '5-LOW' AND title = 'F'""",
 )
 def insight_store(spark, sf):
     path = scratch_path(spark, "insights")
@@ -71,6 +71,8 @@ def insight_store(spark, sf):
     # A second run of one dataset replaces only its own rows.
     again = rows.filter((F.col("dataset") == "5-LOW") & (F.col("title") == "F")).withColumn("score", F.lit(99))
     stores.replace_insights(again, path)
+    # A run that finds nothing leaves its dataset empty.
+    stores.replace_insights(rows.limit(0), path, ("1-URGENT",))
     return stores.read_insights(spark, path).select("dataset", "title", "score")
 
 
@@ -120,9 +122,9 @@ def validate(spark, sf):
 
 @query(
     "quality_score",
-    f"""WITH {inputs.LI_NULLS}, f AS (SELECT least(10, count(*) FILTER (l_tax < 0.03)) AS anomalies, count(*) AS rows,
+    f"""WITH {inputs.LI_NULLS}, f AS (SELECT count(*) FILTER (l_tax < 0.03) AS anomalies, count(*) AS rows,
       count(*) FILTER (l_quantity IS NULL) + count(*) FILTER (l_discount IS NULL) + count(*) FILTER (l_tax IS NULL) AS missing FROM li_nulls)
-    SELECT CAST(greatest(10, 100 - least(30, floor(missing / (rows * 11) * 100)) - least(40, anomalies * 2)) AS INTEGER) AS quality_score, rows, missing,
+    SELECT CAST(greatest(10, 100 - least(30, floor(missing / (rows * 11) * 100)) - least(40, least(10, anomalies) * 2)) AS INTEGER) AS quality_score, rows, missing,
     round(missing / (rows * 11) * 100, 4) AS missing_pct, anomalies FROM f""",
 )
 def quality_score(spark, sf):

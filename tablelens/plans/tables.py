@@ -389,11 +389,17 @@ def sort_result(spark, sf):
 )
 def limit_result(spark, sf):
     spec = QuerySpec(
-        dimensions=("o_custkey",), metrics=(Metric("o_totalprice", "sum"),), sort_by="o_totalprice_sum", tie_break=("o_custkey",)
+        dimensions=("o_custkey",), metrics=(Metric("o_totalprice", "sum"),), sort_by="o_totalprice_sum", tie_break=("o_custkey",), limit=100
     )
     return run_query(table(spark, sf, "orders"), spec).withColumn("o_totalprice_sum", F.round("o_totalprice_sum", 2))
 
 
+@query("group_many", "SELECT l_partkey, round(sum(l_quantity), 2) AS l_quantity_sum, count(l_orderkey) AS l_orderkey_count FROM lineitem GROUP BY l_partkey")
+def group_many(spark, sf):
+    spec = QuerySpec(dimensions=("l_partkey",), metrics=(Metric("l_quantity", "sum"), Metric("l_orderkey", "count")))
+    return run_query(table(spark, sf, "lineitem"), spec).withColumn("l_quantity_sum", F.round("l_quantity_sum", 2))
+
+
 @query(
     "last_n_points",
     """SELECT * FROM (SELECT CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice), 2) AS value FROM orders

@@ -163,7 +163,7 @@ def join_detected(spark, sf):
 @query(
     "read_only_sql",
     """SELECT o_orderpriority AS schema, round(sum(o_totalprice), 2) AS total FROM orders
-       WHERE o_orderstatus = 'F' GROUP BY o_orderpriority ORDER BY total DESC LIMIT 100""",
+       WHERE o_orderstatus = 'F' GROUP BY o_orderpriority ORDER BY total DESC""",
 )
 def q_read_only_sql(spark, sf):
     table(spark, sf, "orders").createOrReplaceTempView("orders")
@@ -257,7 +257,7 @@ def all_insights(spark, sf):
     daily = series.daily_series(df, "o_orderdate", "o_totalprice")
     found = insights.all_insights("orders", _kpis(spark, sf), anomalies, forecast.forecast(daily, [], 7))
     path = scratch_path(spark, "insights")
-    stores.replace_insights(found, path)
+    stores.replace_insights(found, path, ("orders",))
     return stores.read_insights(spark, path)
 
 
@@ -340,7 +340,7 @@ def ingest_run(spark, sf):
 
     def conclude():
         found = insights.all_insights("orders", _kpis(spark, sf, state["df"]), None, spark.read.parquet(f"{root}/forecast"))
-        stores.replace_insights(found, f"{root}/insights")
+        stores.replace_insights(found, f"{root}/insights", ("orders",))
         return f"{stores.read_insights(spark, f'{root}/insights').count()} insights"
 
     stage("read", read)

@@ -47,12 +47,11 @@ def trend_line(spark, sf):
 
 @query(
     "moving_average",
-    """WITH y AS (SELECT o_orderpriority, CAST(date_trunc('year', o_orderdate) AS DATE) AS ds, sum(o_totalprice) AS y FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY ALL)
+    """WITH y AS (SELECT o_orderpriority, CAST(date_trunc('year', o_orderdate) AS DATE) AS ds, sum(o_totalprice) AS y FROM orders GROUP BY ALL)
     SELECT o_orderpriority, ds, round((y + coalesce(lag(y) OVER (PARTITION BY o_orderpriority ORDER BY ds), 0)) / 2, 2) AS moving_average FROM y""",
 )
 def moving_average(spark, sf):
-    recent = table(spark, sf, "orders").filter(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-    yearly = recent.groupBy("o_orderpriority", F.trunc(F.col("o_orderdate").cast("date"), "year").alias("ds")).agg(F.sum("o_totalprice").alias("y"))
+    yearly = table(spark, sf, "orders").groupBy("o_orderpriority", F.trunc(F.col("o_orderdate").cast("date"), "year").alias("ds")).agg(F.sum("o_totalprice").alias("y"))
     out = series.moving_average(yearly, KEY)
     return out.select("o_orderpriority", "ds", F.round("moving_average", 2).alias("moving_average"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only a local master,
-    where all executors share one disk, may fall back to a temporary folder.
+    where all executors share one disk, may fall back to a folder of its own
+    below the session's warehouse.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="tablelens-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    path = f"{warehouse}/scratch-{spark.sparkContext.applicationId}"
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 

@@ -37,13 +37,21 @@ def latest_profiles(spark: SparkSession, path: str, version: str = PROFILE_VERSI
     )
 
 
-def replace_insights(rows: DataFrame, path: str) -> None:
-    """Replace the insights of the datasets present in ``rows``; others stay."""
+def replace_insights(rows: DataFrame, path: str, datasets: tuple[str, ...] = ()) -> None:
+    """Replace the insights of the datasets in ``rows`` and of those named; others stay.
+
+    A named dataset without rows in this run loses its old insights: its partition
+    is overwritten by one row without a title, which readers skip.
+    """
+    spark = rows.sparkSession
+    if datasets:
+        named = spark.createDataFrame([(d,) for d in datasets], "dataset string")
+        rows = rows.unionByName(named.join(rows.select("dataset").distinct(), "dataset", "left_anti"), allowMissingColumns=True)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
 
 
 def read_insights(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).orderBy("dataset", F.col("score").desc(), "title")
+    return spark.read.parquet(path).filter(F.col("title").isNotNull()).orderBy("dataset", F.col("score").desc(), "title")
 
 
 def latest_n(df: DataFrame, keys: list[str], order_by: list[str], n: int = 50) -> DataFrame:

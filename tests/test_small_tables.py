@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.operators import charts, dashboard, insights, keys, models, quality, series, signals, sqlgate, textsearch
+from tablelens.operators import charts, dashboard, insights, keys, models, quality, query, series, signals, sqlgate, textsearch
 from tablelens.operators.filters import Filter, FilterState
 from tablelens.operators.profile import Profile
 from tablelens.operators.query import Metric, QuerySpec, run_query
@@ -176,17 +176,46 @@ def test_narrative(spark):
 
 def test_sql_gate(spark):
     spark.range(500).createOrReplaceTempView("datasets")
-    assert sqlgate.read_only_sql(spark, "SELECT * FROM datasets;").count() == 100
-    assert sqlgate.read_only_sql(spark, "/* x */ select id -- drop\n from datasets limit 7").count() == 7
+    spark.range(3).createOrReplaceTempView("users")
+    run = lambda text, **more: sqlgate.read_only_sql(spark, text, allowed={"datasets"}, **more)
+    assert run("SELECT * FROM datasets;").count() == 500 and run("SELECT * FROM datasets", limit=100).count() == 100
+    assert run("/* x */ select id -- drop\n from datasets limit 7", limit=3).count() == 7
+    assert run("SELECT * FROM datasets LIMIT 300 OFFSET 5", limit=100).count() == 300
+    assert run("SELECT 'a--b' AS t, count(*) AS n FROM datasets").first()[0] == "a--b"
+    assert run("SELECT id FROM datasets WHERE id IN (SELECT max(id) FROM datasets) UNION SELECT 1 ORDER BY id").count() == 2
+    assert run("SELECT * FROM (WITH x AS (SELECT id FROM datasets) SELECT * FROM x) t WHERE id < 2").count() == 2
     for text in (
         "DELETE FROM datasets", "INSERT INTO datasets VALUES (1)", "DROP TABLE datasets", "ALTER TABLE datasets RENAME TO x",
         "TRUNCATE TABLE datasets", "UPDATE datasets SET id = 1", "SELECT * FROM users", "SELECT * FROM datasets JOIN refresh_tokens",
         "WITH x AS (SELECT 1) SELECT * FROM x", "SELECT 1; DROP TABLE datasets", "SELECT * FROM (SELECT * FROM users) t",
+        "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM datasets", "SELECT reflect('java.lang.Math', 'abs', -1)", "SELECT try_reflect('java.lang.Math', 'abs', id) FROM datasets",
+        "SELECT java_method('java.lang.Math', 'abs', -1) FROM datasets", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM range(5)", "SELECT * FROM other",
+        "SELECT id FROM datasets WHERE id = (SELECT max(id) FROM users)", "SELECT id FROM datasets WHERE EXISTS (SELECT reflect('java.lang.Math', 'abs', -1))",
     ):
         with pytest.raises(sqlgate.NotAllowed):
-            sqlgate.read_only_sql(spark, text)
-    with pytest.raises(sqlgate.NotAllowed):
-        sqlgate.read_only_sql(spark, "SELECT * FROM other", allowed={"datasets"})
+            run(text)
+
+
+def test_queries_return_all_groups(spark):
+    df = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.lit(1.0).alias("v"))
+    spec = query.QuerySpec(("k",), (query.Metric("v", "sum"),))
+    assert query.run_query(df, spec).count() == 1000
+    few = query.QuerySpec(("k",), (query.Metric("v", "sum"),), sort_by="v_sum", limit=5)
+    assert [r["k"] for r in query.run_query(df, few).collect()] == [0, 1, 2, 3, 4]
+
+
+def test_repair_of_nan_and_nested_columns(spark):
+    df = spark.createDataFrame([(1.0, ["a"], "x"), (float("nan"), None, None), (3.0, ["b"], "x"), (None, [], "y")], "n double, tags array<string>, c string")
+    assert sorted(tuple(r) for r in quality.impute(df).select("n", "c").collect()) == [(1.0, "x"), (2.0, "x"), (2.0, "y"), (3.0, "x")]
+    healed = quality.auto_heal(df)
+    assert healed.count() == 4 and healed.agg(F.max("n")).first()[0] < 3.0 and healed.filter("tags IS NULL").count() == 1
+
+
+def test_quality_score_counts_all_failures(spark):
+    df = spark.range(50).select("id", F.col("id").cast("double").alias("v"), F.lit(None).cast("double").alias("hollow"))
+    rules = [quality.Rule("v", "number", minimum=30.0), quality.Rule("hollow", "number", some_value=True)]
+    row = quality.quality_score(df, rules, ["id"]).first()
+    assert row["anomalies"] == 31 and row["quality_score"] == 100 - 30 - 22
 
 
 def test_overlap(spark):

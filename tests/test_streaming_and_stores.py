@@ -57,6 +57,9 @@ def test_insights_of_other_datasets_stay(spark, tmp_path):
     stores.replace_insights(make("a", "old", 1).union(make("b", "kept", 2)), path)
     stores.replace_insights(make("a", "new", 3), path)
     assert [tuple(r) for r in stores.read_insights(spark, path).select("dataset", "title", "score").collect()] == [("a", "new", 3), ("b", "kept", 2)]
+    # a run that finds nothing empties its dataset
+    stores.replace_insights(make("a", "x", 1).limit(0), path, ("a",))
+    assert [r["title"] for r in stores.read_insights(spark, path).collect()] == ["kept"]
 
 
 def test_latest_n(spark):
