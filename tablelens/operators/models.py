@@ -204,9 +204,9 @@ def prepare(p: Profile, target: str, folds: int, label: Column) -> tuple[Pipelin
 
 def regression_models(rows: int, trees: int, depth: int, boosts: int) -> dict:
     return {
-        "LinearRegression": LinearRegression(solver="normal"),
+        "LinearRegression": LinearRegression(solver="auto"),
         # The penalty of a sum of squares, restated for Spark's mean of squares.
-        "Ridge": LinearRegression(regParam=1.0 / max(rows, 1), standardization=False, solver="normal"),
+        "Ridge": LinearRegression(regParam=1.0 / max(rows, 1), standardization=False, solver="auto"),
         "RandomForestRegressor": RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED),
         "GradientBoostingRegressor": GBTRegressor(maxIter=boosts, maxDepth=min(5, depth), seed=SEED),
     }
@@ -337,7 +337,7 @@ def holdout_forecast(p: Profile, target: str, order_by: list[str]) -> Tournament
     late = at_or_after(df, order_by, edge)
     ready = durable(fitted.transform(df.withColumn("__late", late)).select("features", col(target).cast("double").alias("label"), "__late"))
     final_train = df.filter(at_or_after(df, order_by, last) & ~late).select(col(target).cast("double")).first()[0]
-    model = LinearRegression(regParam=1.0 / max(split, 1), standardization=False, solver="normal")
+    model = LinearRegression(regParam=1.0 / max(split, 1), standardization=False, solver="auto")
     test = ready.filter("__late")
     scored = model.fit(ready.filter(~F.col("__late"))).transform(test)
     rmse = RegressionEvaluator(metricName="rmse")
