@@ -281,8 +281,8 @@ def business_names(p: Profile) -> DataFrame:
     return p.df.sparkSession.createDataFrame(rows, "column string, label string")
 
 
-def relationships(p: Profile, n: int = 4) -> DataFrame:
-    """Sentences for the first pairs with |r| of at least 0.4."""
+def relationships(p: Profile, n: int | None = None) -> DataFrame:
+    """Sentences for the pairs (the first ``n``, if given) with |r| of at least 0.4."""
     place = {c: i for i, c in enumerate(p.numeric)}
     rows = []
     for a, b, r in p.correlations:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablelens.functions.semantics import as_time, col, n_unique, zsum
-from tablelens.operators.ranks import at_or_after, order_cutoffs
+from tablelens.operators.ranks import at_or_after, order_cutoffs, text_keys
 
 
 def half_split(df: DataFrame, order_by: list[str]) -> Column:
@@ -13,6 +13,7 @@ def half_split(df: DataFrame, order_by: list[str]) -> Column:
     rows = df.count()
     if rows < 2:
         return F.lit(False)
+    order_by = text_keys(df, order_by)
     cutoff = order_cutoffs(df, order_by, [rows // 2], rows)[0]
     return at_or_after(df, order_by, cutoff)
 

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelens.functions.semantics import as_time, col
-from tablelens.operators.ranks import BUFFER_ROWS, exact_quantiles
+from tablelens.operators.ranks import exact_quantiles
 from tablelens.session import durable
 
 SAMPLE_ROWS = 256
@@ -83,19 +83,16 @@ def sample_rows(df: DataFrame, features: list[Column], key: list[str], trees: in
     names = [f"f{i}" for i in range(len(features))]
     base = df.select(*[f.cast("double").alias(n) for f, n in zip(features, names)], *[col(k).alias(f"k{i}") for i, k in enumerate(key)])
     keys = [F.col(f"k{i}") for i in range(len(key))]
-    unit = float(1 << 63)
-    if rows >= 4 * trees * SAMPLE_ROWS:
-        # Large table: one hash keeps a sliver of the rows, another deals them to the trees.
-        rate = 1.5 * trees * SAMPLE_ROWS / rows
-        pick = F.xxhash64(F.lit(SEED), *keys)
-        kept = base.filter(F.abs(pick.cast("double")) < F.lit(rate * unit))
-        dealt = kept.withColumn("tree", F.pmod(F.xxhash64(F.lit(SEED + 1), *keys), F.lit(trees)).cast("int"))
-    else:
-        # Small table (bounded by the test above): every tree draws from all rows.
-        rate = min(1.0, 1.5 * SAMPLE_ROWS / max(rows, 1))
-        dealt = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(
-            F.abs(F.xxhash64(F.lit(SEED), "tree", *keys).cast("double")) < F.lit(rate * unit)
-        )
+    # A row goes to `share` trees on average: the whole part surely, one more with the rest as its
+    # chance.  Its trees lie a hashed stride apart that has no factor in common with their number.
+    share = trees * min(1.0, 1.5 * SAMPLE_ROWS / max(rows, 1))
+    strides = F.array(*[F.lit(s) for s in range(1, trees + 1) if math.gcd(s, trees) == 1])
+    hashed = lambda n: F.xxhash64(F.lit(SEED + n), *keys)
+    chance = F.shiftrightunsigned(hashed(0), 11).cast("double") / float(1 << 53)
+    stride = F.element_at(strides, (F.pmod(hashed(3), F.size(strides)) + 1).cast("int"))
+    kept = base.withColumn("picks", F.floor(F.lit(share) + chance).cast("int")).filter("picks > 0")
+    dealt = kept.withColumn("pick", F.explode(F.sequence(F.lit(1), F.least("picks", F.lit(trees)))))
+    dealt = dealt.withColumn("tree", F.pmod(hashed(1) + F.col("pick") * stride, F.lit(trees)).cast("int"))
     order = F.xxhash64(F.lit(SEED + 2), "tree", *keys)
     first = Window.partitionBy("tree").orderBy("order")
     return (
@@ -241,7 +238,6 @@ def multivariate_outliers(
     features = [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in columns]
     grown = fit(df, features, key, trees, rows)
     scored = df.withColumn("score", score_multivariate(grown, scale(rows), features, df))
-    if rows > BUFFER_ROWS:  # several passes follow: score once, keep in the shared folder
-        scored = durable(scored)
+    scored = durable(scored)  # several passes follow: score once, keep in the shared folder
     limit = exact_quantiles(scored, {"score": [share]}, rows)["score"][0]
     return scored.withColumn("is_outlier", F.col("score") < F.lit(limit))

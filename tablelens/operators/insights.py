@@ -42,7 +42,7 @@ def anomaly_insight(anomalies: DataFrame) -> DataFrame:
     found = anomalies.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("severity") == "Critical").alias("critical"),
-        F.max_by(F.struct("date", "value", "score"), F.abs(F.col("score"))).alias("top"),
+        F.max_by(F.struct("date", "value", "score"), F.struct(F.abs(F.col("score")), F.col("value"), F.col("date"))).alias("top"),
     ).filter(F.col("n") > 0)
     critical = F.col("critical") > 0
     return _rows(
@@ -146,7 +146,7 @@ def narrative(df: DataFrame, metric: str, dimension: str | None = None, date: st
     if dimension is not None:
         spread = stats.select("std").scalar()
         shares = segment_shares(df, dimension, metric)
-        top = shares.agg(F.max_by(F.struct("segment", "total", "share"), "total").alias("t")).filter(spread > 0)
+        top = shares.agg(F.max_by(F.struct("segment", "total", "share"), F.struct("total", "segment")).alias("t")).filter(spread > 0)
         parts.append(
             top.select(
                 F.lit(2).alias("rank"),
@@ -213,7 +213,7 @@ def context_summary(
             F.lit(9).alias("position"), F.format_string("Statistical anomalies detected: %d", "n").alias("line")
         )
     )
-    worst = anomalies.orderBy("score").limit(5)
+    worst = anomalies.orderBy("score", "value", "date", "category", "region").limit(5)
     parts.append(
         worst.select(
             F.lit(10).alias("position"),

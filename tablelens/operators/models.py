@@ -10,28 +10,29 @@ import datetime as dt
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target, keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, OneHotEncoder, OneHotEncoderModel, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablelens.functions.semantics import col, half_up
-from tablelens.operators.features import most_frequent
+from tablelens.operators.features import label_codes, most_frequent
 from tablelens.operators.profile import Profile
-from tablelens.operators.ranks import at_or_after, exact_quantiles, order_cutoffs
-from tablelens.session import durable
+from tablelens.operators.ranks import at_or_after, exact_quantiles, order_cutoffs, text_keys
+from tablelens.session import durable, scratch_path
 
 # Limits of target choice and preprocessing.
 NEAR_UNIQUE = 0.95
 MAX_NULL_PCT = 50.0
 ONE_HOT_VALUES = 20
-INDEXED_VALUES = 100_000
-HASH_CODES = 1 << 20
 SEED = 42
 
 
@@ -122,12 +123,52 @@ def _name(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
-def build_preprocessor(p: Profile, features: Features) -> tuple[Pipeline, list[str]]:
-    """Pipeline to a ``features`` vector, and the source column of each assembled input.
+class CodeTable(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds the code of a label from a stored (label, code) table; labels it lacks get -1."""
+
+    table = Param(Params._dummy(), "table", "folder of the (label, code) table", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, table=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        codes = dataset.sparkSession.read.parquet(self.getOrDefault(self.table))
+        lookup = codes.select(F.col("label").alias("__code_label"), F.col("code").cast("double").alias("__code"))
+        met = dataset.join(lookup, col(self.getInputCol()) == F.col("__code_label"), "left")
+        return met.withColumn(self.getOutputCol(), F.coalesce("__code", F.lit(-1.0))).drop("__code_label", "__code")
+
+
+class CodeIndexer(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Numbers the distinct labels of a column in sorted order and stores them; none pass the driver."""
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> CodeTable:
+        path = scratch_path(dataset.sparkSession, "codes")
+        label_codes(dataset, self.getInputCol()).write.parquet(path)
+        return CodeTable(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), table=path)
+
+
+def slot_sources(fitted: PipelineModel, inputs: list[tuple[str, str]]) -> list[str]:
+    """The source column of every slot of the features vector."""
+    sizes = {}
+    for stage in fitted.stages:
+        if isinstance(stage, OneHotEncoderModel):
+            sizes |= dict(zip(stage.getOutputCols(), stage.categorySizes))
+    return [source for name, source in inputs for _ in range(sizes.get(name, 1))]
+
+
+def build_preprocessor(p: Profile, features: Features) -> tuple[Pipeline, list[tuple[str, str]]]:
+    """Pipeline to a ``features`` vector, and (input, source column) of each assembled input.
 
     Numbers: median and standard scaling.  Up to 20 values: most frequent value
-    and one-hot.  Above: sorted code, unknown -1 (a hash code beyond 100,000
-    values, whose dictionary would no longer be small).  Dates: date parts.
+    and one-hot.  Above: sorted code from a table that is joined on, unknown -1.
+    Dates: date parts.
     """
     df, rows = p.df, p.rows
     medians = exact_quantiles(df, {c: [0.5] for c in features.numbers}, rows)
@@ -143,15 +184,9 @@ def build_preprocessor(p: Profile, features: Features) -> tuple[Pipeline, list[s
             inputs.append((f"num__{c}", c))
     modes = most_frequent(df, features.one_hot + features.coded)
     stages: list = []
-    hot, indexed = [], []
-    for c in features.one_hot + features.coded:
-        source = f"coalesce(CAST({_name(c)} AS STRING), {_text(modes.get(c, ''))})"
-        if c in features.coded and p.facts[c].cardinality > INDEXED_VALUES:
-            exprs.append(f"CAST(pmod(xxhash64({source}), {HASH_CODES}) AS DOUBLE) AS {_name('code__' + c)}")
-            inputs.append((f"code__{c}", c))
-        else:
-            exprs.append(f"{source} AS {_name('txt__' + c)}")
-            (hot if c in features.one_hot else indexed).append(c)
+    hot, coded = features.one_hot, features.coded
+    for c in hot + coded:
+        exprs.append(f"coalesce(CAST({_name(c)} AS STRING), {_text(modes.get(c, ''))}) AS {_name('txt__' + c)}")
     for c in features.dates:
         dtype = df.schema[c].dataType
         moment = f"CAST({_name(c)} AS DATE)" if not isinstance(dtype, T.StringType) else f"CAST(try_to_timestamp({_name(c)}) AS DATE)"
@@ -166,26 +201,22 @@ def build_preprocessor(p: Profile, features: Features) -> tuple[Pipeline, list[s
             exprs.append(f"CAST({e} AS DOUBLE) AS {_name(f'date__{c}_{k}')}")
             inputs.append((f"date__{c}_{k}", c))
     stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__" if exprs else "SELECT * FROM __THIS__"))
-    if hot or indexed:
+    if hot:  # at most ONE_HOT_VALUES labels a column
         stages.append(
             StringIndexer(
-                inputCols=[f"txt__{c}" for c in hot + indexed],
-                outputCols=[f"idx__{c}" for c in hot + indexed],
+                inputCols=[f"txt__{c}" for c in hot],
+                outputCols=[f"idx__{c}" for c in hot],
                 stringOrderType="alphabetAsc",
                 handleInvalid="keep",
             )
         )
-    if hot:
         stages.append(OneHotEncoder(inputCols=[f"idx__{c}" for c in hot], outputCols=[f"hot__{c}" for c in hot], dropLast=True, handleInvalid="keep"))
         inputs += [(f"hot__{c}", c) for c in hot]
-    if indexed:
-        # The extra index that "keep" hands to unknown labels becomes -1; fitted sizes are not needed for that.
-        sizes = {c: p.facts[c].cardinality - (1 if p.facts[c].nulls else 0) for c in indexed}
-        codes = ", ".join(f"CASE WHEN {_name('idx__' + c)} >= {sizes[c]} THEN -1D ELSE {_name('idx__' + c)} END AS {_name('code__' + c)}" for c in indexed)
-        stages.append(SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__"))
-        inputs += [(f"code__{c}", c) for c in indexed]
+    for c in coded:
+        stages.append(CodeIndexer(inputCol=f"txt__{c}", outputCol=f"code__{c}"))
+        inputs.append((f"code__{c}", c))
     stages.append(VectorAssembler(inputCols=[i for i, _ in inputs], outputCol="features", handleInvalid="keep"))
-    return Pipeline(stages=stages), [s for _, s in inputs]
+    return Pipeline(stages=stages), inputs
 
 
 def fold_of(df: DataFrame, folds: int) -> Column:
@@ -193,13 +224,17 @@ def fold_of(df: DataFrame, folds: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED), *[col(c) for c in df.columns]), F.lit(folds)).cast("int")
 
 
-def prepare(p: Profile, target: str, folds: int, label: Column) -> tuple[PipelineModel, DataFrame, list[str]]:
-    """Fitted preprocessing and the (features, label, fold) table, written once to the shared folder."""
-    pipeline, sources = build_preprocessor(p, choose_features(p, target))
-    rows = p.df.filter(col(target).isNotNull())
+def prepare(p: Profile, target: str, folds: int, rows: DataFrame) -> tuple[PipelineModel, DataFrame, list[str]]:
+    """Fitted preprocessing and the (features, label, fold, draw) table, written once to the shared folder.
+
+    ``rows`` are the table's rows with a target and their ``__label``; ``draw`` is a number from
+    0 to 1 by another hash of the row.
+    """
+    pipeline, inputs = build_preprocessor(p, choose_features(p, target))
     fitted = pipeline.fit(rows)
-    ready = fitted.transform(rows).select("features", label.alias("label"), fold_of(rows, folds).alias("fold"))
-    return fitted, durable(ready), sources
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), *[col(c) for c in p.df.columns]), 11).cast("double") / float(1 << 53)
+    ready = fitted.transform(rows).select("features", F.col("__label").alias("label"), fold_of(p.df, folds).alias("fold"), draw.alias("draw"))
+    return fitted, durable(ready), slot_sources(fitted, inputs)
 
 
 def regression_models(rows: int, trees: int, depth: int, boosts: int) -> dict:
@@ -268,7 +303,7 @@ def _cross_validate(ready: DataFrame, folds: int, predict, evaluators) -> tuple[
 def regression_tournament(p: Profile, target: str, trees: int = 100, depth: int = 10, boosts: int = 100) -> Tournament:
     """Cross-validated R2 and RMSE; the best R2 is refitted on all rows."""
     k = _folds(p.rows)
-    fitted, ready, sources = prepare(p, target, k, col(target).cast("double"))
+    fitted, ready, sources = prepare(p, target, k, p.df.filter(col(target).isNotNull()).withColumn("__label", col(target).cast("double")))
     r2 = RegressionEvaluator(metricName="r2")
     rmse = RegressionEvaluator(metricName="rmse")
 
@@ -284,17 +319,16 @@ def regression_tournament(p: Profile, target: str, trees: int = 100, depth: int
         board.append((name, *judge(lambda train, test, m=model: m.fit(train).transform(test))))
     champion, best, _ = max(board[1:], key=lambda b: b[1])
     final = models[champion].fit(ready)
-    return Tournament("regression", target, champion, base[0], best, board, _joined(fitted, final), importances(final, ready, sources))
+    return Tournament("regression", target, champion, base[0], best, board, _joined(fitted, final), importances(final, sources))
 
 
 def classification_tournament(p: Profile, target: str, trees: int = 100, depth: int = 10) -> Tournament:
     """Cross-validated weighted F1 and accuracy; the best F1 is refitted on all rows."""
     k = _folds(p.rows)
-    labels = StringIndexer(inputCol="__target", outputCol="label", stringOrderType="alphabetAsc")
+    labels = StringIndexer(inputCol="__target", outputCol="__label", stringOrderType="alphabetAsc")
     named = p.df.filter(col(target).isNotNull()).withColumn("__target", col(target).cast("string"))
     index = labels.fit(named.select("__target"))
-    codes = F.create_map(*[F.lit(x) for i, v in enumerate(index.labels) for x in (v, float(i))])
-    fitted, ready, sources = prepare(p, target, k, F.element_at(codes, col(target).cast("string")))
+    fitted, ready, sources = prepare(p, target, k, index.transform(named))
     f1 = MulticlassClassificationEvaluator(metricName="f1")
     accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
 
@@ -308,11 +342,8 @@ def classification_tournament(p: Profile, target: str, trees: int = 100, depth:
         for r in seen:
             so_far += r["count"]
             ends.append((so_far / total, r["label"]))
-        draw = (F.xxhash64(F.lit(SEED), F.col("features").cast("string"), "label").cast("double") / float(1 << 64)) + 0.5
-        pick = F.lit(ends[-1][1])
-        for end, label in reversed(ends[:-1]):
-            pick = F.when(draw < end, F.lit(label)).otherwise(pick)
-        return test.withColumn("prediction", pick)
+        passed = F.size(F.filter(F.lit([e for e, _ in ends[:-1]]).cast("array<double>"), lambda e: e <= F.col("draw")))
+        return test.withColumn("prediction", F.element_at(F.lit([c for _, c in ends]), passed + 1))
 
     base = judge(by_chance)
     board, models = [("Baseline", *base)], classification_models(trees, depth)
@@ -320,7 +351,7 @@ def classification_tournament(p: Profile, target: str, trees: int = 100, depth:
         board.append((name, *judge(lambda train, test, m=model: m.fit(train).transform(test))))
     champion, best, _ = max(board[1:], key=lambda b: b[1])
     final = models[champion].fit(ready)
-    return Tournament("classification", target, champion, base[0], best, board, _joined(fitted, final), importances(final, ready, sources))
+    return Tournament("classification", target, champion, base[0], best, board, _joined(fitted, final, IndexToString(inputCol="prediction", outputCol="predicted_class", labels=index.labels)), importances(final, sources))
 
 
 def holdout_forecast(p: Profile, target: str, order_by: list[str]) -> Tournament:
@@ -330,9 +361,10 @@ def holdout_forecast(p: Profile, target: str, order_by: list[str]) -> Tournament
     """
     df = p.df.filter(col(target).isNotNull())
     rows = df.count()
+    order_by = text_keys(df, order_by)
     split = int(rows * 0.8)
     edge, last = order_cutoffs(df, order_by, [split, split - 1], rows)
-    pipeline, sources = build_preprocessor(p, choose_features(p, target))
+    pipeline, inputs = build_preprocessor(p, choose_features(p, target))
     fitted = pipeline.fit(df)
     late = at_or_after(df, order_by, edge)
     ready = durable(fitted.transform(df.withColumn("__late", late)).select("features", col(target).cast("double").alias("label"), "__late"))
@@ -346,15 +378,15 @@ def holdout_forecast(p: Profile, target: str, order_by: list[str]) -> Tournament
     r2 = RegressionEvaluator(metricName="r2").evaluate(scored)
     board = [("Naive Baseline", -naive, naive), ("Ridge Trend Forecaster", r2, ridge)]
     final = model.fit(ready)
-    return Tournament("forecasting", target, "Ridge Trend Forecaster", -naive, -ridge, board, _joined(fitted, final), importances(final, ready, sources))
+    return Tournament("forecasting", target, "Ridge Trend Forecaster", -naive, -ridge, board, _joined(fitted, final), importances(final, slot_sources(fitted, inputs)))
 
 
-def _joined(fitted: PipelineModel, final) -> PipelineModel:
-    return PipelineModel(stages=[*fitted.stages, final])
+def _joined(fitted: PipelineModel, *final) -> PipelineModel:
+    return PipelineModel(stages=[*fitted.stages, *final])
 
 
-def importances(model, ready: DataFrame, sources: list[str], n: int = 10) -> list[tuple[str, float]]:
-    """Importances or absolute coefficients summed per source column, shares of 1, top n."""
+def importances(model, sources: list[str], n: int = 10) -> list[tuple[str, float]]:
+    """Importances or absolute coefficients summed per source column of the slots, shares of 1, top n."""
     if hasattr(model, "featureImportances"):
         weights = model.featureImportances.toArray()
     elif hasattr(model, "coefficientMatrix"):
@@ -362,15 +394,10 @@ def importances(model, ready: DataFrame, sources: list[str], n: int = 10) -> lis
     elif hasattr(model, "coefficients"):
         weights = abs(model.coefficients.toArray())
     else:
-        weights = None
-    attributes = ready.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-    slots = {a["idx"]: a.get("name", "") for group in attributes.values() for a in group}
+        weights = [1.0] * len(sources)
     totals = dict.fromkeys(sources, 0.0)
-    prefixes = sorted(totals, key=len, reverse=True)
-    for i, name in slots.items():
-        body = name.split("__", 1)[-1]
-        owner = next((s for s in prefixes if body == s or body.startswith(f"{s}_")), sources[0])
-        totals[owner] += float(weights[i]) if weights is not None else 1.0
+    for source, weight in zip(sources, weights, strict=True):
+        totals[source] += float(weight)
     whole = sum(totals.values())
     shares = [(s, half_up(v / whole, 4) if whole else 0.0) for s, v in totals.items()]
     return sorted(shares, key=lambda x: -x[1])[:n]
@@ -383,7 +410,14 @@ def save_model(spark: SparkSession, t: Tournament, root: str, dataset: str, at:
     """Write the fitted pipeline under a new version and append a line to the run history."""
     stamp = (at or dt.datetime.now(dt.timezone.utc)).strftime("%Y%m%dT%H%M%S%f")
     path = f"{root.rstrip('/')}/{dataset}/{t.task}/v={stamp}"
-    t.model.write().save(path)
+    stages = []
+    for i, stage in enumerate(t.model.stages):
+        if isinstance(stage, CodeTable):  # the stored model owns its tables
+            own = f"{path}-codes/{i}"
+            spark.read.parquet(stage.getOrDefault("table")).write.parquet(own)
+            stage = stage.copy({stage.table: own})
+        stages.append(stage)
+    PipelineModel(stages=stages).write().save(path)
     line = [(dataset, t.task, stamp, t.target, t.champion, t.baseline, t.best, t.improvement, path)]
     schema = "dataset string, task string, version string, target string, champion string, baseline double, best double, improvement double, path string"
     spark.createDataFrame(line, schema).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/history")
@@ -400,13 +434,13 @@ def run_history(spark: SparkSession, root: str, dataset: str | None = None, task
 
 
 def batch_score(model: PipelineModel, df: DataFrame, task: str, needed: list[str]) -> DataFrame:
-    """Predictions for a whole table; feature columns it lacks count as null."""
+    """Predictions (class names for classes) for a whole table; feature columns it lacks count as null."""
     missing = [c for c in needed if c not in df.columns]
     full = df.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else df
     scored = model.transform(full)
     keep = [col(c) for c in df.columns]
     if task == "classification":
-        return scored.select(*keep, "prediction", F.array_max(vector_to_array("probability")).alias("confidence"))
+        return scored.select(*keep, F.col("predicted_class").alias("prediction"), F.array_max(vector_to_array("probability")).alias("confidence"))
     return scored.select(*keep, "prediction")
 
 

@@ -17,10 +17,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tablelens.functions.semantics import col, order_number
+from tablelens.functions.semantics import as_time, col, order_number
 
 # Rows of one group that may be sorted in one task.
 BUFFER_ROWS = 1_000_000
+KEY_BYTES = 6  # bytes of a text that one number holds exactly, also as a double
+LONGEST_KEY = 600
 # Rows left in a range when it is sorted instead of cut again.
 FINAL_ROWS = 200_000
 # Steps a range is cut into, and rounds before the sketch takes over.
@@ -309,12 +311,38 @@ def order_cutoffs(
     return [found[i] for i in range(len(ranks))]
 
 
-def _fractional(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
+def text_keys(df: DataFrame, order_by: list[str]) -> list:
+    """``order_by`` with every text column that is not a date replaced by numbers that sort like it.
+
+    Such a column becomes the keys (name, 0), (name, 1) ...: its bytes, six at a time.
+    """
+    names = [n for n in order_by if isinstance(df.schema[n].dataType, T.StringType)]
+    if not names:
+        return list(order_by)
+    exprs = [e for n in names for e in (F.count(col(n)), F.count(as_time(df, n)), F.coalesce(F.max(F.octet_length(col(n))), F.lit(0)))]
+    seen = _aggregate(df, exprs)
+    keys: list = []
+    for n in order_by:
+        if n not in names:
+            keys.append(n)
+            continue
+        filled, dates, longest = seen[3 * names.index(n) : 3 * names.index(n) + 3]
+        if longest > LONGEST_KEY:
+            raise ValueError(f"cannot order by {n}: a text of {longest} bytes is no key")
+        keys += [n] if filled == dates else [(n, i) for i in range(max(1, math.ceil(longest / KEY_BYTES)))]
+    return keys
+
+
+def _fractional(df: DataFrame, name: str | tuple) -> bool:
+    return isinstance(name, str) and isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
 
 
-def _sort_key(df: DataFrame, name: str) -> Column:
-    """The column as a number that sorts like it, nulls first."""
+def _sort_key(df: DataFrame, name: str | tuple) -> Column:
+    """The column (or a part of a text) as a number that sorts like it, nulls first."""
+    if isinstance(name, tuple):
+        part = F.hex(F.substring(col(name[0]).cast("binary"), KEY_BYTES * name[1] + 1, KEY_BYTES))
+        number = F.conv(F.rpad(part, 2 * KEY_BYTES, "0"), 16, 10).cast("long")
+        return F.coalesce(number, F.lit(-(1 << 63)).cast("long"))
     if _fractional(df, name):
         return F.coalesce(order_number(df, name).cast("double"), F.lit(-1.7976931348623157e308))
     return F.coalesce(order_number(df, name).cast("long"), F.lit(-(1 << 63)).cast("long"))

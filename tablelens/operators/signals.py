@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelens.functions.semantics import as_time, col, half_up, title_case
 from tablelens.operators.profile import Profile, iqr_fences
-from tablelens.operators.ranks import bucket_number, order_cutoffs
+from tablelens.operators.ranks import bucket_number, order_cutoffs, text_keys
 
 # Bands and thresholds of the detectors.
 OUTLIER_BAND = (0.005, 0.15)
@@ -186,7 +186,7 @@ def distribution_shift(p: Profile, date: str, tie_break: list[str]) -> list[Sign
         return []
     buckets = max(4, min(10, rows // 15))
     size = rows // buckets
-    order_by = [date, *tie_break]
+    order_by = text_keys(df, [date, *tie_break])
     cutoffs = order_cutoffs(df, order_by, [b * size for b in range(1, buckets)], rows, final_rows=p.final_rows)
     when = as_time(df, date)
     exprs = [e for i, c in enumerate(p.numeric) for e in (F.avg(col(c)).alias(f"m{i}"), F.count(col(c)).alias(f"n{i}"))]

@@ -11,9 +11,6 @@ from tablelens.plans.profiles import PRIMARY_SQL, orders_text, typed_sql
 from tablelens.plans.registry import query, table
 from tablelens.session import scratch_path
 
-# Smaller forests than the defaults (100 trees of depth 10) keep the check short; the data stays whole.
-SMALL = {"trees": 8, "depth": 5}
-
 
 @query(
     "target_candidates",
@@ -144,12 +141,12 @@ def preprocess(spark, sf):
 
 @query("regression_tournament")
 def regression_tournament(spark, sf):
-    return models.regression_tournament(_parts(spark, sf), "p_retailprice", boosts=5, **SMALL).leaderboard_df(spark)
+    return models.regression_tournament(_parts(spark, sf), "p_retailprice").leaderboard_df(spark)
 
 
 @query("classification_tournament")
 def classification_tournament(spark, sf):
-    return models.classification_tournament(Profile(_labelled(spark, sf)), "quality", **SMALL).leaderboard_df(spark)
+    return models.classification_tournament(Profile(_labelled(spark, sf)), "quality").leaderboard_df(spark)
 
 
 @query("holdout_forecast")
@@ -194,7 +191,7 @@ def batch_score(spark, sf):
 
 @query("segments")
 def segments(spark, sf):
-    _, out, k = models.segments(Profile(table(spark, sf, "customer")), (2, 3, 4))
+    _, out, k = models.segments(Profile(table(spark, sf, "customer")))
     return out.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"), F.avg("c_acctbal").alias("mean_acctbal")).withColumn("k", F.lit(k))
 
 

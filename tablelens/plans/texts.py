@@ -244,7 +244,7 @@ def insight_forecast(spark, sf):
 @query("insight_model")
 def insight_model(spark, sf):
     df = table(spark, sf, "customer").withColumn("churned", (F.col("c_acctbal") < 0).cast("string"))
-    t = models.classification_tournament(Profile(df), "churned", trees=4, depth=3)
+    t = models.classification_tournament(Profile(df), "churned")
     root = scratch_path(spark, "models")
     models.save_model(spark, t, root, "customer")
     return insights.model_insight(models.run_history(spark, root))

@@ -5,10 +5,11 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tablelens.operators import forecast, forest, models, ranks, vectors
-from tablelens.operators.dashboard import duplicate_rows
+from tablelens.operators.dashboard import duplicate_rows, half_split
 from tablelens.operators.information import mutual_information
 from tablelens.operators.profile import Profile
 from tablelens.operators.rowindex import with_row_index
@@ -127,3 +128,43 @@ def test_vector_search(spark):
     df = spark.createDataFrame(rows, "id long, v array<float>")
     found = [(r["id"], round(r["score"], 4)) for r in vectors.vector_topk(df, "v", [2.0, 0.0], 4, "id").collect()]
     assert found == [(1, 1.0), (3, 0.7071), (2, 0.0), (4, 0.0)]
+
+
+def test_text_keys_order_like_text(spark):
+    """Text ids (of several chunks, one null) split a table in half like numbers do."""
+    ids = [None, *(f"order-number-{i:04d}" for i in range(999))]
+    df = spark.createDataFrame([(k, float(i)) for i, k in enumerate(ids)], "id string, v double").repartition(7)
+    late = half_split(df, ["id"])
+    found = df.select(F.count_if(late), F.min(F.when(late, F.col("v"))), F.max(F.when(~late, F.col("v")))).first()
+    assert tuple(found) == (500, 500.0, 499.0)
+    hot = df.withColumn("day", F.lit("2024-01-01"))
+    assert hot.filter(half_split(hot, ["day", "id"])).count() == 500
+
+
+def test_classes_come_back_by_name(spark, tmp_path):
+    """A stored classifier, with a coded column of many labels, returns classes and their confidence."""
+    rows = [(f"code{i % 30:02d}", float(i % 3) * 5 + (i % 7) * 0.1, ("low", "mid", "top")[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "code string, x double, kind string")
+    t = models.classification_tournament(Profile(df), "kind", trees=5, depth=4)
+    assert t.best > 0.95 > t.baseline
+    path = models.save_model(spark, t, str(tmp_path), "kinds")
+    unseen = df.withColumn("code", F.lit("never seen"))
+    for table in (df, unseen):
+        scored = models.batch_score(PipelineModel.load(path), table, t.task, ["code", "x"])
+        assert scored.columns == ["code", "x", "kind", "prediction", "confidence"] and scored.count() == 600
+    assert models.batch_score(PipelineModel.load(path), df, t.task, ["code", "x"]).filter("prediction = kind").count() > 580
+
+
+def test_many_classes(spark):
+    rows = [(float(i % 600), f"class{i % 300:03d}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "x double, kind string")
+    t = models.classification_tournament(Profile(df), "kind", trees=1, depth=1)
+    assert [m for m, *_ in t.leaderboard][0] == "Baseline"
+
+
+def test_importances_follow_the_slots(spark):
+    """A column named like the start of another keeps its own share."""
+    rows = [(("b_x", "c")[i % 2], ("x", "y")[i // 2 % 2], float(i // 2 % 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a string, a_b string, y double")
+    t = models.regression_tournament(Profile(df), "y", trees=3, depth=3, boosts=2)
+    assert dict(t.importances)["a_b"] > 0.9
