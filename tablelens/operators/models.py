@@ -285,19 +285,24 @@ def _folds(rows: int) -> int:
     return 5 if rows >= 200 else 3
 
 
-def _cross_validate(ready: DataFrame, folds: int, predict, evaluators) -> tuple[float, ...]:
-    """Mean scores over the folds; the folds are independent jobs and run side by side."""
+def _cross_validate(ready: DataFrame, predict, evaluators) -> tuple[float, ...]:
+    """Mean scores over the folds that hold rows; the folds are independent jobs and run side by side.
+
+    Equal rows share a fold.  Where all rows are in one fold, it is scored with a model of itself.
+    """
+    folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())
 
     def one(fold: int) -> list[float]:
-        train, test = ready.filter(F.col("fold") != fold), ready.filter(F.col("fold") == fold)
+        test = ready.filter(F.col("fold") == fold)
+        train = ready.filter(F.col("fold") != fold) if len(folds) > 1 else test
         scored = predict(train, test)
         return [e.evaluate(scored) for e in evaluators]
 
-    with ThreadPoolExecutor(folds) as pool:
+    with ThreadPoolExecutor(max(1, len(folds))) as pool:
         # One wrapper per fold: each carries its own copy of the session's job properties.
-        jobs = [pool.submit(inheritable_thread_target(ready.sparkSession)(one), fold) for fold in range(folds)]
+        jobs = [pool.submit(inheritable_thread_target(ready.sparkSession)(one), fold) for fold in folds]
         found = [j.result() for j in jobs]
-    return tuple(sum(column) / folds for column in zip(*found))
+    return tuple(sum(column) / len(folds) for column in zip(*found))
 
 
 def regression_tournament(p: Profile, target: str, trees: int = 100, depth: int = 10, boosts: int = 100) -> Tournament:
@@ -308,7 +313,7 @@ def regression_tournament(p: Profile, target: str, trees: int = 100, depth: int
     rmse = RegressionEvaluator(metricName="rmse")
 
     def judge(predict) -> tuple[float, float]:
-        return _cross_validate(ready, k, predict, (r2, rmse))
+        return _cross_validate(ready, predict, (r2, rmse))
 
     def by_mean(train: DataFrame, test: DataFrame) -> DataFrame:
         return test.withColumn("prediction", F.lit(train.agg(F.avg("label")).first()[0]))
@@ -322,6 +327,17 @@ def regression_tournament(p: Profile, target: str, trees: int = 100, depth: int
     return Tournament("regression", target, champion, base[0], best, board, _joined(fitted, final), importances(final, sources))
 
 
+def draw_classes(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Predict classes drawn with the frequencies of the training rows; one count per class is collected."""
+    seen = train.groupBy("label").count().orderBy("label").collect()
+    total, ends, so_far = sum(r["count"] for r in seen), [], 0
+    for r in seen:
+        so_far += r["count"]
+        ends.append((so_far / total, r["label"]))
+    passed = F.size(F.filter(F.lit([e for e, _ in ends[:-1]]).cast("array<double>"), lambda e: e <= F.col("draw")))
+    return test.withColumn("prediction", F.element_at(F.lit([c for _, c in ends]), passed + 1))
+
+
 def classification_tournament(p: Profile, target: str, trees: int = 100, depth: int = 10) -> Tournament:
     """Cross-validated weighted F1 and accuracy; the best F1 is refitted on all rows."""
     k = _folds(p.rows)
@@ -333,19 +349,9 @@ def classification_tournament(p: Profile, target: str, trees: int = 100, depth:
     accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
 
     def judge(predict) -> tuple[float, float]:
-        return _cross_validate(ready, k, predict, (f1, accuracy))
-
-    def by_chance(train: DataFrame, test: DataFrame) -> DataFrame:
-        """Draw classes with the frequencies of the training rows; one count per class."""
-        seen = train.groupBy("label").count().orderBy("label").collect()
-        total, ends, so_far = sum(r["count"] for r in seen), [], 0
-        for r in seen:
-            so_far += r["count"]
-            ends.append((so_far / total, r["label"]))
-        passed = F.size(F.filter(F.lit([e for e, _ in ends[:-1]]).cast("array<double>"), lambda e: e <= F.col("draw")))
-        return test.withColumn("prediction", F.element_at(F.lit([c for _, c in ends]), passed + 1))
-
-    base = judge(by_chance)
+        return _cross_validate(ready, predict, (f1, accuracy))
+
+    base = judge(draw_classes)
     board, models = [("Baseline", *base)], classification_models(trees, depth)
     for name, model in models.items():
         board.append((name, *judge(lambda train, test, m=model: m.fit(train).transform(test))))
