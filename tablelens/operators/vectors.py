@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tablelens.functions.semantics import col
 from tablelens.operators.textsearch import words
@@ -38,6 +44,59 @@ def vector_topk(
     return df.withColumn("score", score).orderBy(*order).limit(k)
 
 
+def vector_topk_batch(
+    df: DataFrame, vector: str, key: str, queries: DataFrame, query_vector: str, query_key: str, k: int = 5, block: int = 512
+) -> DataFrame:
+    """(query, key, score, rank): the k rows most similar to every query vector.
+
+    The queries are a stated set, taken in blocks of about ``block`` vectors; a block is one scan, in
+    which every Arrow batch keeps its own k best per query before anything is shuffled.  Scores are
+    rounded to 12 digits, ties go to the smaller key.  Null vectors and vectors of another length
+    than a query's are skipped; vectors without length score 0.
+    """
+    asked = queries.select(col(query_key).alias("query"), col(query_vector).alias("target")).filter("query IS NOT NULL AND target IS NOT NULL")
+    blocks = max(1, -(-asked.count() // block))
+    rows = df.select(col(key).alias("key"), col(vector).cast("array<double>").alias("vector")).filter("key IS NOT NULL AND vector IS NOT NULL")
+    query_type, key_type = asked.schema["query"].dataType, rows.schema["key"].dataType
+    schema = f"query {query_type.simpleString()}, key {key_type.simpleString()}, score double"
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+    def search(number: int) -> DataFrame:
+        mine = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number).collect()  # about `block` vectors
+        by_length: dict[int, tuple[list, np.ndarray]] = {}
+        for n in {len(r["target"]) for r in mine}:
+            same = [r for r in mine if len(r["target"]) == n]
+            by_length[n] = [r["query"] for r in same], unit(np.array([r["target"] for r in same], float).reshape(len(same), n))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = batch.column(1).to_pylist()
+                out: tuple[list, list, list] = ([], [], [])
+                for n, (names, targets) in by_length.items():
+                    at = np.flatnonzero([len(v) == n for v in vectors])
+                    if not len(at):
+                        continue
+                    keys = np.array(batch.column(0).take(pa.array(at)).to_pylist(), dtype=object)
+                    by_key = np.argsort(keys, kind="stable")
+                    scores = np.round(unit(np.array([vectors[i] for i in at[by_key]], float).reshape(len(at), n)) @ targets.T, 12)
+                    top = np.argsort(-scores, axis=0, kind="stable")[:k]
+                    for j, name in enumerate(names):
+                        out[0].extend([name] * len(top))
+                        out[1].extend(keys[by_key][top[:, j]])
+                        out[2].extend(scores[top[:, j], j])
+                types = (to_arrow_type(query_type), to_arrow_type(key_type), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["query", "key", "score"])
+
+        return rows.mapInArrow(best, schema)
+
+    found = reduce(DataFrame.unionByName, [search(n) for n in range(blocks)])
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def text_embed(df: DataFrame, text: str, name: str = "embedding", size: int = EMBEDDING_SIZE) -> DataFrame:
     """Hashed word counts scaled to unit length, as an array<float> of fixed size."""
     from pyspark.ml.feature import HashingTF, Normalizer

@@ -76,13 +76,25 @@ def insight_store(spark, sf):
     return stores.read_insights(spark, path).select("dataset", "title", "score")
 
 
-@query("infer_rules")
+@query(
+    "infer_rules",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{kind}' AS kind, true AS nullable, {kind == 'number'} AS some_value, count(*) AS rows, count({c}) AS filled,
+        {f'count({c}) > 0' if kind == 'number' else 'true'} AS holds FROM orders"""
+        for c, kind in (("o_orderkey", "number"), ("o_custkey", "number"), ("o_orderstatus", "text"), ("o_totalprice", "number"), ("o_orderdate", "time"), ("o_orderpriority", "text"))
+    ),
+)
 def infer_rules(spark, sf):
-    rules = quality.infer_rules(table(spark, sf, "orders").schema)
-    rows = [(r.column, r.kind, r.nullable, r.some_value) for r in rules]
-    counts = table(spark, sf, "orders").agg(F.count(F.lit(1))).scalar()
-    return spark.createDataFrame(rows, "column string, kind string, nullable boolean, some_value boolean").withColumn("rows", counts)
+    """The rules of every column, and whether a column that needs some value has one."""
+    df = table(spark, sf, "orders")
+    rows = [(r.column, r.kind, r.nullable, r.some_value) for r in quality.infer_rules(df.schema)]
+    rules = spark.createDataFrame(rows, "column string, kind string, nullable boolean, some_value boolean")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count(c).alias("filled")) for c in df.columns])
+    counts = df.agg(cells.alias("c")).select(F.inline("c"))
+    return rules.join(counts, "column").withColumn("holds", ~F.col("some_value") | (F.col("filled") > 0))
+
 
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 SALES = """sales AS (SELECT o_orderkey, CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 103 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS "Date",
   CASE WHEN o_orderkey % 211 = 0 THEN '-5000000' WHEN o_orderkey % 223 = 0 THEN 'much' ELSE CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) END AS "Revenue",
@@ -160,12 +172,15 @@ def heal_impute(spark, sf):
 
 @query(
     "heal_winsorize",
-    f"""WITH {inputs.LI_BULK}, q AS (SELECT quantile_cont(l_quantity, [0.01, 0.99]) AS a, quantile_cont(l_extendedprice, [0.01, 0.99]) AS b FROM li_bulk)
-    SELECT l_returnflag, round(least(greatest(l_quantity, a[1]), a[2]), 4) AS l_quantity, round(least(greatest(l_extendedprice, b[1]), b[2]), 4) AS l_extendedprice FROM li_bulk, q""",
+    f"WITH {inputs.LI_BULK}, q AS (SELECT "
+    + ", ".join(f"quantile_cont({c}, [0.01, 0.99]) AS q_{c}" for c in LINE_NUMBERS)
+    + " FROM li_bulk) SELECT l_returnflag, l_linestatus, l_shipdate::DATE AS l_shipdate, "
+    + ", ".join(f"round(least(greatest({c}::DOUBLE, q_{c}[1]::DOUBLE), q_{c}[2]::DOUBLE), 4) AS {c}" for c in LINE_NUMBERS)
+    + " FROM li_bulk, q",
 )
 def heal_winsorize(spark, sf):
-    df = quality.winsorize(inputs.li_bulk(spark, sf).select("l_returnflag", "l_quantity", "l_extendedprice"))
-    return df.withColumns({"l_quantity": F.round("l_quantity", 4), "l_extendedprice": F.round("l_extendedprice", 4)})
+    df = quality.winsorize(inputs.li_bulk(spark, sf))
+    return df.withColumns({c: F.round(c, 4) for c in LINE_NUMBERS}).withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
 
 
 @query("heal_dedupe", f"WITH {inputs.LI_DUPS} SELECT DISTINCT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM li_dups")

@@ -38,6 +38,19 @@ def vector_topk(spark, sf):
     return out.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+@query(
+    "vector_topk_batch",
+    """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS t FROM embeddings WHERE vec_id % 20 = 0),
+    s AS (SELECT query, vec_id AS key, list_cosine_similarity(embedding::DOUBLE[], t) AS score FROM embeddings, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, key) AS rank FROM s)
+    SELECT query, key, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
+)
+def vector_topk_batch(spark, sf):
+    df = table(spark, sf, "embeddings")
+    out = vectors.vector_topk_batch(df, "embedding", "vec_id", df.filter("vec_id % 20 = 0"), "embedding", "vec_id")
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query("text_embed")
 def text_embed(spark, sf):
     return vectors.text_embed(table(spark, sf, "documents"), "text").select("doc_id", "embedding")

@@ -167,3 +167,19 @@ def test_importances_follow_the_slots(spark):
     df = spark.createDataFrame(rows, "a string, a_b string, y double")
     t = models.regression_tournament(Profile(df), "y", trees=3, depth=3, boosts=2)
     assert dict(t.importances)["a_b"] > 0.9
+
+
+def test_batch_search_agrees_with_one_by_one(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(20)] + [(200, None), (201, [1.0]), (202, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(5)
+    asked = df.filter("id % 20 = 0 AND id < 60")
+    for block in (1, 512):  # several scans, and one
+        found = vectors.vector_topk_batch(df, "v", "id", asked, "v", "id", 4, block).collect()
+        for one in asked.collect():
+            want = [(r["id"], round(r["score"], 6)) for r in vectors.vector_topk(df.filter("size(v) = 6"), "v", one["v"], 4, "id").collect()]
+            got = sorted((r["rank"], r["key"], round(r["score"], 6)) for r in found if r["query"] == one["id"])
+            assert sorted(s for _, s in want) == sorted(s for _, _, s in got) and got[0][1] == one["id"]
+    assert vectors.vector_topk_batch(df.limit(0), "v", "id", asked, "v", "id").count() == 0
+    assert vectors.vector_topk_batch(df, "v", "id", asked.limit(0), "v", "id").count() == 0
