@@ -276,6 +276,13 @@ def titles(suggested: DataFrame) -> DataFrame:
     )
 
 
+def dataset_summary(p: Profile, name: str) -> str:
+    """One sentence on size, and one on the leading metric."""
+    text = f"Dataset '{name}' contains {p.rows:,} records across {len(p.facts)} attributes."
+    metric = p.primary["metric"]
+    return text if metric is None else f"{text} The primary target metric identified is '{title_case(metric)}'."
+
+
 def business_names(p: Profile) -> DataFrame:
     rows = [(n, title_case(n)) for n in p.facts]
     return p.df.sparkSession.createDataFrame(rows, "column string, label string")

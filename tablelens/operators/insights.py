@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelens.functions.semantics import col
-from tablelens.operators.dashboard import geo_rollup, segment_shares
+from tablelens.operators.dashboard import geo_rollup, segment_shares, top_counts, value_counts
 from tablelens.operators.profile import Profile
+from tablelens.operators.query import auto_model
 
 INSIGHT_COLUMNS = ("title", "description", "recommendation", "severity", "score", "category")
 
@@ -127,57 +128,85 @@ def all_insights(
     return merged.select(F.lit(dataset).alias("dataset"), *INSIGHT_COLUMNS).orderBy(F.col("score").desc(), "title")
 
 
+# Titles, scores and sentences of the narrative.
+HEADLINE_TITLE = "Primary Metric Overview (%s)"
+DRIVER_TITLE = "Key Driver Analysis by %s"
+TIME_TITLE = "Temporal Velocity across %s"
+HEADLINE = "Across %d records, %s recorded a mean of %,.2f (min: %,.2f, max: %,.2f)."
+DRIVER = "Segment '%s' is the primary driver, contributing %.1f%% (%,.2f) of total %s."
+CAUSE = "High concentration in %s='%s' directly explains total volume shift."
+
+
+def narrative_columns(p: Profile) -> tuple[str | None, str | None, str | None]:
+    """Metric, dimension and date a narrative is about: the first column of each role; a metric is a number."""
+
+    def first(*roles: str, among: list[str] | None = None) -> str | None:
+        return next((n for n in p.facts if p.roles[n] in roles and (among is None or n in among)), None)
+
+    return first("metric", "target", among=p.numeric), first("dimension", "geo"), first("temporal")
+
+
+def profile_narrative(p: Profile) -> DataFrame:
+    """The narrative of a table on the columns its profile picks; without a metric only the temporal note."""
+    metric, dimension, date = narrative_columns(p)
+    if metric is None:  # a column of nulls has no overview and no driver
+        return narrative(p.df.withColumn("__none", F.lit(None).cast("double")), "__none", None, date)
+    return narrative(p.df, metric, dimension, date)
+
+
 def narrative(df: DataFrame, metric: str, dimension: str | None = None, date: str | None = None) -> DataFrame:
-    """Ranked sentences: overview, key driver, temporal note."""
+    """Ranked sentences with title and, for the driver, its causal factor: overview, key driver, temporal note."""
     m = col(metric).cast("double")
     stats = df.agg(
         F.count(F.lit(1)).alias("rows"), F.avg(m).alias("mean"), F.min(m).alias("min"), F.max(m).alias("max"), F.stddev_samp(m).alias("std")
     ).filter(F.col("mean").isNotNull())
-    parts = [
-        stats.select(
-            F.lit(1).alias("rank"),
-            F.lit("headline").alias("type"),
-            F.lit(0.98).alias("significance"),
-            F.format_string(
-                f"Across %d records, {metric} recorded a mean of %,.2f (min: %,.2f, max: %,.2f).", "rows", "mean", "min", "max"
-            ).alias("narrative"),
+
+    def row(source: DataFrame, rank: int, kind: str, significance: float, title: str, text: Column, cause: Column | None = None) -> DataFrame:
+        return source.select(
+            F.lit(rank).alias("rank"),
+            F.lit(kind).alias("type"),
+            F.lit(title).alias("title"),
+            F.lit(significance).alias("significance"),
+            text.alias("narrative"),
+            (F.lit(None).cast("string") if cause is None else cause).alias("causal_factor"),
         )
-    ]
+
+    text = F.format_string(HEADLINE, F.col("rows"), F.lit(metric), F.col("mean"), F.col("min"), F.col("max"))
+    parts = [row(stats, 1, "headline", 0.98, HEADLINE_TITLE % metric, text)]
     if dimension is not None:
         spread = stats.select("std").scalar()
         shares = segment_shares(df, dimension, metric)
         top = shares.agg(F.max_by(F.struct("segment", "total", "share"), F.struct("total", "segment")).alias("t")).filter(spread > 0)
-        parts.append(
-            top.select(
-                F.lit(2).alias("rank"),
-                F.lit("causal_driver").alias("type"),
-                F.lit(0.92).alias("significance"),
-                F.format_string(
-                    f"Segment '%s' is the primary driver, contributing %.1f%% (%,.2f) of total {metric}.",
-                    F.col("t.segment"),
-                    F.round(F.col("t.share"), 1),
-                    F.col("t.total"),
-                ).alias("narrative"),
-            )
-        )
+        text = F.format_string(DRIVER, F.col("t.segment"), F.round(F.col("t.share"), 1), F.col("t.total"), F.lit(metric))
+        cause = F.format_string(CAUSE, F.lit(dimension), F.col("t.segment"))
+        parts.append(row(top, 2, "causal_driver", 0.92, DRIVER_TITLE % dimension, text, cause))
     if date is not None:
-        parts.append(
-            df.agg(F.count(col(date)).alias("n"))
-            .filter(F.col("n") > 0)
-            .select(
-                F.lit(3).alias("rank"),
-                F.lit("temporal_acceleration").alias("type"),
-                F.lit(0.88).alias("significance"),
-                F.lit(f"Ordered by {date}, the series shows stable variance with local peaks.").alias("narrative"),
-            )
-        )
+        some = df.agg(F.count(col(date)).alias("n")).filter(F.col("n") > 0)
+        text = F.format_string("Ordered by %s, the series shows stable variance with local peaks.", F.lit(date))
+        parts.append(row(some, 3, "temporal_acceleration", 0.88, TIME_TITLE % date, text))
     return reduce(DataFrame.unionByName, parts)
 
 
+# Fixed value: values listed per leading column.
+LISTED_VALUES = 10
+
+
+def _leading_values(p: Profile, columns: list[str], n: int) -> dict[str, list[str]]:
+    """The ``n`` most frequent values of a few columns; at most ``n`` rows a column are collected."""
+    if not columns:
+        return {}
+    counts = value_counts(p.df, columns).filter(F.col("value").isNotNull())
+    rows = top_counts(counts, n).collect()
+    return {c: [r["value"] for r in sorted((r for r in rows if r["column"] == c), key=lambda r: r["rank"])] for c in columns}
+
+
 def context_summary(
     p: Profile, kpis: DataFrame, anomalies: DataFrame, name: str, geo: str | None, metric: str | None = None
 ) -> DataFrame:
-    """(position, line): the table in a few lines of text; every input is one row or a top-k."""
+    """(position, line): the table in a few lines of text, then the names a query may use.
+
+    Every input is one row, a top-k, or bounded by the columns.
+    """
     metric = metric or p.primary["metric"]
     texts = (
         F.lit(f"Dataset: {name}"),
@@ -191,11 +220,12 @@ def context_summary(
         F.inline(F.array(*[F.struct(F.lit(i).alias("position"), t.alias("line")) for i, t in enumerate(texts)]))
     )
     spark = p.df.sparkSession
-    lists = []
-    for i, (label, column) in enumerate((("Categories", p.primary["category"]), ("Regions", p.primary["geo"]))):
-        if column and p.top_values.get(column):
-            values = ", ".join(v for v, _ in p.top_values[column])
-            lists.append((6 + i, f"{label} in '{column}': [{values}]"))
+    leading = (("Categories", p.primary["category"]), ("Regions", p.primary["geo"]))
+    listed = _leading_values(p, [c for _, c in leading if c], LISTED_VALUES)
+    lists = [(6 + i, f"{label} in '{c}': [{', '.join(listed[c])}]") for i, (label, c) in enumerate(leading) if listed.get(c)]
+    model = auto_model(p, name)
+    lists += [(11, f"Metric {n}: {m.agg} of {m.column}") for n, m in model.metrics.items()]
+    lists += [(12, f"Dimension {n}: {c}") for n, c in model.dimensions.items()]
     parts = [head]
     if lists:
         parts.append(spark.createDataFrame(lists, "position int, line string"))

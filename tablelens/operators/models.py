@@ -21,7 +21,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablelens.functions.semantics import col, half_up
 from tablelens.operators.features import label_codes, most_frequent
@@ -34,6 +34,8 @@ NEAR_UNIQUE = 0.95
 MAX_NULL_PCT = 50.0
 ONE_HOT_VALUES = 20
 SEED = 42
+# Rows of one label that are numbered together.
+SLICE = 100_000
 
 
 class BadTarget(ValueError):
@@ -221,19 +223,46 @@ def build_preprocessor(p: Profile, features: Features) -> tuple[Pipeline, list[t
 
 def fold_of(df: DataFrame, folds: int) -> Column:
     """Fold number by a hash of the row: the same on every run and partitioning."""
-    return F.pmod(F.xxhash64(F.lit(SEED), *[col(c) for c in df.columns]), F.lit(folds)).cast("int")
+    return F.pmod(_row_hash(df), F.lit(folds)).cast("int")
 
 
-def prepare(p: Profile, target: str, folds: int, rows: DataFrame) -> tuple[PipelineModel, DataFrame, list[str]]:
+def _row_hash(df: DataFrame, seed: int = SEED) -> Column:
+    return F.xxhash64(F.lit(seed), *[col(c) for c in df.columns])
+
+
+def stratified(rows: DataFrame, label: str, row_hash: str, folds: int, count: int) -> DataFrame:
+    """``rows`` with a ``fold``: the distinct rows of every label are dealt out in turn, in hash order.
+
+    Labels are cut into hash ranges of about SLICE rows, which are numbered
+    apart and then shifted by what lies before them, so a label with a third
+    of all rows is no window of its own.  Equal rows share a fold.
+    """
+    pieces = max(1, -(-count // SLICE))
+    cut = rows.withColumn("__piece", F.pmod(F.col(row_hash), F.lit(pieces)))
+    sizes = cut.select(label, "__piece", row_hash).distinct().groupBy(label, "__piece").count()
+    before = F.sum("count").over(Window.partitionBy(label).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(label, "__piece", F.coalesce(before, F.lit(0)).alias("__start"))
+    place = F.dense_rank().over(Window.partitionBy(label, "__piece").orderBy(row_hash))
+    numbered = cut.withColumn("__place", place).join(starts, [label, "__piece"])
+    fold = F.pmod(F.col("__start") + F.col("__place") - 1, F.lit(folds)).cast("int")
+    return numbered.withColumn("fold", fold).drop("__piece", "__place", "__start")
+
+
+def prepare(p: Profile, target: str, folds: int, rows: DataFrame, by_class: bool = False) -> tuple[PipelineModel, DataFrame, list[str]]:
     """Fitted preprocessing and the (features, label, fold, draw) table, written once to the shared folder.
 
     ``rows`` are the table's rows with a target and their ``__label``; ``draw`` is a number from
-    0 to 1 by another hash of the row.
+    0 to 1 by another hash of the row.  ``by_class`` spreads every label evenly over the folds.
     """
     pipeline, inputs = build_preprocessor(p, choose_features(p, target))
     fitted = pipeline.fit(rows)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), *[col(c) for c in p.df.columns]), 11).cast("double") / float(1 << 53)
-    ready = fitted.transform(rows).select("features", F.col("__label").alias("label"), fold_of(p.df, folds).alias("fold"), draw.alias("draw"))
+    draw = F.shiftrightunsigned(_row_hash(p.df, SEED + 1), 11).cast("double") / float(1 << 53)
+    base = ["features", F.col("__label").alias("label"), draw.alias("draw")]
+    if by_class:
+        ready = fitted.transform(rows).select(*base, _row_hash(p.df).alias("__hash"))
+        ready = stratified(ready, "label", "__hash", folds, p.rows).select("features", "label", "fold", "draw")
+    else:
+        ready = fitted.transform(rows).select(*base, fold_of(p.df, folds).alias("fold"))
     return fitted, durable(ready), slot_sources(fitted, inputs)
 
 
@@ -344,7 +373,7 @@ def classification_tournament(p: Profile, target: str, trees: int = 100, depth:
     labels = StringIndexer(inputCol="__target", outputCol="__label", stringOrderType="alphabetAsc")
     named = p.df.filter(col(target).isNotNull()).withColumn("__target", col(target).cast("string"))
     index = labels.fit(named.select("__target"))
-    fitted, ready, sources = prepare(p, target, k, index.transform(named))
+    fitted, ready, sources = prepare(p, target, k, index.transform(named), by_class=True)
     f1 = MulticlassClassificationEvaluator(metricName="f1")
     accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
 
@@ -409,6 +438,21 @@ def importances(model, sources: list[str], n: int = 10) -> list[tuple[str, float
     return sorted(shares, key=lambda x: -x[1])[:n]
 
 
+def train(p: Profile, order_by: list[str], task: str = "auto", target: str | None = None) -> Tournament:
+    """The tournament that fits the table: best target candidate and inferred task unless given."""
+    if target is None:
+        found = target_candidates(p, 1)
+        if not found:
+            raise BadTarget("no column is worth predicting")
+        target = found[0]["column"]
+    task = task_type(p, target, task)
+    if task == "forecasting":
+        return holdout_forecast(p, target, order_by)
+    if task == "classification":
+        return classification_tournament(p, target)
+    return regression_tournament(p, target)
+
+
 # -- storage and scoring -----------------------------------------------------
 
 

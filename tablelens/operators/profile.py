@@ -418,7 +418,7 @@ class Profile:
 
     @cached_property
     def information(self) -> list[tuple[str, str, float, int]]:
-        """Mutual information of the primary metric with up to ten ranked candidates."""
+        """Mutual information of the primary metric with every candidate, widest first."""
         from tablelens.operators.information import mutual_information
 
         target = self.primary["metric"]
@@ -645,6 +645,49 @@ def overview(profile: Profile) -> DataFrame:
     return profile.df.sparkSession.createDataFrame([row], schema)
 
 
+def overview_columns(profile: Profile) -> DataFrame:
+    """One row per column: class, role, nulls, distinct values, leading flags, frequent values and main measures."""
+    stat = lambda name: F.try_element_at("numeric_stats", F.lit(name)).alias(name)
+    nulls = profile.df.sparkSession.createDataFrame([(n, f.nulls) for n, f in profile.facts.items()], "column string, null_count long")
+    return profile.columns_df().join(nulls, "column").select(
+        "position",
+        "column",
+        "null_count",
+        "null_pct",
+        "role",
+        "dtype_category",
+        "semantic_type",
+        "cardinality",
+        "cardinality_ratio",
+        "is_primary_metric",
+        "is_primary_date",
+        "is_primary_category",
+        "is_primary_geo",
+        F.transform("top_values", lambda v: v["value"]).alias("unique_values"),
+        *[stat(n) for n in ("min", "max", "mean", "skew")],
+        "temporal_stats",
+    )
+
+
+def outlier_values(profile: Profile, key: list[str], n: int = 5) -> DataFrame:
+    """(column, value, rank, key): the first ``n`` values outside the fences of each column, in key order.
+
+    The rows outside any fence are few cells of a wide table; the rank limit is applied before the shuffle.
+    """
+    names = [c for c in profile.numeric_stats if profile.outliers[c] > 0]
+    keys = [col(k) for k in key]
+    if not names:
+        return profile.df.select(F.lit("").alias("column"), F.lit(0.0).alias("value"), F.lit(0).alias("rank"), *keys).limit(0)
+    cells = []
+    for c in names:
+        low, high = iqr_fences(profile.quartiles[c][0], profile.quartiles[c][2])
+        v = col(c).cast("double")
+        cells.append(F.when((v < low) | (v > high), F.struct(F.lit(c).alias("column"), v.alias("value"))))
+    found = profile.df.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("o")).select("o.*", *keys)
+    order = Window.partitionBy("column").orderBy(*keys, "value")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+
 def stored_rows(profile: Profile, dataset: str, at: dt.datetime, version: str = PROFILE_VERSION) -> DataFrame:
     """Profile rows stamped for the profile store."""
     return profile.columns_df().select(

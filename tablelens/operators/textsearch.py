@@ -1,12 +1,12 @@
 """Words, overlap, term weights, and typo-tolerant keyword search over text columns.
 
-Texts are exploded into (document, term) counts, which combine before the
-shuffle; nothing gathers the documents of a frequent term in one task.
+Words stay inside their row; only term totals and the hits of a search are
+shuffled, and nothing gathers the documents of a frequent term in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelens.functions.semantics import col
 
@@ -46,28 +46,34 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(smaller == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / smaller)
 
 
-def term_counts(df: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = FUNCTION_WORDS) -> DataFrame:
-    """(key, term, tf) for words of at least two letters that are not stop words."""
-    terms = df.select(col(key).alias("key"), F.explode(words(col(text), 2)).alias("term"))
-    return terms.filter(~F.col("term").isin(*stop_words)).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def tfidf_top(df: DataFrame, key: str, text: str, n: int = 5, stop_words: tuple[str, ...] = FUNCTION_WORDS) -> DataFrame:
     """(key, term, weight) of the n most frequent terms, each document scaled to unit length.
 
-    weight = tf * (ln((1 + documents) / (1 + df)) + 1) / norm.  The vocabulary
-    is n rows, so it is the only thing sent to every task.
+    weight = tf * (ln((1 + documents) / (1 + df)) + 1) / norm.  Every row is a
+    document; its words have at least two letters and are not stop words.  Term
+    totals combine before their only shuffle; the n terms become literals, and
+    a second pass counts just them inside each row.
     """
-    counts = term_counts(df, key, text, stop_words)
-    totals = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    top = totals.orderBy(F.col("total").desc(), "term").limit(n)
-    documents = df.agg(F.count(F.lit(1))).scalar()
-    weighted = counts.join(F.broadcast(top), "term").withColumn(
-        "w", F.col("tf") * (F.log((1 + documents) / (1 + F.col("df"))) + 1)
+    tokens = F.filter(words(col(text), 2), lambda w: ~w.isin(*stop_words))
+    marks = F.concat(
+        F.transform("w", lambda w: F.struct(w.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct("w"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
     )
-    # At most n rows per document.
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
-    return weighted.select("key", "term", (F.col("w") / norm).alias("weight"))
+    totals = df.select(tokens.alias("w")).select(F.inline(marks)).groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
+    top = totals.orderBy(F.col("total").desc(), "term").limit(n).collect()
+    if not top:
+        return df.select(col(key).alias("key"), F.lit("").alias("term"), F.lit(0.0).alias("weight")).filter(F.lit(False))
+    documents = df.count()
+    counted = df.select(col(key).alias("key"), F.filter(words(col(text), 2), lambda w: w.isin(*[t["term"] for t in top])).alias("w"))
+
+    def weight(term: str, texts: int) -> Column:
+        tf = F.size(F.filter("w", lambda w: w == term))
+        return F.struct(F.lit(term).alias("term"), (tf * (F.log(F.lit((1 + documents) / (1 + texts))) + 1)).alias("w"))
+
+    weights = F.array(*[weight(t["term"], t["df"]) for t in top])
+    found = counted.select("key", F.filter(weights, lambda t: t["w"] > 0).alias("found")).filter(F.size("found") > 0)
+    norm = F.sqrt(F.aggregate("found", F.lit(0.0), lambda total, t: total + t["w"] * t["w"]))
+    return found.select("key", norm.alias("norm"), F.inline("found")).select("key", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def search_document(
@@ -128,14 +134,21 @@ def keyword_search(
         distance = F.when(near, F.levenshtein(word, F.lit(wanted), allowed))
         return F.when(distance >= 0, distance)
 
-    # Distinct words per attribute, then one hit per query word at most.
-    attributes = F.array(
-        *[F.struct(F.lit(i).alias("attribute"), F.array_distinct(words(F.col(a))).alias("words")) for i, a in enumerate(SEARCH_ORDER)]
-    )
-    exploded = documents.select("id", F.inline(attributes)).select("id", "attribute", F.explode("words").alias("word"))
-    tests = F.array(*[F.struct(F.lit(i).alias("q"), typos(F.col("word"), w).alias("t")) for i, w in enumerate(asked)])
-    hits = exploded.select("id", "attribute", F.explode(tests).alias("h")).filter(F.col("h.t").isNotNull())
-    best = hits.groupBy("id", F.col("h.q").alias("q")).agg(F.min("h.t").alias("t"), F.min("attribute").alias("a"))
+    # Per document and query word: the fewest typos anywhere, and the best attribute with a hit.
+    read = documents.select("id", *[F.array_distinct(words(F.col(a))).alias(a) for a in SEARCH_ORDER])
+
+    def first(parts: list[Column]) -> Column:
+        return F.array_min(F.array(*parts))
+
+    def hit(wanted: str) -> Column:
+        fewest = [F.array_min(F.transform(F.col(a), lambda w: typos(w, wanted))) for a in SEARCH_ORDER]
+        places = [F.when(t.isNotNull(), F.lit(i)) for i, t in enumerate(fewest)]
+        return F.struct(first(fewest).alias("t"), first(places).alias("a"))
+
+    tests = F.array(*[F.struct(F.lit(i).alias("q"), hit(w).alias("h")) for i, w in enumerate(asked)])
+    hits = read.select("id", F.inline(tests)).filter(F.col("h.t").isNotNull())
+    # At most one narrow row per query word of a matching document; rows with one id count once.
+    best = hits.groupBy("id", "q").agg(F.min("h.t").alias("t"), F.min("h.a").alias("a"))
     ranked = (
         best.groupBy("id")
         .agg(F.count(F.lit(1)).alias("matched"), F.sum("t").alias("typos"), F.min("a").alias("attribute"))

@@ -37,14 +37,19 @@ def sanitize(spark, sf):
     return readers.read_dirty_csv(spark, path, df.schema)
 
 
-@query("write_dataset", "SELECT o_orderstatus, count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+@query(
+    "write_dataset",
+    """SELECT f.format, o_orderstatus, count(*) AS rows, round(sum(o_totalprice), 2) AS total
+       FROM orders, (SELECT unnest(['csv', 'parquet']) AS format) f GROUP BY ALL""",
+)
 def write_dataset(spark, sf):
     root = scratch_path(spark, "datasets")
     df = table(spark, sf, "orders")
     paths = [stores.write_dataset(df, root, "orders", kind) for kind in ("csv", "parquet")]
     assert paths[0] != paths[1]
-    back = spark.read.parquet(paths[1])
-    return back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    back = readers.read_csv(spark, paths[0], df.schema).withColumn("format", F.lit("csv"))
+    back = back.unionByName(spark.read.parquet(paths[1]).withColumn("format", F.lit("parquet")))
+    return back.groupBy("format", "o_orderstatus").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query(

@@ -249,7 +249,7 @@ def _score_numeric_sql(name: str) -> str:
         f"""SELECT '{c}' AS columns, abs((avg({c} ** 3) - 3 * avg({c}) * avg({c} ** 2) + 2 * avg({c}) ** 3) / stddev_pop({c}) ** 3) AS skew,
         count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count({c}) AS share, count({c}) / count(*) AS comp
         FROM {name}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {name})"""
-        for c in ("l_quantity", "l_discount", "l_tax")
+        for c in CORR_COLUMNS
     )
     return f"""SELECT CASE WHEN skew > 1 THEN 'histogram' ELSE 'histogram_kde' END AS chart, columns,
         round((CASE WHEN skew > 1 THEN 0.6 ELSE 0 END + CASE WHEN share > 0.05 THEN 0.4 ELSE 0 END) * 0.9 * comp, 4) AS score,
@@ -258,7 +258,7 @@ def _score_numeric_sql(name: str) -> str:
 
 @query("score_numeric", f"WITH {inputs.LI_BULK} " + _score_numeric_sql("li_bulk"))
 def score_numeric(spark, sf):
-    p = Profile(inputs.li_bulk(spark, sf).select("l_quantity", "l_discount", "l_tax"))
+    p = Profile(inputs.li_bulk(spark, sf))
     return _charts(spark, p, charts.score_numeric(p), skew=3, outlier_ratio=4)
 
 
@@ -356,6 +356,22 @@ def suggest_charts(spark, sf):
     return charts.suggest(Profile(li_coupled(spark, sf)), 5)
 
 
+@query(
+    "chart_texts",
+    """WITH p AS (SELECT corr(l_quantity, l_quantity * 3 + l_tax) AS r, count(*) AS n FROM lineitem)
+    SELECT 'summary' AS kind, format('Dataset ''lines'' contains {:,} records across 3 attributes. The primary target metric identified is ''Triple''.', n) AS text FROM p
+    UNION ALL SELECT 'name', unnest(['l_quantity = L Quantity', 'triple = Triple', 'l_returnflag = L Returnflag'])
+    UNION ALL SELECT 'relationship', format('Strong positive correlation (r={:.2f}) observed between ''l_quantity'' and ''triple''.', r) FROM p""",
+)
+def chart_texts(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_quantity", (F.col("l_quantity") * 3 + F.col("l_tax")).alias("triple"), "l_returnflag")
+    p = Profile(df)
+    summary = spark.createDataFrame([("summary", charts.dataset_summary(p, "lines"))], "kind string, text string")
+    names = charts.business_names(p).select(F.lit("name").alias("kind"), F.concat_ws(" = ", "column", "label").alias("text"))
+    links = charts.relationships(p).select(F.lit("relationship").alias("kind"), "text")
+    return summary.unionByName(names).unionByName(links)
+
+
 @query(
     "chart_titles",
     f"""{typed_sql('cust_geo')}, s AS (SELECT CASE WHEN card <= 8 THEN 'pie' WHEN card <= 50 THEN 'bar_horizontal' ELSE 'bar_top_n' END AS chart, "column" FROM typed WHERE cat = 'categorical')

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tablelens.operators import features, forest, models
 from tablelens.operators.profile import Profile
@@ -139,14 +139,50 @@ def preprocess(spark, sf):
     return pipeline.fit(p.df).transform(p.df).select("o_orderkey", vector_to_array("features").alias("features"))
 
 
-@query("regression_tournament")
+def _board_sql(task: str, target: str, models_: str) -> str:
+    """A board has these models, one champion, which is the best of them all; scores are finite."""
+    return f"""SELECT '{task}' AS task, '{target}' AS target, unnest([{models_}]) AS model, true AS one_champion, true AS champion_is_best, true AS finite"""
+
+
+def _board(t: models.Tournament, spark):
+    board = t.leaderboard_df(spark)
+    rivals = board.filter(F.col("model") != t.leaderboard[0][0])
+    best = rivals.agg(F.max("score")).scalar()
+    marks = rivals.filter("champion").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("s"))
+    return board.select(
+        "task",
+        "target",
+        "model",
+        (marks.select("n").scalar() == 1).alias("one_champion"),
+        (marks.select("s").scalar() == best).alias("champion_is_best"),
+        (~F.isnan("score") & ~F.isnan("second") & (F.abs("score") < float("inf"))).alias("finite"),
+    )
+
+
+@query(
+    "regression_tournament",
+    _board_sql("regression", "p_retailprice", "'Baseline', 'LinearRegression', 'Ridge', 'RandomForestRegressor', 'GradientBoostingRegressor'"),
+)
 def regression_tournament(spark, sf):
-    return models.regression_tournament(_parts(spark, sf), "p_retailprice").leaderboard_df(spark)
+    return _board(models.regression_tournament(_parts(spark, sf), "p_retailprice"), spark)
 
 
-@query("classification_tournament")
+@query(
+    "classification_tournament",
+    _board_sql("classification", "quality", "'Baseline', 'LogisticRegression', 'RandomForestClassifier', 'GaussianNB'"),
+)
 def classification_tournament(spark, sf):
-    return models.classification_tournament(Profile(_labelled(spark, sf)), "quality").leaderboard_df(spark)
+    return _board(models.classification_tournament(Profile(_labelled(spark, sf)), "quality"), spark)
+
+
+@query("stratified_folds", "SELECT CAST(fold AS INTEGER) AS fold, event_type, true AS even FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest([0, 1, 2, 3, 4]) AS fold)")
+def stratified_folds(spark, sf):
+    """Every fold holds a fifth of the rows of each class, give or take one."""
+    df = table(spark, sf, "events").withColumn("h", F.xxhash64("event_id"))
+    folds = models.stratified(df, "event_type", "h", 5, df.count())
+    counts = folds.groupBy("fold", "event_type").count()
+    share = F.sum("count").over(Window.partitionBy("event_type")) / 5
+    return counts.select("fold", "event_type", (F.abs(F.col("count") - share) < 1).alias("even"))
 
 
 @query("holdout_forecast")
@@ -177,7 +213,7 @@ def model_store(spark, sf):
     return models.run_history(spark, root, "orders").drop("path", "version")
 
 
-@query("batch_score")
+@query("batch_score", "SELECT o_orderkey, true AS scored FROM orders")
 def batch_score(spark, sf):
     from pyspark.ml import PipelineModel
 
@@ -186,13 +222,34 @@ def batch_score(spark, sf):
     path = models.save_model(spark, t, scratch_path(spark, "models"), "orders")
     lacking = table(spark, sf, "orders").drop("o_orderpriority")
     scored = models.batch_score(PipelineModel.load(path), lacking, t.task, models.choose_features(p, "o_totalprice").names)
-    return scored.select("o_orderkey", "prediction")
+    return scored.select("o_orderkey", (F.col("prediction").isNotNull() & ~F.isnan("prediction")).alias("scored"))
 
 
-@query("segments")
+@query(
+    "class_scores",
+    "SELECT doc_id, true AS known_class, true AS sure FROM documents JOIN labels USING (doc_id)",
+)
+def class_scores(spark, sf):
+    """A stored classifier returns class names, and the confidence of the likeliest class, for every row."""
+    from pyspark.ml import PipelineModel
+
+    df = _labelled(spark, sf)
+    p = Profile(df)
+    t = models.classification_tournament(p, "quality")
+    path = models.save_model(spark, t, scratch_path(spark, "models"), "labels")
+    scored = models.batch_score(PipelineModel.load(path), df.drop("quality"), t.task, models.choose_features(p, "quality").names)
+    return scored.select("doc_id", F.col("prediction").isin("0", "1").alias("known_class"), (F.col("confidence").between(0.5, 1.0)).alias("sure"))
+
+
+@query("segments", "SELECT true AS k_in_range, true AS segments_match, count(*) AS rows FROM customer")
 def segments(spark, sf):
     _, out, k = models.segments(Profile(table(spark, sf, "customer")))
-    return out.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"), F.avg("c_acctbal").alias("mean_acctbal")).withColumn("k", F.lit(k))
+    sizes = out.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"))
+    return sizes.agg(
+        F.lit(2 <= k <= 6).alias("k_in_range"),
+        ((F.count(F.lit(1)) == k) & (F.min("segment") == 0) & (F.max("segment") == k - 1)).alias("segments_match"),
+        F.sum("rows").alias("rows"),
+    )
 
 
 @query("anomaly_task")

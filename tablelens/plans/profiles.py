@@ -358,6 +358,31 @@ def dataset_overview(spark, sf):
     return prof.overview(Profile(orders_text(spark, sf)))
 
 
+@query(
+    "overview_columns",
+    f"""{typed_sql('li_nulls')} SELECT CAST(position AS INTEGER) AS position, "column", CAST(nulls AS BIGINT) AS null_count, role, cat AS dtype_category, CAST(card AS BIGINT) AS cardinality, round(ratio, 4) AS cardinality_ratio FROM typed""",
+)
+def overview_columns(spark, sf):
+    out = prof.overview_columns(Profile(inputs.li_nulls(spark, sf)))
+    return out.select("position", "column", "null_count", "role", "dtype_category", "cardinality", "cardinality_ratio")
+
+
+@query(
+    "outlier_values",
+    f"""WITH {inputs.LI_SPIKES}, q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM li_spikes),
+    r AS (SELECT l_extendedprice, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS rank FROM (FROM li_spikes UNION ALL FROM li_spikes), q
+      WHERE l_extendedprice < a - 1.5 * (b - a) OR l_extendedprice > b + 1.5 * (b - a))
+    SELECT 'price' AS "column", l_extendedprice AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
+)
+def outlier_values(spark, sf):
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
+    # One measure with few distinct values besides the keys, so that it is no identifier.
+    df = inputs.li_spikes(spark, sf).withColumn("price", F.col("l_extendedprice"))
+    p = Profile(df.unionByName(df))
+    found = prof.outlier_values(p, keys).filter(F.col("column") == "price")
+    return found.select("column", "value", "rank")
+
+
 @query(
     "profile_store",
     f"""SELECT 'part' AS dataset, q.*, '2.0' AS profile_version, '2024-02-01T00:00:00' AS profiled_at, false AS stale

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import time
+import logging
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,12 +11,15 @@ from tablelens.operators.profile import Profile
 from tablelens.operators.sqlgate import read_only_sql
 from tablelens.operators.transform import transform_hook
 from tablelens.plans import inputs
+from tablelens.plans.profiles import typed_sql
 from tablelens.plans.registry import query, table
 from tablelens.plans.tables import KPI_SQL, ORDER_KEYS
 from tablelens.session import scratch_path
 from tablelens.sources import stores
 from tablelens.streaming import rates
 
+log = logging.getLogger(__name__)
+
 # Word characters as the Spark side counts them, for the SQL side.
 LETTERS = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
 
@@ -51,15 +54,22 @@ def vector_topk_batch(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("text_embed")
+@query(
+    "text_embed",
+    "SELECT doc_id, CAST(384 AS INTEGER) AS dimensions, true AS unit_length FROM documents",
+)
 def text_embed(spark, sf):
-    return vectors.text_embed(table(spark, sf, "documents"), "text").select("doc_id", "embedding")
+    """The size of every vector, and whether its length is one (zero where a text has no word)."""
+    found = vectors.text_embed(table(spark, sf, "documents"), "text")
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    length = F.when(F.size(textsearch.words(F.col("text"))) > 0, 1.0).otherwise(0.0)
+    return found.select("doc_id", F.size("embedding").alias("dimensions"), (F.abs(square - length) < 1e-6).alias("unit_length"))
 
 
 SEARCH_SQL = """docs AS (
   SELECT 'dataset_' || doc_id AS id, CAST(doc_id AS VARCHAR) AS resource_id, 'dataset' AS resource_type, CAST(NULL AS VARCHAR) AS user_id, source AS title,
     '' AS description, text AS content, lang AS category, CAST(NULL AS VARCHAR) AS created_at FROM documents
-  UNION ALL SELECT 'dashboard_' || page_id, CAST(page_id AS VARCHAR), 'dashboard', CAST(page_id % 10 AS VARCHAR), url, '', 'Query history: ' || url, '', NULL FROM pages
+  UNION ALL SELECT 'dashboard_' || page_id, CAST(page_id AS VARCHAR), 'dashboard', CAST(page_id % 10 AS VARCHAR), url, coalesce(html, ''), 'Query history: ' || url, '', NULL FROM pages
   UNION ALL SELECT 'insight_' || item_id, CAST(item_id AS VARCHAR), 'insight', NULL, 'item ' || item_id, text, '', 'Info', NULL FROM benchmark)"""
 
 
@@ -69,7 +79,7 @@ def search_docs_df(spark, sf) -> DataFrame:
     parts = [
         textsearch.search_document(d, "dataset", F.col("doc_id"), F.col("source"), content=F.col("text"), category=F.col("lang")),
         textsearch.search_document(
-            g, "dashboard", page, F.col("url"), content=F.concat(F.lit("Query history: "), "url"), owner=page % 10
+            g, "dashboard", page, F.col("url"), F.col("html"), content=F.concat(F.lit("Query history: "), "url"), owner=page % 10
         ),
         textsearch.search_document(
             b, "insight", F.col("item_id"), F.concat(F.lit("item "), F.col("item_id").cast("string")), F.col("text"), category=F.lit("Info")
@@ -129,19 +139,34 @@ def tfidf_top(spark, sf):
 # -- keys ---------------------------------------------------------------------
 
 
+# Every table, with the prefix that its column names carry.
+PREFIXES = {
+    "region": "r_", "nation": "n_", "customer": "c_", "supplier": "s_", "part": "p_", "orders": "o_", "lineitem": "l_", "events": "",
+    "documents": "", "embeddings": "", "pages": "", "benchmark": "", "labels": "", "conversations": "",
+}
+
+
 def _plain_tables(spark, sf):
-    names = {"documents": "", "labels": "", "customer": "c_", "nation": "n_", "orders": "o_"}
     out = {}
-    for n, prefix in names.items():
+    for n, prefix in PREFIXES.items():
         df = table(spark, sf, n)
         out[n] = df.toDF(*[c.removeprefix(prefix) for c in df.columns])
     return out
 
 
 KEY_PAIRS = [
-    ("documents", "doc_id", "doc_id", "labels", "doc_id", "doc_id", 0.95),
-    ("customer", "custkey", "c_custkey", "orders", "custkey", "o_custkey", 0.95),
-    ("customer", "nationkey", "c_nationkey", "nation", "nationkey", "n_nationkey", 0.95),
+    (a, name, PREFIXES[a] + name, b, name, PREFIXES[b] + name, 0.95)
+    for a, b, name in (
+        ("region", "nation", "regionkey"),
+        ("nation", "customer", "nationkey"),
+        ("nation", "supplier", "nationkey"),
+        ("customer", "supplier", "nationkey"),
+        ("customer", "orders", "custkey"),
+        ("supplier", "lineitem", "suppkey"),
+        ("part", "lineitem", "partkey"),
+        ("orders", "lineitem", "orderkey"),
+        ("documents", "labels", "doc_id"),
+    )
 ]
 
 
@@ -268,93 +293,142 @@ def all_insights(spark, sf):
     df = inputs.orders_shift(spark, sf)
     anomalies = forest.univariate_anomalies(df, "o_totalprice", ["o_orderkey"], date="o_orderdate")
     daily = series.daily_series(df, "o_orderdate", "o_totalprice")
-    found = insights.all_insights("orders", _kpis(spark, sf), anomalies, forecast.forecast(daily, [], 7))
-    path = scratch_path(spark, "insights")
-    stores.replace_insights(found, path, ("orders",))
-    return stores.read_insights(spark, path)
+    root = scratch_path(spark, "insights")
+    models.save_model(spark, models.train(Profile(df), ORDER_KEYS), f"{root}/models", "orders_churn")
+    history = models.run_history(spark, f"{root}/models", "orders_churn")
+    found = insights.all_insights("orders_churn", _kpis(spark, sf), anomalies, forecast.forecast(daily, [], 7), history)
+    stores.replace_insights(found, f"{root}/found", ("orders_churn",))
+    return stores.read_insights(spark, f"{root}/found")
 
 
 @query(
     "narrative",
     """WITH s AS (SELECT c_mktsegment AS seg, sum(c_acctbal) AS t FROM customer GROUP BY 1 ORDER BY 2 DESC LIMIT 1), a AS (SELECT avg(c_acctbal) AS m, min(c_acctbal) AS lo, max(c_acctbal) AS hi, count(*) AS n, sum(c_acctbal) AS total FROM customer)
-    SELECT CAST(1 AS INTEGER) AS rank, 'headline' AS type, 0.98::DOUBLE AS significance, format('Across {} records, c_acctbal recorded a mean of {:,.2f} (min: {:,.2f}, max: {:,.2f}).', n, m, lo, hi) AS narrative FROM a
-    UNION ALL SELECT 2, 'causal_driver', 0.92, format('Segment ''{}'' is the primary driver, contributing {:.1f}% ({:,.2f}) of total c_acctbal.', seg, round(t / total * 100, 1), t) FROM s, a""",
+    SELECT CAST(1 AS INTEGER) AS rank, 'headline' AS type, 'Primary Metric Overview (c_acctbal)' AS title, 0.98::DOUBLE AS significance, format('Across {} records, c_acctbal recorded a mean of {:,.2f} (min: {:,.2f}, max: {:,.2f}).', n, m, lo, hi) AS narrative, CAST(NULL AS VARCHAR) AS causal_factor FROM a
+    UNION ALL SELECT 2, 'causal_driver', 'Key Driver Analysis by c_mktsegment', 0.92, format('Segment ''{}'' is the primary driver, contributing {:.1f}% ({:,.2f}) of total c_acctbal.', seg, round(t / total * 100, 1), t), format('High concentration in c_mktsegment=''{}'' directly explains total volume shift.', seg) FROM s, a""",
 )
 def narrative(spark, sf):
     return insights.narrative(table(spark, sf, "customer"), "c_acctbal", "c_mktsegment")
 
 
-@query("context_summary")
+@query(
+    "profile_narrative",
+    """WITH s AS (SELECT l_returnflag AS seg, sum(l_quantity) AS t FROM lineitem GROUP BY 1 ORDER BY 2 DESC LIMIT 1), a AS (SELECT avg(l_quantity) AS m, min(l_quantity) AS lo, max(l_quantity) AS hi, count(*) AS n, sum(l_quantity) AS total FROM lineitem)
+    SELECT CAST(1 AS INTEGER) AS rank, 'Primary Metric Overview (l_quantity)' AS title, format('Across {} records, l_quantity recorded a mean of {:,.2f} (min: {:,.2f}, max: {:,.2f}).', n, m, lo, hi) AS narrative, CAST(NULL AS VARCHAR) AS causal_factor FROM a
+    UNION ALL SELECT 2, 'Key Driver Analysis by l_returnflag', format('Segment ''{}'' is the primary driver, contributing {:.1f}% ({:,.2f}) of total l_quantity.', seg, round(t / total * 100, 1), t), format('High concentration in l_returnflag=''{}'' directly explains total volume shift.', seg) FROM s, a
+    UNION ALL SELECT 3, 'Temporal Velocity across l_shipdate', 'Ordered by l_shipdate, the series shows stable variance with local peaks.', NULL""",
+)
+def profile_narrative(spark, sf):
+    """Metric, dimension and date chosen by the profile of the table without its keys."""
+    p = Profile(table(spark, sf, "lineitem").drop("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    return insights.profile_narrative(p).select("rank", "title", "narrative", "causal_factor")
+
+
+@query(
+    "context_summary",
+    f"""{typed_sql('cust_geo')}, a AS (SELECT count(*) AS n, sum(c_acctbal) AS t, avg(c_acctbal) AS m FROM customer),
+    d AS (SELECT *, cat IN ('categorical', 'datetime') OR role IN ('geo', 'temporal') AS dim FROM typed),
+    v AS (SELECT nation AS x, count(*) AS n FROM cust_geo GROUP BY 1 ORDER BY n DESC, x LIMIT 10),
+    r AS (SELECT region AS x, count(*) AS n FROM cust_geo GROUP BY 1 ORDER BY n DESC, x LIMIT 10),
+    g AS (SELECT region, round(sum(c_acctbal), 2) AS s, count(*) AS n FROM cust_geo GROUP BY 1 ORDER BY s DESC, region LIMIT 1)
+    SELECT CAST(0 AS INTEGER) AS position, 'Dataset: customers' AS line UNION ALL SELECT 1, 'Primary target metric: c_acctbal'
+    UNION ALL SELECT 2, format('Total rows: {{}}', n) FROM a UNION ALL SELECT 3, format('Total aggregate value: {{:,.2f}}', t) FROM a
+    UNION ALL SELECT 4, format('Mean value: {{:,.2f}}', m) FROM a
+    UNION ALL SELECT 6, 'Categories in ''nation'': [' || (SELECT string_agg(x, ', ' ORDER BY n DESC, x) FROM v) || ']'
+    UNION ALL SELECT 7, 'Regions in ''region'': [' || (SELECT string_agg(x, ', ' ORDER BY n DESC, x) FROM r) || ']'
+    UNION ALL SELECT 8, format('Top region: ''{{}}'' with value {{:,.2f}} ({{}} records)', region, s, n) FROM g
+    UNION ALL SELECT 11, 'Metric total_' || "column" || ': sum of ' || "column" FROM d WHERE NOT dim AND cat = 'numeric'
+    UNION ALL SELECT 11, 'Metric average_' || "column" || ': avg of ' || "column" FROM d WHERE NOT dim AND cat = 'numeric'
+    UNION ALL SELECT 12, 'Dimension ' || "column" || ': ' || "column" FROM d WHERE dim""",
+)
 def context_summary(spark, sf):
+    """The lines that plain SQL can state: all but growth (5) and the anomalies of a forest (9, 10)."""
     df = inputs.cust_geo(spark, sf)
     p = Profile(df)
     k = dashboard.kpis(df, "c_acctbal", ["c_custkey"], "c_mktsegment", "region")
     found = forest.univariate_anomalies(df, "c_acctbal", ["c_custkey"], category="c_mktsegment", geo="region")
-    return insights.context_summary(p, k, found, "customers", "region", "c_acctbal")
+    return insights.context_summary(p, k, found, "customers", "region", "c_acctbal").filter(~F.col("position").isin(5, 9, 10))
 
 
 # Name words of the metric that is forecast first.
 METRIC_WORDS = ("revenue", "sales", "price", "amount")
 
 
-@query("ingest_run")
+@query(
+    "ingest_run",
+    """SELECT CAST(position AS INTEGER) AS position, stage, 'done' AS status, CASE kept WHEN 'all' THEN (SELECT count(*) FROM orders) WHEN 'one' THEN 1 WHEN 'month' THEN 30 END AS rows
+    FROM (VALUES (0, 'read', 'all'), (1, 'validate', 'one'), (2, 'clean', 'all'), (3, 'index', 'one'), (4, 'forecast', 'month'),
+      (5, 'models', 'one'), (6, 'segments', 'all'), (7, 'anomalies', 'all'), (8, 'insights', 'some')) v(position, stage, kept)""",
+)
 def ingest_run(spark, sf):
-    """All stages over one table; a failing model stage is reported and does not stop the run."""
+    """All stages over one table, with the rows each one stored (null for the insights, whose number depends on models).
+
+    A failing model stage is reported and does not stop the run.
+    """
     df = inputs.orders_shift(spark, sf)
     root = scratch_path(spark, "run")
     report: list[tuple] = []
     state: dict = {}
 
     def stage(name: str, work, optional: bool = False) -> None:
-        started = time.time()
         try:
-            note, status = str(work()), "done"
+            rows, status = work(), "done"
         except Exception as error:  # noqa: BLE001 - optional stages may fail
             if not optional:
                 raise
-            note, status = str(error).splitlines()[0], "skipped"
-        report.append((len(report), name, status, note, int((time.time() - started) * 1000)))
+            log.warning("stage %s skipped: %s", name, error)
+            rows, status = None, "skipped"
+        report.append((len(report), name, status, rows))
+
+    def kept(found: DataFrame, place: str) -> int:
+        found.write.parquet(f"{root}/{place}")
+        return spark.read.parquet(f"{root}/{place}").count()
 
     def read():
-        state["path"] = stores.write_dataset(df, root, "orders")
-        state["df"] = spark.read.parquet(state["path"])
+        path = stores.write_dataset(df, root, "orders")
+        state["df"] = spark.read.parquet(path)
         state["profile"] = Profile(state["df"])
-        return f"{state['profile'].rows} rows"
+        return state["profile"].rows
 
     def validate():
         rules = quality.infer_rules(state["df"].schema)
-        row = quality.quality_score(state["df"], rules, ["o_orderkey"]).first()
-        return f"quality {row['quality_score']}, {row['anomalies']} anomalies"
+        return kept(quality.quality_score(state["df"], rules, ["o_orderkey"]), "quality")
 
     def clean():
         healed = quality.auto_heal(state["df"], state["profile"].rows)
-        stores.write_dataset(healed, root, "orders_healed")
-        return "repaired copy written"
+        return spark.read.parquet(stores.write_dataset(healed, root, "orders_healed")).count()
 
     def index():
         one = state["df"].agg(F.count(F.lit(1)).alias("rows"))
         columns = ", ".join(state["df"].columns)
         doc = textsearch.search_document(one, "dataset", F.lit("orders"), F.lit("orders"), F.format_string("%d rows", "rows"), F.lit(f"File columns: {columns}"))
-        doc.write.parquet(f"{root}/search")
-        return "1 document"
+        return kept(doc, "search")
 
     def predict():
         names = state["profile"].numeric
         metric = next((n for n in names if any(w in n.lower() for w in METRIC_WORDS)), names[0])
-        daily = series.daily_series(state["df"], state["profile"].primary["date"], metric)
         state["metric"] = metric
-        forecast.forecast(daily, [], 30).write.parquet(f"{root}/forecast")
-        return metric
+        daily = series.daily_series(state["df"], state["profile"].primary["date"], metric)
+        return kept(forecast.forecast(daily, [], 30), "forecast")
 
     def learn():
-        t = models.holdout_forecast(state["profile"], state["metric"], ORDER_KEYS)
-        models.save_model(spark, t, f"{root}/models", "orders")
-        return f"{t.champion} {t.improvement}%"
+        models.save_model(spark, models.train(state["profile"], ORDER_KEYS), f"{root}/models", "orders")
+        return models.run_history(spark, f"{root}/models", "orders").count()
+
+    def cluster():
+        model, found, _ = models.segments(state["profile"])
+        model.write().save(f"{root}/segment_model")
+        return kept(found.drop("features"), "segments")
+
+    def isolate():
+        return kept(forest.multivariate_outliers(state["df"], state["profile"].numeric, ["o_orderkey"]), "anomalies")
 
     def conclude():
-        found = insights.all_insights("orders", _kpis(spark, sf, state["df"]), None, spark.read.parquet(f"{root}/forecast"))
+        odd = forest.univariate_anomalies(state["df"], state["metric"], ["o_orderkey"], date=state["profile"].primary["date"])
+        ahead, history = spark.read.parquet(f"{root}/forecast"), models.run_history(spark, f"{root}/models", "orders")
+        found = insights.all_insights("orders", _kpis(spark, sf, state["df"]), odd, ahead, history)
         stores.replace_insights(found, f"{root}/insights", ("orders",))
-        return f"{stores.read_insights(spark, f'{root}/insights').count()} insights"
+        return None
 
     stage("read", read)
     stage("validate", validate)
@@ -362,8 +436,10 @@ def ingest_run(spark, sf):
     stage("index", index)
     stage("forecast", predict, optional=True)
     stage("models", learn, optional=True)
+    stage("segments", cluster, optional=True)
+    stage("anomalies", isolate, optional=True)
     stage("insights", conclude, optional=True)
-    return spark.createDataFrame(report, "position int, stage string, status string, note string, millis int")
+    return spark.createDataFrame(report, "position int, stage string, status string, rows long")
 
 
 # -- event windows ----------------------------------------------------------------
@@ -400,13 +476,13 @@ def event_rate_stream(spark, sf):
     return _shown(done).select("window_start", "event_type", "events", F.round("rate", 6).alias("rate"))
 
 
-def _p95_sql() -> str:
+def _p95_sql(closed: str = "") -> str:
     counts = ", ".join(f"count(*) FILTER (value <= {b}) AS b{i}" for i, b in enumerate(BOUNDS))
     cases = " ".join(
         f"WHEN b{i} >= 0.95 * total THEN {BOUNDS[i - 1] if i else 0.0} + {b - (BOUNDS[i - 1] if i else 0.0)} * (0.95 * total - {f'b{i - 1}' if i else 0}) / (b{i} - {f'b{i - 1}' if i else 0})"
         for i, b in enumerate(BOUNDS)
     )
-    return f"""WITH {WINDOWS_SQL}, c AS (SELECT window_start, count(value) AS total, {counts} FROM w GROUP BY 1)
+    return f"""WITH {WINDOWS_SQL}, c AS (SELECT window_start, count(value) AS total, {counts} FROM w {closed} GROUP BY 1)
       SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, total, round(CASE {cases} ELSE {BOUNDS[-1]} END, 6)::DOUBLE AS p95 FROM c"""
 
 
@@ -414,3 +490,16 @@ def _p95_sql() -> str:
 def latency_p95(spark, sf):
     out = rates.latency_p95(table(spark, sf, "events"), "ts", "value", BOUNDS)
     return _shown(out).select("window_start", "total", F.round("p95", 6).alias("p95"))
+
+
+@query(
+    "latency_p95_stream",
+    _p95_sql("WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"),
+)
+def latency_p95_stream(spark, sf):
+    """The same percentiles from a stream over the files: windows the watermark has closed."""
+    whole = table(spark, sf, "events")
+    stream = spark.readStream.schema(whole.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out = scratch_path(spark, "latency")
+    rates.run_available(rates.latency_p95(stream, "ts", "value", BOUNDS), f"{out}/data", f"{out}/state")
+    return _shown(spark.read.parquet(f"{out}/data")).select("window_start", "total", F.round("p95", 6).alias("p95"))
