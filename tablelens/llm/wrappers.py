@@ -16,8 +16,9 @@ Every text slot of the wrapper has a role.  A slot inside navigation, page
 headers, footers, sidebars, forms, adverts, notices or comments (by tag, class
 or id words) is none of the main text.  If the wrapper has an article (else a
 main element, else an element marked as content), the slots inside it are.
-Otherwise they are the slots whose text differs between the host's pages, and
-all remaining slots of hosts with fewer than ``MIN_PAGES`` pages.
+Otherwise they are all remaining slots but boilerplate: on hosts of ``MIN_PAGES``
+or more pages, slots with one text on several pages whose other texts differ
+(white space aside).  What a single page or only copies of a page hold stays.
 
 A page's slots map to the wrapper's through its skeleton, and the texts of main
 slots are joined: character references decoded, white space inside a block one
@@ -33,6 +34,7 @@ Repeated rows stay; other columns never matter.
 from __future__ import annotations
 
 import functools
+import hashlib
 import html as entities
 import json
 import operator
@@ -301,29 +303,40 @@ def slot_paths(pattern: list) -> list[tuple[str, ...]]:
     return paths
 
 
-def main_slots(wrapper: list, same: list[bool], pages: int) -> list[bool]:
-    """Which slots of a wrapper hold main text."""
-    paths = slot_paths(wrapper)
+def _named(tag: str) -> tuple[str, str]:
+    name, _, marks = tag[1:-1].partition(" ")
+    return name, marks
 
-    def named(tag: str) -> tuple[str, str]:
-        name, _, marks = tag[1:-1].partition(" ")
-        return name, marks
+
+def clean_slots(paths: list[tuple[str, ...]]) -> list[bool]:
+    """Which slots lie outside navigation, adverts and the like."""
 
     def out(path: tuple[str, ...]) -> bool:
         inside = False
-        for name, marks in map(named, path):
+        for name, marks in map(_named, path):
             inside = inside or name == "article"
             # an article's own header holds its title
             if name in _OUT_TAGS and not (name == "header" and inside) or marks and name not in _PLAIN and _OUT_WORDS.search(marks):
                 return True
         return False
 
-    clean = [not out(p) for p in paths]
+    return [not out(p) for p in paths]
+
+
+def main_slots(wrapper: list, boilerplate: list[bool]) -> list[bool]:
+    """Which slots of a wrapper hold main text."""
+    paths = slot_paths(wrapper)
+    clean = clean_slots(paths)
     for test in (lambda n, m: n == "article", lambda n, m: n == "main" or m == "main", lambda n, m: n in ("div", "section", "td") and bool(_CONTENT.search(m))):
-        inside = [c and any(test(*named(t)) for t in p) for c, p in zip(clean, paths)]
-        if any(test(*named(t)) for p in paths for t in p):
+        inside = [c and any(test(*_named(t)) for t in p) for c, p in zip(clean, paths)]
+        if any(test(*_named(t)) for p in paths for t in p):
             return inside
-    return [c and not (s and pages >= MIN_PAGES) for c, s in zip(clean, same)]
+    return [c and not b for c, b in zip(clean, boilerplate)]
+
+
+def boilerplate_slots(pages: int, least: list, most: list, first: list, last: list) -> list[bool]:
+    """Slots with one text on pages of more than one body."""
+    return [pages >= MIN_PAGES and a == b and c != d for a, b, c, d in zip(least, most, first, last)]
 
 
 def page_blocks(stream: list[str], texts: list[str], keep: list[bool]) -> str:
@@ -358,66 +371,79 @@ def _folded(stream: tuple[str, ...]) -> tuple[str, list[int]]:
     return json.dumps(pattern, ensure_ascii=False, separators=(",", ":")), owner
 
 
-def _slot_texts(owner: list[int], texts: list[str], n: int) -> list[int]:
-    """A hash of the texts in every slot."""
-    found: list[list[str]] = [[] for _ in range(n)]
+@functools.lru_cache(maxsize=4096)
+def _clean(text: str) -> list[bool]:
+    return clean_slots(slot_paths(json.loads(text)))
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _slot_texts(owner: list[int], texts: list[str], clean: list[bool]) -> tuple[list[int], int]:
+    """A hash of the texts in every slot, and one of the page's body: the texts of all clean slots."""
+    found: list[list[str]] = [[] for _ in clean]
     for s, t in zip(owner, texts):
-        found[s].append(t)
-    return [int(pd.util.hash_array(pd.array(["\x00".join(f)], dtype=object).to_numpy())[0] >> 1) for f in found]
+        found[s].append(" ".join(t.split()))
+    return [_hash("\x00".join(f)) for f in found], _hash("\x00".join(" ".join(t.split()) for s, t in zip(owner, texts) if clean[s]))
+
+
+_SPANS = ("least", "most", "first", "last")
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per distinct (host, skeleton) of a task: pages, and the least and greatest text hash of every slot."""
+    """One row per distinct (host, skeleton) of a task: pages, the least and greatest text hash of every slot, and those of the bodies of the pages that hold it."""
     seen: dict[tuple[str, str], list] = {}
-    needs_texts = re.compile(r"<(article|main)\b")
+    slots = 0
 
     def rows() -> pa.RecordBatch:
         keys = list(seen)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.string()), pa.array([seen[k][0] for k in keys]), pa.array([seen[k][1] for k in keys], pa.list_(pa.int64())), pa.array([seen[k][2] for k in keys], pa.list_(pa.int64()))],
-            names=["host", "skeleton", "pages", "least", "most"],
-        )
+        spans = [pa.array([seen[k][i] for k in keys], pa.list_(pa.int64())) for i in (1, 2)]
+        spans += [pa.array([[seen[k][i]] * len(seen[k][1]) for k in keys], pa.list_(pa.int64())) for i in (3, 4)]
+        out = pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.string()), pa.array([seen[k][0] for k in keys]), *spans], names=["host", "skeleton", "pages", *_SPANS])
         seen.clear()
         return out
 
     for batch in batches:
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             text, owner, _, texts = skeleton(source)
-            n = max(owner, default=-1) + 1
-            # texts decide roles only where no element says so
-            now = [0] * n if needs_texts.search(text) else _slot_texts(owner, texts, n)
+            now, body = _slot_texts(owner, texts, _clean(text))
             have = seen.get((host, text))
             if have is None:
-                seen[host, text] = [1, now, now]
+                seen[host, text] = [1, now, now, body, body]
+                slots += len(now)
             else:
                 have[0] += 1
-                have[1], have[2] = list(map(min, have[1], now)), list(map(max, have[2], now))
-            if len(seen) >= 20_000:
+                have[1:] = list(map(min, have[1], now)), list(map(max, have[2], now)), min(have[3], body), max(have[4], body)
+            if len(seen) >= 20_000 or slots >= 500_000:
+                slots = 0
                 yield rows()
     if seen:
         yield rows()
 
 
-def _merge(rows: pd.DataFrame, patterns: list[list]) -> tuple[list, int, list, list]:
-    """Infer one wrapper and bring page counts and text hashes of its slots together."""
+def _merge(rows: pd.DataFrame, patterns: list[list]) -> tuple[list, int, list[list]]:
+    """Infer one wrapper and bring page counts and hashes of its slots together."""
     wrapper, maps = infer(patterns)
     n = sum(map(slots_in, wrapper))
-    least, most = [None] * n, [None] * n
-    for places, low, high in zip(maps, rows["least"], rows["most"]):
-        for place, a, b in zip(places, low, high):
-            least[place] = a if least[place] is None else min(a, least[place])
-            most[place] = b if most[place] is None else max(b, most[place])
-    return wrapper, int(rows["pages"].sum()), least, most
+    spans = []
+    for name, pick in zip(_SPANS, (min, max, min, max)):
+        span: list = [None] * n
+        for places, values in zip(maps, rows[name]):
+            for place, v in zip(places, values):
+                span[place] = v if span[place] is None else pick(span[place], v)
+        spans.append(span)
+    return wrapper, int(rows["pages"].sum()), spans
 
 
 def _wrap(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("skeleton")
     patterns = {s: json.loads(s) for s in rows["skeleton"].unique()}
-    wrapper, pages, least, most = _merge(rows, [patterns[s] for s in rows["skeleton"]])
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "skeleton": [json.dumps(wrapper, ensure_ascii=False, separators=(",", ":"))], "pages": [pages], "least": [least], "most": [most]})
+    wrapper, pages, spans = _merge(rows, [patterns[s] for s in rows["skeleton"]])
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "skeleton": [json.dumps(wrapper, ensure_ascii=False, separators=(",", ":"))], "pages": [pages], **{n: [s] for n, s in zip(_SPANS, spans)}})
 
 
-_WRAPPER = "host string, skeleton string, pages long, least array<long>, most array<long>"
+_WRAPPER = "host string, skeleton string, pages long, " + ", ".join(f"{n} array<long>" for n in _SPANS)
 
 
 def host_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
@@ -432,16 +458,16 @@ def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, tuple[list, list[bool]]] = {}
     for batch in batches:
         bits = []
-        for host, text, wrapper, pages, least, most in zip(*(c.to_pylist() for c in batch.columns)):
+        for host, text, wrapper, pages, *spans in zip(*(c.to_pylist() for c in batch.columns)):
             if host not in known:
                 known.clear()
                 items = json.loads(wrapper)
-                known[host] = items, main_slots(items, [a == b for a, b in zip(least, most)], pages)
+                known[host] = items, main_slots(items, boilerplate_slots(pages, *spans))
             items, main = known[host]
             merged, mine, theirs = generalise(items, json.loads(text))
             back = {place: slot for slot, place in enumerate(mine)}
             paths = slot_paths(merged)
-            own = main_slots(merged, [False] * len(paths), 0) if any(p not in back for p in theirs) else []
+            own = main_slots(merged, [False] * len(paths)) if any(p not in back for p in theirs) else []
             bits.append("".join("1" if (main[back[p]] if p in back else own[p]) else "0" for p in theirs))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.string())], names=["host", "skeleton", "main"])
 
@@ -450,7 +476,7 @@ def slot_roles(pages: DataFrame) -> DataFrame:
     """host, mark (a hash of the skeleton), main (one digit per slot of the skeleton)."""
     seen, wrappers = host_wrappers(pages)
     met = seen.select("host", "skeleton").distinct().join(wrappers.withColumnRenamed("skeleton", "wrapper"), "host")
-    roles = met.select("host", "skeleton", "wrapper", "pages", "least", "most").mapInArrow(_roles, "host string, skeleton string, main string")
+    roles = met.select("host", "skeleton", "wrapper", "pages", *_SPANS).mapInArrow(_roles, "host string, skeleton string, main string")
     return stored(roles.select("host", "skeleton", "main"), "roles")
 
 

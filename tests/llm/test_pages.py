@@ -62,6 +62,23 @@ def test_extraction(spark, pages, odd, empty):
     assert wrappers.pages_table(empty).collect() == []
 
 
+def texts_of(spark, made):
+    return {r["page_id"]: r["text"] for r in wrappers.pages_table(spark.createDataFrame(made, PAGES)).collect()}
+
+
+def test_extraction_keeps_what_one_page_or_only_copies_hold(spark):
+    once = ["<ul><li>lone item</li></ul>", "<table><tr><td>lone cell</td></tr></table>", "<h3>lone head</h3>", "<blockquote>lone quote</blockquote>", "", ""]
+    made = [(n, "http://plain.org/", f"<div><h2>Welcome to us</h2><p>News {n}</p>{more}</div>") for n, more in enumerate(once)]
+    # a page and its copy share what no other page has
+    made += [(n, "http://plain.org/", "<div><h2>Welcome to us</h2><p>Twice</p><dl><dt>lone term</dt></dl></div>") for n in (6, 7)]
+    lone = ["lone item", "lone cell", "lone head", "lone quote", None, None]
+    want = {n: f"News {n}" + (f"\n{x}" if x else "") for n, x in enumerate(lone)}
+    assert texts_of(spark, made) == want | {6: "Twice\nlone term", 7: "Twice\nlone term"}
+    # copies alone, also under different navigation
+    made = [(n, "http://copy.org/", f"<nav>Page {n}</nav><div><h2>Head</h2><p>Body</p></div>") for n in range(7)]
+    assert set(texts_of(spark, made).values()) == {"Head\nBody"}
+
+
 def test_extraction_by_shuffle_agrees(spark, pages, monkeypatch):
     want = sorted(map(tuple, wrappers.pages_table(pages).collect()))
     monkeypatch.setattr(wrappers, "BROADCAST_ROWS", -1)
