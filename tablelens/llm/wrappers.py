@@ -14,8 +14,9 @@ pages have it.
 
 Every text slot of the wrapper has a role.  A slot inside navigation, page
 headers, footers, sidebars, forms, adverts, notices or comments (by tag, class
-or id words) is none of the main text.  If the wrapper has an article (else a
-main element, else an element marked as content), the slots inside it are.
+or id words) is none of the main text.  If the page has text in an article (else
+in a main element, else in an element marked as content), the slots inside it
+are; each skeleton decides for itself, as a host may have several templates.
 Otherwise they are all remaining slots but boilerplate: on hosts of ``MIN_PAGES``
 or more pages, slots with one text on several pages whose other texts differ
 (white space aside).  What a single page or only copies of a page hold stays.
@@ -323,15 +324,15 @@ def clean_slots(paths: list[tuple[str, ...]]) -> list[bool]:
     return [not out(p) for p in paths]
 
 
-def main_slots(wrapper: list, boilerplate: list[bool]) -> list[bool]:
-    """Which slots of a wrapper hold main text."""
-    paths = slot_paths(wrapper)
+def contained_slots(pattern: list) -> tuple[list[bool], bool]:
+    """The clean slots in the container of a page (all clean ones if it has none), and whether it has one."""
+    paths = slot_paths(pattern)
     clean = clean_slots(paths)
     for test in (lambda n, m: n == "article", lambda n, m: n == "main" or m == "main", lambda n, m: n in ("div", "section", "td") and bool(_CONTENT.search(m))):
         inside = [c and any(test(*_named(t)) for t in p) for c, p in zip(clean, paths)]
-        if any(test(*_named(t)) for p in paths for t in p):
-            return inside
-    return [c and not b for c, b in zip(clean, boilerplate)]
+        if any(inside):
+            return inside, True
+    return clean, False
 
 
 def boilerplate_slots(pages: int, least: list, most: list, first: list, last: list) -> list[bool]:
@@ -454,21 +455,22 @@ def host_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "htm
 
 
 def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every skeleton, which of its slots hold main text, by its host's wrapper."""
+    """For every skeleton, which of its slots hold main text: by its own container, else by its host's wrapper."""
     known: dict[str, tuple[list, list[bool]]] = {}
     for batch in batches:
         bits = []
         for host, text, wrapper, pages, *spans in zip(*(c.to_pylist() for c in batch.columns)):
-            if host not in known:
-                known.clear()
-                items = json.loads(wrapper)
-                known[host] = items, main_slots(items, boilerplate_slots(pages, *spans))
-            items, main = known[host]
-            merged, mine, theirs = generalise(items, json.loads(text))
-            back = {place: slot for slot, place in enumerate(mine)}
-            paths = slot_paths(merged)
-            own = main_slots(merged, [False] * len(paths)) if any(p not in back for p in theirs) else []
-            bits.append("".join("1" if (main[back[p]] if p in back else own[p]) else "0" for p in theirs))
+            pattern = json.loads(text)
+            main, settled = contained_slots(pattern)
+            if not settled and pages >= MIN_PAGES:
+                if host not in known:
+                    known.clear()
+                    known[host] = json.loads(wrapper), boilerplate_slots(pages, *spans)
+                items, boilerplate = known[host]
+                _, mine, theirs = generalise(items, pattern)
+                back = {place: slot for slot, place in enumerate(mine)}
+                main = [m and not (p in back and boilerplate[back[p]]) for m, p in zip(main, theirs)]
+            bits.append("".join("1" if m else "0" for m in main))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.string())], names=["host", "skeleton", "main"])
 
 

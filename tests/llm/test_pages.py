@@ -79,6 +79,13 @@ def test_extraction_keeps_what_one_page_or_only_copies_hold(spark):
     assert set(texts_of(spark, made).values()) == {"Head\nBody"}
 
 
+def test_extraction_on_hosts_with_several_templates(spark):
+    kinds = ["<article><p>{}</p></article>", "<main><p>{}</p></main>", "<div class=content><p>{}</p></div>", "<p>{}</p>", "<div class=content><p>{}</p></div><aside><article>Read also</article></aside>"]
+    for url in ("http://two.org/", None):
+        made = [(n, url, f"<body><div>Our site</div>{kinds[n % 5].format(f'Text {n}')}<div>Made by us</div></body>") for n in range(15)]
+        assert texts_of(spark, made) == {n: f"Text {n}" for n in range(15)}
+
+
 def test_extraction_by_shuffle_agrees(spark, pages, monkeypatch):
     want = sorted(map(tuple, wrappers.pages_table(pages).collect()))
     monkeypatch.setattr(wrappers, "BROADCAST_ROWS", -1)
