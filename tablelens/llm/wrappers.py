@@ -72,14 +72,23 @@ _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story)(?:
 
 
 def tokens(source: str) -> tuple[list[str], list[str]]:
-    """The token stream, text slots as ``#``, and the raw text of every slot."""
+    """The token stream, text slots as ``#``, and the raw text of every slot.
+
+    White space alone is no slot; it goes before the next slot's text, where it
+    separates words of one block and vanishes at the start of another.
+    """
     stream: list[str] = []
     texts: list[str] = []
+    blank = ""
 
     def text(piece: str) -> None:
-        if piece and not piece.isspace():
+        nonlocal blank
+        if piece.isspace():
+            blank = " "
+        elif piece:
             stream.append("#")
-            texts.append(piece)
+            texts.append(blank + piece)
+            blank = ""
 
     at, open_tags = 0, []
     for m in _TOKEN.finditer(source):
@@ -348,6 +357,8 @@ def page_blocks(stream: list[str], texts: list[str], keep: list[bool]) -> str:
         if token == "#":
             if keep[text]:
                 blocks[-1].append(texts[text])
+            elif texts[text][0].isspace() or texts[text][-1].isspace():
+                blocks[-1].append(" ")  # the blank around what is left out
             text += 1
         else:
             name = token.strip("</>").split(" ")[0]

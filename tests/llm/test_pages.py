@@ -86,6 +86,18 @@ def test_extraction_on_hosts_with_several_templates(spark):
         assert texts_of(spark, made) == {n: f"Text {n}" for n in range(15)}
 
 
+def test_blanks_between_inline_elements():
+    for source, want in (
+        ("<p><b>one</b> <i>two</i></p>", "one two"), ("<p><b>one</b><i>two</i></p>", "onetwo"), ("<p> <a>x</a>\n\t<a>y</a> <!-- c --> z</p> <p>next</p>", "x y z\nnext"),
+        ("<p>one<!-- c --> <script>s</script>two</p>", "one two"), ("<div><b>a</b> <div> <i>b</i> </div> <i>c</i></div>", "a\nb\nc"),
+    ):
+        text, _, stream, texts = wrappers.skeleton(source)
+        assert wrappers.page_blocks(stream, texts, [True] * len(texts)) == want, source
+        assert text == wrappers.skeleton(source.replace("> <", "><"))[0]
+    stream, texts = wrappers.tokens("<p><b>one</b> <q>left out</q><i>two</i></p>")
+    assert wrappers.page_blocks(stream, texts, [True, False, True]) == "one two"
+
+
 def test_extraction_by_shuffle_agrees(spark, pages, monkeypatch):
     want = sorted(map(tuple, wrappers.pages_table(pages).collect()))
     monkeypatch.setattr(wrappers, "BROADCAST_ROWS", -1)
