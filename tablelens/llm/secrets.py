@@ -8,14 +8,17 @@ base64 or base64url signs with 16 or more of them (padding included).  Its
 encoding is the narrowest alphabet that holds it.  Three tests ask if its signs
 could be independent and uniform: chi-squared over the alphabet, runs above and
 below the alphabet's middle, and serial correlation; Fisher's method combines
-them, and runs that fail (p < 0.001) are out.  The others get the probability
-that *text* of this length looks so uniform (noncentral chi-squared; the
-noncentrality grows with the length).  These p-values go through a
+them, and runs that fail (p < 0.001) get p = 1.  The others are weighed against
+*text*, a chain of sign pairs: the pairs of all runs of the table below 16 signs
+(keys are longer, so they never count), on top of a small fixed prior.  The
+likelihood ratio of uniform signs to text takes in which signs stand there and
+in what order.  Under text it exceeds x with probability 1/x at most, and the
+alphabet is one of ten, so p = 10 / ratio.  These p-values go through a
 Benjamini-Hochberg cut at 1 % false discoveries, separately for each length
 class, so that many short runs do not water down long ones.  The number of
-tests and the cut cover the whole table.  Runs of digits alone, and of letters
-of one case under 48 signs, cannot be told from numbers and words and get p = 1
-(they count as tests all the same where they are candidates).
+tests, the pairs and the cut cover the whole table.  Runs of digits alone, of
+letters of one case under 48 signs, and of both base64 forms mixed cannot be
+told from numbers, words and paths; they are not tested and do not count.
 
 Null and empty texts have no spans.  A ``random`` span that overlaps a fixed
 span is not repeated.  Repeated rows are scanned each; other columns never matter.
@@ -25,12 +28,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from tablelens.llm.common import extend, stored
+from tablelens.llm.common import extend, rounds, runs, stored, text_bytes
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -40,24 +45,82 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 LEAST, LEAST_LETTERS = 16, 48
 STEPS, DEPTH = 20, 40  # p-values are binned by log10 in steps of 1/20 down to 1e-40
 
+# A chain of signs for text: before any count, classes of signs follow each other like this.
+PRIOR_WEIGHT, UNIFORM = 50, 0.1  # pairs that the prior counts for in each row, and the share of uniform signs
+
 _LOW, _UP, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-# (name, signs, excess of text over uniform: n times this is the noncentrality)
+# (name, place of every sign, signs)
 _ENCODINGS = [
-    (name, {c: i for i, c in enumerate(signs)}, frozenset(signs), excess)
-    for name, signs, excess in (
-        ("digits", _DIGIT, None),
-        ("hex", _DIGIT + "abcdef", 0.75),
-        ("HEX", _DIGIT + "ABCDEF", 0.75),
-        ("lower", _LOW, 0.75),
-        ("upper", _UP, 0.75),
-        ("base32", _UP + "234567", 1.0),
-        ("base36", _LOW + _DIGIT, 1.25),
-        ("BASE36", _UP + _DIGIT, 1.25),
-        ("base62", _UP + _LOW + _DIGIT, 2.0),
-        ("base64", _UP + _LOW + _DIGIT + "+/", 2.0),
-        ("base64url", _UP + _LOW + _DIGIT + "-_", 2.0),
+    (name, {c: i for i, c in enumerate(signs)}, frozenset(signs))
+    for name, signs in (
+        ("digits", _DIGIT),
+        ("hex", _DIGIT + "abcdef"),
+        ("HEX", _DIGIT + "ABCDEF"),
+        ("lower", _LOW),
+        ("upper", _UP),
+        ("base32", _UP + "234567"),
+        ("base36", _LOW + _DIGIT),
+        ("BASE36", _UP + _DIGIT),
+        ("base62", _UP + _LOW + _DIGIT),
+        ("base64", _UP + _LOW + _DIGIT + "+/"),
+        ("base64url", _UP + _LOW + _DIGIT + "-_"),
     )
 ]
+_TESTABLE = len(_ENCODINGS) - 1  # all but digits
+
+_SIGNS = _LOW + _UP + _DIGIT + "+/-_"
+_PLACE = {c: i + 1 for i, c in enumerate(_SIGNS)}  # 0 is the start of a run
+_WIDTH = len(_SIGNS) + 1
+_CODE = np.zeros(256, np.uint8)
+_CODE[[ord(c) for c in _SIGNS]] = range(1, _WIDTH)
+
+
+def _prior() -> np.ndarray:
+    letters = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (12.7, 9.1, 8.2, 7.5, 7, 6.7, 6.3, 6.1, 6, 4.3, 4, 2.8, 2.8, 2.4, 2.4, 2.2, 2, 2, 1.9, 1.5, 1, 0.8, 0.2, 0.2, 0.1, 0.1)))
+    kinds = np.array([0] * 26 + [1] * 26 + [2] * 10 + [3] * 4)
+    inside = np.array([letters[c] for c in _LOW] * 2 + [1.0] * 14)
+    for k in range(4):
+        inside[kinds == k] /= inside[kinds == k].sum()
+    moves = np.array([[0.93, 0.02, 0.02, 0.03], [0.5, 0.4, 0.05, 0.05], [0.04, 0.04, 0.87, 0.05], [0.6, 0.2, 0.18, 0.02], [0.6, 0.25, 0.13, 0.02]])
+    return np.array([moves[k][kinds] * inside for k in (4, *kinds)])
+
+
+def sign_costs(pairs: np.ndarray) -> list[list[float]]:
+    """Natural log of 1 / P(sign after sign) in text, from counted pairs (rows: sign before, 0 the start)."""
+    counted = pairs.reshape(_WIDTH, _WIDTH)[:, 1:]
+    chance = (counted + PRIOR_WEIGHT * _prior()) / (counted.sum(1, keepdims=True) + PRIOR_WEIGHT)
+    return (-np.log((1 - UNIFORM) * chance + UNIFORM / len(_SIGNS))).tolist()
+
+
+PRIOR_COSTS = sign_costs(np.zeros(_WIDTH * _WIDTH))
+
+
+def count_pairs(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How often every sign follows every other (0: starts a run) in runs too short for a candidate."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_WIDTH * _WIDTH, np.int64)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for a, b in rounds(offsets):
+                part = _CODE[data[offsets[a] : offsets[b]]]
+                starts, ends, _ = runs((part > 0).view(np.uint8), offsets[a : b + 1] - offsets[a])
+                short = ends - starts < LEAST
+                long = np.zeros(len(part) + 1, np.int8)  # marks candidates
+                long[starts[~short]] = 1
+                long[ends[~short]] -= 1
+                before = np.concatenate([[0], part[:-1]]).astype(np.int64)
+                before[starts] = 0
+                kept = (part > 0) & (np.cumsum(long[:-1]) == 0)
+                total += np.bincount(before[kept] * _WIDTH + part[kept], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # pairs of signs
+    total = np.zeros(_WIDTH * _WIDTH)
+    for r in found:
+        total[r["at"]] = r["n"]
+    return total
 
 
 def _tail(z: float) -> float:
@@ -78,17 +141,25 @@ def noncentral_head(x: float, k: int, shift: float) -> float:
     return _tail(-z)
 
 
-def battery(run: str) -> tuple[str, float]:
-    """The inferred encoding, and the probability that text looks so random (1: not random)."""
-    body = run.rstrip("=")
+def encoding_of(body: str) -> tuple[str, dict[str, int] | None]:
+    """The narrowest encoding of a run without padding, and its alphabet (None: cannot be tested)."""
     signs = set(body)
-    found = next(((name, index, excess) for name, index, alphabet, excess in _ENCODINGS if signs <= alphabet), None)
+    found = next(((name, index) for name, index, alphabet in _ENCODINGS if signs <= alphabet), None)
     if found is None:  # both base64 forms mixed
-        return "mixed", 1.0
-    name, index, excess = found
-    n, k = len(body), len(index)
-    if excess is None or name in ("lower", "upper") and n < LEAST_LETTERS or n < LEAST - 2:
+        return "mixed", None
+    name, index = found
+    if name == "digits" or name in ("lower", "upper") and len(body) < LEAST_LETTERS or len(body) < LEAST - 2:
+        return name, None
+    return name, index
+
+
+def battery(run: str, costs: list[list[float]] = PRIOR_COSTS) -> tuple[str, float]:
+    """The inferred encoding, and the probability that text looks so random (1: not random)."""
+    body = run.rstrip("=")
+    name, index = encoding_of(body)
+    if index is None:
         return name, 1.0
+    n, k = len(body), len(index)
     values = [index[c] for c in body]
     counts = [0] * k
     for v in values:
@@ -111,7 +182,9 @@ def battery(run: str) -> tuple[str, float]:
     combined = math.exp(-x / 2) * (1 + x / 2 + x * x / 8)
     if combined < 0.001:
         return name, 1.0
-    return name, min(1.0, max(noncentral_head(chi, k - 1, n * excess), 1e-300))
+    places = [_PLACE[c] for c in body]
+    ratio = sum(costs[a][b - 1] for a, b in zip([0, *places], places)) - n * math.log(k)
+    return name, min(1.0, _TESTABLE * math.exp(-min(ratio, 600.0)) if ratio > 0 else 1.0)
 
 
 def fixed_spans(text: str) -> list[tuple[int, int, str]]:
@@ -135,7 +208,7 @@ _CANDIDATE = StructType(
 _SPAN = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("kind", StringType())])
 
 
-def _scan(text: str) -> tuple[list, list]:
+def _scan(text: str, costs: list[list[float]] = PRIOR_COSTS) -> tuple[list, list]:
     base = fixed_spans(text)
     candidates = []
     for m in RUN.finditer(text):
@@ -143,14 +216,18 @@ def _scan(text: str) -> tuple[list, list]:
         # pure lower-case words are letters of one case: no candidates below their own least length
         if n < LEAST or n < LEAST_LETTERS and m.group().isalpha() and m.group()[1:].islower():
             continue
-        encoding, p = battery(m.group())
+        if encoding_of(m.group().rstrip("="))[1] is None:
+            continue
+        encoding, p = battery(m.group(), costs)
         candidates.append({"start": m.start(), "end": m.end(), "encoding": encoding, "length_class": n.bit_length() - 1, "p": p})
     return base, candidates
 
 
 def _add_tests(docs: DataFrame, text_col: str) -> DataFrame:
+    costs = sign_costs(count_pairs(docs, text_col))
+
     def work(batch: pa.RecordBatch) -> list:
-        found = [_scan(t or "") for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+        found = [_scan(t or "", costs) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         tests = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length_class", pa.int32()), ("p", pa.float64())]))
         return [

@@ -128,6 +128,27 @@ def test_battery():
     assert passed > 285
 
 
+def test_short_keys_are_found(spark, docs):
+    random, texts, cards = np.random.default_rng(11), {}, 335
+    for name, index, _ in secrets._ENCODINGS:
+        if name not in ("digits", "lower", "upper"):
+            for n in (16, 20, 24, 32):
+                texts |= {(name, n, i): "".join(random.choice(list(index), n)) for i in range(20)}
+    plain = ["SomeQuiteLongClassName42", "a-path-of-plain-words-2024", "DE44500105175407324931", "invoice_2023_0000012345", "+49-1512-3456789-001", "INV-2023-00012345-67", "docs/readme/chapter12/page7"]
+    plain += ["".join(random.choice(list("0123456789"), 16)) for _ in range(cards)]
+    keys = list(texts)
+    made = [(10_000 + i, f"see {t} here") for i, t in enumerate([*texts.values(), *plain])]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    found = {r["doc_id"]: r["spans"] for r in secrets.secrets_table(rows).collect() if r["doc_id"] is not None and r["doc_id"] >= 10_000}
+    hits = Counter(k[:2] for i, k in enumerate(keys) if found[10_000 + i] in (f"random:4:{4 + k[1]}", f"hex:4:{4 + k[1]}"))
+    assert min(hits[k[:2]] for k in keys) >= 18, hits
+    assert not any(found[10_000 + i] for i in range(len(keys), len(made))), [t for i, t in enumerate(plain) if found[10_000 + len(keys) + i]]
+    # a few keys among many numbers: numbers are no tests
+    few = spark.createDataFrame([(i, f"card {plain[-1 - i]}") for i in range(cards)] + [(1000 + i, texts["base62", 16, i]) for i in range(10)], "doc_id long, text string")
+    assert sum(bool(r["spans"]) for r in secrets.secrets_table(few).collect()) >= 9
+    assert not secrets._scan("4000038985693383 " + "x" * 20 + " a-b/c_d-e/f_g-h/i_j")[1]
+
+
 # ------------------------------------------------------------ 2: quality
 
 
