@@ -144,7 +144,7 @@ def _board_sql(task: str, target: str, models_: str) -> str:
     return f"""SELECT '{task}' AS task, '{target}' AS target, unnest([{models_}]) AS model, true AS one_champion, true AS champion_is_best, true AS finite"""
 
 
-def _board(t: models.Tournament, spark):
+def _board_checks(t: models.Tournament, spark):
     board = t.leaderboard_df(spark)
     rivals = board.filter(F.col("model") != t.leaderboard[0][0])
     best = rivals.agg(F.max("score")).scalar()
@@ -159,20 +159,30 @@ def _board(t: models.Tournament, spark):
     )
 
 
+@query("regression_tournament")
+def regression_tournament(spark, sf):
+    return models.regression_tournament(_parts(spark, sf), "p_retailprice").leaderboard_df(spark)
+
+
 @query(
-    "regression_tournament",
+    "regression_tournament_checks",
     _board_sql("regression", "p_retailprice", "'Baseline', 'LinearRegression', 'Ridge', 'RandomForestRegressor', 'GradientBoostingRegressor'"),
 )
-def regression_tournament(spark, sf):
-    return _board(models.regression_tournament(_parts(spark, sf), "p_retailprice"), spark)
+def regression_tournament_checks(spark, sf):
+    return _board_checks(models.regression_tournament(_parts(spark, sf), "p_retailprice"), spark)
+
+
+@query("classification_tournament")
+def classification_tournament(spark, sf):
+    return models.classification_tournament(Profile(_labelled(spark, sf)), "quality").leaderboard_df(spark)
 
 
 @query(
-    "classification_tournament",
+    "classification_tournament_checks",
     _board_sql("classification", "quality", "'Baseline', 'LogisticRegression', 'RandomForestClassifier', 'GaussianNB'"),
 )
-def classification_tournament(spark, sf):
-    return _board(models.classification_tournament(Profile(_labelled(spark, sf)), "quality"), spark)
+def classification_tournament_checks(spark, sf):
+    return _board_checks(models.classification_tournament(Profile(_labelled(spark, sf)), "quality"), spark)
 
 
 @query("stratified_folds", "SELECT CAST(fold AS INTEGER) AS fold, event_type, true AS even FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest([0, 1, 2, 3, 4]) AS fold)")
@@ -213,7 +223,7 @@ def model_store(spark, sf):
     return models.run_history(spark, root, "orders").drop("path", "version")
 
 
-@query("batch_score", "SELECT o_orderkey, true AS scored FROM orders")
+@query("batch_score")
 def batch_score(spark, sf):
     from pyspark.ml import PipelineModel
 
@@ -222,15 +232,17 @@ def batch_score(spark, sf):
     path = models.save_model(spark, t, scratch_path(spark, "models"), "orders")
     lacking = table(spark, sf, "orders").drop("o_orderpriority")
     scored = models.batch_score(PipelineModel.load(path), lacking, t.task, models.choose_features(p, "o_totalprice").names)
-    return scored.select("o_orderkey", (F.col("prediction").isNotNull() & ~F.isnan("prediction")).alias("scored"))
+    return scored.select("o_orderkey", "prediction")
 
 
-@query(
-    "class_scores",
-    "SELECT doc_id, true AS known_class, true AS sure FROM documents JOIN labels USING (doc_id)",
-)
+@query("batch_score_checks", "SELECT o_orderkey, true AS scored FROM orders")
+def batch_score_checks(spark, sf):
+    return batch_score(spark, sf).select("o_orderkey", (F.col("prediction").isNotNull() & ~F.isnan("prediction")).alias("scored"))
+
+
+@query("class_scores")
 def class_scores(spark, sf):
-    """A stored classifier returns class names, and the confidence of the likeliest class, for every row."""
+    """Class names, and the confidence of the likeliest class, of a stored classifier for every row."""
     from pyspark.ml import PipelineModel
 
     df = _labelled(spark, sf)
@@ -238,15 +250,31 @@ def class_scores(spark, sf):
     t = models.classification_tournament(p, "quality")
     path = models.save_model(spark, t, scratch_path(spark, "models"), "labels")
     scored = models.batch_score(PipelineModel.load(path), df.drop("quality"), t.task, models.choose_features(p, "quality").names)
+    return scored.select("doc_id", "prediction", "confidence")
+
+
+@query(
+    "class_scores_checks",
+    "SELECT doc_id, true AS known_class, true AS sure FROM documents JOIN labels USING (doc_id)",
+)
+def class_scores_checks(spark, sf):
+    """Every row has a known class, at the confidence that the likeliest of two has."""
+    scored = class_scores(spark, sf)
     return scored.select("doc_id", F.col("prediction").isin("0", "1").alias("known_class"), (F.col("confidence").between(0.5, 1.0)).alias("sure"))
 
 
-@query("segments", "SELECT true AS k_in_range, true AS segments_match, count(*) AS rows FROM customer")
+@query("segments")
 def segments(spark, sf):
+    """Size and mean balance of every segment, and the number of segments asked for."""
     _, out, k = models.segments(Profile(table(spark, sf, "customer")))
-    sizes = out.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"))
-    return sizes.agg(
-        F.lit(2 <= k <= 6).alias("k_in_range"),
+    return out.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"), F.avg("c_acctbal").alias("mean_acctbal")).withColumn("k", F.lit(k))
+
+
+@query("segments_checks", "SELECT true AS k_in_range, true AS segments_match, count(*) AS rows FROM customer")
+def segments_checks(spark, sf):
+    k = F.max("k")
+    return segments(spark, sf).agg(
+        k.between(2, 6).alias("k_in_range"),
         ((F.count(F.lit(1)) == k) & (F.min("segment") == 0) & (F.max("segment") == k - 1)).alias("segments_match"),
         F.sum("rows").alias("rows"),
     )

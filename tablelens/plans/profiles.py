@@ -367,19 +367,24 @@ def overview_columns(spark, sf):
     return out.select("position", "column", "null_count", "role", "dtype_category", "cardinality", "cardinality_ratio")
 
 
+@query("outlier_values")
+def outlier_values(spark, sf):
+    """The first values outside the fences of every column, with their row keys."""
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
+    # One measure with few distinct values besides the keys, so that it is no identifier.
+    df = inputs.li_spikes(spark, sf).withColumn("price", F.col("l_extendedprice"))
+    return prof.outlier_values(Profile(df.unionByName(df)), keys)
+
+
 @query(
-    "outlier_values",
+    "outlier_values_checks",
     f"""WITH {inputs.LI_SPIKES}, q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM li_spikes),
     r AS (SELECT l_extendedprice, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS rank FROM (FROM li_spikes UNION ALL FROM li_spikes), q
       WHERE l_extendedprice < a - 1.5 * (b - a) OR l_extendedprice > b + 1.5 * (b - a))
     SELECT 'price' AS "column", l_extendedprice AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
 )
-def outlier_values(spark, sf):
-    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
-    # One measure with few distinct values besides the keys, so that it is no identifier.
-    df = inputs.li_spikes(spark, sf).withColumn("price", F.col("l_extendedprice"))
-    p = Profile(df.unionByName(df))
-    found = prof.outlier_values(p, keys).filter(F.col("column") == "price")
+def outlier_values_checks(spark, sf):
+    found = outlier_values(spark, sf).filter(F.col("column") == "price")
     return found.select("column", "value", "rank")
 
 

@@ -54,11 +54,16 @@ def vector_topk_batch(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
+@query("text_embed")
+def text_embed(spark, sf):
+    return vectors.text_embed(table(spark, sf, "documents"), "text").select("doc_id", "embedding")
+
+
 @query(
-    "text_embed",
+    "text_embed_checks",
     "SELECT doc_id, CAST(384 AS INTEGER) AS dimensions, true AS unit_length FROM documents",
 )
-def text_embed(spark, sf):
+def text_embed_checks(spark, sf):
     """The size of every vector, and whether its length is one (zero where a text has no word)."""
     found = vectors.text_embed(table(spark, sf, "documents"), "text")
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
@@ -324,8 +329,17 @@ def profile_narrative(spark, sf):
     return insights.profile_narrative(p).select("rank", "title", "narrative", "causal_factor")
 
 
+@query("context_summary")
+def context_summary(spark, sf):
+    df = inputs.cust_geo(spark, sf)
+    p = Profile(df)
+    k = dashboard.kpis(df, "c_acctbal", ["c_custkey"], "c_mktsegment", "region")
+    found = forest.univariate_anomalies(df, "c_acctbal", ["c_custkey"], category="c_mktsegment", geo="region")
+    return insights.context_summary(p, k, found, "customers", "region", "c_acctbal")
+
+
 @query(
-    "context_summary",
+    "context_summary_checks",
     f"""{typed_sql('cust_geo')}, a AS (SELECT count(*) AS n, sum(c_acctbal) AS t, avg(c_acctbal) AS m FROM customer),
     d AS (SELECT *, cat IN ('categorical', 'datetime') OR role IN ('geo', 'temporal') AS dim FROM typed),
     v AS (SELECT nation AS x, count(*) AS n FROM cust_geo GROUP BY 1 ORDER BY n DESC, x LIMIT 10),
@@ -341,13 +355,9 @@ def profile_narrative(spark, sf):
     UNION ALL SELECT 11, 'Metric average_' || "column" || ': avg of ' || "column" FROM d WHERE NOT dim AND cat = 'numeric'
     UNION ALL SELECT 12, 'Dimension ' || "column" || ': ' || "column" FROM d WHERE dim""",
 )
-def context_summary(spark, sf):
+def context_summary_checks(spark, sf):
     """The lines that plain SQL can state: all but growth (5) and the anomalies of a forest (9, 10)."""
-    df = inputs.cust_geo(spark, sf)
-    p = Profile(df)
-    k = dashboard.kpis(df, "c_acctbal", ["c_custkey"], "c_mktsegment", "region")
-    found = forest.univariate_anomalies(df, "c_acctbal", ["c_custkey"], category="c_mktsegment", geo="region")
-    return insights.context_summary(p, k, found, "customers", "region", "c_acctbal").filter(~F.col("position").isin(5, 9, 10))
+    return context_summary(spark, sf).filter(~F.col("position").isin(5, 9, 10))
 
 
 # Name words of the metric that is forecast first.
