@@ -8,19 +8,21 @@ words of a document meet their counts in a join.  The ``frequent`` most counted
 words (a bounded table) are looked up in the scan; only the others are
 shuffled, once per document and word.
 
-Hidden Markov model: every token has a class.  The ``classes - 2`` most counted
-words are classes of their own, the end is one, and all other tokens, known or
-not, are one.  Latent states emit classes; a class emits its tokens by the base
-model.  So p(text) = sum over state paths of the transition and class
-probabilities, times the product of p(w)/p(class of w).  Baum-Welch trains the
-states: every task runs scaled forward and backward recursions over windows of
-its training documents and returns expected counts; Spark sums them; the driver
-sees states x (states + classes) numbers a round.  Scoring runs the scaled
-forward recursion over each whole document.
+Hidden Markov model: latent states emit tokens, and every training word has its
+own emission probability in every state.  They are kept as ratios to the base
+model, r(w) = p(w | state)/p(w).  Ratios of the head of the vocabulary (a bounded
+table) are an array; those of all other words are columns of a stored table that
+is joined to the texts by word.  Unknown words have ratio 1.  So p(text) = base
+score times the sum over state paths of moves and ratios.  Baum-Welch trains the
+states: every task runs scaled forward and backward recursions over its whole
+training texts and returns expected counts by word; Spark sums them.  With E(w)
+the expected count of a word in a state and T that state's total, r(w) =
+(E(w) N/T + 1)/(c+1): each state is smoothed like the base model, and sums to 1.
+Scoring runs the scaled forward recursion over each whole document.
 
 Null and empty texts are the end alone.  Null ids fall in fold 0; repeated rows
 are scored each.  With no training documents N = V = 0, and the score is the
-base score (one class).
+base score.
 """
 
 from __future__ import annotations
@@ -34,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
-from tablelens.llm.common import LOWER, WHITE, extend, fold, rounds, runs, span_hashes, stored, text_bytes, word_hash
+from tablelens.llm.common import LOWER, WHITE, extend, fold, mix, rounds, runs, span_hashes, stored, text_bytes, word_hash
 
 STATES = 4
-CLASSES = 2_048
 FREQUENT = 1 << 18
+CLASSES = FREQUENT + 2  # the head, the end and the unknown: what the array of ratios holds
 STEPS = 3
-SEGMENT = 64  # tokens of a training window
-END, REST = 0, 1
+SEGMENT = 64  # tokens of a window where windows are asked for
+ROUND_TOKENS = 1 << 20  # tokens of one round of recursions (one longer text is one round)
+END, UNKNOWN = 0, 1
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -87,18 +90,18 @@ def _lookup(hashes: np.ndarray, keys: np.ndarray, order: np.ndarray) -> np.ndarr
     return np.where(keys[place] == hashes, order[place], -1)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, classes: int = CLASSES, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """Append what later passes need of each text.
 
-    ``classes`` (16-bit class numbers, the end last), ``n_tokens``, ``n_head``
-    and ``head_log`` (count, and sum of log10(c+1), of tokens in the head), and
-    ``rest``: the other words with their number in the text.
+    ``codes`` (32 bits a token, the end last: place in the head plus 2, or -1
+    minus the place in ``rest``), ``n_tokens``, ``n_head`` and ``head_log`` (count,
+    and sum of log10(c+1), of tokens in the head), and ``rest``: the other words
+    with their number in the text.
     """
     hashes = np.array([word_hash(w) for w in vocabulary.words], np.uint64)
     order = np.argsort(hashes)
     keys = hashes[order]
     logs = np.log10(vocabulary.numbers + 1.0)
-    own = classes - 2
 
     def work(batch: pa.RecordBatch) -> list:
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
@@ -113,24 +116,28 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, classes: int = CLASSES, text
             count = np.bincount(text, minlength=n)
             first = np.cumsum(count) - count
             # one place more for the end of every text
-            code = np.full(len(text) + n, END, np.int16)
-            code[np.arange(len(text)) + text] = np.where(inside & (rank < own), rank + 2, REST)
+            code = np.full(len(text) + n, END, np.int32)
+            spot = np.arange(len(text)) + text
+            code[spot] = rank + 2
             bounds = np.append(first + np.arange(n), len(code))
-            coded += [code[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             tokens.append(count + 1)
             known.append(np.bincount(text[inside], minlength=n))
             gain.append(np.bincount(text[inside], weights=logs[rank[inside]], minlength=n))
             raw, others = part.tobytes(), np.flatnonzero(~inside)
-            found: list[dict[str, int]] = [{} for _ in range(n)]
+            found: list[dict[str, list[int]]] = [{} for _ in range(n)]
+            places = []
             for t, x, y in zip(text[others].tolist(), starts[others].tolist(), ends[others].tolist()):
-                word = raw[x:y].decode("utf-8", "replace")
-                found[t][word] = found[t].get(word, 0) + 1
-            rest += [[{"word": w, "n": k} for w, k in f.items()] for f in found]
+                have = found[t].setdefault(raw[x:y].decode("utf-8", "replace"), [len(found[t]), 0])
+                have[1] += 1
+                places.append(-1 - have[0])
+            code[spot[others]] = places
+            coded += [code[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            rest += [[{"word": w, "n": k} for w, (_, k) in f.items()] for f in found]
         kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
         return [pa.array(coded, pa.binary()), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(known)), pa.array(np.concatenate(gain)), pa.array(rest, kind)]
 
     pair = StructType([StructField("word", StringType()), StructField("n", LongType())])
-    fields = [StructField("classes", BinaryType()), StructField("n_tokens", LongType()), StructField("n_head", LongType()), StructField("head_log", DoubleType()), StructField("rest", ArrayType(pair))]
+    fields = [StructField("codes", BinaryType()), StructField("n_tokens", LongType()), StructField("n_head", LongType()), StructField("head_log", DoubleType()), StructField("rest", ArrayType(pair))]
     return extend(docs, fields, work)
 
 
@@ -138,42 +145,45 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, classes: int = CLASSES, text
 class HiddenMarkov:
     start: np.ndarray  # states
     move: np.ndarray  # states x states
-    emit: np.ndarray  # states x classes
+    emit: np.ndarray  # states x kinds of tokens (probabilities, or ratios to the base model)
 
 
-def class_shares(vocabulary: Vocabulary, classes: int = CLASSES) -> np.ndarray:
-    """Base probability of every class (the unknown token is in the rest)."""
-    shares = np.zeros(classes)
-    bottom = vocabulary.total + vocabulary.distinct + 1
-    own = vocabulary.numbers[: classes - 2]
-    shares[2 : 2 + len(own)] = (own + 1) / bottom
-    shares[END] = (vocabulary.ends + 1) / bottom if vocabulary.ends else 0.0
-    shares[REST] = 1 - shares.sum()
-    return shares
+def _first_ratios(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, states: int) -> np.ndarray:
+    """Ratios between 0.5 and 1.5 for the words in the spans, words x states, by the words' hashes."""
+    hashes = span_hashes(data, starts, ends)
+    return np.stack([0.5 + (mix(hashes + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)) / 2.0**53 for s in range(states)], 1)
 
 
-def _first_guess(shares: np.ndarray, states: int) -> HiddenMarkov:
-    random = np.random.default_rng(7)
-    emit = shares * random.uniform(0.5, 1.5, (states, len(shares)))
-    move = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
-    return HiddenMarkov(np.full(states, 1 / states), move, emit / emit.sum(1, keepdims=True))
+def _first_tail(pairs: DataFrame, states: int) -> DataFrame:
+    """word, c, r0, r1, ...: first ratios of the words outside the head."""
+
+    def work(batch: pa.RecordBatch) -> list:
+        data, offsets = text_bytes(batch.column(batch.schema.get_field_index("word")))
+        return list(_first_ratios(data, offsets[:-1], offsets[1:], states).T)
 
+    return extend(pairs.select("word", "c").distinct(), [StructField(n, DoubleType()) for n in _ratio_names(states)], lambda b: [pa.array(np.ascontiguousarray(x)) for x in work(b)])
 
-def expected_counts(codes: list[np.ndarray], model: HiddenMarkov) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions, and the log likelihood, over windows of the sequences."""
+
+def _ratio_names(states: int) -> list[str]:
+    return [f"r{s}" for s in range(states)]
+
+
+def expected_counts(codes: list[np.ndarray], model: HiddenMarkov, segment: int | None = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions, and the log likelihood, over windows of the sequences (None: over whole sequences)."""
     states, kinds = model.emit.shape
     start, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((states, kinds)), 0.0
     flat = np.concatenate(codes).astype(np.int64)
     sizes = np.array([len(c) for c in codes])
     base = np.cumsum(sizes) - sizes
-    windows = (sizes + SEGMENT - 1) // SEGMENT
+    segment = segment or int(sizes.max())
+    windows = (sizes + segment - 1) // segment
     owner = np.repeat(np.arange(len(sizes)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    begin, size = base[owner] + inside * SEGMENT, np.minimum(SEGMENT, sizes[owner] - inside * SEGMENT)
+    begin, size = base[owner] + inside * segment, np.minimum(segment, sizes[owner] - inside * segment)
     order = np.argsort(-size, kind="stable")  # longest first: those still running are a prefix
     begin, size = begin[order], size[order]
-    for low in range(0, len(begin), 8192):
-        at, n = begin[low : low + 8192], size[low : low + 8192]
+    for low, high in rounds(np.concatenate([[0], np.cumsum(size)]), ROUND_TOKENS):
+        at, n = begin[low:high], size[low:high]
         live = [int(np.searchsorted(-n, -t, side="left")) for t in range(int(n[0]))]  # windows longer than t
         seen, alphas, scales = [], [], []
         for t, k in enumerate(live):
@@ -183,50 +193,105 @@ def expected_counts(codes: list[np.ndarray], model: HiddenMarkov) -> tuple[np.nd
             s = a.sum(0)
             seen.append(c), alphas.append(a / s), scales.append(s)
             log += float(np.log(s).sum())
-        beta = np.ones((states, live[-1]))
+        beta, gammas = np.ones((states, live[-1])), []
         for t in range(len(live) - 1, -1, -1):
             k = live[t]
             if beta.shape[1] < k:
                 beta = np.concatenate([beta, np.ones((states, k - beta.shape[1]))], 1)
             gamma = alphas[t] * beta
-            for i in range(states):
-                emit[i] += np.bincount(seen[t], weights=gamma[i], minlength=kinds)
+            gammas.append(gamma)
             if t == 0:
                 start += gamma.sum(1)
             else:
                 back = model.emit[:, seen[t]] * beta / scales[t]
                 move += model.move * (alphas[t - 1][:, :k] @ back.T)
                 beta = model.move @ back
+        kind, gamma = np.concatenate(seen[::-1]), np.concatenate(gammas, 1)
+        for i in range(states):
+            emit[i] += np.bincount(kind, weights=gamma[i], minlength=kinds)
     return start, move, emit, log
 
 
-def train(encoded: DataFrame, shares: np.ndarray, states: int = STATES, steps: int = STEPS) -> tuple[HiddenMarkov, list[float]]:
-    """Baum-Welch over all rows of ``encoded``; the model and the log likelihood before each step."""
-    model, history, kinds = _first_guess(shares, states), [], len(shares)
+def _with_ratios(coded: DataFrame, pairs: DataFrame | None, tail: DataFrame | None, states: int) -> DataFrame:
+    """Append ``seen``: place in ``rest`` and ratios of every known word outside the head."""
+    names = _ratio_names(states)
+    if pairs is None:
+        kind = "array<struct<place:int," + ",".join(f"{n}:double" for n in names) + ">>"
+        return coded.withColumn("seen", F.lit(None).cast(kind))
+    seen = pairs.select("row", "place", "word").join(tail.select("word", *names), "word").groupBy("row").agg(F.collect_list(F.struct("place", *names)).alias("seen"))
+    return coded.join(seen, "row", "left")
+
+
+def _tables(batch: pa.RecordBatch, head: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The codes of a batch as rows of one table of ratios: the head's, then those of each text's other words."""
+    get = lambda name: batch.column(batch.schema.get_field_index(name))
+    others = get("n_rest").to_numpy(zero_copy_only=False).astype(np.int64)
+    base = len(head) + np.cumsum(others) - others
+    table = np.concatenate([head, np.ones((int(others.sum()), head.shape[1]))])
+    seen = get("seen")
+    place, *ratios = seen.flatten().flatten()
+    lengths = seen.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    table[np.repeat(base, lengths) + place.to_numpy(zero_copy_only=False)] = np.stack([r.to_numpy(zero_copy_only=False) for r in ratios], 1)
+    codes = [np.frombuffer(c, np.int32).astype(np.int64) for c in get("codes").to_pylist()]
+    return [np.where(c < 0, b - 1 - c, c) for c, b in zip(codes, base.tolist())], table
+
+
+def train(coded: DataFrame, pairs: DataFrame | None, vocabulary: Vocabulary, states: int = STATES, steps: int = STEPS) -> tuple[HiddenMarkov, DataFrame | None, list[float]]:
+    """Baum-Welch over all rows of ``coded``: the model over the head, the ratios of all other words, and what the states add to the log likelihood before each step."""
+    names, known = _ratio_names(states), len(vocabulary.words)
+    data, offsets = text_bytes(pa.array(vocabulary.words, pa.string()))
+    head = np.concatenate([np.ones((2, states)), _first_ratios(data, offsets[:-1], offsets[1:], states) if known else np.ones((0, states))])
+    counts = np.concatenate([[vocabulary.ends, 0], vocabulary.numbers]).astype(float)
+    mass = ((counts + 1)[:, None] * head).sum(0)
+    tail = None
+    if pairs is not None:
+        tail = stored(_first_tail(pairs, states), "ratios")
+        mass = mass + np.array(tail.agg(*[F.coalesce(F.sum((F.col("c") + 1) * F.col(n)), F.lit(0.0)) for n in names]).first())
+    scale = (vocabulary.total + vocabulary.distinct + 1) / mass
+    head = head * scale
+    if tail is not None:
+        tail = tail.select("word", "c", *[(F.col(n) * F.lit(float(z))).alias(n) for n, z in zip(names, scale)])
+    move = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
+    model, history = HiddenMarkov(np.full(states, 1 / states), move, head.T), []
+    schema = "at long, word string, " + ", ".join(f"{n} double" for n in names)
     for _ in range(steps):
-        now = model
+        held = coded.sparkSession.sparkContext.broadcast(model)  # bounded by the head
 
-        def count(batches: Iterator[pa.RecordBatch], now: HiddenMarkov = now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(states + states * states + states * kinds + 1)
+        def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            now = held.value
+            size = now.emit.shape[1]
+            # rows: tokens of the head, starts, moves, totals, log likelihood
+            sums = np.zeros((size + states + 3, states))
             for batch in batches:
-                codes = [np.frombuffer(c, np.int16) for c in batch.column(0).to_pylist()]
-                if codes:
-                    start, move, emit, log = expected_counts(codes, now)
-                    total += np.concatenate([start, move.ravel(), emit.ravel(), [log]])
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "value"])
-
-        rows = encoded.select("classes").mapInArrow(count, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        total = np.zeros(states + states * states + states * kinds + 1)
-        total[rows["at"].to_numpy()] = rows["value"].to_numpy()
-        start, rest = total[:states], total[states:-1]
-        move, emit = rest[: states * states].reshape(states, states), rest[states * states :].reshape(states, kinds)
-        # every class keeps a share, so no text is impossible
-        emit = emit + shares * states
-        start, move = start + 1 / states, move + 1 / states
-        model = HiddenMarkov(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-        history.append(float(total[-1]))
-    return model, history
+                if not batch.num_rows:
+                    continue
+                codes, table = _tables(batch, now.emit.T)
+                start, move, emit, log = expected_counts(codes, HiddenMarkov(now.start, now.move, table.T), None)
+                sums[:size] += emit[:, :size].T
+                sums[size] += start
+                sums[size + 1 : size + 1 + states] += move
+                sums[-2] += emit.sum(1)
+                sums[-1, 0] += log
+                words = batch.column(batch.schema.get_field_index("words")).flatten()
+                if len(words):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), words, *[pa.array(e) for e in emit[:, size:]]], names=["at", "word", *names])
+            at = np.flatnonzero(sums.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.string()), *[pa.array(v) for v in sums[at].T.copy()]], names=["at", "word", *names])
+
+        found = _with_ratios(coded, pairs, tail, states).select("codes", "n_rest", "seen", F.col("rest.word").alias("words")).mapInArrow(count, schema)
+        found = stored(found.groupBy("at", "word").agg(*[F.sum(n).alias(n) for n in names]), "expected")
+        rows = found.filter("word IS NULL").toPandas()
+        sums = np.zeros((len(head) + states + 3, states))
+        sums[rows["at"].to_numpy(np.int64)] = rows[names].to_numpy()
+        start, move, totals = sums[len(head)] + 1 / states, sums[len(head) + 1 : len(head) + 1 + states] + 1 / states, np.maximum(sums[-2], 1e-300)
+        share = vocabulary.total / totals
+        head = (sums[: len(head)] * share + 1) / (counts + 1)[:, None]
+        if tail is not None:
+            ratios = [((F.col(n) * F.lit(float(z)) + 1) / (F.col("c") + 1)).alias(n) for n, z in zip(names, share)]
+            tail = stored(found.filter("word IS NOT NULL").join(tail.select("word", "c"), "word").select("word", "c", *ratios), "ratios")
+        model = HiddenMarkov(start / start.sum(), move / move.sum(1, keepdims=True), head.T)
+        history.append(float(sums[-1, 0]))
+    return model, tail, history
 
 
 def forward(codes: list[np.ndarray], model: HiddenMarkov) -> np.ndarray:
@@ -247,14 +312,14 @@ def forward(codes: list[np.ndarray], model: HiddenMarkov) -> np.ndarray:
     return out
 
 
-def add_gain(encoded: DataFrame, model: HiddenMarkov, shares: np.ndarray, out: str = "gain") -> DataFrame:
-    """Append log10 p(classes) - sum of log10 p(class): what the states add to the base score."""
-    base = np.log10(np.maximum(shares, 1e-300))
+def add_gain(encoded: DataFrame, model: HiddenMarkov, out: str = "gain") -> DataFrame:
+    """Append what the states add to the base score (log10)."""
+    held = encoded.sparkSession.sparkContext.broadcast(model)  # bounded by the head
 
     def work(batch: pa.RecordBatch) -> list:
-        codes = [np.frombuffer(c, np.int16) for c in batch.column(batch.schema.get_field_index("classes")).to_pylist()]
-        plain = np.array([base[c].sum() for c in codes])
-        return [pa.array(forward(codes, model) / math.log(10) - plain)]
+        now = held.value
+        codes, table = _tables(batch, now.emit.T)
+        return [pa.array(forward(codes, HiddenMarkov(now.start, now.move, table.T)) / math.log(10))]
 
     return extend(encoded, [StructField(out, DoubleType())], work)
 
@@ -265,21 +330,19 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     Returns id, training, n_tokens, n_known, train_tokens, base_score, score.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    vocabulary = count_words(texts.filter("training"), "text", frequent)
-    shares = class_shares(vocabulary, classes)
-    coded = stored(encode(texts, vocabulary, classes).drop("text").withColumn("row", F.monotonically_increasing_id()), "encoded")
-    model, _ = train(coded.filter("training"), shares, states, steps) if vocabulary.ends else (_first_guess(shares, states), [])
+    vocabulary = count_words(texts.filter("training"), "text", min(frequent, classes - 2))
+    coded = stored(encode(texts, vocabulary).drop("text").withColumns({"row": F.monotonically_increasing_id(), "n_rest": F.size("rest")}), "encoded")
+    pairs = coded.select("row", "training", F.posexplode("rest").alias("place", "r")).select("row", "training", "place", "r.word", "r.n").join(vocabulary.counts, "word")
+    pairs = stored(pairs, "pairs")
+    rare = pairs.groupBy("row").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
+    gained = coded.select("id", "training", "row", "n_tokens", "n_head", "head_log")
     if vocabulary.ends:
-        gained = add_gain(coded.select("id", "training", "row", "n_tokens", "n_head", "head_log", "classes"), model, shares).drop("classes")
+        some = None if pairs.isEmpty() else pairs
+        model, tail, _ = train(coded.filter("training").select("row", "codes", "n_rest", "rest"), some.filter("training") if some is not None else None, vocabulary, states, steps)
+        whole = _with_ratios(coded.select("id", "training", "row", "n_tokens", "n_head", "head_log", "codes", "n_rest"), some, tail, states)
+        gained = add_gain(whole, model).drop("codes", "n_rest", "seen")
     else:
-        gained = coded.select("id", "training", "row", "n_tokens", "n_head", "head_log").withColumn("gain", F.lit(0.0))
-    rare = (
-        coded.select("row", F.explode("rest").alias("r"))
-        .select("row", "r.word", "r.n")
-        .join(vocabulary.counts, "word")
-        .groupBy("row")
-        .agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
-    )
+        gained = gained.withColumn("gain", F.lit(0.0))
     end_log, bottom = math.log10(vocabulary.ends + 1), math.log10(vocabulary.total + vocabulary.distinct + 1)
     base = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(bottom)
     return gained.join(rare, "row", "left").select(

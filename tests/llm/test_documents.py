@@ -234,6 +234,28 @@ def test_baum_welch_climbs():
     assert all(b >= a - 1e-9 for a, b in zip(logs, logs[1:]))
 
 
+def test_every_training_word_has_its_own_emissions(spark, docs):
+    # ratios from the stored table are those of the array in memory, and rare words learn
+    texts, training = docs.select("doc_id", "text"), F.col("doc_id") % 7 != 2
+    scores = [{r["doc_id"]: (r["score"], r["base_score"]) for r in language_model.score_texts(texts, training, classes=k).collect()} for k in (40, 1 << 18)]
+    assert all(np.allclose(scores[0][i], scores[1][i], atol=1e-6) for i in scores[1])
+    # two topics share no word, each word stands in few texts: only own emissions tell them apart
+    random = np.random.default_rng(2)
+    topic = [[f"{t}{i}" for i in range(400)] for t in "ab"]
+    made = spark.createDataFrame([(i, " ".join(random.choice(topic[i % 2], 100))) for i in range(200)], "doc_id long, text string")
+    rows = language_model.score_texts(made, F.lit(True), classes=12, steps=8).collect()
+    assert np.mean([r["score"] - r["base_score"] for r in rows]) > 10
+
+
+def test_whole_sequences_carry_the_state():
+    random = np.random.default_rng(6)
+    model = language_model.HiddenMarkov(random.dirichlet(np.ones(3)), random.dirichlet(np.ones(3), 3), random.dirichlet(np.ones(5), 3))
+    codes = [random.integers(0, 5, n) for n in (200, 65, 3)]
+    start, move, emit, log = language_model.expected_counts(codes, model, None)
+    assert abs(start.sum() - 3) < 1e-9 and abs(move.sum() - 265) < 1e-6 and abs(emit.sum() - 268) < 1e-6
+    assert abs(log - language_model.forward(codes, model).sum()) < 1e-6
+
+
 # -------------------------------------------------------------- 6: mixing
 
 
