@@ -194,6 +194,12 @@ def order_stats(
     return [[r.low for r in group] for group in ranges]
 
 
+def _sorted_at(value: Column, ranks: list[int]) -> Column:
+    """The non-null values at 0-based ranks, from at most ``FINAL_ROWS`` values."""
+    values = F.sort_array(F.collect_list(value))
+    return F.array(*[F.get(values, F.lit(r)) for r in ranks])
+
+
 def exact_quantiles(
     df: DataFrame,
     probs: dict[str, list[float]],
@@ -214,10 +220,6 @@ def exact_quantiles(
         return {}
     if rows is None:
         rows = df.count()
-    if rows <= final_rows:
-        names = list(probs)
-        out = _aggregate(df, [F.percentile(exprs[n], [float(p) for p in probs[n]]) for n in names])
-        return {n: (list(v) if v is not None else [None] * len(probs[n])) for n, v in zip(names, out)}
     names = list(probs)
     if known is not None and all(n in known and known[n][2] == known[n][2] for n in names):
         seen = [x for n in names for x in known[n]]
@@ -237,7 +239,10 @@ def exact_quantiles(
         at = 3 * names.index(n)
         spans += seen[at + 1 : at + 3]
         keep.append(n)
-    values = dict(zip(keep, order_stats(df, wanted, sizes, final_rows, spans=spans)))
+    if rows <= final_rows:  # few enough values to sort in one go; what becomes of the two ranks is the same
+        values = dict(zip(keep, _aggregate(df, [_sorted_at(e, r) for e, r in wanted]))) if keep else {}
+    else:
+        values = dict(zip(keep, order_stats(df, wanted, sizes, final_rows, spans=spans)))
     result = {}
     for n in names:
         if counts[n] == 0:

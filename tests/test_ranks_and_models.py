@@ -38,6 +38,12 @@ def test_quantiles_match_numpy(shapes, final_rows):
         assert found[n] == pytest.approx(list(np.quantile(values, probs)), rel=1e-9, abs=1e-9)
 
 
+def test_quantiles_are_the_same_at_all_sizes(shapes):
+    probs = {n: [0.01, 0.1, 1 / 3, 0.77, 0.9] for n in SHAPES}
+    small, large = (ranks.exact_quantiles(shapes, probs, final_rows=n) for n in (10_000, 2999))
+    assert small == large  # to the last bit
+
+
 def test_cutoffs_with_hot_key(shapes):
     ordered = pd.DataFrame(SHAPES | {"id": np.arange(N)}).sort_values(["hot", "id"])
     wanted = [0, 1000, 1500, 2999]
