@@ -242,10 +242,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with system.open_input_file(inner) as source:
                 reader = _At(source)
                 members = read_members(reader, source.size())
-                data, index = members[DATA], members[INDEX]
                 rows = []
-                for line in reader.read_at(index.size, index.start).decode().splitlines():
-                    offset, length = map(int, line.split("\t"))
+                for data, offset, length in _places(reader, members):
                     fields, payload = parse_record(reader.read_at(length, data.start + offset))
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     refers = fields.get("x-refers-to-page-id")
@@ -260,6 +258,26 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out(rows)
 
 
+def archive_pairs(names) -> list[tuple[str, str]]:
+    """Every member below archive/ with its index below indexes/: of the same name up to the first dot, else the one left over."""
+    stem = lambda name: name.rsplit("/", 1)[1].split(".")[0]
+    found = sorted(n for n in names if n.startswith("archive/") and not n.endswith("/"))
+    free = {stem(n): n for n in names if n.startswith("indexes/") and not n.endswith("/")}
+    pairs = [(n, free.pop(stem(n))) for n in found if stem(n) in free]
+    alone = sorted(set(found) - {n for n, _ in pairs})
+    if len(alone) != len(free) or len(alone) > 1:
+        raise ValueError(f"archives {alone} and indexes {sorted(free.values())} do not belong together")
+    return pairs + list(zip(alone, free.values()))
+
+
+def _places(reader, members: dict) -> Iterator[tuple]:
+    """The archive member, offset and length of every record, by the members' own indexes."""
+    for name, index in archive_pairs(members):
+        place = members[index]
+        for line in reader.read_at(place.size, place.start).decode().splitlines():
+            yield members[name], *map(int, line.split("\t"))
+
+
 class _At:
     """Range reads of an open file."""
 

@@ -163,6 +163,22 @@ def test_zip_directories(big):
     assert source.read < 70_000
 
 
+def test_all_archive_members_are_read(tmp_path):
+    import pyarrow as pa
+
+    made = []
+    for stem, keys in (("one", "12"), ("two", "345"), ("data", "6")):
+        records = [archives.record_bytes(k, "http://a.org/", k.encode(), hashlib.sha1(k.encode()).hexdigest(), 1, None) for k in keys]
+        starts = [sum(map(len, records[:i])) for i in range(len(records))]
+        index = "".join(f"{a}\t{len(r)}\n" for a, r in zip(starts, records))
+        made += [(f"archive/{stem}.warc", b"".join(records)), (f"indexes/{'index' if stem == 'data' else stem}.tsv", index.encode())]
+    (tmp_path / "a.wacz").write_bytes(b"".join(archives.zip_bytes([*made, ("other", b"x")])))
+    paths = pa.RecordBatch.from_arrays([pa.array([str(tmp_path / "a.wacz")])], names=["path"])
+    assert sorted(k for b in archives._read(iter([paths])) for k in b.column(0).to_pylist()) == list("123456")
+    with pytest.raises(ValueError, match="do not belong"):
+        archives.archive_pairs(["archive/a.warc", "archive/b.warc", "indexes/a.tsv"])
+
+
 def test_foreign_zip():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
