@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelens.llm import archives, decontaminate, language_model, mixing, order_minhash, quality, secrets, simhash, url_filter, wrappers
+from tablelens.llm import archives, decontaminate, language_model, licenses, merkle, mixing, order_minhash, quality, secrets, simhash, url_filter, wrappers
 from tablelens.llm.common import read_table
 
 
@@ -50,17 +50,94 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints_table(read_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and verified proofs of all documents."""
+    return merkle.manifest_table(read_table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and licence labels of all documents."""
+    return licenses.license_table(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_quality_classifier, op3_html_extraction, op4_language_model, op5_warc_archives,
-        op6_source_mixing, op7_decontamination, op8_simhash_dedup, op9_url_filter, op10_order_minhash,
+        op6_source_mixing, op7_decontamination, op8_simhash_dedup, op9_url_filter, op10_order_minhash, op12_merkle_manifest, op13_license_scan,
     )
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_POSTINGS = ", ".join(f"({t}, '{w}', {i}, {str(m).lower()})" for t, w, i, m in licenses.postings())
+_TEMPLATES = ", ".join(f"({t}, '{x.label}', {len(x.text.split())})" for t, x in enumerate(licenses.TEMPLATES))
+_FUNCTION_WORDS = ", ".join(f"'{w}'" for w in licenses.FUNCTION_WORDS)
+_BASE_PLACES = " UNION ALL ".join(
+    f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM spread WHERE w[i : i + {len(p.split()) - 1}] = {p.split()!r}" for p, label in licenses.BASE
+)
+
+
+def _field(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in merkle.FIELDS) + ")"
+_TAMPERED = "sha256(" + " || ".join(_field("replace(text, chr(10), '')" if c == "text" else c) for c in merkle.FIELDS) + ")"
+
 CHECKS: dict[str, str] = {
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE
+     bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+              lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+     sums AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+              lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc FROM documents, bits),
+     leaves AS (SELECT doc_id, source, {_LEAF} AS leaf, CASE WHEN crc % 2 = 0 THEN {_TAMPERED} ELSE {_LEAF} END AS kept,
+                       dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+                       row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx
+                FROM documents JOIN sums USING (doc_id)),
+     up AS (SELECT tree, 0 AS lvl, idx, leaf AS d, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+            UNION ALL
+            SELECT tree, lvl + 1, idx // 3, sha256(string_agg(d, '' ORDER BY idx)), (max(n) + 2) // 3 FROM up WHERE n > 1 GROUP BY tree, lvl, idx // 3),
+     top AS (SELECT 0 AS lvl, tree AS idx, d, count(*) OVER () AS n FROM up WHERE n = 1
+             UNION ALL
+             SELECT lvl + 1, idx // 3, sha256(string_agg(d, '' ORDER BY idx)), (max(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, idx // 3),
+     height AS (SELECT tree, max(lvl) AS h, max(d) FILTER (n = 1) AS subroot FROM up GROUP BY tree),
+     step AS (SELECT doc_id, lvl AS k, coalesce(string_agg(d, '' ORDER BY up.idx) FILTER (up.idx < l.idx // CAST(pow(3, lvl) AS BIGINT)), '') AS before,
+                     coalesce(string_agg(d, '' ORDER BY up.idx) FILTER (up.idx > l.idx // CAST(pow(3, lvl) AS BIGINT)), '') AS after
+              FROM leaves l JOIN up ON up.tree = l.tree AND n > 1 AND up.idx // 3 = l.idx // CAST(pow(3, lvl + 1) AS BIGINT) GROUP BY doc_id, lvl
+              UNION ALL
+              SELECT doc_id, h + top.lvl, coalesce(string_agg(d, '' ORDER BY top.idx) FILTER (top.idx < l.tree // CAST(pow(3, top.lvl) AS BIGINT)), ''),
+                     coalesce(string_agg(d, '' ORDER BY top.idx) FILTER (top.idx > l.tree // CAST(pow(3, top.lvl) AS BIGINT)), '')
+              FROM leaves l JOIN height USING (tree) JOIN top ON n > 1 AND top.idx // 3 = l.tree // CAST(pow(3, top.lvl + 1) AS BIGINT) GROUP BY doc_id, h, top.lvl),
+     folded AS (SELECT doc_id, 0 AS k, kept AS d FROM leaves
+                UNION ALL SELECT f.doc_id, f.k + 1, sha256(before || f.d || after) FROM folded f JOIN step s ON s.doc_id = f.doc_id AND s.k = f.k),
+     ends AS (SELECT doc_id, arg_max(d, k) AS folded_root FROM folded GROUP BY doc_id),
+     proofs AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256 FROM step GROUP BY doc_id),
+     whole AS (SELECT d AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN height USING (tree) JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id), whole""",
+    "op13_license_scan": f"""
+WITH posts(t, word, spot, must) AS (VALUES {_POSTINGS}), sizes(t, label, size) AS (VALUES {_TEMPLATES}),
+     d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+     spread AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+     base AS ({_BASE_PLACES}),
+     hits AS (SELECT doc_id, i - 1 AS place, w[i] AS word FROM spread WHERE w[i] IN (SELECT word FROM posts)),
+     df AS (SELECT word, count(DISTINCT doc_id) AS n FROM hits GROUP BY word),
+     rare AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word FROM hits WHERE word NOT IN ({_FUNCTION_WORDS})) JOIN df USING (word)
+              QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n, word) <= {licenses.RARE}),
+     votes AS (SELECT doc_id, t, place - spot AS start FROM hits JOIN rare USING (doc_id, word) JOIN posts USING (word) GROUP BY ALL HAVING count(*) >= {licenses.VOTES}),
+     met AS (SELECT v.doc_id, v.t, v.start, count(*) AS n, count(*) FILTER (must) AS m
+             FROM votes v JOIN posts p ON p.t = v.t JOIN hits h ON h.doc_id = v.doc_id AND h.place = v.start + p.spot AND h.word = p.word GROUP BY ALL),
+     shares AS (SELECT doc_id, label, n / size AS share, m = (SELECT count(*) FROM posts p WHERE p.t = met.t AND must) AS whole FROM met JOIN sizes USING (t)),
+     marks AS (SELECT doc_id, max(share) AS share FROM shares GROUP BY doc_id),
+     every AS (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM shares WHERE whole AND share >= {licenses.SHARE}),
+     said AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id),
+     b AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, first_word, last_word, coalesce(b.labels, '') AS base_labels,
+       coalesce(said.labels, '') AS labels, CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN said USING (doc_id) LEFT JOIN marks USING (doc_id)""",
     "op5_warc_archives": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
      r AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest,
