@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelens.llm import archives, decontaminate, language_model, licenses, merkle, mixing, order_minhash, quality, secrets, simhash, url_filter, wrappers
+from tablelens.llm import archives, decontaminate, hard_negatives, language_model, licenses, merkle, mixing, order_minhash, quality, secrets, simhash, url_filter, wrappers
 from tablelens.llm.common import read_table
 
 
@@ -50,6 +50,11 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints_table(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of all anchors against all vectors."""
+    return hard_negatives.negatives_table(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, roots and verified proofs of all documents."""
     return merkle.manifest_table(read_table(spark, sf_dir, "documents"))
@@ -64,7 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_quality_classifier, op3_html_extraction, op4_language_model, op5_warc_archives,
-        op6_source_mixing, op7_decontamination, op8_simhash_dedup, op9_url_filter, op10_order_minhash, op12_merkle_manifest, op13_license_scan,
+        op6_source_mixing, op7_decontamination, op8_simhash_dedup, op9_url_filter, op10_order_minhash, op11_hard_negatives, op12_merkle_manifest, op13_license_scan,
     )
 }
 
@@ -87,6 +92,20 @@ _LEAF = "sha256(" + " || ".join(_field(c) for c in merkle.FIELDS) + ")"
 _TAMPERED = "sha256(" + " || ".join(_field("replace(text, chr(10), '')" if c == "text" else c) for c in merkle.FIELDS) + ")"
 
 CHECKS: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                  CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+     p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+           QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+     n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                  vec_id AS negative_id, positive_score, score AS negative_score
+           FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10""",
     "op12_merkle_manifest": f"""
 WITH RECURSIVE
      bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
