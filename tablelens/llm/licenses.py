@@ -5,19 +5,19 @@ licence text of some words, of which those in its key phrases are mandatory.
 The index holds the postings (word, template, place) of all template words but
 the function words; templates are fixed, so it is a bounded table.
 
-One pass over the texts keeps, per row, the places of all words that any
-template has, and the places of the base phrases.  How many rows have a word
-gives its inverse document frequency.  Each file then looks up its ``RARE``
-highest-IDF licence words (ties by the word); the difference of a word's place
-in the file and its place in a posting says where the template would begin.
-Differences met by at least ``VOTES`` words are candidates.  For these the places
-of all template words are compared with the file's: a candidate gives its label
-if all its key phrases stand there and at least ``SHARE`` of its words do.  The
-score is the largest share found in candidates, and 1 with a base phrase.
-
-Texts stay in the tasks that read them; what is shuffled are places of licence
-words, spread by row and place, so neither a long file nor a word in every file
-gathers in one task.
+A first pass counts in how many rows each of these words stands: its inverse
+document frequency.  The second pass works inside each row.  A file looks up
+its ``RARE`` highest-IDF licence words (ties by the word); the difference of a
+word's place in the file and its place in a posting says where the template
+would begin.  Differences met at ``VOTES`` places or more are candidates.  For
+these the words of the whole template are compared with the file's: a candidate
+gives its label if all its key phrases stand there and at least ``SHARE`` of its
+words do.  The score is the largest share found in candidates, and 1 with a
+base phrase.
+
+Texts stay in the tasks that read them: nothing but the word counts (one line a
+licence word and task) is shuffled, and nothing is stored.  Work in a row grows
+with its words and candidates, for a place is looked up, not searched.
 
 Null and empty texts have no words.  Very long texts are one array of words in
 one task.  Repeated rows and null ids keep their rows; an empty table gives none.
@@ -28,12 +28,11 @@ their names.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from tablelens.llm.common import stored
+from pyspark.sql import Column, DataFrame, functions as F
 
 RARE = 16
 VOTES = 2
@@ -108,65 +107,70 @@ def _base_place(word: Column, place: Column, all_words: Column, phrase: str) ->
     return F.when((word == second) & reduce(Column.__and__, [near(-1, first)] + [near(i + 1, w) for i, w in enumerate(rest)]), place - 1)
 
 
+def _literal(df_rows: list, kind: str) -> Column:
+    """A constant array from JSON, folded once when the plan is made."""
+    return F.from_json(F.lit(json.dumps(df_rows)), kind)
+
+
+def rarest_first(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> list[str]:
+    """The indexed licence words, by the number of rows that have them, then by the word."""
+    vocabulary = sorted({w for _, w, _, _ in postings(templates)} - set(FUNCTION_WORDS))
+    own = docs.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), words(F.col(text_col)))).alias("word"))
+    have = {r["word"]: r["count"] for r in own.groupBy("word").count().collect()}  # at most the words of the templates
+    return sorted(vocabulary, key=lambda w: (have.get(w, 0), w))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base=BASE) -> DataFrame:
     """One row a document: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    spark = docs.sparkSession
+    by_idf = rarest_first(docs, text_col, templates)
     table = postings(templates)
-    vocabulary = sorted({w for _, w, _, _ in table})
+    entries = [[{"template": t, "at": i} for t, x, i, _ in table if x == w] for w in by_idf]
+    index = F.map_from_arrays(F.array(*map(F.lit, by_idf)), _literal(entries, "array<array<struct<template:int,at:int>>>"))
+    whole = [[{"word": w, "at": i, "must": m} for n, w, i, m in table if n == t] for t in range(len(templates))]
+    whole = _literal(whole, "array<array<struct<word:string,at:int,must:boolean>>>")
+    labels = _literal([t.label for t in templates], "array<string>")
+
     rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
-    hit = F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("place"), w.alias("word"))))
-    found = F.transform("words", lambda w, i: F.coalesce(*[F.when(_base_place(w, i, F.col("words"), p).isNotNull(), F.struct((i - 1).alias("place"), F.lit(label).alias("label"))) for p, label in base]))
+    # in the order of the first array: the file's licence words, rarest first
+    rows = rows.select("id", "words", F.slice(F.array_intersect(F.array(*map(F.lit, by_idf)), "words"), 1, RARE).alias("rare"))
+    starts = F.transform("words", lambda w, i: F.coalesce(*[F.when(_base_place(w, i, F.col("words"), p).isNotNull(), F.struct((i - 1).alias("place"), F.lit(label).alias("label"))) for p, label in base]))
+    looked = F.transform("words", lambda w, i: F.when(w.isin(by_idf) & F.array_contains("rare", w), F.struct(i.alias("place"), w.alias("word"))))
     rows = rows.select(
         "id",
-        F.monotonically_increasing_id().alias("row"),
-        F.size("words").cast("long").alias("n_words"),
-        F.array_compact(hit).alias("hits"),
-        F.array_compact(found).alias("base"),
+        "words",
+        F.array_compact(starts).alias("base"),
+        F.array_compact(looked).alias("looked"),
     )
-    rows = stored(rows, "licences")
-    marks = _marks(spark, rows, templates, table, vocabulary)
-    place = F.transform("base", lambda b: b.place.cast("long"))
-    base_labels = F.transform("base", lambda b: b.label)
-    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    return (
-        rows.select("id", "row", "n_words", "base")
-        .join(marks, "row", "left")
-        .select(
-            F.col("id").alias(id_col),
-            "n_words",
-            F.size("base").cast("long").alias("n_base"),
-            F.array_min(place).alias("first_word"),
-            F.array_max(place).alias("last_word"),
-            listed(base_labels).alias("base_labels"),
-            listed(F.concat(base_labels, F.coalesce("labels", F.array().cast("array<string>")))).alias("labels"),
-            F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
-        )
+    # where a template would begin, once for every looked-up word that stands where it should
+    votes = F.flatten(F.transform("looked", lambda h: F.transform(F.element_at(index, h.word), lambda p: F.struct(p.template.alias("template"), (h.place - p["at"]).alias("start")))))
+    rows = rows.select("id", "words", "base", F.sort_array(votes).alias("votes"))
+    agreed = F.filter("votes", lambda v, i: v == F.get("votes", i - (VOTES - 1)))
+    rows = rows.select("id", "words", "base", F.array_distinct(agreed).alias("candidates"))
+    stands = lambda c: F.filter(F.get(whole, c.template), lambda p: F.get("words", c.start + p["at"]) == p.word)
+    rows = rows.select("id", "words", "base", F.transform("candidates", lambda c: F.struct(c.template.alias("template"), stands(c).alias("stands"))).alias("met"))
+    keys = lambda said: F.size(F.filter(said, lambda p: p.must))
+    tested = F.transform(
+        "met",
+        lambda m: F.struct(
+            F.get(labels, m.template).alias("label"),
+            (F.size(m.stands) / F.size(F.get(whole, m.template))).alias("share"),
+            (keys(m.stands) == keys(F.get(whole, m.template))).alias("whole"),
+        ),
+    )
+    rows = rows.select("id", F.size("words").cast("long").alias("n_words"), "base", tested.alias("tested"))
+    place, base_labels = F.transform("base", lambda b: b.place.cast("long")), F.transform("base", lambda b: b.label)
+    own = F.transform(F.filter("tested", lambda t: t.whole & (t.share >= SHARE)), lambda t: t.label)
+    listed = lambda said: F.array_join(F.array_sort(F.array_distinct(said)), ",")
+    return rows.select(
+        F.col("id").alias(id_col),
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(place).alias("first_word"),
+        F.array_max(place).alias("last_word"),
+        listed(base_labels).alias("base_labels"),
+        listed(F.concat(base_labels, own)).alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("tested", lambda t: t.share)), F.lit(0.0))).alias("score"),
     )
-
-
-def _marks(spark: SparkSession, rows: DataFrame, templates, table, vocabulary: list[str]) -> DataFrame:
-    """row, labels, share: what the index finds in each row of ``rows``."""
-    own = F.transform("hits", lambda h: h.word)
-    counts = rows.select(F.explode(F.array_distinct(own)).alias("word")).groupBy("word").count()
-    df = {r["word"]: r["count"] for r in counts.collect()}  # at most the words of the templates
-    indexed = [w for w in vocabulary if w not in FUNCTION_WORDS]
-    by_idf = sorted(indexed, key=lambda w: (df.get(w, 0), w))
-    # in the order of the first array: the file's licence words, rarest first
-    rare = F.slice(F.array_intersect(F.array(*map(F.lit, by_idf)), own), 1, RARE)
-    index = spark.createDataFrame([(w, t, i) for t, w, i, _ in table if w not in FUNCTION_WORDS], "word string, template int, at int")
-    looked = rows.filter(F.size("hits") >= VOTES).select("row", "hits", rare.alias("rare"))
-    looked = looked.select("row", F.explode(F.filter("hits", lambda h: F.array_contains("rare", h.word))).alias("h")).select("row", "h.word", "h.place")
-    votes = looked.join(F.broadcast(index), "word").groupBy("row", "template", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
-    candidates = stored(votes.filter(F.col("n") >= VOTES).select("row", "template", "start"), "candidates")
-    whole = spark.createDataFrame(table, "template int, word string, at int, must boolean")
-    asked = candidates.join(F.broadcast(whole), "template").select("row", "template", "start", "must", "word", (F.col("start") + F.col("at")).alias("place"))
-    there = rows.join(candidates.select("row").distinct(), "row", "left_semi").select("row", F.explode("hits").alias("h")).select("row", "h.word", "h.place")
-    met = asked.join(there, ["row", "place", "word"]).groupBy("row", "template", "start").agg(F.count("*").alias("n"), F.count_if("must").alias("n_must"))
-    sizes = [(t, x.label, len(x.text.split()), sum(m for n, _, _, m in table if n == t)) for t, x in enumerate(templates)]
-    sized = met.join(F.broadcast(spark.createDataFrame(sizes, "template int, label string, size long, n_keys long")), "template")
-    share = F.col("n") / F.col("size")
-    accepted = (F.col("n_must") == F.col("n_keys")) & (share >= SHARE)
-    return sized.groupBy("row").agg(F.collect_set(F.when(accepted, F.col("label"))).alias("labels"), F.max(share).alias("share"))
 
 
 def license_table(docs: DataFrame) -> DataFrame:

@@ -214,6 +214,7 @@ def test_licences(spark):
     rng = random.Random(3)
     vocabulary = sorted({w for _, w, _, _ in licenses.postings()})
     texts = [None, "", " \n", "under the mit license under the MIT License", "cc by nc cc by nc", "Apache License, Version 2.0", "MIT", "mit mit mit license the under", "lizenz ÀÉ under the mit licenseé"]
+    texts += ["software x x x x x software", "this software and the files the software to deal"]  # one licence word, twice at the right distance
     texts += [t.text.title() for t in licenses.TEMPLATES] + [" ".join(t.text.split()[:-2]) for t in licenses.TEMPLATES]
     for _ in range(60):
         words = [rng.choice(vocabulary) if rng.random() < 0.5 else "wort" for _ in range(rng.randrange(60))]
