@@ -3,7 +3,7 @@
 Numeric columns are cut at their exact quantiles; categories are used as they
 are.  Every entropy is a sum of n*ln(n) over grouped counts, so no join and no
 row cap is needed.  The estimate carries the Miller-Madow bias correction and
-is in nats; it is not the nearest-neighbour estimate, so values differ from it.
+is in nats; for the nearest-neighbour estimate see ``neighbours``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelens.functions.semantics import col
-from tablelens.operators.ranks import exact_quantiles
+from tablelens.operators.ranks import edges_reached, exact_quantiles
 
 BINS = 16
 
@@ -33,8 +33,7 @@ def mutual_information(
     def cell(n: str) -> Column:
         if n not in filled:
             return col(n).cast("string")
-        steps = F.array(*[F.lit(float(e)) for e in sorted(set(edges[n]))])
-        return F.size(F.filter(steps, lambda e: e <= filled[n])).cast("string")
+        return edges_reached(filled[n], sorted(set(edges[n]))).cast("string")
 
     pairs = F.array(*[F.struct(F.lit(n).alias("column"), cell(n).alias("x")) for n in columns])
     joint = (

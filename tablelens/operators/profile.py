@@ -25,7 +25,8 @@ from tablelens.functions.semantics import (
     parse_time,
 )
 from tablelens.operators.dashboard import duplicate_rows, top_counts, value_counts
-from tablelens.operators.ranks import FINAL_ROWS, exact_quantiles
+from tablelens.operators.ranks import FINAL_ROWS, exact_quantiles, value_grid
+from tablelens.session import evenly
 
 PROFILE_VERSION = "2.0"
 
@@ -162,7 +163,7 @@ class Profile:
     """Lazy profile of a table; each part runs its aggregate once when first read."""
 
     def __init__(self, df: DataFrame, exact_distinct: bool = True, final_rows: int = FINAL_ROWS):
-        self.df = df
+        self.df = evenly(df)
         self.exact_distinct = exact_distinct
         self.final_rows = final_rows
 
@@ -232,9 +233,15 @@ class Profile:
 
     # -- statistics ------------------------------------------------------------
 
+    @cached_property
+    def grids(self) -> dict[str, list | None]:
+        """Estimated values at every thousandth of the rows; a scan of its own, for sketches keep other sums from being compiled."""
+        exprs = [value_grid(F.nullif(col(n).cast("double"), F.lit(math.nan))) for n in self.numeric]
+        return dict(zip(self.numeric, self.df.agg(*[e.alias(f"g{i}") for i, e in enumerate(exprs)]).first())) if exprs else {}
+
     @cached_property
     def quartiles(self) -> dict[str, list]:
-        known = {n: (self.facts[n].filled, self.facts[n].measures["min"], self.facts[n].measures["max"]) for n in self.numeric}
+        known = {n: (self.facts[n].filled, self.facts[n].measures["min"], self.facts[n].measures["max"], self.grids[n]) for n in self.numeric}
         wanted = {n: [0.25, 0.5, 0.75] for n in self.numeric}
         return exact_quantiles(self.df, wanted, self.rows, self.final_rows, known=known)
 

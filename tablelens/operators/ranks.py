@@ -1,11 +1,14 @@
 """Exact order statistics, quantiles and rank cut-offs without a global sort.
 
-To find the value at a rank, the range of a column is cut into a few thousand
-equal steps and the rows per step are counted, with the smallest and largest
-value of each step: one scan whose result is a few thousand numbers per column.
-The step holding the rank becomes the new range, until it holds one value only
-or few enough rows to be sorted.  Heavily skewed or infinite ranges, where
-equal steps do not split the rows, are narrowed by a quantile sketch instead.
+The first scan keeps a KLL sketch of every column and asks it for the values at
+every thousandth of the rows: a grid.  Around a wanted rank two grid values
+bound a narrow band that holds it, up to the sketch's error.  The second scan
+sorts each value of a column into its interval (a gap, or a band) by a few
+nested comparisons, one cell a column however many ranks are wanted; gaps are
+counted, and bands are counted by value.  Running sums over these counts give
+the value at the rank exactly.  If the sketch was wrong, the rank lies in a gap
+with known counts and ends, and the search goes on there; a band of very many
+rows is searched again in the same way, a thousandth of the rows a round.
 Counts combine inside each task, so nothing large is shuffled, and every
 answer is exact whatever the size or skew of the table.
 """
@@ -13,7 +16,8 @@ answer is exact whatever the size or skew of the table.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -23,46 +27,16 @@ from tablelens.functions.semantics import as_time, col, order_number
 BUFFER_ROWS = 1_000_000
 KEY_BYTES = 6  # bytes of a text that one number holds exactly, also as a double
 LONGEST_KEY = 600
-# Rows left in a range when it is sorted instead of cut again.
+# Distinct values of a band that one task may sort.
 FINAL_ROWS = 200_000
-# Steps a range is cut into, and rounds before the sketch takes over.
-STEPS = 1024
-STEP_ROUNDS = 4
-# Sketch accuracy: the rank error is at most rows / SKETCH_ACCURACY.
-SKETCH_ACCURACY = 20_000
-
-
-@dataclass
-class _Range:
-    """Where the value at one rank must lie: inclusive bounds that are actual values."""
-
-    slot: int  # which column
-    rank: int  # 0-based among the rows of the range
-    rows: int
-    low: object
-    high: object
-
-    @property
-    def settled(self) -> bool:
-        return self.low == self.high
-
-    @property
-    def step(self) -> float:
-        """Steps per unit, or 0 when the range cannot be cut evenly."""
-        width = float(self.high) - float(self.low)
-        scale = STEPS / width if width > 0 else 0.0
-        return scale if math.isfinite(width) and math.isfinite(scale) else 0.0
-
-    @property
-    def place(self) -> tuple:
-        return (self.slot, self.low, self.high)
-
-    def covers(self, c: Column) -> Column:
-        return (c >= F.lit(self.low)) & (c <= F.lit(self.high))
+# Points of a grid, size of a sketch, and its rank error as a share of the rows (99 % of sketches err less than 0.001).
+GRID = 1000
+SKETCH_SIZE = 4096
+SKETCH_ERROR = 0.0015
 
 
 def _aggregate(df: DataFrame, exprs: list[Column]) -> list:
-    """Evaluate many aggregates in few scans (in slices, to keep code generation)."""
+    """Evaluate many aggregates in few scans (in slices, to keep generated code small)."""
     out: list = []
     for start in range(0, len(exprs), 100):
         part = exprs[start : start + 100]
@@ -71,133 +45,187 @@ def _aggregate(df: DataFrame, exprs: list[Column]) -> list:
     return out
 
 
-def _cut(df: DataFrame, columns: list[Column], open_: list[_Range]) -> None:
-    """Replace every open range by the step of it that holds its rank."""
-    places = list(dict.fromkeys(r.place for r in open_))
-    first = {r.place: r for r in open_}
-    cells = []
-    for number, place in enumerate(places):
-        r, c = first[place], columns[place[0]]
-        at = F.floor((c.cast("double") - F.lit(float(r.low))) * F.lit(r.step))
-        step = F.least(F.lit(STEPS - 1), F.greatest(F.lit(0), at)).cast("int")
-        cells.append(F.when(r.covers(c), F.struct((step + F.lit(number * STEPS)).alias("s"), c.alias("v"))))
-    counted = (
-        df.select(F.explode(F.array(*cells)).alias("x"))
-        .filter(F.col("x").isNotNull())
-        .groupBy("x.s")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("low"), F.max("x.v").alias("high"))
-        .collect()  # at most STEPS rows per range
-    )
-    steps: list[list] = [[] for _ in places]
-    for row in sorted(counted, key=lambda row: row["s"]):
-        steps[row["s"] // STEPS].append(row)
-    for r in open_:
-        for row in steps[places.index(r.place)]:
-            if r.rank < row["n"]:
-                kind = type(r.low)
-                r.low, r.high, r.rows = kind(row["low"]), kind(row["high"]), row["n"]
-                break
-            r.rank -= row["n"]
-
-
-def _sketch(df: DataFrame, columns: list[Column], open_: list[_Range], accuracy: int) -> None:
-    """Shrink ranges to what lies between two sketch values around the rank."""
-    inside = [F.when(r.covers(columns[r.slot]), columns[r.slot]) for r in open_]
-    sketches = []
-    for r, c in zip(open_, inside):
-        slack = 2 * r.rows / accuracy + 2
-        share = [max(0.0, (r.rank - slack) / r.rows), min(1.0, (r.rank + 1 + slack) / r.rows)]
-        sketches.append(F.percentile_approx(c, share, accuracy))
-    bounds = _aggregate(df, sketches)
-    counts: list[Column] = []
-    for c, (a, b) in zip(inside, bounds):
-        below, between, above = c < F.lit(a), (c > F.lit(a)) & (c < F.lit(b)), c > F.lit(b)
-        counts += [F.count_if(below), F.count_if(c == F.lit(a)), F.count_if(between), F.count_if(c == F.lit(b))]
-        counts += [F.max(F.when(below, c)), F.min(F.when(between, c)), F.max(F.when(between, c)), F.min(F.when(above, c))]
-    found = _aggregate(df, counts)
-    for i, (r, (a, b)) in enumerate(zip(open_, bounds)):
-        below, at_a, between, at_b, top_below, low_in, high_in, low_above = found[8 * i : 8 * i + 8]
-        at_b = 0 if a == b else at_b
-        parts = [
-            (below, r.low, top_below),
-            (at_a, a, a),
-            (between, low_in, high_in),
-            (at_b, b, b),
-            (r.rows - below - at_a - between - at_b, low_above, r.high),
-        ]
-        for n, low, high in parts:
-            if r.rank < n:
-                r.low, r.high, r.rows = low, high, n
-                break
-            r.rank -= n
-
-
-def _sort(df: DataFrame, columns: list[Column], last: list[_Range]) -> None:
-    """Settle ranges that hold few rows by counting up their sorted values."""
-    places = list(dict.fromkeys(r.place for r in last))
-    first = {r.place: r for r in last}
-    cells = [
-        F.when(first[p].covers(columns[p[0]]), F.struct(F.lit(i).alias("p"), columns[p[0]].alias("v")))
-        for i, p in enumerate(places)
-    ]
-    values = (
-        df.select(F.explode(F.array(*cells)).alias("x"))
-        .filter(F.col("x").isNotNull())
-        .groupBy("x.p", "x.v")
-        .agg(F.count(F.lit(1)).alias("n"))
+def value_grid(c: Column, whole: bool = False, sketch: Column | None = None) -> Column:
+    """Estimated values at every thousandth of the rows of a double (or ``whole``: long) column; null without values.
+
+    ``sketch`` may be a stored sketch of the column; otherwise this is an aggregate.
+    """
+    build, ask = (F.kll_sketch_agg_bigint, F.kll_sketch_get_quantile_bigint) if whole else (F.kll_sketch_agg_double, F.kll_sketch_get_quantile_double)
+    points = F.split(F.lit(",".join(str(i / GRID) for i in range(GRID + 1))), ",").cast("array<double>")
+    if sketch is not None:
+        return F.when(sketch.isNotNull(), ask(sketch, points))
+    return F.when(F.count(c) > 0, ask(build(c, F.lit(SKETCH_SIZE)), points))
+
+
+@dataclass
+class _Place:
+    """Inclusive bounds, both actual values, that hold the values at some ranks of one column."""
+
+    slot: int
+    low: object
+    high: object
+    rows: int
+    grid: list | None = None
+    forced: bool = False  # count by value, because a round did not shrink it
+    ranks: dict[int, int] = field(default_factory=dict)  # wanted rank -> rank inside
+
+    def band(self, rank: int) -> tuple:
+        """Grid values around a rank, and about how many rows lie between them."""
+        first = math.floor((rank / self.rows - SKETCH_ERROR) * GRID)
+        last = math.ceil(((rank + 1) / self.rows + SKETCH_ERROR) * GRID)
+        low = self.low if first <= 0 else self.grid[min(first, GRID)]
+        high = self.high if last >= GRID else self.grid[max(last, 0)]
+        low, high = sorted((max(low, self.low), min(high, self.high)))  # a grid is never trusted
+        return low, high, self.rows * abs(last - first) / GRID
+
+
+@dataclass(frozen=True)
+class _Edge:
+    """The end of an interval: values below ``at`` (or up to it, if ``closed``) lie in it or before."""
+
+    at: object
+    closed: bool
+
+    def holds(self, c: Column) -> Column:
+        return c <= F.lit(self.at) if self.closed else c < F.lit(self.at)
+
+
+def _intervals(places: list[_Place], final_rows: int) -> tuple[list[_Edge], list[int | None]]:
+    """Ends of the intervals of one column, and their codes: odd if counted by value, null outside of all places."""
+    edges, codes, serial = [], [], 0
+
+    def add(edge: _Edge, code: int | None) -> None:
+        edges.append(edge)
+        codes.append(code)
+
+    for place in sorted(places, key=lambda p: p.low):
+        add(_Edge(place.low, False), None)
+        bands: list[list] = []
+        for low, high, rows in sorted(place.band(r) for r in place.ranks.values()):
+            if bands and low <= bands[-1][1]:
+                bands[-1][1:] = max(high, bands[-1][1]), bands[-1][2] + rows
+            else:
+                bands.append([low, high, rows])
+        for low, high, rows in bands:
+            if low > place.low:
+                add(_Edge(low, False), 2 * serial)
+            add(_Edge(high, True), 2 * serial + 2 + int(place.forced or rows <= final_rows))
+            serial += 2
+        if bands[-1][1] < place.high:
+            add(_Edge(place.high, True), 2 * serial)
+            serial += 1
+    return edges, [*codes, None]
+
+
+def _code(c: Column, edges: list[_Edge], codes: list[int | None]) -> Column:
+    """The code of the interval that holds a value: nested comparisons, log2 of the intervals deep."""
+    if not edges:
+        return F.lit(codes[0]).cast("int")
+    middle = len(edges) // 2
+    return F.when(edges[middle].holds(c), _code(c, edges[:middle], codes[: middle + 1])).otherwise(_code(c, edges[middle + 1 :], codes[middle + 1 :]))
+
+
+def edges_reached(c: Column, edges: list[float]) -> Column:
+    """How many of the ascending ``edges`` a value has reached."""
+    return _code(c, [_Edge(float(e), False) for e in edges], list(range(len(edges) + 1)))
+
+
+def _inlined(df: DataFrame, cells: list[Column], sizes: list[int], most: int = 48) -> DataFrame:
+    """One row a cell.  A branch of the union has about ``most`` comparisons, which the JVM still compiles, and reads its own columns only."""
+    parts: list[list[Column]] = []
+    room = 0
+    for cell, size in zip(cells, sizes):
+        if size > room:
+            parts.append([])
+            room = most
+        parts[-1].append(cell)
+        room -= size
+    return reduce(DataFrame.unionByName, [df.select(F.inline(F.array(*part))) for part in parts])
+
+
+def _count(df: DataFrame, columns: list[Column], places: list[_Place], final_rows: int) -> list[_Place]:
+    """One scan: settles what it can, and returns the narrower places of the other ranks."""
+    by_slot: dict[int, list[_Place]] = {}
+    for p in places:
+        by_slot.setdefault(p.slot, []).append(p)
+    spark, cells, sizes_of, asked = df.sparkSession, [], [], []
+    for slot, mine in by_slot.items():
+        c = columns[slot]
+        edges, codes = _intervals(mine, final_rows)
+        cells.append(F.struct(F.lit(slot).alias("slot"), _code(c, edges, codes).alias("code"), c.alias("v")))
+        sizes_of.append(len(edges))
+        before = 0
+        for p in sorted(mine, key=lambda p: p.low):
+            asked += [(slot, rank, before + inside) for rank, inside in p.ranks.items()]
+            before += p.rows
+    counts = (
+        _inlined(df, cells, sizes_of)
+        .filter("v IS NOT NULL AND code IS NOT NULL")
+        .groupBy("slot", "code", F.when(F.col("code") % 2 == 1, F.col("v")).alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
-    # A window partition holds at most FINAL_ROWS values.
-    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
-    wanted = F.lit(False)
-    for r in last:
-        hit = (F.col("upto") > F.lit(r.rank)) & (F.col("upto") - F.col("n") <= F.lit(r.rank))
-        wanted = wanted | ((F.col("p") == F.lit(places.index(r.place))) & hit)
-    rows = values.withColumn("upto", upto).filter(wanted).collect()  # one row per rank
-    for r in last:
-        number = places.index(r.place)
-        value = next(x["v"] for x in rows if x["p"] == number and x["upto"] - x["n"] <= r.rank < x["upto"])
-        r.low = r.high = value
+    # a window partition holds the gaps of a column and at most FINAL_ROWS values a band
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("slot").orderBy("code", "value")))
+    wanted = F.broadcast(spark.createDataFrame(asked, "slot int, rank long, at long"))
+    found = upto.join(wanted, "slot").filter((F.col("at") >= F.col("upto") - F.col("n")) & (F.col("at") < F.col("upto"))).collect()  # one row a rank
+    settled: list[_Place] = []
+    narrower: dict[tuple, _Place] = {}
+    sizes = {(p.slot, p.low, p.high): p.rows for p in places}
+    for r in found:
+        low, high = (r["low"], r["high"]) if r["value"] is None else (r["value"], r["value"])
+        key = (r["slot"], low, high)
+        if key not in narrower:
+            # an interval that is all but its whole place would come back for ever: the next round counts its values
+            narrower[key] = _Place(*key, r["n"], forced=2 * r["n"] > max(n for (s, _, _), n in sizes.items() if s == r["slot"]))
+        narrower[key].ranks[r["rank"]] = r["at"] - (r["upto"] - r["n"])
+    settled = [p for p in narrower.values() if p.low == p.high]
+    return settled + [p for p in narrower.values() if p.low != p.high]
+
+
+def _add_grids(df: DataFrame, columns: list[Column], places: list[_Place], whole: bool) -> None:
+    """Sketch what lies inside each place, in one scan."""
+    by_slot: dict[int, list[tuple[int, _Place]]] = {}
+    for number, p in enumerate(places):
+        by_slot.setdefault(p.slot, []).append((number, p))
+    cells, sizes_of = [], []
+    for slot, mine in by_slot.items():
+        edges, codes = [], []
+        for number, p in sorted(mine, key=lambda x: x[1].low):
+            edges += [_Edge(p.low, False), _Edge(p.high, True)]
+            codes += [None, number]
+        cells.append(F.struct(_code(columns[slot], edges, [*codes, None]).alias("number"), columns[slot].alias("v")))
+        sizes_of.append(len(edges))
+    inside = _inlined(df, cells, sizes_of).filter("v IS NOT NULL AND number IS NOT NULL")
+    for r in inside.groupBy("number").agg(value_grid(F.col("v"), whole).alias("grid")).collect():
+        places[r["number"]].grid = r["grid"]
 
 
 def order_stats(
-    df: DataFrame,
-    wanted: list[tuple[Column, list[int]]],
-    rows: list[int],
-    final_rows: int = FINAL_ROWS,
-    accuracy: int = SKETCH_ACCURACY,
-    spans: list | None = None,
+    df: DataFrame, wanted: list[tuple[Column, list[int]]], rows: list[int], final_rows: int = FINAL_ROWS, known: list[tuple] | None = None
 ) -> list[list]:
-    """Exact values at 0-based ranks among the non-null values.
+    """Exact values at 0-based ranks among the non-null values of columns of one type, double or long.
 
-    ``rows`` counts those values per column, ``spans`` lists min and max per column if known.
+    ``rows`` counts those values per column; ``known`` holds (min, max, grid) per column from an earlier scan.
     """
     names = [f"__o{i}" for i in range(len(wanted))]
     df = df.select(*[c.alias(n) for (c, _), n in zip(wanted, names)])
     columns = [F.col(n) for n in names]
-    if spans is None:
-        spans = _aggregate(df, [e for c in columns for e in (F.min(c), F.max(c))])
-    ranges = [
-        [_Range(i, r, rows[i], spans[2 * i], spans[2 * i + 1]) for r in ranks] for i, (_, ranks) in enumerate(wanted)
-    ]
-    flat = [r for group in ranges for r in group]
-    rounds = 0
-    while open_ := [r for r in flat if not r.settled and r.rows > final_rows]:
-        even = [r for r in open_ if r.step > 0 and rounds < STEP_ROUNDS]
-        uneven = [r for r in open_ if r not in even]
-        if even:
-            _cut(df, columns, even)
-        if uneven:
-            _sketch(df, columns, uneven, accuracy)
-        rounds += 1
-    if last := [r for r in flat if not r.settled]:
-        _sort(df, columns, last)
-    return [[r.low for r in group] for group in ranges]
-
-
-def _sorted_at(value: Column, ranks: list[int]) -> Column:
-    """The non-null values at 0-based ranks, from at most ``FINAL_ROWS`` values."""
-    values = F.sort_array(F.collect_list(value))
-    return F.array(*[F.get(values, F.lit(r)) for r in ranks])
+    whole = isinstance(df.schema.fields[0].dataType, T.IntegralType) if names else False
+    if known is None:
+        seen = _aggregate(df, [e for c in columns for e in (F.min(c), F.max(c), value_grid(c, whole))])
+        known = list(zip(seen[::3], seen[1::3], seen[2::3]))
+    places = [_Place(i, *known[i][:2], rows[i], known[i][2], ranks={r: r for r in set(ranks)}) for i, (_, ranks) in enumerate(wanted) if ranks]
+    values: dict[tuple[int, int], object] = {}
+    while True:
+        for p in places:
+            if p.low == p.high:
+                values |= {(p.slot, r): p.low for r in p.ranks}
+        places = [p for p in places if p.low != p.high]
+        if not places:
+            return [[values[i, r] for r in ranks] for i, (_, ranks) in enumerate(wanted)]
+        if any(p.grid is None for p in places):
+            _add_grids(df, columns, places, whole)
+        places = _count(df, columns, places, final_rows)
 
 
 def exact_quantiles(
@@ -210,52 +238,28 @@ def exact_quantiles(
 ) -> dict[str, list]:
     """Linear-interpolated quantiles per column; null for a column without values.
 
-    ``rows`` is an optional known upper bound of the row count.  ``where`` maps
-    a name to the expression to measure when it is not simply that column.
-    NaN counts as missing.  ``known`` may hold (values, min, max) per column from
-    an earlier scan.
+    Two scans for any number of columns and probabilities, or one if ``known`` holds
+    (values, min, max, grid) of every column from an earlier scan.  ``where`` maps a
+    name to the expression to measure when it is not simply that column.  NaN
+    counts as missing.
     """
-    exprs = {n: F.nullif((where[n] if where and n in where else col(n)).cast("double"), F.lit(math.nan)) for n in probs}
     if not probs:
         return {}
-    if rows is None:
-        rows = df.count()
+    exprs = {n: F.nullif((where[n] if where and n in where else col(n)).cast("double"), F.lit(math.nan)) for n in probs}
     names = list(probs)
-    if known is not None and all(n in known and known[n][2] == known[n][2] for n in names):
-        seen = [x for n in names for x in known[n]]
-    else:
-        seen = _aggregate(df, [e for n in names for e in (F.count(exprs[n]), F.min(exprs[n]), F.max(exprs[n]))])
-    counts = dict(zip(names, seen[::3]))
-    wanted, sizes, keep, spans = [], [], [], []
-    for n in names:
-        if counts[n] == 0:
-            continue
-        ranks = []
-        for p in probs[n]:
-            at = p * (counts[n] - 1)
-            ranks += [math.floor(at), math.ceil(at)]
-        wanted.append((exprs[n], ranks))
-        sizes.append(counts[n])
-        at = 3 * names.index(n)
-        spans += seen[at + 1 : at + 3]
-        keep.append(n)
-    if rows <= final_rows:  # few enough values to sort in one go; what becomes of the two ranks is the same
-        values = dict(zip(keep, _aggregate(df, [_sorted_at(e, r) for e, r in wanted]))) if keep else {}
-    else:
-        values = dict(zip(keep, order_stats(df, wanted, sizes, final_rows, spans=spans)))
-    result = {}
-    for n in names:
-        if counts[n] == 0:
-            result[n] = [None] * len(probs[n])
-            continue
-        pairs = values[n]
-        found = []
-        for i, p in enumerate(probs[n]):
-            at = p * (counts[n] - 1)
-            share = at - math.floor(at)
-            lo, hi = pairs[2 * i], pairs[2 * i + 1]
-            found.append(lo if share == 0 else lo + (hi - lo) * share)
-        result[n] = found
+    if known is None or any(n not in known or known[n][2] != known[n][2] for n in names):  # NaN was counted
+        measured = _aggregate(df, [e for n in names for e in (F.count(exprs[n]), F.min(exprs[n]), F.max(exprs[n]), value_grid(exprs[n]))])
+        known = {n: tuple(measured[4 * i : 4 * i + 4]) for i, n in enumerate(names)}
+    keep = [n for n in names if known[n][0]]
+    places = {n: [p * (known[n][0] - 1) for p in probs[n]] for n in keep}
+    wanted = [(exprs[n], [r for at in places[n] for r in (math.floor(at), math.ceil(at))]) for n in keep]
+    found = order_stats(df, wanted, [known[n][0] for n in keep], final_rows, [known[n][1:] for n in keep]) if keep else []
+    result: dict[str, list] = {n: [None] * len(probs[n]) for n in names}
+    for n, pairs in zip(keep, found):
+        result[n] = []
+        for i, at in enumerate(places[n]):
+            share, lo, hi = at - math.floor(at), pairs[2 * i], pairs[2 * i + 1]
+            result[n].append(lo if share == 0 else lo + (hi - lo) * share)
     return result
 
 

@@ -6,10 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tablelens.operators import information, profile as prof
+from tablelens.operators import information, neighbours, profile as prof
 from tablelens.operators.profile import Profile
 from tablelens.plans import inputs
 from tablelens.plans.registry import query, table
+from tablelens.session import evenly
 
 # Column kinds of the profiled tables, for the SQL side only.
 INT, FLOAT, TEXT, TIME = "int", "float", "text", "time"
@@ -308,7 +309,7 @@ def mi_sql(source_sql: str, target: str, numeric: list[str], categorical: list[s
     mi_sql("SELECT * FROM lineitem", "l_extendedprice", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"]),
 )
 def mutual_information(spark, sf):
-    df = table(spark, sf, "lineitem")
+    df = evenly(table(spark, sf, "lineitem"))
     numbers = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
     scores = information.mutual_information(
         df, "l_extendedprice", [*numbers, "l_returnflag", "l_linestatus"], numbers, df.count()
@@ -317,6 +318,31 @@ def mutual_information(spark, sf):
     return out.withColumn("mi_score", F.round("mi_score", 4))
 
 
+def neighbours_sql(name: str, target: str, numeric: list[str], categorical: list[str]) -> str:
+    """Brute force over all pairs of rows."""
+    codes = {c: f"CAST({c} AS DOUBLE)" for c in numeric} | {c: f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS DOUBLE)" for c in categorical}
+    rows = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", row_number() OVER () AS i, {code} AS x, CAST({target} AS DOUBLE) AS y FROM {name}""" for c, code in codes.items()
+    )
+    return f"""WITH p AS MATERIALIZED ({rows}), s AS (SELECT "column", stddev_samp(x) AS sx, stddev_samp(y) AS sy, count(*) AS n FROM p GROUP BY 1),
+    d AS (SELECT a."column", a.i, a.i = b.i AS self, abs(b.x - a.x) / sx AS dx, abs(b.y - a.y) / sy AS dy FROM p a JOIN p b USING ("column") JOIN s USING ("column")),
+    k AS (SELECT "column", i, list_sort(list(greatest(dx, dy)) FILTER (NOT self))[3] AS r FROM d GROUP BY ALL),
+    c AS (SELECT "column", i, any_value(r) AS r, count(*) FILTER (greatest(dx, dy) = 0) AS same, count(*) FILTER (CASE WHEN r > 0 THEN dx < r ELSE dx = 0 END) AS nx,
+      count(*) FILTER (CASE WHEN r > 0 THEN dy < r ELSE dy = 0 END) AS ny FROM d JOIN k USING ("column", i) GROUP BY ALL),
+    psi AS (SELECT m + 1 AS m, -0.57721566490153286 + sum(CASE WHEN m = 0 THEN 0 ELSE 1.0::DOUBLE / m END) OVER (ORDER BY m) AS v
+      FROM (SELECT unnest(range(0, (SELECT max(n) FROM s) + 1)) AS m))
+    SELECT '{target}' AS target, "column", round(greatest(0, avg(a.v - x.v - y.v) + ln(any_value(n))), 6) AS mi_score
+    FROM c JOIN s USING ("column") JOIN psi a ON a.m = CASE WHEN r > 0 THEN 3 ELSE same END JOIN psi x ON x.m = nx JOIN psi y ON y.m = ny GROUP BY "column" """
+
+
+@query("neighbour_information", neighbours_sql("customer", "c_acctbal", ["c_custkey", "c_nationkey"], ["c_mktsegment"]))
+def neighbour_information(spark, sf):
+    out = neighbours.neighbour_information(
+        table(spark, sf, "customer"), "c_acctbal", ["c_custkey", "c_nationkey", "c_mktsegment"], ["c_custkey", "c_nationkey"]
+    )
+    return out.withColumn("mi_score", F.round("mi_score", 6))
+
+
 @query("profile_full")
 def profile_full(spark, sf):
     """Every part of the profile of one table in one row per column."""

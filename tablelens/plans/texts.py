@@ -6,7 +6,7 @@ import logging
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablelens.operators import dashboard, forecast, forest, insights, keys, models, quality, series, textsearch, vectors
+from tablelens.operators import dashboard, dependencies, forecast, forest, insights, keys, models, quality, series, textsearch, vectors
 from tablelens.operators.profile import Profile
 from tablelens.operators.sqlgate import read_only_sql
 from tablelens.operators.transform import transform_hook
@@ -200,6 +200,73 @@ def join_detected(spark, sf):
     return joined.groupBy("quality", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
 
 
+# Columns with values that can be compared, for the SQL side only: n numbers, s texts, t times.
+ATOMS = {
+    "region": "n r_regionkey s r_name",
+    "nation": "n n_nationkey s n_name n n_regionkey",
+    "customer": "n c_custkey s c_name n c_nationkey n c_acctbal s c_mktsegment",
+    "supplier": "n s_suppkey s s_name n s_nationkey n s_acctbal",
+    "part": "n p_partkey s p_name s p_brand s p_type n p_size n p_retailprice",
+    "orders": "n o_orderkey n o_custkey s o_orderstatus n o_totalprice t o_orderdate s o_orderpriority",
+    "lineitem": "n l_orderkey n l_partkey n l_suppkey n l_linenumber n l_quantity n l_extendedprice n l_discount n l_tax s l_returnflag s l_linestatus t l_shipdate",
+    "events": "n event_id t ts n user_id s event_type n value s props",
+    "documents": "n doc_id s text s lang s source n n_chars",
+    "embeddings": "n vec_id n label",
+    "pages": "n page_id s url s html",
+    "benchmark": "n item_id s text",
+    "labels": "n doc_id n quality n toxic",
+    "conversations": "n conv_id n turn s role s text",
+}
+
+
+def _atom_sql(kind: str, name: str) -> str:
+    if kind == "n":
+        plain = f"CASE WHEN {name} = floor({name}) AND abs({name}) < 1e18 THEN CAST(CAST({name} AS DECIMAL(38, 0)) AS VARCHAR) ELSE CAST(CAST({name} AS DOUBLE) AS VARCHAR) END"
+        return f"'n' || {plain}"
+    return f"'{kind}' || CAST({name} AS VARCHAR)"
+
+
+def _atoms_of(name: str) -> list[tuple[str, str]]:
+    said = ATOMS[name].split()
+    return list(zip(said[::2], said[1::2]))
+
+
+_EVERY_VALUE = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {_atom_sql(k, c)} AS v FROM {t} WHERE {c} IS NOT NULL" for t in ATOMS for k, c in _atoms_of(t))
+_EVERY_SIZE = " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in ATOMS)
+
+
+def _pairs_sql(name: str) -> str:
+    atoms = [(c, _atom_sql(k, c)) for k, c in _atoms_of(name)]
+    singles = " UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {a}) AS n FROM {name}" for c, a in atoms)
+    pairs = " UNION ALL ".join(
+        f"SELECT '{c}' AS c, '{d}' AS d, count(DISTINCT ({a}, {b})) FILTER ({c} IS NOT NULL AND {d} IS NOT NULL) AS n FROM {name}"
+        for i, (c, a) in enumerate(atoms)
+        for d, b in atoms[i + 1 :]
+    )
+    return f"""SELECT '{name}' AS "table", c AS columns FROM ({singles}) WHERE n = (SELECT count(*) FROM {name})
+      UNION ALL SELECT '{name}', c || ',' || d FROM ({pairs}) WHERE n = (SELECT count(*) FROM {name})
+        AND c NOT IN (SELECT c FROM ({singles}) WHERE n = (SELECT count(*) FROM {name})) AND d NOT IN (SELECT c FROM ({singles}) WHERE n = (SELECT count(*) FROM {name}))"""
+
+
+@query(
+    "inclusion_dependencies",
+    f"""WITH v AS MATERIALIZED ({_EVERY_VALUE}), s AS (SELECT t, c, count(*) AS n FROM v GROUP BY ALL), sizes AS ({_EVERY_SIZE}),
+    j AS (SELECT a.t, a.c, b.t AS u, b.c AS d, count(*) AS n FROM v a JOIN v b ON a.v = b.v AND (a.t, a.c) <> (b.t, b.c) GROUP BY ALL)
+    SELECT j.t AS "table", j.c AS columns, j.u AS ref_table, j.d AS ref_columns, x.n AS values, y.n AS ref_values, y.n = sizes.n AS ref_is_key
+    FROM j JOIN s x ON x.t = j.t AND x.c = j.c AND x.n = j.n JOIN s y ON y.t = j.u AND y.c = j.d JOIN sizes ON sizes.t = j.u""",
+)
+def inclusion_dependencies(spark, sf):
+    """Which column's values all occur in which other column, over all tables, names unseen."""
+    return dependencies.inclusions({n: table(spark, sf, n) for n in ATOMS}, composite=False)
+
+
+@query("column_keys", " UNION ALL ".join(_pairs_sql(t) for t in ATOMS))
+def column_keys(spark, sf):
+    """Columns and pairs of columns that tell all rows of their table apart."""
+    found = [(n, ",".join(k)) for n in ATOMS for k in dependencies.keys_of(table(spark, sf, n))]
+    return spark.createDataFrame(found, "table string, columns string")
+
+
 # -- SQL and user code ----------------------------------------------------------
 
 

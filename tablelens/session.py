@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def local_session(cores: int | str = "*", app: str = "tablelens", **conf: str) -> SparkSession:
@@ -59,3 +59,24 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+# Tables of at most so many bytes are worth a copy that all cores can scan.
+SMALL_BYTES = 2 << 30
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """A small table that is scanned many times, dealt over all cores; a large one as it is.
+
+    A file of one row group is read by one task however many cores there are.  The
+    copy lies below the shared folder; rows and types are the same.
+    """
+    odd = (T.NullType, T.CalendarIntervalType, T.VariantType)
+    if len(set(map(str.lower, df.columns))) < len(df.columns) or not df.columns or any(isinstance(f.dataType, odd) for f in df.schema.fields):
+        return df
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL_BYTES:
+        return df
+    spark = df.sparkSession
+    path = scratch_path(spark, "even")
+    df.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
