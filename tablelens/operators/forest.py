@@ -193,7 +193,7 @@ def univariate_anomalies(
     df = df.filter(value.isNotNull() & ~F.isnan(value))
     rows, mean = df.agg(F.count(F.lit(1)), F.avg(value)).first()
     if rows < 10:
-        return df.withColumns({c: F.lit(None).cast("string") for c in ANOMALY_COLUMNS}).limit(0)
+        return df.withColumns({c: F.lit(None).cast("double" if c in ("value", "score", "deviation_pct") else "string") for c in ANOMALY_COLUMNS}).limit(0)
     cuts, scores = step_scores(fit(df, [value], key, trees, rows), scale(rows))
     shipped = df.sparkSession.sparkContext.broadcast(cuts)
 

@@ -14,8 +14,12 @@ PLAIN_NODES = frozenset(
     Project Sort SubqueryAlias Union UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases
     UnresolvedWith WithWindowDefinition""".split()
 )
-# Functions that call programs or read what lies outside the allowed tables.
-CLOSED_FUNCTIONS = frozenset("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length".split())
+# Groups of built-in functions that compute from their arguments alone, and those among them that do not.
+OPEN_GROUPS = frozenset(
+    """agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs datetime_funcs generator_funcs hash_funcs
+    json_funcs lambda_funcs map_funcs math_funcs predicate_funcs string_funcs struct_funcs url_funcs window_funcs""".split()
+)
+RANDOM_FUNCTIONS = frozenset("rand random randn randstr uniform shuffle".split())
 
 
 class NotAllowed(ValueError):
@@ -26,25 +30,45 @@ def _items(seq) -> Iterator:
     return (seq.apply(i) for i in range(seq.size()))
 
 
-def _walk(node, plans: list, functions: list, shadows: set[str]) -> None:
-    """All plan nodes below ``node`` (also in subqueries), functions called, and names of common tables."""
+def _walk(node, plans: list, functions: list, relations: list, scope: frozenset[str]) -> None:
+    """All plan nodes below ``node`` (also in subqueries), functions called, and relations read.
+
+    ``scope`` holds the common tables that a name can mean here.  One is known after its own body
+    and inside the query that declares it, and nowhere else: in its body, its name is a table.
+    """
     plans.append(node)
-    if node.getClass().getSimpleName() == "UnresolvedWith":
+    kind = node.getClass().getSimpleName()
+    if kind == "UnresolvedRelation":
+        name = ".".join(_items(node.multipartIdentifier())).lower()
+        if name not in scope:
+            relations.append(name)
+    if kind == "UnresolvedWith":
+        if node.allowRecursion():
+            raise NotAllowed("common tables that read themselves may not run")
         for pair in _items(node.cteRelations()):
-            shadows.add(pair._1().lower())
-            _walk(pair._2(), plans, functions, shadows)
+            _walk(pair._2(), plans, functions, relations, scope)
+            scope = scope | {pair._1().lower()}
     for child in _items(node.children()):
-        _walk(child, plans, functions, shadows)
+        _walk(child, plans, functions, relations, scope)
     stack = list(_items(node.expressions()))
     while stack:
         e = stack.pop()
         if e.getClass().getSimpleName() == "UnresolvedFunction":
-            functions.append(e.nameParts().last().lower())
+            functions.append(".".join(_items(e.nameParts())).lower())
         if hasattr(e, "getClass") and any(c.getSimpleName() == "SubqueryExpression" for c in _classes(e)):
-            _walk(e.plan(), plans, functions, shadows)
+            _walk(e.plan(), plans, functions, relations, scope)
         stack.extend(_items(e.children()))
 
 
+def _open(spark: SparkSession, function: str) -> bool:
+    """Whether a function is Spark's own (not replaced by a user's) and computes from its arguments alone."""
+    registry = spark._jsparkSession.sessionState().functionRegistry()
+    if "." in function:
+        return False
+    found = registry.lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(function))
+    return found.isDefined() and found.get().getSource() == "built-in" and found.get().getGroup() in OPEN_GROUPS and function not in RANDOM_FUNCTIONS
+
+
 def _classes(e) -> Iterator:
     c = e.getClass()
     while c is not None:
@@ -62,16 +86,15 @@ def read_only_sql(spark: SparkSession, sql: str, allowed: set[str], limit: int |
         raise NotAllowed("a statement starts with SELECT")
     plans: list = []
     functions: list[str] = []
-    shadows: set[str] = set()
-    _walk(plan, plans, functions, shadows)
+    relations: list[str] = []
+    _walk(plan, plans, functions, relations, frozenset())
     odd = {n.getClass().getSimpleName() for n in plans} - PLAIN_NODES
     if odd:
         raise NotAllowed(f"only plain queries may run, not {sorted(odd)}")
-    closed = CLOSED_FUNCTIONS.intersection(functions)
+    closed = {f for f in set(functions) if not _open(spark, f)}
     if closed:
         raise NotAllowed(f"closed functions: {sorted(closed)}")
-    names = {".".join(_items(n.multipartIdentifier())).lower() for n in plans if n.getClass().getSimpleName() == "UnresolvedRelation"}
-    names -= shadows
+    names = set(relations)
     private = {n for n in names if n.split(".")[-1] in PRIVATE_TABLES}
     if private:
         raise NotAllowed(f"private tables: {sorted(private)}")

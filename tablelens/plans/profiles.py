@@ -6,11 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tablelens.operators import information, neighbours, profile as prof
+from tablelens.operators import increments, information, neighbours, profile as prof
 from tablelens.operators.profile import Profile
 from tablelens.plans import inputs
 from tablelens.plans.registry import query, table
-from tablelens.session import evenly
+from tablelens.session import evenly, scratch_path
 
 # Column kinds of the profiled tables, for the SQL side only.
 INT, FLOAT, TEXT, TIME = "int", "float", "text", "time"
@@ -435,6 +435,33 @@ def profile_store(spark, sf):
     return latest.select("dataset", "column", "role", "cardinality", "profile_version", "profiled_at", "stale")
 
 
+ORDERS_STATE = {"o_orderkey": INT, "o_custkey": INT, "o_orderstatus": TEXT, "o_totalprice": FLOAT, "o_orderpriority": TEXT}
+
+
+@query(
+    "profile_increments",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, """
+        + (f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std" if k != TEXT else "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS std")
+        + f", min(CAST({c} AS VARCHAR)) AS first, max(CAST({c} AS VARCHAR)) AS last FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS o_totalprice) FROM orders)"
+        for c, k in ORDERS_STATE.items()
+        if c != "o_totalprice"
+    )
+    + """ UNION ALL SELECT 'o_totalprice', count(*), count(*) - count(p), min(p), max(p), round(avg(p), 4), round(stddev_samp(p), 4), NULL, NULL
+          FROM (SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS p FROM orders)""",
+)
+def profile_increments(spark, sf):
+    """The profile of a dataset after two appends; each append reads its own files only."""
+    df = table(spark, sf, "orders").select(*ORDERS_STATE).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")))
+    data, state = scratch_path(spark, "grown"), scratch_path(spark, "states")
+    for part in (F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 3 == 0):
+        df.filter(part).write.mode("append").parquet(data)
+        increments.refresh(spark, data, state, df.schema)
+    found = increments.merged_profile(spark, data, state)
+    text = lambda c: F.when(F.col("column") != "o_totalprice", F.col(c)).alias(c)  # noqa: E731  doubles are written differently by SQL engines
+    return found.select("column", "rows", "nulls", "min", "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), text("first"), text("last"))
+
+
 @query(
     "semantic_model",
     f"""{typed_sql('orders_text')}, d AS (SELECT *, cat IN ('categorical', 'datetime') OR role IN ('geo', 'temporal') AS dim FROM typed)

@@ -184,12 +184,21 @@ def test_sql_gate(spark):
     assert run("SELECT 'a--b' AS t, count(*) AS n FROM datasets").first()[0] == "a--b"
     assert run("SELECT id FROM datasets WHERE id IN (SELECT max(id) FROM datasets) UNION SELECT 1 ORDER BY id").count() == 2
     assert run("SELECT * FROM (WITH x AS (SELECT id FROM datasets) SELECT * FROM x) t WHERE id < 2").count() == 2
+    nested = "SELECT * FROM (WITH users AS (SELECT id FROM datasets), y AS (SELECT id FROM users) SELECT y.id FROM y JOIN users ON y.id = users.id) t"
+    assert run(nested).count() == 500  # here the name is a common table
+    assert run("SELECT abs(-id), upper('x'), row_number() OVER (ORDER BY id), explode(array(1, 2)) FROM datasets").count() == 1000
+    spark.udf.register("my_own", lambda x: x)
     for text in (
         "DELETE FROM datasets", "INSERT INTO datasets VALUES (1)", "DROP TABLE datasets", "ALTER TABLE datasets RENAME TO x",
         "TRUNCATE TABLE datasets", "UPDATE datasets SET id = 1", "SELECT * FROM users", "SELECT * FROM datasets JOIN refresh_tokens",
         "WITH x AS (SELECT 1) SELECT * FROM x", "SELECT 1; DROP TABLE datasets", "SELECT * FROM (SELECT * FROM users) t",
         "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM datasets", "SELECT reflect('java.lang.Math', 'abs', -1)", "SELECT try_reflect('java.lang.Math', 'abs', id) FROM datasets",
         "SELECT java_method('java.lang.Math', 'abs', -1) FROM datasets", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM range(5)", "SELECT * FROM other",
+        "SELECT * FROM (WITH users AS (SELECT * FROM users) SELECT * FROM users) t", "SELECT u.* FROM users u, (WITH users AS (SELECT 1 AS a) SELECT a FROM users) t",
+        "SELECT * FROM (WITH a AS (SELECT * FROM users), users AS (SELECT 1 AS x) SELECT * FROM a) t", "SELECT * FROM datasets, LATERAL (SELECT * FROM users) t",
+        "SELECT * FROM (WITH x AS (WITH users AS (SELECT 1) SELECT * FROM users) SELECT * FROM x, users) t", "SELECT * FROM (WITH users AS (SELECT 1) SELECT * FROM default.users) t",
+        "SELECT * FROM (WITH RECURSIVE x AS (SELECT 1 AS a UNION ALL SELECT a + 1 FROM x WHERE a < 3) SELECT * FROM x) t", "SELECT id FROM datasets WHERE id IN (WITH users AS (SELECT id FROM users) SELECT id FROM users)",
+        "SELECT uuid() FROM datasets", "SELECT rand() FROM datasets", "SELECT current_user() FROM datasets", "SELECT nosuch(id) FROM datasets", "SELECT my_own(id) FROM datasets", "SELECT system.builtin.abs(id) FROM datasets",
         "SELECT id FROM datasets WHERE id = (SELECT max(id) FROM users)", "SELECT id FROM datasets WHERE EXISTS (SELECT reflect('java.lang.Math', 'abs', -1))",
     ):
         with pytest.raises(sqlgate.NotAllowed):

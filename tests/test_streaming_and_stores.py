@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tablelens.operators import increments
 from tablelens.plans import CHECKS, QUERIES
 from tablelens.sources import readers, stores
 from tablelens.streaming import rates
@@ -69,3 +70,39 @@ def test_latest_n(spark):
 
 def test_every_check_belongs_to_a_query():
     assert set(CHECKS) <= set(QUERIES) and len(QUERIES) > 120
+
+
+def test_profiles_grow_without_reading_old_files(spark, tmp_path):
+    import os
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i), float(v), None if i % 7 == 0 else "abc"[i % 3], [int(i)]) for i, v in enumerate(rng.normal(10, 3, 6000))]
+    df = spark.createDataFrame(rows, "k long, `v x` double, c string, a array<int>")
+    data, state = str(tmp_path / "data + x"), str(tmp_path / "state")
+    df.filter("k < 4000").repartition(3).write.parquet(data)
+    first = increments.refresh(spark, data, state, df.schema)
+    assert len(first) == 3 and increments.refresh(spark, data, state, df.schema) == []
+    for path in first:  # the same length and time, but nothing that can be read
+        name = path.removeprefix("file:")
+        before = os.stat(name)
+        with open(name, "r+b") as held:
+            held.write(b"\0" * before.st_size)
+        os.utime(name, ns=(before.st_atime_ns, before.st_mtime_ns))
+    df.filter("k >= 4000").repartition(2).write.mode("append").parquet(data)
+    assert len(increments.refresh(spark, data, state, df.schema)) == 2
+    found = {r["column"]: r for r in increments.merged_profile(spark, data, state).collect()}
+    values = np.array([r[1] for r in rows])
+    v = found["v x"]
+    assert (v["rows"], v["nulls"], v["min"], v["max"]) == (6000, 0, values.min(), values.max())
+    assert abs(v["mean"] - values.mean()) < 1e-9 and abs(v["std"] - values.std(ddof=1)) < 1e-9
+    for got, p in zip(v["approx_quartiles"], (0.25, 0.5, 0.75)):
+        assert abs((values <= got).mean() - p) < 0.0015 + 1 / 6000
+    assert abs(found["k"]["approx_distinct"] - 6000) < 6000 * 0.05
+    c = found["c"]
+    assert c["nulls"] == sum(r[2] is None for r in rows) and (c["first"], c["last"]) == ("a", "c")
+    assert {i["item"]: i["count"] for i in c["frequent"]} == {x: sum(r[2] == x for r in rows) for x in "abc"}
+    os.remove(first[0].removeprefix("file:"))  # a removed file drops out
+    left = {r["column"]: r["rows"] for r in increments.merged_profile(spark, data, state).collect()}
+    assert 2000 < left["k"] < 6000 and found["a"]["rows"] == 6000
