@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablelens.functions.semantics import col, half_up, title_case
 from tablelens.functions.tails import chi2_tail, f_tail
-from tablelens.operators.profile import Profile, iqr_fences
+from tablelens.operators.crossproducts import pairwise_correlations
+from tablelens.operators.profile import PAIRS_AT_ONCE, Profile, iqr_fences
 
 # Weights and limits of the scoring rules.
 SKEWED, SPIKY = 1.0, 0.05
@@ -82,17 +83,18 @@ def score_num_num(p: Profile) -> list[tuple]:
     """Correlation of each pair on the rows complete in that pair."""
     out = []
     pairs = list(itertools.combinations(p.numeric, 2))
-    for start in range(0, len(pairs), 70):
-        part = pairs[start : start + 70]
-        row = p.df.agg(
-            *[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(part)]
-        ).first()
-        for (a, b), r in zip(part, row):
-            if r is None or r != r:
-                continue
-            related = abs(r) > RELATED
-            score = min(abs(r), 1.0) * 0.7 * (0.8 if related else 0.5) * _complete(p, a, b)
-            out.append(("num_num", "scatter" if related else "scatter_no_rel", [a, b], score, {"pearson_r": r}))
+    if len(pairs) > PAIRS_AT_ONCE:
+        place = {n: i for i, n in enumerate(p.numeric)}
+        found = pairwise_correlations(p.df, [col(n) for n in p.numeric], [p.facts[n].measures["mean"] or 0.0 for n in p.numeric])
+        related_by = [float(found[place[a], place[b]]) for a, b in pairs]
+    else:
+        related_by = p.df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first() if pairs else []
+    for (a, b), r in zip(pairs, related_by):
+        if r is None or r != r:
+            continue
+        related = abs(r) > RELATED
+        score = min(abs(r), 1.0) * 0.7 * (0.8 if related else 0.5) * _complete(p, a, b)
+        out.append(("num_num", "scatter" if related else "scatter_no_rel", [a, b], score, {"pearson_r": r}))
     return out
 
 

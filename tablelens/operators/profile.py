@@ -24,6 +24,7 @@ from tablelens.functions.semantics import (
     is_numeric,
     parse_time,
 )
+from tablelens.operators.crossproducts import gram
 from tablelens.operators.dashboard import duplicate_rows, top_counts, value_counts
 from tablelens.operators.ranks import FINAL_ROWS, exact_quantiles, value_grid
 from tablelens.session import evenly
@@ -61,6 +62,9 @@ SURE_UNIQUE = 0.98
 PATTERN_SHARE = 0.6
 HEALTH_FLOOR = 45.0
 
+# Pairs of columns whose products fit one compiled scan; more are multiplied as matrices.
+PAIRS_AT_ONCE = 100
+
 PROFILE_SCHEMA = T.StructType(
     [
         T.StructField("position", T.IntegerType()),
@@ -549,16 +553,17 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> list[tuple[str, str,
     n = len(columns)
     names = [f"c{i}" for i in range(n)]
     # First the means, then sums of products around them: plain sums, one scan each.
-    first = complete.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names]).first()
+    first = complete.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names]).first().asDict()
     if first["n"] < 3:
         return []
     around = complete.select(*[(F.col(c) - F.lit(first[c])).alias(c) for c in names])
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    product: dict[tuple[int, int], float] = {}
-    for start in range(0, len(pairs), 100):
-        part = pairs[start : start + 100]
-        row = around.agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i, j in part]).first()
-        product |= dict(zip(part, row))
+    if len(pairs) > PAIRS_AT_ONCE:  # one scan for any number of columns
+        sums = gram(around, [F.col(c) for c in names])
+        product = {(i, j): float(sums[i, j]) for i, j in pairs}
+    else:
+        row = around.agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i, j in pairs]).first()
+        product = dict(zip(pairs, row))
     varies = [product[(i, i)] > 0 for i in range(n)]
 
     def value(i: int, j: int) -> float | None:

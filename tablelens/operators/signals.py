@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelens.functions.semantics import as_time, col, half_up, title_case
-from tablelens.operators.profile import Profile, iqr_fences
+from tablelens.operators.crossproducts import gram
+from tablelens.operators.profile import PAIRS_AT_ONCE, Profile, iqr_fences
 from tablelens.operators.ranks import bucket_number, order_cutoffs, text_keys
 
 # Bands and thresholds of the detectors.
@@ -289,29 +290,31 @@ def missingness_clusters(p: Profile) -> list[Signal]:
     if len(holes) < 2 or p.rows < 10:
         return []
     pairs = [(a, b) for a, b in itertools.combinations(holes, 2) if p.facts[a].nulls >= CLUSTER_MIN_NULLS]
+    if len(pairs) > PAIRS_AT_ONCE:
+        sums, place = gram(p.df, [col(n).isNull() for n in holes]), {n: i for i, n in enumerate(holes)}
+        shared = [round(sums[place[a], place[b]]) for a, b in pairs]
+    else:
+        shared = p.df.agg(*[F.count_if(col(a).isNull() & col(b).isNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first() if pairs else []
     out = []
-    for start in range(0, len(pairs), 100):
-        part = pairs[start : start + 100]
-        row = p.df.agg(*[F.count_if(col(a).isNull() & col(b).isNull()).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
-        for (a, b), both in zip(part, row):
-            ratio = both / p.facts[a].nulls
-            if ratio >= CLUSTER_RATIO:
-                out.append(
-                    Signal(
-                        "missingness_cluster",
-                        [a, b],
-                        f"Missingness Cluster: {title_case(a)} & {title_case(b)}",
-                        f"'{b}' is missing in {ratio:.1%} of the rows where '{a}' is ({both} rows).",
-                        min(1.0, ratio),
-                        (p.relevance(a) + p.relevance(b)) / 2.0,
-                        {
-                            "col_a": a,
-                            "col_b": b,
-                            "co_occurrence_pct": half_up(ratio * 100, 1),
-                            "co_occurrence_count": both,
-                        },
-                    )
+    for (a, b), both in zip(pairs, shared):
+        ratio = both / p.facts[a].nulls
+        if ratio >= CLUSTER_RATIO:
+            out.append(
+                Signal(
+                    "missingness_cluster",
+                    [a, b],
+                    f"Missingness Cluster: {title_case(a)} & {title_case(b)}",
+                    f"'{b}' is missing in {ratio:.1%} of the rows where '{a}' is ({both} rows).",
+                    min(1.0, ratio),
+                    (p.relevance(a) + p.relevance(b)) / 2.0,
+                    {
+                        "col_a": a,
+                        "col_b": b,
+                        "co_occurrence_pct": half_up(ratio * 100, 1),
+                        "co_occurrence_count": both,
+                    },
                 )
+            )
     return out
 
 

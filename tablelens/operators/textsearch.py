@@ -1,14 +1,17 @@
 """Words, overlap, term weights, and typo-tolerant keyword search over text columns.
 
-Words stay inside their row; only term totals and the hits of a search are
-shuffled, and nothing gathers the documents of a frequent term in one task.
+Words stay in the task that reads them; only term totals and the hits of a search
+are shuffled, and nothing gathers the documents of a frequent term in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelens.functions.semantics import col
+from tablelens.session import durable, evenly
 
 # Words ignored when comparing two texts.
 OVERLAP_STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from", "then", "have", "been")
@@ -50,30 +53,23 @@ def tfidf_top(df: DataFrame, key: str, text: str, n: int = 5, stop_words: tuple[
     """(key, term, weight) of the n most frequent terms, each document scaled to unit length.
 
     weight = tf * (ln((1 + documents) / (1 + df)) + 1) / norm.  Every row is a
-    document; its words have at least two letters and are not stop words.  Term
-    totals combine before their only shuffle; the n terms become literals, and
-    a second pass counts just them inside each row.
+    document; its words have at least two letters and are not stop words.  Words
+    are exploded and counted in the task that reads them; what is shuffled are
+    term totals, and in a second pass the counts of the n terms by document.
     """
-    tokens = F.filter(words(col(text), 2), lambda w: ~w.isin(*stop_words))
-    marks = F.concat(
-        F.transform("w", lambda w: F.struct(w.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("w"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
-    )
-    totals = df.select(tokens.alias("w")).select(F.inline(marks)).groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
-    top = totals.orderBy(F.col("total").desc(), "term").limit(n).collect()
+    rows = evenly(df.select(col(key).alias("key"), col(text).alias("text")))
+    totals = rows.select(F.explode(words(F.col("text"), 2)).alias("term")).filter(~F.col("term").isin(*stop_words)).groupBy("term").count()
+    top = [t["term"] for t in totals.orderBy(F.col("count").desc(), "term").limit(n).collect()]
     if not top:
         return df.select(col(key).alias("key"), F.lit("").alias("term"), F.lit(0.0).alias("weight")).filter(F.lit(False))
-    documents = df.count()
-    counted = df.select(col(key).alias("key"), F.filter(words(col(text), 2), lambda w: w.isin(*[t["term"] for t in top])).alias("w"))
-
-    def weight(term: str, texts: int) -> Column:
-        tf = F.size(F.filter("w", lambda w: w == term))
-        return F.struct(F.lit(term).alias("term"), (tf * (F.log(F.lit((1 + documents) / (1 + texts))) + 1)).alias("w"))
-
-    weights = F.array(*[weight(t["term"], t["df"]) for t in top])
-    found = counted.select("key", F.filter(weights, lambda t: t["w"] > 0).alias("found")).filter(F.size("found") > 0)
-    norm = F.sqrt(F.aggregate("found", F.lit(0.0), lambda total, t: total + t["w"] * t["w"]))
-    return found.select("key", norm.alias("norm"), F.inline("found")).select("key", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    tokens = rows.withColumn("row", F.monotonically_increasing_id()).select("key", "row", F.explode(words(F.col("text"), 2)).alias("term"))
+    found = durable(tokens.filter(F.col("term").isin(*top)).groupBy("row", "key", "term").agg(F.count("*").alias("tf")))
+    texts = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}
+    documents = rows.count()
+    rarity = F.create_map(*[c for t in top for c in (F.lit(t), F.log(F.lit((1 + documents) / (1 + texts[t]))) + 1)])
+    weighted = found.withColumn("w", F.col("tf") * F.element_at(rarity, F.col("term")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row")))  # at most n rows
+    return weighted.select("key", "term", (F.col("w") / norm).alias("weight"))
 
 
 def search_document(
@@ -116,7 +112,7 @@ def keyword_search(
     """Documents ranked by query words matched, then fewest typos, then best attribute.
 
     Words of five letters or more may differ by one edit, of nine by two.  The
-    distinct words of the table are compared with the few query words as plain
+    words of the table are compared with the few query words as plain
     expressions, so no join of words with words takes place.
     """
     if user_id is not None:
@@ -134,21 +130,15 @@ def keyword_search(
         distance = F.when(near, F.levenshtein(word, F.lit(wanted), allowed))
         return F.when(distance >= 0, distance)
 
-    # Per document and query word: the fewest typos anywhere, and the best attribute with a hit.
-    read = documents.select("id", *[F.array_distinct(words(F.col(a))).alias(a) for a in SEARCH_ORDER])
-
-    def first(parts: list[Column]) -> Column:
-        return F.array_min(F.array(*parts))
-
-    def hit(wanted: str) -> Column:
-        fewest = [F.array_min(F.transform(F.col(a), lambda w: typos(w, wanted))) for a in SEARCH_ORDER]
-        places = [F.when(t.isNotNull(), F.lit(i)) for i, t in enumerate(fewest)]
-        return F.struct(first(fewest).alias("t"), first(places).alias("a"))
-
-    tests = F.array(*[F.struct(F.lit(i).alias("q"), hit(w).alias("h")) for i, w in enumerate(asked)])
-    hits = read.select("id", F.inline(tests)).filter(F.col("h.t").isNotNull())
+    # Words are exploded and tested in the task that reads them; only hits go on.
+    rows = evenly(documents.select("id", *SEARCH_ORDER))
+    read = rows.select("id", F.inline(F.array(*[F.struct(F.lit(i).alias("a"), words(F.col(a)).alias("words")) for i, a in enumerate(SEARCH_ORDER)])))
+    near = [typos(F.col("word"), w) for w in asked]
+    some = reduce(Column.__or__, [t.isNotNull() for t in near], F.lit(False))
+    tests = F.array(*[F.struct(F.lit(i).alias("q"), t.alias("t")) for i, t in enumerate(near)]) if near else F.array().cast("array<struct<q:int,t:int>>")
+    hits = read.select("id", "a", F.explode("words").alias("word")).filter(some).select("id", "a", F.inline(tests)).filter(F.col("t").isNotNull())
     # At most one narrow row per query word of a matching document; rows with one id count once.
-    best = hits.groupBy("id", "q").agg(F.min("h.t").alias("t"), F.min("h.a").alias("a"))
+    best = hits.groupBy("id", "q").agg(F.min("t").alias("t"), F.min("a").alias("a"))
     ranked = (
         best.groupBy("id")
         .agg(F.count(F.lit(1)).alias("matched"), F.sum("t").alias("typos"), F.min("a").alias("attribute"))

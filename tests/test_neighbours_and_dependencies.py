@@ -6,9 +6,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tablelens.operators import dependencies, neighbours, ranks
-from tablelens.operators.profile import Profile
+from tablelens.operators import charts, crossproducts, dependencies, neighbours, ranks, signals, textsearch
+from tablelens.operators.profile import Profile, correlation_pairs
 from tablelens.session import evenly
 
 N = 900
@@ -136,3 +137,38 @@ def test_even_copies_keep_rows_and_types(spark):
     assert Profile(spark.createDataFrame([], "x int")).rows == 0
     twice = spark.createDataFrame([(1, 2)], "a int, b int").toDF("a", "A")
     assert evenly(twice) is twice
+
+
+def test_wide_tables_need_one_scan_for_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 23
+    base = rng.normal(5, 2, (400, 3))
+    data = base @ rng.normal(size=(3, n)) + rng.normal(size=(400, n)) + 1000
+    holes = rng.random((400, n)) < 0.03
+    holes[:, 4] = holes[:, 9]  # missing together
+    frame = pd.DataFrame(np.where(holes, np.nan, data), columns=[f"m{i}" for i in range(n)])
+    df = spark.createDataFrame(frame.astype(object).where(~holes, None), ", ".join(f"m{i} double" for i in range(n))).repartition(5)
+    names = list(frame)
+    monkeypatch.setattr(crossproducts, "BLOCK", 7)
+    assert crossproducts.gram(df.na.fill(0.0), [F.col(c) for c in names], block=7) == pytest.approx((z := np.where(holes, 0, data)).T @ z)
+    assert not crossproducts.gram(df.limit(0), [F.col(c) for c in names[:2]]).any()
+    complete = frame.dropna().corr()
+    for a, b, r in correlation_pairs(df, names):
+        assert r == pytest.approx(round(complete.loc[a, b], 4), abs=1.01e-4)
+    found = crossproducts.pairwise_correlations(df, [F.col(c) for c in names], list(frame.mean()))
+    assert found == pytest.approx(frame.corr().to_numpy(), abs=1e-9)
+    p = Profile(df)
+    scored = {tuple(c): d["pearson_r"] for _, _, c, _, d in charts.score_num_num(p)}
+    assert len(scored) == n * (n - 1) // 2 and scored["m1", "m2"] == pytest.approx(frame["m1"].corr(frame["m2"]), abs=1e-9)
+    together = [s.columns for s in signals.missingness_clusters(p)]
+    assert ["m4", "m9"] in together
+
+
+def test_words_are_counted_by_document(spark):
+    rows = [(1, "Apple apple pear"), (1, "apple"), (2, None), (3, ""), (4, "pear plum the the the")]
+    found = sorted(tuple(r) for r in textsearch.tfidf_top(spark.createDataFrame(rows, "k int, t string"), "k", "t", n=2).collect())
+    idf = {"apple": math.log(6 / 3) + 1, "pear": math.log(6 / 3) + 1}
+    norm = math.hypot(2 * idf["apple"], idf["pear"])
+    expected = [(1, "apple", 2 * idf["apple"] / norm), (1, "apple", 1.0), (1, "pear", idf["pear"] / norm), (4, "pear", 1.0)]
+    assert [(k, t, pytest.approx(w)) for k, t, w in sorted(expected)] == found
+    assert textsearch.tfidf_top(spark.createDataFrame([], "k int, t string"), "k", "t").count() == 0
