@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tablelens.operators import increments, information, neighbours, profile as prof
+from tablelens.operators import increments, information, neighbours, profile as prof, variants
 from tablelens.operators.profile import Profile
 from tablelens.plans import inputs
 from tablelens.plans.registry import query, table
@@ -372,6 +372,30 @@ def category_variants(spark, sf):
     return prof.category_variants(inputs.geo_variants(spark, sf), ["country", "c_mktsegment"])
 
 
+# Customers with misspelt segments and countries, for both sides.
+SPELLINGS = """spelt AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'usa' WHEN 1 THEN 'United States' WHEN 2 THEN 'US' WHEN 3 THEN 'New York' ELSE 'ny' END AS country,
+  CASE WHEN c_custkey % 40 = 1 THEN replace(c_mktsegment, 'IL', 'L') WHEN c_custkey % 40 = 2 THEN lower(c_mktsegment) || '!' WHEN c_custkey % 40 = 3 THEN substring(c_mktsegment, 2) ELSE c_mktsegment END AS segment,
+  CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'client ' || c_mktsegment END AS name FROM customer)"""
+
+
+@query(
+    "value_clusters",
+    f"""WITH RECURSIVE {SPELLINGS}, c AS (SELECT 'country' AS col, country AS v FROM spelt UNION ALL SELECT 'segment', segment FROM spelt UNION ALL SELECT 'name', name FROM spelt),
+    n AS (SELECT col, v, count(*) AS rows, trim(regexp_replace(lower(v), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')) AS p FROM c GROUP BY ALL),
+    s AS (SELECT *, list_sort(list_distinct(string_split(p, ' '))) AS w, regexp_replace(p, '[^\\p{{Nd}}]+', ' ', 'g') AS d, length(p) AS l,
+      CASE WHEN contains(p, ' ') THEN list_aggregate(list_transform(string_split(p, ' '), lambda t: t[1]), 'string_agg', '') END AS i FROM n),
+    e AS (SELECT a.col, a.v AS a, b.v AS b FROM s a JOIN s b ON a.col = b.col AND a.v <> b.v AND (a.w = b.w OR a.i = b.p OR b.i = a.p OR (a.d = b.d AND a.l BETWEEN 5 AND 64 AND b.l BETWEEN 5 AND 64
+      AND abs(a.l - b.l) <= 2 AND levenshtein(a.p, b.p) <= CASE WHEN a.l >= 9 AND b.l >= 9 THEN 2 ELSE 1 END))),
+    reach AS (SELECT col, a, b FROM e UNION SELECT r.col, r.a, e.b FROM reach r JOIN e ON e.col = r.col AND e.a = r.b),
+    root AS (SELECT col, a AS v, least(a, min(b)) AS root FROM reach GROUP BY col, a)
+    SELECT col AS "column", first_value(v) OVER (PARTITION BY col, root ORDER BY rows DESC, v) AS cluster, v AS value, rows FROM root JOIN n USING (col, v)""",
+)
+def value_clusters(spark, sf):
+    table(spark, sf, "customer").createOrReplaceTempView("spelt_customer")
+    df = spark.sql("WITH " + SPELLINGS.replace("FROM customer", "FROM spelt_customer") + " SELECT * FROM spelt")
+    return variants.value_clusters(df, ["country", "segment", "name"])
+
+
 @query(
     "dataset_overview",
     f"""{typed_sql('orders_text')}, p AS ({PRIMARY_SQL})
