@@ -238,3 +238,17 @@ def test_licence_templates_keep_their_labels():
     assert {label for _, label in licenses.BASE} <= {t.label for t in licenses.TEMPLATES}
     with pytest.raises(ValueError):
         licenses.postings((licenses.Template("x", "a b a b", ("a b",)),))
+
+
+# ---- the registered queries ----
+
+
+@pytest.mark.parametrize("key", ["op11_hard_negatives", "op12_merkle_manifest", "op13_license_scan"])
+def test_query_equals_sql(spark, key):
+    import oracle
+
+    from tablelens.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    problem, rows, _ = oracle.compare(spark, oracle.connect(sf), queries.QUERIES[key], queries.CHECKS[key], sf)
+    assert problem is None and rows > 0, problem
