@@ -36,6 +36,24 @@ def sanitize(df: DataFrame) -> DataFrame:
     return df.select(*[cell(c) for c in df.columns])
 
 
+def sanitize_report(df: DataFrame, encoding: str) -> DataFrame:
+    """What ``sanitize`` does to a table, one row a column: names, null tokens turned into nulls, cells that lost padding.
+
+    ``encoding`` is the one that the table was read with; ``original_columns`` counts the table's columns.
+    """
+    texts = set(string_columns(df))
+    clean = sanitize(df.limit(0)).columns
+    counts: list[Column] = []
+    for name in df.columns:
+        trimmed = F.trim(col(name))
+        token = trimmed.isin(*NULL_TOKENS) if name in texts else F.lit(False)
+        padded = ~token & (trimmed != col(name)) if name in texts else F.lit(False)
+        counts += [F.count_if(token), F.count_if(padded)]
+    found = df.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()
+    rows = [(encoding, len(clean), old, new, found[2 * i], found[2 * i + 1]) for i, (old, new) in enumerate(zip(df.columns, clean))]
+    return df.sparkSession.createDataFrame(rows, "used_encoding string, original_columns int, original_name string, column string, null_tokens long, padded_cells long")
+
+
 @dataclass(frozen=True)
 class Rule:
     """What a column must hold: a kind, optionally no nulls, a minimum, any value at all."""

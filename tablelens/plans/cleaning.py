@@ -37,6 +37,20 @@ def sanitize(spark, sf):
     return readers.read_dirty_csv(spark, path, df.schema)
 
 
+@query(
+    "sanitize_report",
+    f"""WITH {inputs.CUST_DIRTY} SELECT 'UTF-8' AS used_encoding, CAST(5 AS INTEGER) AS original_columns, original_name, "column", null_tokens, padded_cells FROM (
+      SELECT 'c_custkey' AS original_name, 'c_custkey' AS "column", 0::BIGINT AS null_tokens, 0::BIGINT AS padded_cells
+      UNION ALL SELECT 'c_name', 'c_name', 0, (SELECT count(*) FROM cust_dirty WHERE trim(c_name) <> c_name)
+      UNION ALL SELECT 'c_nationkey', 'c_nationkey', 0, 0 UNION ALL SELECT 'c_acctbal', 'c_acctbal', 0, 0
+      UNION ALL SELECT ' mkt segment ', 'mkt_segment', count(*) FILTER (trim(c_mktsegment) IN ('', 'N/A', 'null', 'NaN')),
+        count(*) FILTER (trim(c_mktsegment) NOT IN ('', 'N/A', 'null', 'NaN') AND trim(c_mktsegment) <> c_mktsegment) FROM cust_dirty)""",
+)
+def sanitize_report(spark, sf):
+    df = inputs.cust_dirty(spark, sf).withColumnRenamed("c_mktsegment", " mkt segment ")
+    return quality.sanitize_report(df, readers.ENCODINGS[0])
+
+
 @query(
     "write_dataset",
     """SELECT f.format, o_orderstatus, count(*) AS rows, round(sum(o_totalprice), 2) AS total

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tablelens.operators.quality import sanitize
+from tablelens.operators.quality import sanitize, sanitize_report
 
 # Encodings tried for text files, in this order.
 ENCODINGS = ("UTF-8", "ISO-8859-1", "windows-1252")
@@ -37,6 +37,12 @@ def read_dirty_csv(spark: SparkSession, path: str, schema: T.StructType | None =
     return sanitize(read_csv(spark, path, schema, pick_encoding(spark, path)))
 
 
+def dirty_csv_report(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The encoding that ``read_dirty_csv`` uses, and what it cleans in every column."""
+    encoding = pick_encoding(spark, path)
+    return sanitize_report(read_csv(spark, path, schema, encoding), encoding)
+
+
 def jdbc_options(url: str, table: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> dict:
     """Reader options; ``partition`` is (column, lower, upper, tasks) for parallel reads."""
     out = {"url": url, "dbtable": table, **options}

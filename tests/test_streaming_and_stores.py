@@ -41,6 +41,8 @@ def test_encodings_and_null_tokens(spark, tmp_path):
     df = readers.read_dirty_csv(spark, str(tmp_path / "l1.csv"))
     assert df.columns == ["Full_Name", "unit_price"]
     assert [r[0] for r in df.collect()] == ["café", None]
+    report = [tuple(r) for r in readers.dirty_csv_report(spark, str(tmp_path / "l1.csv")).collect()]
+    assert report == [("ISO-8859-1", 2, "Full Name", "Full_Name", 1, 1), ("ISO-8859-1", 2, "unit-price", "unit_price", 0, 0)]
     typed = readers.read_csv(spark, str(tmp_path / "l1.csv"), spark.createDataFrame([], "n string, p double").schema, "ISO-8859-1")
     assert [r["p"] for r in typed.collect()] == [1.5, None]
 
