@@ -10,9 +10,7 @@ shuffled, once per document and word.
 
 Hidden Markov model: latent states emit tokens, and every training word has its
 own emission probability in every state.  They are kept as ratios to the base
-model, r(w) = p(w | state)/p(w).  Ratios of the head of the vocabulary (a bounded
-table) are an array; those of all other words are columns of a stored table that
-is joined to the texts by word.  Unknown words have ratio 1.  So p(text) = base
+model, r(w) = p(w | state)/p(w).  Unknown words have ratio 1.  So p(text) = base
 score times the sum over state paths of moves and ratios.  Baum-Welch trains the
 states: every task runs scaled forward and backward recursions over its whole
 training texts and returns expected counts by word; Spark sums them.  With E(w)
@@ -20,23 +18,37 @@ the expected count of a word in a state and T that state's total, r(w) =
 (E(w) N/T + 1)/(c+1): each state is smoothed like the base model, and sums to 1.
 Scoring runs the scaled forward recursion over each whole document.
 
-Null and empty texts are the end alone.  Null ids fall in fold 0; repeated rows
-are scored each.  With no training documents N = V = 0, and the score is the
-base score.
+Where ratios live: those of the head of the vocabulary (a bounded table) are an
+array; a task returns the head's expected counts packed in chunks, which are
+summed chunk by chunk.  A word that training holds once stays with the one text
+that has it, so nothing about it is shuffled until another text needs it for its
+score.  All other words have a number, and their ratios are a stored table that is
+joined to the texts by number in every round.  The texts' codes lie in buckets of
+one stored table and are never shuffled again: the ratios come to them.  Tables that a later round replaces
+are deleted once the later one is stored.
+
+Null and empty texts are the end alone; texts may have any length.  Null ids fall
+in fold 0; repeated rows are scored each; words with equal counts are in the head
+together or not at all.  Columns other than the id and the text are not read, so
+their names do not matter.  With no training documents N = V = 0, and the score is
+the base score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
-from tablelens.llm.common import LOWER, WHITE, extend, fold, mix, rounds, runs, span_hashes, stored, text_bytes, word_hash
+from tablelens.llm.common import LOWER, WHITE, extend, fold, mix, rounds, runs, span_hashes, text_bytes
+from tablelens.session import scratch_path
 
 STATES = 4
 FREQUENT = 1 << 18
@@ -44,20 +56,77 @@ CLASSES = FREQUENT + 2  # the head, the end and the unknown: what the array of r
 STEPS = 3
 SEGMENT = 64  # tokens of a window where windows are asked for
 ROUND_TOKENS = 1 << 20  # tokens of one round of recursions (one longer text is one round)
+CHUNK = 1 << 12  # head words whose expected counts travel as one packed row
 END, UNKNOWN = 0, 1
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Drop the shuffle files of each write in the block as soon as it is done."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
+def _kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once below the shared folder, and read it from there."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    with _cleaning(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of this module that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Counts of the training tokens: totals, and the bounded head of the table."""
 
-    counts: DataFrame  # word, c (without the end)
+    counts: DataFrame  # word, id, c (without the end)
+    path: str  # of counts
     total: int  # N
     distinct: int  # V
     ends: int
     words: list[str]  # at most `frequent` of the most counted words, descending, ties by word
     numbers: np.ndarray
+    seeds: np.ndarray  # a hash of each word of the head
+
+
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` below the shared folder in buckets of ``key``: joins on that key leave its rows where they are."""
+    spark, path, name = df.sparkSession, scratch_path(df.sparkSession, "encoded"), f"encoded_{uuid.uuid4().hex}"
+    with _cleaning(spark):
+        writer = df.repartition(buckets, key).write.option("compression", "zstd").option("path", path)
+        writer.bucketBy(buckets, key).saveAsTable(name, format="parquet")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry only; the files have their own path
+    return table
+
+
+def _buckets(spark: SparkSession, size: int) -> int:
+    """Buckets of about 64 MB of text, small tables spread over the cores, and no more than Spark's own bound."""
+    spread = min(spark.sparkContext.defaultParallelism, -(-size // (4 << 20)))
+    return min(max(1, spread, -(-size // (64 << 20))), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+
+
+def _pack(codes: np.ndarray) -> bytes:
+    """32-bit codes, small ones of either sign first, as four planes of bytes, which compress well."""
+    small = ((codes << 1) ^ (codes >> 31)).astype(np.uint32)
+    return small.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    small = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return (small >> 1) ^ -(small & 1)
 
 
 def _words(text: str):
@@ -67,7 +136,7 @@ def _words(text: str):
 def count_words(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> Vocabulary:
     """Exact token counts of all texts of ``docs``."""
     tokens = docs.select(F.explode(_words(text_col)).alias("word")).filter("word <> ''")
-    counts = stored(tokens.groupBy("word").agg(F.count("*").alias("c")), "vocabulary")
+    counts, path = _kept(tokens.groupBy("word").agg(F.count("*").alias("c")).select("word", F.monotonically_increasing_id().alias("id"), "c"), "vocabulary")
     ends = docs.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # the head is cut at a count: as many whole steps of counts as fit into `frequent` words
@@ -78,8 +147,9 @@ def count_words(docs: DataFrame, text_col: str = "text", frequent: int = FREQUEN
         if frequent < 0:
             break
         least = row["step"]
-    head = counts.filter(step >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    return Vocabulary(counts, sums[0] + ends, sums[1] + (ends > 0), ends, head["word"].tolist(), head["c"].to_numpy(np.int64))
+    head = counts.filter(step >= least if least is not None else F.lit(False)).select("word", "c", F.xxhash64("word").alias("seed"))
+    head = head.toPandas().sort_values(["c", "word"], ascending=[False, True])
+    return Vocabulary(counts, path, sums[0] + ends, sums[1] + (ends > 0), ends, head["word"].tolist(), head["c"].to_numpy(np.int64), head["seed"].to_numpy(np.int64))
 
 
 def _lookup(hashes: np.ndarray, keys: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -93,12 +163,13 @@ def _lookup(hashes: np.ndarray, keys: np.ndarray, order: np.ndarray) -> np.ndarr
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """Append what later passes need of each text.
 
-    ``codes`` (32 bits a token, the end last: place in the head plus 2, or -1
+    ``codes`` (packed, a number a token, the end last: place in the head plus 2, or -1
     minus the place in ``rest``), ``n_tokens``, ``n_head`` and ``head_log`` (count,
     and sum of log10(c+1), of tokens in the head), and ``rest``: the other words
     with their number in the text.
     """
-    hashes = np.array([word_hash(w) for w in vocabulary.words], np.uint64)
+    data, offsets = text_bytes(pa.array(vocabulary.words, pa.string()))
+    hashes = span_hashes(data, offsets[:-1], offsets[1:])
     order = np.argsort(hashes)
     keys = hashes[order]
     logs = np.log10(vocabulary.numbers + 1.0)
@@ -131,7 +202,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
                 have[1] += 1
                 places.append(-1 - have[0])
             code[spot[others]] = places
-            coded += [code[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            coded += [_pack(code[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             rest += [[{"word": w, "n": k} for w, (_, k) in f.items()] for f in found]
         kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
         return [pa.array(coded, pa.binary()), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(known)), pa.array(np.concatenate(gain)), pa.array(rest, kind)]
@@ -148,24 +219,72 @@ class HiddenMarkov:
     emit: np.ndarray  # states x kinds of tokens (probabilities, or ratios to the base model)
 
 
-def _first_ratios(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, states: int) -> np.ndarray:
-    """Ratios between 0.5 and 1.5 for the words in the spans, words x states, by the words' hashes."""
-    hashes = span_hashes(data, starts, ends)
+def _first_ratios(seeds: np.ndarray, states: int) -> np.ndarray:
+    """Ratios between 0.5 and 1.5 for words with these hashes, words x states."""
+    hashes = seeds.astype(np.int64).view(np.uint64)
     return np.stack([0.5 + (mix(hashes + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)) / 2.0**53 for s in range(states)], 1)
 
 
-def _first_tail(pairs: DataFrame, states: int) -> DataFrame:
-    """word, c, r0, r1, ...: first ratios of the words outside the head."""
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
-    def work(batch: pa.RecordBatch) -> list:
-        data, offsets = text_bytes(batch.column(batch.schema.get_field_index("word")))
-        return list(_first_ratios(data, offsets[:-1], offsets[1:], states).T)
 
-    return extend(pairs.select("word", "c").distinct(), [StructField(n, DoubleType()) for n in _ratio_names(states)], lambda b: [pa.array(np.ascontiguousarray(x)) for x in work(b)])
+def _names(states: int) -> list[str]:
+    return [f"r{s}" for s in range(states)]
 
 
-def _ratio_names(states: int) -> list[str]:
-    return [f"r{s}" for s in range(states)]
+def _floats(values: np.ndarray) -> list[pa.Array]:
+    """The columns of a matrix as 32-bit columns of a table."""
+    return [pa.array(v) for v in np.ascontiguousarray(values.T, np.float32)]
+
+
+def _first_mass(counts: DataFrame, states: int) -> np.ndarray:
+    """Sum of (c+1) times the first ratio over all words, by state."""
+    names = _names(states)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(states)
+        for batch in batches:
+            if batch.num_rows:
+                total += (_numbers(batch, "c") + 1.0) @ _first_ratios(_numbers(batch, "seed"), states)
+        yield pa.RecordBatch.from_arrays([pa.array([t]) for t in total], names=names)
+
+    sums = counts.select("c", F.xxhash64("word").alias("seed")).mapInArrow(work, ", ".join(f"{n} double" for n in names))
+    return np.array(sums.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in names]).first())
+
+
+def _first_shared(counts: DataFrame, states: int, scale: np.ndarray) -> DataFrame:
+    """id, r0, r1, ...: first ratios of the words that several places hold."""
+    names = _names(states)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = _first_ratios(_numbers(batch, "seed"), states) * scale
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_floats(made)], names=["id", *names])
+
+    return counts.filter("c > 1").select("id", F.xxhash64("word").alias("seed")).mapInArrow(work, "id long, " + ", ".join(f"{n} float" for n in names))
+
+
+def _first_own(pairs: DataFrame, states: int) -> DataFrame:
+    """row, spots, packed: places and first ratios of the words that training holds once, with their texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = batch.column(1)
+                place, seed = (x.to_numpy(zero_copy_only=False) for x in found.flatten().flatten())
+                ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))
+                ratios, begin = _first_ratios(seed, states).astype(np.float32), 0
+                spots, packed = [], []
+                for end in ends.tolist():
+                    spots.append(place[begin:end].astype(np.int32).tobytes())
+                    packed.append(ratios[begin:end].tobytes())
+                    begin = end
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spots, pa.binary()), pa.array(packed, pa.binary())], names=["row", "spots", "packed"])
+
+    found = pairs.filter("training AND c = 1").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "seed"))).alias("found"))
+    return found.mapInArrow(work, "row long, spots binary, packed binary")
 
 
 def expected_counts(codes: list[np.ndarray], model: HiddenMarkov, segment: int | None = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -212,86 +331,134 @@ def expected_counts(codes: list[np.ndarray], model: HiddenMarkov, segment: int |
     return start, move, emit, log
 
 
-def _with_ratios(coded: DataFrame, pairs: DataFrame | None, tail: DataFrame | None, states: int) -> DataFrame:
-    """Append ``seen``: place in ``rest`` and ratios of every known word outside the head."""
-    names = _ratio_names(states)
-    if pairs is None:
-        kind = "array<struct<place:int," + ",".join(f"{n}:double" for n in names) + ">>"
-        return coded.withColumn("seen", F.lit(None).cast(kind))
-    seen = pairs.select("row", "place", "word").join(tail.select("word", *names), "word").groupBy("row").agg(F.collect_list(F.struct("place", *names)).alias("seen"))
-    return coded.join(seen, "row", "left")
+@dataclass(frozen=True)
+class Model:
+    """All of a trained model but the ratios of the words outside its head."""
+
+    hidden: HiddenMarkov
+    times: np.ndarray  # an own word's ratio is its packed number times this, by state,
+    plus: float  # and this added
+
+    def own(self, packed: np.ndarray) -> np.ndarray:
+        return packed.reshape(-1, len(self.times)) * self.times + self.plus
+
+
+def _with_ratios(coded: DataFrame, buckets: int, pairs: DataFrame, shared: DataFrame, own: DataFrame, states: int) -> DataFrame:
+    """Append ``seen`` (place in ``rest``, number, count and ratios of every shared word), ``spots`` and ``packed`` (of own words).
+
+    Only what is appended moves: to the buckets of ``coded``.
+    """
+    seen = pairs.select("row", "place", "id", "c").join(shared, "id").repartition(buckets, "row").groupBy("row").agg(F.collect_list(F.struct("place", "id", "c", *_names(states))).alias("seen"))
+    return coded.join(seen, "row", "left").join(own.repartition(buckets, "row"), "row", "left")
+
 
+def _tables(batch: pa.RecordBatch, model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray | None], list[pa.Array]]:
+    """The codes of a batch as rows of one table of ratios: the head's, then those of each text's other words.
 
-def _tables(batch: pa.RecordBatch, head: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The codes of a batch as rows of one table of ratios: the head's, then those of each text's other words."""
+    Also the rows of the shared words, those of each text's own words, and the columns of ``seen``.
+    """
     get = lambda name: batch.column(batch.schema.get_field_index(name))
-    others = get("n_rest").to_numpy(zero_copy_only=False).astype(np.int64)
+    head = model.hidden.emit.T
+    others = _numbers(batch, "n_rest").astype(np.int64)
     base = len(head) + np.cumsum(others) - others
     table = np.concatenate([head, np.ones((int(others.sum()), head.shape[1]))])
     seen = get("seen")
-    place, *ratios = seen.flatten().flatten()
+    place, *columns = seen.flatten().flatten()
     lengths = seen.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    table[np.repeat(base, lengths) + place.to_numpy(zero_copy_only=False)] = np.stack([r.to_numpy(zero_copy_only=False) for r in ratios], 1)
-    codes = [np.frombuffer(c, np.int32).astype(np.int64) for c in get("codes").to_pylist()]
-    return [np.where(c < 0, b - 1 - c, c) for c, b in zip(codes, base.tolist())], table
-
-
-def train(coded: DataFrame, pairs: DataFrame | None, vocabulary: Vocabulary, states: int = STATES, steps: int = STEPS) -> tuple[HiddenMarkov, DataFrame | None, list[float]]:
-    """Baum-Welch over all rows of ``coded``: the model over the head, the ratios of all other words, and what the states add to the log likelihood before each step."""
-    names, known = _ratio_names(states), len(vocabulary.words)
-    data, offsets = text_bytes(pa.array(vocabulary.words, pa.string()))
-    head = np.concatenate([np.ones((2, states)), _first_ratios(data, offsets[:-1], offsets[1:], states) if known else np.ones((0, states))])
+    shared = np.repeat(base, lengths) + place.to_numpy(zero_copy_only=False)
+    table[shared] = np.stack([r.to_numpy(zero_copy_only=False) for r in columns[2:]], 1)
+    own: list[np.ndarray | None] = []
+    for b, spots, packed in zip(base.tolist(), get("spots").to_pylist(), get("packed").to_pylist()):
+        own.append(None if spots is None else b + np.frombuffer(spots, np.int32).astype(np.int64))
+        if spots is not None:
+            table[own[-1]] = model.own(np.frombuffer(packed, np.float32))
+    codes = [_unpack(c) for c in get("codes").to_pylist()]
+    return [np.where(c < 0, b - 1 - c, c) for c, b in zip(codes, base.tolist())], table, shared, own, columns
+
+
+def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One packed sum per chunk of the head; what a task holds is bounded by the head."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            part = np.frombuffer(packed, np.float64)
+            sums[at] = sums[at] + part if at in sums else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["at", "packed"])
+
+
+def _count(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Expected counts of a task's texts: rows of shared words, of texts with own words, and of chunks of the head."""
+    hidden = model.hidden
+    states, size = hidden.emit.shape
+    names = ["row", "at", "id", "c", "spots", "packed", *_names(states)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.float32()] * states]
+
+    def rows(n: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(n, t) for k, t in zip(names, kinds)], names=names)
+
+    head, rest = np.zeros((size, states)), np.zeros((states + 3, states))  # rest: starts, moves, totals, log likelihood
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes, table, shared, own, columns = _tables(batch, model)
+        start, move, emit, log = expected_counts(codes, HiddenMarkov(hidden.start, hidden.move, table.T), None)
+        emit = emit.T
+        head += emit[:size]
+        rest[0] += start
+        rest[1 : 1 + states] += move
+        rest[-2] += emit.sum(0)
+        rest[-1, 0] += log
+        if len(shared):
+            yield rows(len(shared), id=columns[0], c=columns[1], **dict(zip(names[6:], _floats(emit[shared]))))
+        have = [i for i, at in enumerate(own) if at is not None]
+        if have:
+            packed = pa.array([emit[own[i]].astype(np.float32).tobytes() for i in have], pa.binary())
+            yield rows(len(have), row=batch.column(batch.schema.get_field_index("row")).take(pa.array(have)), spots=batch.column(batch.schema.get_field_index("spots")).take(pa.array(have)), packed=packed)
+    at = [a for a in range(0, size, CHUNK) if head[a : a + CHUNK].any()]
+    packed = [rest.tobytes(), *[head[a : a + CHUNK].tobytes() for a in at]]
+    yield rows(len(packed), at=pa.array([-1, *[a // CHUNK for a in at]], pa.int32()), packed=pa.array(packed, pa.binary()))
+
+
+def train(coded: DataFrame, buckets: int, pairs: DataFrame, vocabulary: Vocabulary, states: int = STATES, steps: int = STEPS) -> tuple[Model, DataFrame, DataFrame, list[float]]:
+    """Baum-Welch over all rows of ``coded``, which lie in ``buckets`` buckets of ``row``.
+
+    The model, the ratios of shared words (id, r0, ...), the own words (row, spots,
+    packed), and what the states add to the log likelihood before each step.
+    """
+    spark, names = coded.sparkSession, _names(states)
+    head = np.concatenate([np.ones((2, states)), _first_ratios(vocabulary.seeds, states)])
     counts = np.concatenate([[vocabulary.ends, 0], vocabulary.numbers]).astype(float)
-    mass = ((counts + 1)[:, None] * head).sum(0)
-    tail = None
-    if pairs is not None:
-        tail = stored(_first_tail(pairs, states), "ratios")
-        mass = mass + np.array(tail.agg(*[F.coalesce(F.sum((F.col("c") + 1) * F.col(n)), F.lit(0.0)) for n in names]).first())
+    mass = (counts[:2, None] + 1).sum(0) + _first_mass(vocabulary.counts, states)
     scale = (vocabulary.total + vocabulary.distinct + 1) / mass
-    head = head * scale
-    if tail is not None:
-        tail = tail.select("word", "c", *[(F.col(n) * F.lit(float(z))).alias(n) for n, z in zip(names, scale)])
+    least = vocabulary.numbers.min(initial=np.iinfo(np.int64).max)
+    shared, shared_path = _kept(_first_shared(vocabulary.counts.filter(F.col("c") < F.lit(int(least))), states, scale), "ratios")
+    own, own_path = _kept(_first_own(pairs, states), "own")
+    _forget(spark, vocabulary.path)
     move = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
-    model, history = HiddenMarkov(np.full(states, 1 / states), move, head.T), []
-    schema = "at long, word string, " + ", ".join(f"{n} double" for n in names)
+    model, history = Model(HiddenMarkov(np.full(states, 1 / states), move, (head * scale).T), scale, 0.0), []
+    schema = "row long, at int, id long, c long, spots binary, packed binary, " + ", ".join(f"{n} float" for n in names)
+    several = pairs.filter("training AND c > 1")
     for _ in range(steps):
-        held = coded.sparkSession.sparkContext.broadcast(model)  # bounded by the head
-
-        def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            now = held.value
-            size = now.emit.shape[1]
-            # rows: tokens of the head, starts, moves, totals, log likelihood
-            sums = np.zeros((size + states + 3, states))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes, table = _tables(batch, now.emit.T)
-                start, move, emit, log = expected_counts(codes, HiddenMarkov(now.start, now.move, table.T), None)
-                sums[:size] += emit[:, :size].T
-                sums[size] += start
-                sums[size + 1 : size + 1 + states] += move
-                sums[-2] += emit.sum(1)
-                sums[-1, 0] += log
-                words = batch.column(batch.schema.get_field_index("words")).flatten()
-                if len(words):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), words, *[pa.array(e) for e in emit[:, size:]]], names=["at", "word", *names])
-            at = np.flatnonzero(sums.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.string()), *[pa.array(v) for v in sums[at].T.copy()]], names=["at", "word", *names])
-
-        found = _with_ratios(coded, pairs, tail, states).select("codes", "n_rest", "seen", F.col("rest.word").alias("words")).mapInArrow(count, schema)
-        found = stored(found.groupBy("at", "word").agg(*[F.sum(n).alias(n) for n in names]), "expected")
-        rows = found.filter("word IS NULL").toPandas()
-        sums = np.zeros((len(head) + states + 3, states))
-        sums[rows["at"].to_numpy(np.int64)] = rows[names].to_numpy()
-        start, move, totals = sums[len(head)] + 1 / states, sums[len(head) + 1 : len(head) + 1 + states] + 1 / states, np.maximum(sums[-2], 1e-300)
-        share = vocabulary.total / totals
-        head = (sums[: len(head)] * share + 1) / (counts + 1)[:, None]
-        if tail is not None:
-            ratios = [((F.col(n) * F.lit(float(z)) + 1) / (F.col("c") + 1)).alias(n) for n, z in zip(names, share)]
-            tail = stored(found.filter("word IS NOT NULL").join(tail.select("word", "c"), "word").select("word", "c", *ratios), "ratios")
-        model = HiddenMarkov(start / start.sum(), move / move.sum(1, keepdims=True), head.T)
-        history.append(float(sums[-1, 0]))
-    return model, tail, history
+        held = spark.sparkContext.broadcast(model)  # bounded by the head
+        found = _with_ratios(coded.select("row", "codes", "n_rest"), buckets, several, shared, own, states)
+        made, made_path = _kept(found.mapInArrow(lambda batches, held=held: _count(batches, held.value), schema), "expected")
+        chunks = made.filter("at IS NOT NULL").select("at", "packed").mapInArrow(_add_chunks, "at int, packed binary")
+        packed = {r["at"]: np.frombuffer(r["packed"], np.float64).reshape(-1, states) for r in chunks.repartition("at").mapInArrow(_add_chunks, "at int, packed binary").collect()}
+        head, rest = np.zeros((len(counts), states)), packed.pop(-1)
+        for at, part in packed.items():
+            head[at * CHUNK : at * CHUNK + len(part)] = part
+        share = vocabulary.total / np.maximum(rest[-2], 1e-300)
+        ratios = [((F.sum(n) * F.lit(float(z)) + 1) / (F.max("c") + 1)).cast("float").alias(n) for n, z in zip(names, share)]
+        next_shared, next_path = _kept(made.filter("id IS NOT NULL").groupBy("id").agg(*ratios), "ratios")
+        _forget(spark, shared_path)
+        _forget(spark, own_path)  # before the first step the first ratios, later the table of the step before
+        shared, shared_path = next_shared, next_path
+        own, own_path = made.filter("row IS NOT NULL").select("row", "spots", "packed"), made_path
+        start, move = rest[0] + 1 / states, rest[1 : 1 + states] + 1 / states
+        hidden = HiddenMarkov(start / start.sum(), move / move.sum(1, keepdims=True), ((head * share + 1) / (counts + 1)[:, None]).T)
+        model = Model(hidden, share / 2, 0.5)
+        history.append(float(rest[-1, 0]))
+    return model, shared, own, history
 
 
 def forward(codes: list[np.ndarray], model: HiddenMarkov) -> np.ndarray:
@@ -312,16 +479,35 @@ def forward(codes: list[np.ndarray], model: HiddenMarkov) -> np.ndarray:
     return out
 
 
-def add_gain(encoded: DataFrame, model: HiddenMarkov, out: str = "gain") -> DataFrame:
-    """Append what the states add to the base score (log10)."""
+def _own_ratios(own: DataFrame, model: Model, states: int) -> DataFrame:
+    """row, place, r0, ...: the ratios that stay with the texts, one row a word."""
+    held = own.sparkSession.sparkContext.broadcast(model)
+    names = _names(states)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                spots = [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+                values = np.concatenate([held.value.own(np.frombuffer(x, np.float32)) for x in batch.column(2).to_pylist()])
+                row = np.repeat(_numbers(batch, "row"), [len(x) for x in spots])
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate(spots)), *_floats(values)], names=["row", "place", *names])
+
+    return own.select("row", "spots", "packed").mapInArrow(work, "row long, place int, " + ", ".join(f"{n} float" for n in names))
+
+
+def add_gain(encoded: DataFrame, model: Model, kept: list[str], out: str = "gain") -> DataFrame:
+    """The columns ``kept``, and what the states add to the base score (log10)."""
     held = encoded.sparkSession.sparkContext.broadcast(model)  # bounded by the head
 
-    def work(batch: pa.RecordBatch) -> list:
-        now = held.value
-        codes, table = _tables(batch, now.emit.T)
-        return [pa.array(forward(codes, HiddenMarkov(now.start, now.move, table.T)) / math.log(10))]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hidden = held.value.hidden
+                codes, table, *_ = _tables(batch, held.value)
+                gain = forward(codes, HiddenMarkov(hidden.start, hidden.move, table.T)) / math.log(10)
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in kept], pa.array(gain)], names=[*kept, out])
 
-    return extend(encoded, [StructField(out, DoubleType())], work)
+    return encoded.mapInArrow(work, StructType([encoded.schema[k] for k in kept] + [StructField(out, DoubleType())]))
 
 
 def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, frequent: int = FREQUENT, states: int = STATES, steps: int = STEPS) -> DataFrame:
@@ -331,21 +517,26 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     vocabulary = count_words(texts.filter("training"), "text", min(frequent, classes - 2))
-    coded = stored(encode(texts, vocabulary).drop("text").withColumns({"row": F.monotonically_increasing_id(), "n_rest": F.size("rest")}), "encoded")
-    pairs = coded.select("row", "training", F.posexplode("rest").alias("place", "r")).select("row", "training", "place", "r.word", "r.n").join(vocabulary.counts, "word")
-    pairs = stored(pairs, "pairs")
+    buckets = _buckets(docs.sparkSession, texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    coded = _bucketed(encode(texts, vocabulary).drop("text").withColumns({"row": F.monotonically_increasing_id(), "n_rest": F.size("rest")}), "row", buckets)
+    words = coded.select("row", "training", F.posexplode("rest").alias("place", "r")).select("row", "training", "place", "r.word", "r.n")
+    seed = F.when(F.col("training") & (F.col("c") == 1), F.xxhash64("word")).alias("seed")
+    pairs, _ = _kept(words.join(vocabulary.counts, "word").select("row", "training", "place", "n", "id", "c", seed), "pairs")
     rare = pairs.groupBy("row").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
-    gained = coded.select("id", "training", "row", "n_tokens", "n_head", "head_log")
+    columns = ["row", "id", "training", "n_tokens", "n_head", "head_log"]
+    gained = coded.select(columns)
     if vocabulary.ends:
-        some = None if pairs.isEmpty() else pairs
-        model, tail, _ = train(coded.filter("training").select("row", "codes", "n_rest", "rest"), some.filter("training") if some is not None else None, vocabulary, states, steps)
-        whole = _with_ratios(coded.select("id", "training", "row", "n_tokens", "n_head", "head_log", "codes", "n_rest"), some, tail, states)
-        gained = add_gain(whole, model).drop("codes", "n_rest", "seen")
+        model, shared, own, _ = train(coded.filter("training"), buckets, pairs, vocabulary, states, steps)
+        once = F.col("training") & (F.col("c") == 1)
+        needed = pairs.filter(once).join(pairs.filter("NOT training AND c = 1").select("id").distinct(), "id", "left_semi").select("row", "place", "id")
+        lent = needed.join(_own_ratios(own, model, states), ["row", "place"]).select("id", *_names(states))
+        whole = _with_ratios(coded.select(*columns, "codes", "n_rest"), buckets, pairs.filter(~once), shared.unionByName(lent), own, states)
+        gained = add_gain(whole.join(rare.repartition(buckets, "row"), "row", "left"), model, [*columns, "n_rare", "rare_log"])
     else:
-        gained = gained.withColumn("gain", F.lit(0.0))
+        gained = gained.withColumn("gain", F.lit(0.0)).join(rare, "row", "left")
     end_log, bottom = math.log10(vocabulary.ends + 1), math.log10(vocabulary.total + vocabulary.distinct + 1)
     base = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(bottom)
-    return gained.join(rare, "row", "left").select(
+    return gained.select(
         F.col("id").alias(id_col),
         "training",
         "n_tokens",
