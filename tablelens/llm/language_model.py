@@ -44,6 +44,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -55,7 +56,7 @@ FREQUENT = 1 << 18
 CLASSES = FREQUENT + 2  # the head, the end and the unknown: what the array of ratios holds
 STEPS = 3
 SEGMENT = 64  # tokens of a window where windows are asked for
-ROUND_TOKENS = 1 << 20  # tokens of one round of recursions (one longer text is one round)
+ROUND_TOKENS = 1 << 19  # tokens of one round of recursions (one longer text is one round)
 CHUNK = 1 << 12  # head words whose expected counts travel as one packed row
 END, UNKNOWN = 0, 1
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -113,9 +114,9 @@ def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 def _buckets(spark: SparkSession, size: int) -> int:
-    """Buckets of about 64 MB of text, small tables spread over the cores, and no more than Spark's own bound."""
+    """Buckets of about 32 MB of text, small tables spread over the cores, and no more than Spark's own bound."""
     spread = min(spark.sparkContext.defaultParallelism, -(-size // (4 << 20)))
-    return min(max(1, spread, -(-size // (64 << 20))), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    return min(max(1, spread, -(-size // (32 << 20))), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -376,6 +377,15 @@ def _tables(batch: pa.RecordBatch, model: Model) -> tuple[list[np.ndarray], np.n
     return [np.where(c < 0, b - 1 - c, c) for c, b in zip(codes, base.tolist())], table, shared, own, columns
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in pieces of about ROUND_TOKENS tokens (one longer text is one piece)."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = pc.binary_length(batch.column(batch.schema.get_field_index("codes"))).to_numpy(zero_copy_only=False) // 4
+            for a, b in rounds(np.append(0, np.cumsum(sizes, dtype=np.int64)), ROUND_TOKENS):
+                yield batch.slice(a, b - a)
+
+
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One packed sum per chunk of the head; what a task holds is bounded by the head."""
     sums: dict[int, np.ndarray] = {}
@@ -397,9 +407,7 @@ def _count(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(n, t) for k, t in zip(names, kinds)], names=names)
 
     head, rest = np.zeros((size, states)), np.zeros((states + 3, states))  # rest: starts, moves, totals, log likelihood
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _pieces(batches):
         codes, table, shared, own, columns = _tables(batch, model)
         start, move, emit, log = expected_counts(codes, HiddenMarkov(hidden.start, hidden.move, table.T), None)
         emit = emit.T
@@ -500,12 +508,11 @@ def add_gain(encoded: DataFrame, model: Model, kept: list[str], out: str = "gain
     held = encoded.sparkSession.sparkContext.broadcast(model)  # bounded by the head
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                hidden = held.value.hidden
-                codes, table, *_ = _tables(batch, held.value)
-                gain = forward(codes, HiddenMarkov(hidden.start, hidden.move, table.T)) / math.log(10)
-                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in kept], pa.array(gain)], names=[*kept, out])
+        hidden = held.value.hidden
+        for batch in _pieces(batches):
+            codes, table, *_ = _tables(batch, held.value)
+            gain = forward(codes, HiddenMarkov(hidden.start, hidden.move, table.T)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in kept], pa.array(gain)], names=[*kept, out])
 
     return encoded.mapInArrow(work, StructType([encoded.schema[k] for k in kept] + [StructField(out, DoubleType())]))
 
