@@ -256,6 +256,35 @@ def test_whole_sequences_carry_the_state():
     assert abs(log - language_model.forward(codes, model).sum()) < 1e-6
 
 
+def test_packed_codes_pieces_and_chunks():
+    random = np.random.default_rng(8)
+    codes = np.concatenate([[0, -1, 1, 2**31 - 1, -(2**31)], random.integers(-5000, 300000, 1000)]).astype(np.int32)
+    assert language_model._unpack(language_model._pack(codes)).tolist() == codes.tolist()
+    assert language_model._unpack(language_model._pack(codes[:0])).tolist() == []
+    # one text beyond a piece is a piece; all rows come once and in order
+    sizes = [3, language_model.ROUND_TOKENS + 5, 2, language_model.ROUND_TOKENS, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([bytes(4 * n) for n in sizes])], names=["row", "codes"])
+    pieces = [p.column(0).to_pylist() for p in language_model._pieces(iter([batch, batch.slice(0, 0)]))]
+    assert sum(pieces, []) == list(range(5)) and all(len(p) == 1 or sum(sizes[i] for i in p) <= language_model.ROUND_TOKENS for p in pieces)
+    parts = [(1, random.random(8)), (-1, random.random(4)), (1, random.random(8))]
+    rows = pa.RecordBatch.from_arrays([pa.array([a for a, _ in parts], pa.int32()), pa.array([v.tobytes() for _, v in parts])], names=["at", "packed"])
+    (got,) = language_model._add_chunks(iter([rows]))
+    sums = {a: np.frombuffer(v, np.float64) for a, v in zip(got.column(0).to_pylist(), got.column(1).to_pylist())}
+    assert np.allclose(sums[1], parts[0][1] + parts[2][1]) and np.allclose(sums[-1], parts[1][1])
+
+
+def test_a_long_text_beside_short_ones(spark):
+    # the long text is a piece of its own, holds words seen once, and its base score is exact
+    words = [f"w{i % 5000}" for i in range(language_model.ROUND_TOKENS + 1000)] + ["once"]
+    made = spark.createDataFrame([(1, " ".join(words)), (2, "w1 w2 once"), (3, ""), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_model.score_texts(made, F.col("doc_id") != 2, classes=1000, steps=1).collect()}
+    counts = Counter(words)
+    n, v = len(words) + 3, len(counts) + 1
+    want = sum(math.log10((c + 1) / (n + v + 1)) * c for c in counts.values()) + math.log10(4 / (n + v + 1))
+    assert math.isclose(got[1]["base_score"], want, rel_tol=1e-9) and got[1]["n_tokens"] == got[1]["n_known"] == len(words) + 1
+    assert got[2]["n_known"] == 4 and got[3]["score"] == got[4]["score"] and all(math.isfinite(r["score"]) for r in got.values())
+
+
 # -------------------------------------------------------------- 6: mixing
 
 
