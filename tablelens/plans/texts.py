@@ -6,7 +6,7 @@ import logging
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablelens.operators import dashboard, dependencies, forecast, forest, insights, keys, models, quality, series, textsearch, vectors
+from tablelens.operators import dashboard, dependencies, forecast, forest, insights, keys, models, quality, series, textsearch, vectors, wordindex
 from tablelens.operators.profile import Profile
 from tablelens.operators.sqlgate import read_only_sql
 from tablelens.operators.transform import transform_hook
@@ -112,6 +112,60 @@ def keyword_search(spark, sf):
     return textsearch.keyword_search(search_docs_df(spark, sf), "src1 license permission", resource_type="dataset", limit=20, offset=2)
 
 
+# The SQL side's edit distance counts bytes, so letters beyond ASCII get one free byte each (words are lower-cased).
+FREE_BYTES = "".join(map(chr, [*range(65, 91), *range(1, 32), *range(58, 65), 33, *range(35, 39), *range(40, 48)]))
+
+# Three neighbouring words of every benchmark item are a query: the last three, as the index splits words.
+ASKED_SQL = f"""asked AS (SELECT item_id AS query, list_slice(regexp_extract_all(lower(text), '{LETTERS}'), -3, -1) AS words FROM benchmark),
+    all_words AS (SELECT id, a, regexp_extract_all(lower(t), '{LETTERS}') AS words FROM (
+        SELECT id, unnest([0, 1, 2, 3]) AS a, unnest([title, description, content, category]) AS t FROM docs))"""
+
+
+def indexed(spark, sf) -> tuple[wordindex.WordIndex, DataFrame]:
+    """The index of all search documents, and the queries asked of it."""
+    all_words = textsearch.words(F.col("text"))
+    last = F.slice(all_words, F.greatest(F.size(all_words) - 2, F.lit(1)), 3)
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.array_join(last, " ").alias("text"))
+    return wordindex.build(search_docs_df(spark, sf), scratch_path(spark, "words")), asked
+
+
+@query(
+    "keyword_index",
+    f"""WITH {SEARCH_SQL}, {ASKED_SQL},
+    q AS (SELECT query, unnest(list_distinct(words)) AS wanted FROM asked),
+    p AS (SELECT wanted, CASE WHEN length(wanted) >= 9 THEN 2 WHEN length(wanted) >= 5 THEN 1 ELSE 0 END AS allowed FROM (SELECT DISTINCT wanted FROM q)),
+    w AS (SELECT DISTINCT id, a, unnest(words) AS word FROM all_words),
+    l AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS letters FROM (SELECT DISTINCT unnest(regexp_extract_all(word, '[^\\x00-\\x7F]')) AS c
+      FROM (SELECT word FROM w UNION ALL SELECT wanted FROM p))),
+    v AS (SELECT word, translate(word, letters, '{FREE_BYTES}') AS x FROM (SELECT DISTINCT word FROM w), l),
+    y AS (SELECT wanted, allowed, translate(wanted, letters, '{FREE_BYTES}') AS z FROM p, l),
+    m AS (SELECT wanted, word, CASE WHEN word = wanted THEN 0 ELSE levenshtein(x, z) END AS t FROM v JOIN y
+      ON word = wanted OR (allowed > 0 AND abs(length(x) - length(z)) <= allowed AND levenshtein(x, z) <= allowed)),
+    h AS (SELECT query, id, wanted, min(t) AS t, min(a) AS a FROM q JOIN m USING (wanted) JOIN w USING (word) GROUP BY ALL),
+    f AS (SELECT query, id, count(*) AS matched, CAST(sum(t) AS BIGINT) AS typos, CAST(min(a) AS INTEGER) AS attribute FROM h GROUP BY ALL),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY matched DESC, typos, attribute, id) AS INTEGER) AS rank FROM f)
+    SELECT query, id, matched, typos, attribute, rank FROM r WHERE rank <= 20""",
+)
+def keyword_index(spark, sf):
+    """The first 20 documents of every query, found in a stored index."""
+    index, asked = indexed(spark, sf)
+    return wordindex.search(index, asked, limit=20).select("query", "id", "matched", "typos", "attribute", "rank")
+
+
+@query(
+    "phrase_index",
+    f"""WITH {SEARCH_SQL}, {ASKED_SQL},
+    w AS (SELECT id, a, unnest(words) AS word, unnest(range(len(words))) AS position FROM all_words),
+    q AS (SELECT query, len(words) AS size, unnest(words) AS word, unnest(range(len(words))) AS step FROM asked),
+    s AS (SELECT query, size, id, a, position - step AS start, count(*) AS met FROM q JOIN w USING (word) GROUP BY ALL)
+    SELECT query, id, CAST(a AS INTEGER) AS attribute, count(*) AS places FROM s WHERE met = size GROUP BY ALL""",
+)
+def phrase_index(spark, sf):
+    """Every document that holds the words of a query one after another."""
+    index, asked = indexed(spark, sf)
+    return wordindex.phrase_search(index, asked).select("query", "id", "attribute", "places")
+
+
 @query(
     "overlap",
     f"""WITH s AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_extract_all(lower(text), '{LETTERS}'), lambda x: length(x) >= 3
