@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tablelens.operators import quality
 from tablelens.operators.profile import Profile
@@ -13,7 +14,7 @@ from tablelens.plans import inputs
 from tablelens.plans.findings import LINE_KEYS
 from tablelens.plans.registry import query, table
 from tablelens.session import scratch_path
-from tablelens.sources import readers, stores
+from tablelens.sources import readers, stores, versions
 
 
 @query("read_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -66,6 +67,21 @@ def write_dataset(spark, sf):
     return back.groupBy("format", "o_orderstatus").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query(
+    "dataset_versions",
+    """SELECT v AS version, count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM orders, (SELECT unnest([1, 2, 3]) AS v)
+       WHERE v = 1 AND o_orderstatus = 'O' OR v = 2 AND o_orderstatus IN ('O', 'F') OR v = 3 AND o_orderstatus = 'P' GROUP BY v""",
+)
+def dataset_versions(spark, sf):
+    """Each version of a dataset that was written, appended to, and replaced."""
+    root, df = scratch_path(spark, "versions"), table(spark, sf, "orders")
+    for status, append in (("O", False), ("F", True), ("P", False)):
+        versions.write_version(df.filter(F.col("o_orderstatus") == status), root, "orders", append)
+    held = [versions.read_version(spark, root, "orders", v).withColumn("version", F.lit(v)) for v in versions.version_numbers(spark, root, "orders")]
+    rows = reduce(DataFrame.unionByName, held)
+    return rows.groupBy("version").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query(
     "latest_n",
     """SELECT * EXCLUDE (r) FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5""",

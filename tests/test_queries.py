@@ -13,7 +13,7 @@ QUICK = (
     "group_agg filter_ops filter_region filter_dates raw_rows kpis dashboard_kpis category_breakdown histogram null_stats duplicate_rows "
     "numeric_stats correlation zscore_outliers score_num_cat score_cat_cat sanitize validate heal_impute daily_series trend_line "
     "label_encode stratified_folds write_dataset narrative profile_narrative chart_texts vector_topk keyword_search overlap tfidf_top detect_keys event_rate latency_p95 "
-    "profile_increments value_clusters neighbour_information inclusion_dependencies column_keys keyword_index phrase_index"
+    "profile_increments value_clusters neighbour_information inclusion_dependencies column_keys keyword_index phrase_index dataset_versions"
 ).split()
 KEYS = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else QUICK
 
