@@ -93,7 +93,8 @@ def _fit_shard(alpha: float, beta: float, l1: float, l2: float, epochs: int):
                 n[at] += g * g
         w = _weights(z, n, alpha, beta, l1, l2)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"slot": at, "weight": w[at]})
+        # the slot after the bias counts the shards that had rows
+        return pd.DataFrame({"slot": np.append(at, SLOTS + 1), "weight": np.append(w[at], 1.0)})
 
     return fit
 
@@ -123,12 +124,13 @@ def fit_quality(
         .groupBy("shard")
         .applyInPandas(_fit_shard(alpha, beta, l1, l2, epochs), "slot int, weight double")
         .groupBy("slot")
-        .agg((F.sum("weight") / SHARDS).alias("weight"))
+        .agg(F.sum("weight").alias("weight"))
         .collect()
     )
-    weights = np.zeros(SLOTS + 1)
+    weights = np.zeros(SLOTS + 2)
     for row in shards:
         weights[row["slot"]] = row["weight"]
+    weights /= max(1.0, weights[SLOTS + 1])
     return QualityModel(float(weights[SLOTS]), weights[:SLOTS].astype(np.float32))
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tablelens.llm import decontaminate, language_model, mixing, order_minhash, quality, secrets, simhash
-from tablelens.llm.common import read_table, rounds, span_hashes, stored, text_bytes, word_hash
+from tablelens.llm.common import fold, read_table, rounds, span_hashes, stored, text_bytes, word_hash
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -164,6 +164,42 @@ def test_quality(spark, odd, empty, labels):
     assert (tried[tried["quality"] == 1]["predicted"]).mean() >= 0.98
 
 
+def test_training_by_hand(spark):
+    """Follow-the-regularised-leader one coordinate at a time; shards without rows do not count."""
+    texts = ["good words stand here", "bad $$ buy now now", "more good words", "buy cheap $$ now", "plain words here", ""]
+    rows = [(i, t, float("good" in t or "plain" in t)) for i, t in enumerate(texts, 1)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality double")
+    model = quality.fit_quality(docs, labels, epochs=3)
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    known = docs.join(labels, "doc_id").filter(fold("doc_id", 5) != 0)
+    known = known.select("text", "quality", order.alias("order"), F.pmod(F.shiftright(order, 20), F.lit(quality.SHARDS)).alias("shard")).orderBy("order").collect()
+    shards = {r["shard"] for r in known}
+    assert 0 < len(shards) < quality.SHARDS
+    alpha, beta, l1, l2, mean = 0.5, 1.0, 0.01, 0.1, {}
+    for shard in shards:
+        z, n = {}, {}
+
+        def weight(s):
+            have = z.get(s, 0.0)
+            return 0.0 if abs(have) <= l1 else ((l1 if have > 0 else -l1) - have) / ((beta + math.sqrt(n.get(s, 0.0))) / alpha + l2)
+
+        for _ in range(3):
+            for r in (r for r in known if r["shard"] == shard):
+                counts = dict(quality.feature_counts(r["text"]))
+                x = {s: quality.SCALE * c / max(1, sum(counts.values())) for s, c in counts.items()} | {"bias": 1.0}
+                w = {s: weight(s) for s in x}
+                error = 1 / (1 + math.exp(-sum(w[s] * v for s, v in x.items()))) - r["quality"]
+                for s, v in x.items():
+                    g, had = error * v, n.get(s, 0.0)
+                    n[s] = had + g * g
+                    z[s] = z.get(s, 0.0) + g - (math.sqrt(n[s]) - math.sqrt(had)) / alpha * w[s]
+        for s in z:
+            mean[s] = mean.get(s, 0.0) + weight(s) / len(shards)
+    assert model.bias == pytest.approx(mean.pop("bias"), abs=1e-9)
+    assert all(model.weights[s] == pytest.approx(v, rel=1e-5, abs=1e-7) for s, v in mean.items())
+    assert np.count_nonzero(model.weights) == sum(abs(v) > 1e-12 for v in mean.values())
+
+
 def test_quality_on_odd_rows(spark, odd, empty, labels):
     none = labels.limit(0)
     assert {r["score"] for r in quality.quality_table(odd, none).collect()} == {0.5}
