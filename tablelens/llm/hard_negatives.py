@@ -20,7 +20,8 @@ Searches run in rounds.  In a round every open anchor takes its next cells, for
 eight times as many rows as in the round before; anchors meet the blocks of
 their cells in a shuffle, packs of ``PACK`` anchors against one block at a time;
 only rows at or above an anchor's present cut leave a task.  A round is written to the
-shared folder.  The number of rounds grows with the logarithm of the rows.
+shared folder.  No join broadcasts a side: the files of visits repeat each vector once a
+block, which they store as a dictionary, so their size on disk says little of their rows.  The number of rounds grows with the logarithm of the rows.
 
 Rows with a null id, label or vector, or a null or non-finite component, take no
 part.  Shorter vectors are filled up with zeros; components beyond 32 bits are
@@ -244,7 +245,7 @@ def _met(visits: DataFrame, index: Index, packs: int, same: bool, k: int) -> Dat
     size = index.size
     asked = visits.filter("cell >= 0").select("cell", "part", F.pmod(F.xxhash64("a"), F.lit(packs)).alias("pack"), F.struct("a", "label", "vec", "low", "high", "cut").alias("anchor"))
     asked = asked.groupBy("cell", "part", "pack").agg(F.collect_list("anchor").alias("anchors"))  # about PACK anchors
-    joined = asked.join(index.blocks, ["cell", "part"]).select("anchors", "rows", "ids", "labels", "vecs")
+    joined = asked.join(index.blocks.hint("merge"), ["cell", "part"]).select("anchors", "rows", "ids", "labels", "vecs")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +290,7 @@ def search(anchors: DataFrame, index: Index, k: int, same: bool, codes: int = CO
         cuts = kept.filter(F.col("rank") == k).groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("cuts"))
         came = visits.filter("cell < 0 AND ahead IS NOT NULL").select("a", "label", "vec", "low", "high", "cut", "done", "ahead")
         cut = F.transform("cut", lambda c, i: F.coalesce(F.element_at("cuts", i.cast("long")), c))
-        live = came.join(cuts, "a", "left").withColumn("cut", F.when(F.col("cuts").isNull(), F.col("cut")).otherwise(cut)).drop("cuts")
+        live = came.join(cuts.hint("merge"), "a", "left").withColumn("cut", F.when(F.col("cuts").isNull(), F.col("cut")).otherwise(cut)).drop("cuts")
         # certified: the next bound lies below every window's least wanted score
         wanted = F.array_min(F.transform(F.arrays_zip("low", "cut"), lambda w: F.greatest(w.low, w.cut)))
         live = stored(live.filter(F.col("ahead") >= wanted).drop("ahead"), "live")
@@ -318,12 +319,12 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 1
     p = F.col("positive_score").cast("decimal(20,0)")
     ends = friends.select("a", "place", F.ceil(p * low / 100).cast("long").alias("low"), F.floor(p * high / 100).cast("long").alias("high")).filter("low <= high")
     windows = ends.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("place", "low", "high"))).alias("w"))  # `positives` a group
-    windows = stored(windows.join(anchors.select("a", "label", "vec"), "a").select("a", "label", "vec", F.col("w.low").alias("low"), F.col("w.high").alias("high"), F.col("w.place").alias("places")), "windows")
+    windows = stored(windows.join(anchors.select("a", "label", "vec").hint("merge"), "a").select("a", "label", "vec", F.col("w.low").alias("low"), F.col("w.high").alias("high"), F.col("w.place").alias("places")), "windows")
     foes = search(windows.drop("places"), index, negatives, False, codes)
-    foes = foes.join(windows.select("a", "places"), "a").withColumn("place", F.get("places", F.col("window").cast("int")))
+    foes = foes.join(windows.select("a", "places").hint("merge"), "a").withColumn("place", F.get("places", F.col("window").cast("int")))
     return (
-        foes.join(friends, ["a", "place"])
-        .join(anchors.select("a", "anchor_id"), "a")
+        foes.join(friends.hint("merge"), ["a", "place"])
+        .join(anchors.select("a", "anchor_id").hint("merge"), "a")
         .select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
     )
 

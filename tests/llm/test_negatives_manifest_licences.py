@@ -53,6 +53,20 @@ def test_negatives_at_any_block_size(spark, monkeypatch, first, block, pack, cod
     assert mined(spark, [(*r, "x", 1) for r in rows]) == brute_negatives(rows)
 
 
+def test_negatives_broadcast_nothing(spark, monkeypatch):
+    plans, write = [], hard_negatives.stored
+
+    def watched(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(hard_negatives, "stored", watched)
+    rows = spark.createDataFrame([(*r, "x", 1) for r in clustered(300, 4, 9)], "vec_id long, label int, embedding array<double>, rank string, cell int")
+    out = hard_negatives.negatives_table(rows)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_negatives_odd_rows(spark):
     rows = clustered(120, 4, 5)
     rows += [(None, 1, [1.0] * 4), (200, None, [1.0] * 4), (300, 1, None), (400, 1, [1.0, None, 0.0, 0.0]), (500, 2, [float("nan")] * 4)]
