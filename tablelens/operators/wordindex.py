@@ -18,7 +18,8 @@ propose terms; the edit distance decides, so nothing is lost or added.
 
 Search ranks like ``textsearch.keyword_search``: words matched, then fewest typos,
 then best attribute, then id.  A whole set of queries is searched at once, and no
-text is read.
+text is read.  The postings of a text are made in the task that reads it.  A phrase starts from
+the places of its rarest word; only there are the postings of its other words asked.
 
 Null ids, null and empty texts give no postings; a null or empty query finds
 nothing.  Rows with one id are one document; equal rows count once.  Words may have
@@ -28,10 +29,12 @@ than those named are not read, so their names do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablelens.functions.semantics import col
 from tablelens.operators.textsearch import ONE_TYPO_LENGTH, SEARCH_ORDER, TWO_TYPO_LENGTH, words
@@ -41,6 +44,7 @@ LONGEST = 64  # letters of the longest term whose halves get deletion keys
 FOLDERS = 32
 BLOCKS = 64  # pieces into which the postings of a term can be dealt
 BROADCAST_ROWS = 100_000
+ROUND_WORDS = 1 << 18  # words of whole texts whose postings are made at once
 
 
 @dataclass(frozen=True)
@@ -126,12 +130,14 @@ def build(documents: DataFrame, path: str, key: str = "id", attributes: Sequence
     rows = documents.select(col(key).alias("id"), *[col(c).alias(k) for c, k in zip(keep, kept)], F.inline(texts)).filter("id IS NOT NULL AND text IS NOT NULL")
     rows = evenly(rows)
     version = F.xxhash64("text", *kept).alias("version")
-    tokens = rows.select("id", "attribute", version, *kept, F.posexplode(words(F.col("text"))).alias("position", "term"))
-    found = tokens.groupBy("id", "attribute", "version", *kept, "term").agg(F.array_sort(F.collect_set("position")).alias("positions"))
-    block = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("block")
-    postings = found.select(_part("term").alias("part"), "term", "id", "attribute", "version", block, F.size("positions").alias("n"), "positions", *kept)
+    found = _placed(rows.select("id", "attribute", version, *kept, words(F.col("text")).alias("words")))
     order = ["part", "term", "id"]
-    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{path}/postings")
+    dealt = found.withColumn("part", _part("term")).repartitionByRange(*order)
+    # equal rows meet in a partition; no second shuffle
+    once = dealt.groupBy(*order, "attribute", "version", *kept).agg(F.first("positions").alias("positions"))
+    block = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("block")
+    postings = once.select("part", "term", "id", "attribute", "version", block, F.size("positions").alias("n"), "positions", *kept)
+    postings.sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{path}/postings")
     stored = _read(spark, f"{path}/postings", postings)
     terms = stored.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.sum("n").alias("places"))
     terms.write.parquet(f"{path}/terms")
@@ -142,6 +148,40 @@ def build(documents: DataFrame, path: str, key: str = "id", attributes: Sequence
     return WordIndex(stored.withColumnsRenamed(names), terms, _read(spark, f"{path}/keys", keys), tuple(attributes))
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with one row for every distinct one of its ``words``: ``term`` and ``positions``, made in the task that reads the text."""
+    others = [f for f in rows.schema.fields if f.name != "words"]
+    schema = T.StructType([*others, T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    names = [f.name for f in others]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("words"))
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < batch.num_rows:
+                done = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, done + ROUND_WORDS, side="right")))
+                flat = lists.slice(first, last - first).flatten()
+                if len(flat):
+                    sizes = np.diff(ends[first:last], prepend=done)
+                    row = np.repeat(np.arange(first, last), sizes)
+                    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    coded = flat.dictionary_encode()
+                    key = row * len(coded.dictionary) + coded.indices.to_numpy()
+                    order = np.argsort(key, kind="stable")
+                    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+                    terms = coded.dictionary.take(coded.indices.take(pa.array(order[starts])))
+                    cuts = pa.array(np.append(starts, len(order)), pa.int32())
+                    places = pa.ListArray.from_arrays(cuts, pa.array(place[order], pa.int32()))
+                    at = pa.array(row[order[starts]])
+                    kept = [batch.column(batch.schema.get_field_index(n)).take(at) for n in names]
+                    yield pa.RecordBatch.from_arrays([*kept, terms, places], names=[*names, "term", "positions"])
+                first = last
+
+    return rows.mapInArrow(work, schema)
+
+
 def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 
@@ -184,6 +224,7 @@ def search(index: WordIndex, queries: DataFrame, key: str = "query", text: str =
     asked = queries.select(col(key).alias("query"), F.explode(split).alias("word")).filter("word <> ''").distinct()
     wanted = durable(asked.join(match_terms(index, asked), "word").select("query", "word", "term", "typos"))
     hits = _meet(index, wanted, equal)
+    hits = hits.select("query", "id", "word", "typos", "attribute").repartition("query", "id")  # one shuffle for both sums
     best = hits.groupBy("query", "id", "word").agg(F.min("typos").alias("typos"), F.min("attribute").alias("attribute"))
     found = best.groupBy("query", "id").agg(F.count(F.lit(1)).alias("matched"), F.sum("typos").alias("typos"), F.min("attribute").alias("attribute"))
     order = Window.partitionBy("query").orderBy(F.col("matched").desc(), "typos", "attribute", "id")
@@ -198,8 +239,20 @@ def phrase_search(index: WordIndex, queries: DataFrame, key: str = "query", text
     and overlapping ones count.  Words are those of the index, without typos.
     """
     asked = queries.select(col(key).alias("query"), words(col(text)).alias("words")).distinct()
-    steps = durable(asked.select("query", F.size("words").alias("size"), F.xxhash64("words").alias("phrase"), F.posexplode("words").alias("step", "term")))
-    places = _meet(index, steps, equal).select("query", "size", "phrase", "id", "attribute", "version", "step", F.explode("positions").alias("position"))
-    starts = places.groupBy("query", "size", "phrase", "id", "attribute", "version", (F.col("position") - F.col("step")).alias("start")).agg(F.count(F.lit(1)).alias("met"))
-    whole = starts.filter(F.col("met") == F.col("size"))
-    return whole.groupBy("query", "id", "attribute").agg(F.count(F.lit(1)).alias("places"))
+    steps = asked.select("query", F.size("words").alias("size"), F.xxhash64("words").alias("phrase"), F.posexplode("words").alias("step", "term"))
+    # every phrase starts from its rarest word; an unknown one has no places
+    held = steps.join(index.terms.select("term", "places"), "term", "left").withColumn("places", F.coalesce("places", F.lit(0)))
+    phrase = held.groupBy("query", "size", "phrase").agg(F.min(F.struct("places", "step", "term")).alias("rare"), F.collect_list(F.struct("step", "term")).alias("steps"))
+    others = F.filter("steps", lambda s: s["step"] != F.col("rare.step"))
+    rarest = durable(phrase.select("query", "size", "phrase", F.col("rare.term").alias("term"), F.col("rare.step").alias("at"), others.alias("others")))
+    row = ["query", "size", "phrase", "id", "attribute", "version"]
+    first = _meet(index, rarest, equal).select(*row, "others", F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
+    asked_of = first.select(*row, "starts", F.inline("others"))
+    rest = durable(rarest.select(F.inline("others")).select("term").distinct())
+    held = _meet(index, rest, equal).select("term", "id", "attribute", "version", "positions")
+    met = asked_of.join(held, ["term", "id", "attribute", "version"])
+    places = F.array_intersect(F.transform("starts", lambda s: s + F.col("step")), "positions")
+    starts = met.select(*row, "step", F.explode(places).alias("place")).groupBy(*row, (F.col("place") - F.col("step")).alias("start")).agg(F.count(F.lit(1)).alias("met"))
+    whole = starts.filter(F.col("met") == F.col("size") - 1).select("query", "id", "attribute")
+    alone = first.filter("size = 1").select("query", "id", "attribute", F.explode("starts")).drop("col")
+    return whole.unionByName(alone).groupBy("query", "id", "attribute").agg(F.count(F.lit(1)).alias("places"))

@@ -147,3 +147,30 @@ def test_empty_tables(spark, tmp_path):
     queries = spark.createDataFrame([(1, "some words")], "query int, text string")
     assert wordindex.search(index, queries).collect() == [] == wordindex.phrase_search(index, queries).collect()
     assert wordindex.search(index, queries.filter("false")).collect() == []
+
+
+def test_phrases_start_from_their_rarest_word(spark, tmp_path, monkeypatch):
+    rows = [(f"d{i}", "x", "1", "the big the red" if i == 7 else "the big the", None, None, None, None, None) for i in range(40)]
+    index = wordindex.build(spark.createDataFrame(rows, COLUMNS), str(tmp_path / "index"))
+    met, meet = [], wordindex._meet
+
+    def watched(*a):
+        out = meet(*a)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(wordindex, "_meet", watched)
+    found = wordindex.phrase_search(index, spark.createDataFrame([(1, "the red"), (2, "red"), (3, "red the"), (4, "the unseen")], "query int, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "d7", 0, 1), (2, "d7", 0, 1)]
+    assert met[0] == 3  # the places of "red" for three queries, none of the unknown word's
+
+
+@pytest.mark.parametrize("most", [1, 5, 1 << 18])
+def test_postings_are_made_without_a_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(wordindex, "ROUND_WORDS", most)
+    texts = ["b a b", "", None, "c", "a a", "  ", "b c a b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", textsearch.words(F.col("text")).alias("words"))
+    placed = wordindex._placed(rows)
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    want = [(i, w, [n for n, x in enumerate(split(t)) if x == w]) for i, t in enumerate(texts) for w in set(split(t))]
+    assert sorted(tuple(r) for r in placed.collect()) == sorted(want)
