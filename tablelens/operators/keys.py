@@ -57,18 +57,17 @@ def measure_pairs(tables: dict[str, DataFrame], pairs: list[KeyPair]) -> DataFra
     for i, p in enumerate(pairs):
         uses.setdefault((p.left_table, p.left), []).append((i, 0))
         uses.setdefault((p.right_table, p.right), []).append((i, 1))
+    # whole numbers meet as they are; as soon as one key is of another type, all meet as text
+    whole = all(isinstance(tables[t].schema[c].dataType, T.IntegralType) for t, c in uses)
     parts = []
     for name, df in tables.items():
         wanted = [c for c in df.columns if (name, c) in uses]
         if not wanted:
             continue
-        cells = F.array(*[F.struct(F.lit(c).alias("c"), _as_text(df, c).alias("k")) for c in wanted])
+        cells = F.array(*[F.struct(F.lit(i).alias("c"), (col(c).cast("long") if whole else _as_text(df, c)).alias("k")) for i, c in enumerate(wanted)])
         counts = df.select(F.inline(cells)).filter(F.col("k").isNotNull()).groupBy("c", "k").agg(F.count(F.lit(1)).alias("n"))
-        sides = F.map_from_arrays(
-            F.array(*[F.lit(c) for c in wanted]),
-            F.array(*[F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(s).alias("side")) for i, s in uses[name, c]]) for c in wanted]),
-        )
-        parts.append(counts.select("k", "n", F.inline(F.element_at(sides, F.col("c")))))
+        sides = F.array(*[F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(s).alias("side")) for i, s in uses[name, c]]) for c in wanted])
+        parts.append(counts.select("k", "n", F.inline(F.get(sides, F.col("c")))))
     both = (
         reduce(DataFrame.unionByName, parts)
         .groupBy("pair", "k")
