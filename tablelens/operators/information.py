@@ -33,14 +33,19 @@ def mutual_information(
     def cell(n: str) -> Column:
         if n not in filled:
             return col(n).cast("string")
-        return edges_reached(filled[n], sorted(set(edges[n]))).cast("string")
+        return edges_reached(filled[n], sorted(set(edges[n])))
 
-    pairs = F.array(*[F.struct(F.lit(n).alias("column"), cell(n).alias("x")) for n in columns])
-    joint = (
-        df.select(cell(target).alias("y"), F.inline(pairs))
-        .groupBy("column", "x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    # Each column's code once a row; numbers of bins are counted as numbers, categories as text.
+    codes = {n: f"c{i}" for i, n in enumerate(dict.fromkeys([target, *columns]))}
+    coded = df.select(*[cell(n).alias(code) for n, code in codes.items()])
+    joint = None
+    for kind in ("int", "string"):
+        mine = [n for n in columns if (n in filled) == (kind == "int")]
+        if mine:
+            pairs = F.array(*[F.struct(F.lit(columns.index(n)).alias("column"), F.col(codes[n]).alias("x")) for n in mine])
+            counted = coded.select(F.col(codes[target]).alias("y"), F.inline(pairs)).groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+            counted = counted.withColumn("x", F.col("x").cast("string"))
+            joint = counted if joint is None else joint.unionByName(counted)
     weight = F.sum(F.col("n") * F.log("n"))
     per_xy = joint.groupBy("column", "x").agg(
         weight.alias("w"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")
@@ -58,5 +63,5 @@ def mutual_information(
     for r in per_x.join(per_y, "column").collect():  # one row per column
         raw = (r["wxy"] - r["wx"] - r["wy"]) / rows + math.log(rows)
         bias = (r["kxy"] - r["kx"] - r["ky"] + 1) / (2 * rows)
-        out.append((target, r["column"], round(max(0.0, raw - bias), 6), r["kxy"]))
+        out.append((target, columns[r["column"]], round(max(0.0, raw - bias), 6), r["kxy"]))
     return sorted(out, key=lambda t: (-t[2], t[1]))
