@@ -8,8 +8,9 @@ distinct sets.  Counting them gives, for every two columns, how many distinct
 values they share: column A is included in B if that is all of A's.
 
 Keys: a column, or a pair of columns without a key among them, whose values
-are distinct over all rows.  A sketch of distinct counts rules most pairs out
-in one scan; the others are counted exactly.  Composite inclusions go level by
+are distinct over all rows.  A column with a null is none.  Each value is hashed
+once a row.  A repeat among one in 64 values, by their hash, rules most lists of
+columns out; the others are compared over all rows.  Composite inclusions go level by
 level: two columns can only be included in the columns of a pair if each is
 included alone; the surviving candidates are hashed as tuples and meet in a
 shuffle of the same form.
@@ -29,8 +30,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablelens.functions.semantics import col, is_numeric
 
 Names = tuple[str, tuple[str, ...]]  # a table and some of its columns
-# Relative error of the sketch that rules out pairs of columns (three standard errors).
-SKETCH_ERROR = 0.15
+# Columns may hold so many times the distinct values that a sketch of 5 % standard error tells.
+SKETCH_FACTOR = 2
+# The first comparison of likely keys takes one in so many values, by their hash.
+SLICES = 64
 
 
 def atom(field: T.StructField) -> Column | None:
@@ -83,40 +86,56 @@ def _shared(sets: DataFrame) -> tuple[dict[int, int], dict[tuple[int, int], int]
     return {x: n for (x, y), n in counts.items() if x == y}, {p: n for p, n in counts.items() if p[0] != p[1]}
 
 
+def _own(field: T.StructField) -> Column | None:
+    """A value in a form that is equal where its ``atom`` is, for comparisons inside one column."""
+    value, kind = col(field.name), field.dataType
+    if isinstance(kind, (T.IntegralType, T.FloatType, T.DoubleType, T.StringType, T.BooleanType)):
+        return value
+    if isinstance(kind, (T.DateType, T.TimestampNTZType, T.TimestampType)):
+        return value.cast("timestamp_ntz")
+    return atom(field)
+
+
 def keys_of(df: DataFrame, rows: int | None = None, distinct: dict[str, int] | None = None) -> list[tuple[str, ...]]:
     """Single columns, and pairs of other columns, that tell all rows apart (no nulls in them)."""
-    atoms = _atoms(df)
+    values = {f.name: v for f in df.schema.fields if (v := _own(f)) is not None}
+    names = list(values)
     rows = df.count() if rows is None else rows
     if rows == 0:
         return []
-    if distinct is None:
-        distinct = _exact(df, atoms, [(c,) for c in atoms])
-        distinct = {c: n for (c,), n in distinct.items()}
-    single = [c for c in atoms if distinct.get(c, 0) == rows]
-    rest = [c for c in atoms if c not in single and distinct.get(c, 0) > 1]
-    pairs = [p for p in itertools.combinations(rest, 2) if distinct[p[0]] * distinct[p[1]] >= rows]
-    likely = []
-    for start in range(0, len(pairs), 50):
-        part = pairs[start : start + 50]
-        sketched = df.agg(*[F.approx_count_distinct(_hash([atoms[a], atoms[b]], 1), 0.05).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
-        likely += [p for p, n in zip(part, sketched) if n >= rows * (1 - SKETCH_ERROR)]
-    exact = _exact(df, atoms, likely)
-    return [(c,) for c in single] + [p for p in likely if exact[p] == rows]
-
-
-def _exact(df: DataFrame, atoms: dict[str, Column], lists: Iterable[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
-    """Exact distinct tuples (without nulls) of each list of columns."""
-    lists = list(lists)
-    found = dict.fromkeys(lists, 0)
-    for start in range(0, len(lists), 50):
-        cells = []
-        for i, columns in enumerate(lists[start : start + 50]):
-            values = [atoms[c] for c in columns]
-            full = reduce(Column.__and__, [v.isNotNull() for v in values])
-            cells.append(F.when(full, F.struct(F.lit(i).alias("c"), _hash(values, 1).alias("a"), _hash(values, 2).alias("b"))))
-        counted = df.select(F.inline(F.array_compact(F.array(*cells)))).distinct().groupBy("c").count()
-        found |= {lists[start + r["c"]]: r["count"] for r in counted.collect()}
-    return found
+    filled, most = {}, dict(distinct or {})
+    for start in range(0, len(names), 50):
+        part = names[start : start + 50]
+        sizes = [] if distinct is not None else [F.approx_count_distinct(_hash([values[c]], 1), 0.05) for c in part]
+        seen = list(df.agg(*[e.alias(f"a{i}") for i, e in enumerate([*(F.count(values[c]) for c in part), *sizes])]).first())
+        filled |= dict(zip(part, seen))
+        # twenty standard errors: a bound that only spares the work of counting
+        most |= {c: n * SKETCH_FACTOR for c, n in zip(part, seen[len(part) :])}
+    full = [c for c in names if filled[c] == rows]
+    number = {c: i for i, c in enumerate(full)}
+    hashed = df.select(*[_hash([values[c]], seed).alias(f"h{i}_{seed}") for c, i in number.items() for seed in (1, 2)])
+    single = _keys(hashed, number, [(c,) for c in full if most.get(c, 0) >= rows])
+    rest = [c for c in full if (c,) not in single]
+    return single + _keys(hashed, number, [p for p in itertools.combinations(rest, 2) if most.get(p[0], 0) * most.get(p[1], 0) >= rows])
+
+
+def _keys(hashed: DataFrame, number: dict[str, int], lists: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """The lists of columns of which no two rows share the values.
+
+    A repeat among the rows of one hash in SLICES rules a list out; those left are compared over all rows.
+    """
+    for slices in (SLICES, 1):
+        repeated: set[int] = set()
+        for start in range(0, len(lists), 50):
+            cells = []
+            for i, columns in enumerate(lists[start : start + 50], start):
+                a, b = (_hash([F.col(f"h{number[c]}_{seed}") for c in columns], seed) for seed in (1, 2))
+                cell = F.struct(F.lit(i).alias("c"), a.alias("a"), b.alias("b"))
+                cells.append(cell if slices == 1 else F.when(F.pmod(a, F.lit(slices)) == 0, cell))
+            counted = hashed.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("c", "a", "b").count()
+            repeated |= {r["c"] for r in counted.filter("count > 1").select("c").distinct().collect()}  # one a list
+        lists = [columns for i, columns in enumerate(lists) if i not in repeated]
+    return lists
 
 
 def inclusions(tables: dict[str, DataFrame], composite: bool = True) -> DataFrame:
