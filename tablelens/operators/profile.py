@@ -202,14 +202,16 @@ class Profile:
                 row = self.df.agg(*[F.approx_count_distinct(_countable(f)).alias(f"d{i}") for i, f in enumerate(part)]).first()
                 found |= {f.name: row[i] for i, f in enumerate(part)}
             return found
-        # No value is shuffled, only its 128-bit hash, once per task.
-        cells = [
-            F.when(c.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b")))
-            for i, c in enumerate(map(_countable, fields))
-        ]
-        for start in range(0, len(cells), 100):
-            part = self.df.select(F.inline(F.array_compact(F.array(*cells[start : start + 100])))).distinct()
-            found |= {fields[r["i"]].name: r["count"] for r in part.groupBy("i").count().collect()}
+        # Once per task and distinct value, a number is shuffled as it is, any other value as its 128-bit hash.
+        kinds: dict[str, list[Column]] = {"long": [], "double": [], "hash": []}
+        for i, (f, c) in enumerate(zip(fields, map(_countable, fields))):
+            kind = "long" if isinstance(f.dataType, T.IntegralType) else "double" if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else "hash"
+            value = [F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b")] if kind == "hash" else [c.cast(kind).alias("a")]
+            kinds[kind].append(F.when(c.isNotNull(), F.struct(F.lit(i).alias("i"), *value)))
+        for cells in kinds.values():
+            for start in range(0, len(cells), 100):
+                part = self.df.select(F.inline(F.array_compact(F.array(*cells[start : start + 100])))).distinct()
+                found |= {fields[r["i"]].name: r["count"] for r in part.groupBy("i").count().collect()}
         return found
 
     @cached_property
