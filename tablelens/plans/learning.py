@@ -9,7 +9,7 @@ from tablelens.operators.profile import Profile
 from tablelens.plans import inputs
 from tablelens.plans.profiles import PRIMARY_SQL, orders_text, typed_sql
 from tablelens.plans.registry import query, table
-from tablelens.session import scratch_path
+from tablelens.session import durable, scratch_path
 
 
 @query(
@@ -174,7 +174,7 @@ def regression_tournament_checks(spark, sf):
 
 @query("classification_tournament")
 def classification_tournament(spark, sf):
-    return models.classification_tournament(Profile(_labelled(spark, sf)), "quality").leaderboard_df(spark)
+    return models.classification_tournament(Profile(durable(_labelled(spark, sf))), "quality").leaderboard_df(spark)
 
 
 @query(
@@ -182,7 +182,7 @@ def classification_tournament(spark, sf):
     _board_sql("classification", "quality", "'Baseline', 'LogisticRegression', 'RandomForestClassifier', 'GaussianNB'"),
 )
 def classification_tournament_checks(spark, sf):
-    return _board_checks(models.classification_tournament(Profile(_labelled(spark, sf)), "quality"), spark)
+    return _board_checks(models.classification_tournament(Profile(durable(_labelled(spark, sf))), "quality"), spark)
 
 
 @query("stratified_folds", "SELECT CAST(fold AS INTEGER) AS fold, event_type, true AS even FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest([0, 1, 2, 3, 4]) AS fold)")
@@ -245,7 +245,7 @@ def class_scores(spark, sf):
     """Class names, and the confidence of the likeliest class, of a stored classifier for every row."""
     from pyspark.ml import PipelineModel
 
-    df = _labelled(spark, sf)
+    df = durable(_labelled(spark, sf))  # counts of each text, read many times
     p = Profile(df)
     t = models.classification_tournament(p, "quality")
     path = models.save_model(spark, t, scratch_path(spark, "models"), "labels")
