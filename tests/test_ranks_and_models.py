@@ -129,6 +129,19 @@ def test_regression_tournament_beats_the_mean(spark):
     assert dict(t.importances)["x"] > 0.2 and sum(v for _, v in t.importances) == pytest.approx(1.0, abs=0.01)
 
 
+def test_forests_keep_the_nodes_of_rows(spark):
+    """The forests do not walk from the roots at every level; trees and predictions are the same."""
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(Vectors.dense(i % 7, i % 11 / 3, i % 13), float(i % 7 > 3) + i % 3) for i in range(600)]
+    data = spark.createDataFrame(rows, ["features", "label"]).coalesce(2)
+    made = models.regression_models(600, 5, 4, 2) | models.classification_models(5, 4)
+    for name in ("RandomForestRegressor", "RandomForestClassifier"):
+        assert made[name].getCacheNodeIds()
+        plain = made[name].copy({made[name].cacheNodeIds: False})
+        assert made[name].fit(data).toDebugString.split("\n", 1)[1] == plain.fit(data).toDebugString.split("\n", 1)[1]
+
+
 def test_vector_search(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, v array<float>")
