@@ -3,7 +3,7 @@
 Tokens: words (A-Z lower-cased, split at ASCII white space), then one end.
 
 Base model: p(w) = (c+1)/(N+V+1) over the V known tokens and one unknown.  The
-counts are exact: words are counted in a shuffle with map-side sums, and the
+counts are exact: words are counted batch by batch, then in a shuffle, and the
 words of a document meet their counts in a join.  The ``frequent`` most counted
 words (a bounded table) are looked up in the scan; only the others are
 shuffled, once per document and word.
@@ -13,7 +13,8 @@ own emission probability in every state.  They are kept as ratios to the base
 model, r(w) = p(w | state)/p(w).  Unknown words have ratio 1.  So p(text) = base
 score times the sum over state paths of moves and ratios.  Baum-Welch trains the
 states: every task runs scaled forward and backward recursions over its whole
-training texts and returns expected counts by word; Spark sums them.  With E(w)
+training texts and returns expected counts by word; Spark sums them.  A long text is
+cut into segments that run side by side: matrices of states x states chain them exactly.  With E(w)
 the expected count of a word in a state and T that state's total, r(w) =
 (E(w) N/T + 1)/(c+1): each state is smoothed like the base model, and sums to 1.
 Scoring runs the scaled forward recursion over each whole document.
@@ -48,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
-from tablelens.llm.common import LOWER, WHITE, extend, fold, mix, rounds, runs, span_hashes, text_bytes
+from tablelens.llm.common import LOWER, ROUND_BYTES, WHITE, extend, fold, mix, rounds, runs, span_hashes, text_bytes
 from tablelens.session import scratch_path
 
 STATES = 4
@@ -56,11 +57,11 @@ FREQUENT = 1 << 18
 CLASSES = FREQUENT + 2  # the head, the end and the unknown: what the array of ratios holds
 STEPS = 3
 SEGMENT = 64  # tokens of a window where windows are asked for
-ROUND_TOKENS = 1 << 19  # tokens of one round of recursions (one longer text is one round)
+SPAN = 512  # tokens of a segment of a whole text; the segments of a text run side by side
+ROUND_TOKENS = 1 << 18  # tokens of one round of recursions (one longer text is one piece)
 CHUNK = 1 << 12  # head words whose expected counts travel as one packed row
 END, UNKNOWN = 0, 1
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @contextmanager
@@ -97,7 +98,7 @@ class Vocabulary:
     total: int  # N
     distinct: int  # V
     ends: int
-    words: list[str]  # at most `frequent` of the most counted words, descending, ties by word
+    words: pa.Array  # at most `frequent` of the most counted words, descending, ties by word
     numbers: np.ndarray
     seeds: np.ndarray  # a hash of each word of the head
 
@@ -130,14 +131,32 @@ def _unpack(packed: bytes) -> np.ndarray:
     return (small >> 1) ^ -(small & 1)
 
 
-def _words(text: str):
-    return F.split(F.translate(text, _UPPER, _UPPER.lower()), r"[\x20\x09-\x0D]+")
+def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Words of these lengths that lie end to end in ``data``."""
+    ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(data))
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of every few rounds of texts with their counts."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(0))
+        for low, high in rounds(offsets, 8 * ROUND_BYTES):
+            words = []
+            for a, b in rounds(offsets[low : high + 1]):
+                a, b = a + low, b + low
+                part = LOWER[data[offsets[a] : offsets[b]]]
+                inside = ~WHITE[part]
+                starts, ends, _ = runs(inside.view(np.uint8), offsets[a : b + 1] - offsets[a])
+                words.append(_strings(part[inside], ends - starts))
+            counted = pa.chunked_array(words, pa.string()).value_counts()
+            yield pa.RecordBatch.from_arrays([counted.field(0), counted.field(1)], names=["word", "c"])
 
 
 def count_words(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> Vocabulary:
     """Exact token counts of all texts of ``docs``."""
-    tokens = docs.select(F.explode(_words(text_col)).alias("word")).filter("word <> ''")
-    counts, path = _kept(tokens.groupBy("word").agg(F.count("*").alias("c")).select("word", F.monotonically_increasing_id().alias("id"), "c"), "vocabulary")
+    found = docs.select(text_col).mapInArrow(_count_batches, "word string, c long")
+    counts, path = _kept(found.groupBy("word").agg(F.sum("c").alias("c")).select("word", F.monotonically_increasing_id().alias("id"), "c"), "vocabulary")
     ends = docs.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # the head is cut at a count: as many whole steps of counts as fit into `frequent` words
@@ -149,8 +168,9 @@ def count_words(docs: DataFrame, text_col: str = "text", frequent: int = FREQUEN
             break
         least = row["step"]
     head = counts.filter(step >= least if least is not None else F.lit(False)).select("word", "c", F.xxhash64("word").alias("seed"))
-    head = head.toPandas().sort_values(["c", "word"], ascending=[False, True])
-    return Vocabulary(counts, path, sums[0] + ends, sums[1] + (ends > 0), ends, head["word"].tolist(), head["c"].to_numpy(np.int64), head["seed"].to_numpy(np.int64))
+    head = head.toArrow().sort_by([("c", "descending"), ("word", "ascending")]).combine_chunks()  # no Python object a word
+    numbers, seeds = (head.column(k).to_numpy().astype(np.int64) for k in ("c", "seed"))
+    return Vocabulary(counts, path, sums[0] + ends, sums[1] + (ends > 0), ends, pa.concat_arrays([pa.array([], pa.string()), *head.column("word").cast(pa.string()).chunks]), numbers, seeds)
 
 
 def _lookup(hashes: np.ndarray, keys: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -169,7 +189,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
     and sum of log10(c+1), of tokens in the head), and ``rest``: the other words
     with their number in the text.
     """
-    data, offsets = text_bytes(pa.array(vocabulary.words, pa.string()))
+    data, offsets = text_bytes(vocabulary.words)
     hashes = span_hashes(data, offsets[:-1], offsets[1:])
     order = np.argsort(hashes)
     keys = hashes[order]
@@ -177,7 +197,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
 
     def work(batch: pa.RecordBatch) -> list:
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
-        coded, tokens, known, gain, rest = [], [], [], [], []
+        coded, tokens, known, gain, held, rest, times = [], [], [], [], [], [], []
         for a, b in rounds(offsets):
             part, local = LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
             starts, ends, text = runs((~WHITE)[part].view(np.uint8), local)
@@ -195,18 +215,23 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
             tokens.append(count + 1)
             known.append(np.bincount(text[inside], minlength=n))
             gain.append(np.bincount(text[inside], weights=logs[rank[inside]], minlength=n))
-            raw, others = part.tobytes(), np.flatnonzero(~inside)
-            found: list[dict[str, list[int]]] = [{} for _ in range(n)]
-            places = []
-            for t, x, y in zip(text[others].tolist(), starts[others].tolist(), ends[others].tolist()):
-                have = found[t].setdefault(raw[x:y].decode("utf-8", "replace"), [len(found[t]), 0])
-                have[1] += 1
-                places.append(-1 - have[0])
-            code[spot[others]] = places
+            others = np.flatnonzero(~inside)
+            first_byte, length, owner = starts[others], (ends - starts)[others], text[others]
+            place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            words = _strings(part[place + np.repeat(first_byte, length)], length)
+            number = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+            _, firsts, which, n_times = np.unique(owner * (len(words) + 1) + number, return_index=True, return_inverse=True, return_counts=True)
+            order_met = np.argsort(firsts)  # the words of a text are numbered as they are met
+            met = np.empty(len(firsts), np.int64)
+            met[order_met] = np.arange(len(firsts))
+            held.append(np.bincount(owner[firsts], minlength=n))
+            code[spot[others]] = -1 - (met[which] - (np.cumsum(held[-1]) - held[-1])[owner])
+            rest.append(words.take(pa.array(firsts[order_met])))
+            times.append(n_times[order_met])
             coded += [_pack(code[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            rest += [[{"word": w, "n": k} for w, (_, k) in f.items()] for f in found]
-        kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
-        return [pa.array(coded, pa.binary()), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(known)), pa.array(np.concatenate(gain)), pa.array(rest, kind)]
+        pairs = pa.StructArray.from_arrays([pa.concat_arrays(rest), pa.array(np.concatenate(times), pa.int64())], names=["word", "n"])
+        ends_held = np.append(0, np.cumsum(np.concatenate(held))).astype(np.int32)
+        return [pa.array(coded, pa.binary()), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(known)), pa.array(np.concatenate(gain)), pa.ListArray.from_arrays(pa.array(ends_held), pairs)]
 
     pair = StructType([StructField("word", StringType()), StructField("n", LongType())])
     fields = [StructField("codes", BinaryType()), StructField("n_tokens", LongType()), StructField("n_head", LongType()), StructField("head_log", DoubleType()), StructField("rest", ArrayType(pair))]
@@ -288,47 +313,102 @@ def _first_own(pairs: DataFrame, states: int) -> DataFrame:
     return found.mapInArrow(work, "row long, spots binary, packed binary")
 
 
+def _cut(sizes: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, number within the owner, begin and size of the segments of sequences laid end to end."""
+    count = (sizes + segment - 1) // segment
+    owner = np.repeat(np.arange(len(sizes)), count)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    begin = (np.cumsum(sizes) - sizes)[owner] + inside * segment
+    return owner, inside, begin, np.minimum(segment, sizes[owner] - inside * segment)
+
+
+def _live(size: np.ndarray) -> list[int]:
+    """How many of these sizes, which fall, are larger than 0, 1, ..."""
+    return np.searchsorted(-size, -np.arange(int(size[0]))).tolist()
+
+
+def _boundaries(flat: np.ndarray, inside: np.ndarray, begin: np.ndarray, size: np.ndarray, model: HiddenMarkov) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each segment takes from its neighbours, so that all segments of a sequence run side by side.
+
+    Columns: the states it starts from, those at the end of the segment before (0 for a first
+    one), and the direction of the backward numbers at its end.  Exact: the product of moves and
+    emissions over a segment is a matrix of states x states, and the matrices are chained.
+    """
+    states, n = len(model.start), len(begin)
+    enter, before, leave = np.repeat(model.start[:, None], n, 1), np.zeros((states, n)), np.ones((states, n))
+    several = (inside > 0) | (np.append(inside[1:], 0) > 0)
+    if not several.any():
+        return enter, before, leave
+    which = np.flatnonzero(several)
+    which = which[np.argsort(-size[which], kind="stable")]
+    at, table = begin[which], model.emit.T
+    product = np.repeat(np.eye(states)[:, None, :], len(which), 1)  # from, segment, to
+    for t, k in enumerate(_live(size[which])):
+        part = product[:, :k]
+        if t:
+            part = (part.reshape(-1, states) @ model.move).reshape(states, k, states)
+        part = part * table[flat[at[:k] + t]]
+        product[:, :k] = part / part.sum((0, 2))[:, None] if t % 8 == 7 else part  # only directions are used
+    whole = np.empty((n, states, states))
+    whole[which] = product.transpose(1, 0, 2)
+    order = np.argsort(inside[several], kind="stable")
+    numbered = np.flatnonzero(several)[order]
+    bounds = np.searchsorted(inside[numbered], np.arange(1, int(inside.max()) + 2))
+    later = [numbered[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]  # the second ones, the third ones, ...
+    for those in later:
+        end = np.einsum("ik,kij->jk", enter[:, those - 1], whole[those - 1])
+        before[:, those] = end / end.sum(0)
+        enter[:, those] = model.move.T @ before[:, those]
+    for those in later[::-1]:
+        back = model.move @ np.einsum("kij,jk->ik", whole[those], leave[:, those])
+        leave[:, those - 1] = back / back.sum(0)
+    return enter, before, leave
+
+
 def expected_counts(codes: list[np.ndarray], model: HiddenMarkov, segment: int | None = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions, and the log likelihood, over windows of the sequences (None: over whole sequences)."""
     states, kinds = model.emit.shape
     start, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((states, kinds)), 0.0
-    flat = np.concatenate(codes).astype(np.int64)
+    flat, table = np.concatenate(codes).astype(np.int64), model.emit.T
     sizes = np.array([len(c) for c in codes])
-    base = np.cumsum(sizes) - sizes
-    segment = segment or int(sizes.max())
-    windows = (sizes + segment - 1) // segment
-    owner = np.repeat(np.arange(len(sizes)), windows)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    begin, size = base[owner] + inside * segment, np.minimum(segment, sizes[owner] - inside * segment)
+    _, inside, begin, size = _cut(sizes, segment or SPAN)
+    if segment:  # windows stand alone
+        inside = np.zeros_like(inside)
+    enter, before, leave = _boundaries(flat, inside, begin, size, model)
     order = np.argsort(-size, kind="stable")  # longest first: those still running are a prefix
-    begin, size = begin[order], size[order]
-    for low, high in rounds(np.concatenate([[0], np.cumsum(size)]), ROUND_TOKENS):
-        at, n = begin[low:high], size[low:high]
-        live = [int(np.searchsorted(-n, -t, side="left")) for t in range(int(n[0]))]  # windows longer than t
-        seen, alphas, scales = [], [], []
-        for t, k in enumerate(live):
-            c = flat[at[:k] + t]
-            e = model.emit[:, c]
-            a = (model.start[:, None] if t == 0 else model.move.T @ alphas[-1][:, :k]) * e
+    for low, high in rounds(np.concatenate([[0], np.cumsum(size[order])]), ROUND_TOKENS):
+        these = order[low:high]
+        live = _live(size[these])
+        ends = np.cumsum(live)
+        step = np.repeat(np.arange(len(live)), live)
+        kind = flat[begin[these][np.arange(len(step)) - (ends - live)[step]] + step]
+        e = np.ascontiguousarray(table[kind].T)
+        alphas, scales = np.empty_like(e), np.empty(len(kind))
+        a = enter[:, these]
+        for t, (k, z) in enumerate(zip(live, ends.tolist())):
+            a = (a if t == 0 else model.move.T @ a[:, :k]) * e[:, z - k : z]
             s = a.sum(0)
-            seen.append(c), alphas.append(a / s), scales.append(s)
-            log += float(np.log(s).sum())
-        beta, gammas = np.ones((states, live[-1])), []
+            a = a / s
+            alphas[:, z - k : z], scales[z - k : z] = a, s
+        log += float(np.log(scales).sum())
+        beta, last = leave[:, these], np.append(live[1:], 0)
         for t in range(len(live) - 1, -1, -1):
-            k = live[t]
-            if beta.shape[1] < k:
-                beta = np.concatenate([beta, np.ones((states, k - beta.shape[1]))], 1)
-            gamma = alphas[t] * beta
-            gammas.append(gamma)
+            k, z, over = live[t], int(ends[t]), int(last[t])  # the windows from `over` on end here
+            a = alphas[:, z - k : z]
+            now = beta[:, :k]
+            now[:, over:] /= (a[:, over:] * now[:, over:]).sum(0)
+            back = e[:, z - k : z] * now / scales[z - k : z]
+            a *= now  # from here on the expected states
             if t == 0:
-                start += gamma.sum(1)
+                first = inside[these] == 0
+                start += a[:, first].sum(1)
+                move += model.move * (before[:, these] @ back.T)
             else:
-                back = model.emit[:, seen[t]] * beta / scales[t]
-                move += model.move * (alphas[t - 1][:, :k] @ back.T)
-                beta = model.move @ back
-        kind, gamma = np.concatenate(seen[::-1]), np.concatenate(gammas, 1)
+                y = z - k
+                move += model.move * (alphas[:, y - live[t - 1] : y][:, :k] @ back.T)
+                beta[:, :k] = model.move @ back
         for i in range(states):
-            emit[i] += np.bincount(kind, weights=gamma[i], minlength=kinds)
+            emit[i] += np.bincount(kind, weights=alphas[i], minlength=kinds)
     return start, move, emit, log
 
 
@@ -450,6 +530,7 @@ def train(coded: DataFrame, buckets: int, pairs: DataFrame, vocabulary: Vocabula
         held = spark.sparkContext.broadcast(model)  # bounded by the head
         found = _with_ratios(coded.select("row", "codes", "n_rest"), buckets, several, shared, own, states)
         made, made_path = _kept(found.mapInArrow(lambda batches, held=held: _count(batches, held.value), schema), "expected")
+        held.destroy()
         chunks = made.filter("at IS NOT NULL").select("at", "packed").mapInArrow(_add_chunks, "at int, packed binary")
         packed = {r["at"]: np.frombuffer(r["packed"], np.float64).reshape(-1, states) for r in chunks.repartition("at").mapInArrow(_add_chunks, "at int, packed binary").collect()}
         head, rest = np.zeros((len(counts), states)), packed.pop(-1)
@@ -472,19 +553,17 @@ def train(coded: DataFrame, buckets: int, pairs: DataFrame, vocabulary: Vocabula
 def forward(codes: list[np.ndarray], model: HiddenMarkov) -> np.ndarray:
     """Natural log likelihood of whole sequences by the scaled forward recursion."""
     sizes = np.array([len(c) for c in codes])
-    order = np.argsort(-sizes, kind="stable")
-    flat, first = np.concatenate(codes).astype(np.int64), (np.cumsum(sizes) - sizes)[order]
-    log = np.zeros(len(codes))
-    alpha = model.start[:, None]
-    left = np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")
-    for t, k in enumerate(left.tolist()):
-        alpha = (alpha if t == 0 else model.move.T @ alpha[:, :k]) * model.emit[:, flat[first[:k] + t]]
+    flat, table = np.concatenate(codes).astype(np.int64), model.emit.T
+    owner, inside, begin, size = _cut(sizes, SPAN)
+    order = np.argsort(-size, kind="stable")
+    alpha = _boundaries(flat, inside, begin, size, model)[0][:, order]
+    at, log = begin[order], np.zeros(len(order))
+    for t, k in enumerate(_live(size[order])):
+        alpha = (alpha if t == 0 else model.move.T @ alpha[:, :k]) * table[flat[at[:k] + t]].T
         s = alpha.sum(0)
         alpha = alpha / s
         log[:k] += np.log(s)
-    out = np.empty(len(codes))
-    out[order] = log
-    return out
+    return np.bincount(owner[order], weights=log, minlength=len(codes))
 
 
 def _own_ratios(own: DataFrame, model: Model, states: int) -> DataFrame:

@@ -292,6 +292,53 @@ def test_whole_sequences_carry_the_state():
     assert abs(log - language_model.forward(codes, model).sum()) < 1e-6
 
 
+def test_segments_of_long_texts_equal_plain_recursions(monkeypatch):
+    random = np.random.default_rng(9)
+    model = language_model.HiddenMarkov(random.dirichlet(np.ones(3)), random.dirichlet(np.ones(3), 3), random.random((3, 50)) * 2 + 0.001)
+    span = language_model.SPAN
+    codes = [random.integers(0, 50, n) for n in (4 * span + 7, 1, span, span + 1, 3, 2 * span)]
+    start, move, emit, log, logs = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 50)), 0.0, []
+    for code in codes:
+        alphas, scales = [], []
+        for t, c in enumerate(code):
+            a = (model.start if t == 0 else alphas[-1] @ model.move) * model.emit[:, c]
+            alphas.append(a / a.sum()), scales.append(a.sum())
+        logs.append(np.log(scales).sum())
+        beta = np.ones(3)
+        for t in range(len(code) - 1, -1, -1):
+            gamma = alphas[t] * beta
+            emit[:, code[t]] += gamma
+            back = model.emit[:, code[t]] * beta / scales[t]
+            if t:
+                move += np.outer(alphas[t - 1], back) * model.move
+            else:
+                start += gamma
+            beta = model.move @ back
+    taken = []
+    live = language_model._live
+    monkeypatch.setattr(language_model, "_live", lambda size: taken.append(live(size)) or taken[-1])
+    got = language_model.expected_counts(codes, model, None)
+    for have, want in zip(got, (start, move, emit, sum(logs))):
+        assert np.allclose(have, want, rtol=1e-9)
+    assert np.allclose(language_model.forward(codes, model), logs, rtol=1e-9)
+    assert max(map(len, taken)) <= span  # no recursion takes more steps, however long the text
+
+
+def test_words_are_counted_and_numbered_in_batches(spark):
+    texts = ["B a b\u00c4 a\tx", None, "", "x \u00e4 A  q q", "q" * 30 + "\n\u6f22 q"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    known = language_model.count_words(made, frequent=0)
+    want = Counter(w for t in texts for w in re.split(r"[\x20\x09-\x0D]+", low(t)) if w)
+    assert {r["word"]: r["c"] for r in known.counts.collect()} == want and known.total == sum(want.values()) + 5
+    for r in language_model.encode(made, known).collect():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", low(r["text"])) if w]
+        numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        assert [(x["word"], x["n"]) for x in r["rest"]] == list(Counter(words).items())
+        assert language_model._unpack(r["codes"]).tolist() == [-1 - numbers[w] for w in words] + [0]
+    got = next(language_model._count_batches(iter([pa.RecordBatch.from_arrays([pa.array(["a b", "b"])], names=["text"])])))
+    assert dict(zip(*(c.to_pylist() for c in got.columns))) == {"a": 1, "b": 2}
+
+
 def test_packed_codes_pieces_and_chunks():
     random = np.random.default_rng(8)
     codes = np.concatenate([[0, -1, 1, 2**31 - 1, -(2**31)], random.integers(-5000, 300000, 1000)]).astype(np.int32)
