@@ -41,9 +41,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def extend(df: DataFrame, fields: list[StructField], work: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """Append columns made batch by batch; a column of ``df`` with a new column's name is replaced."""
-    new = {f.name for f in fields}
+def extend(df: DataFrame, fields: list[StructField], work: Callable[[pa.RecordBatch], list], dropped: tuple[str, ...] = ()) -> DataFrame:
+    """Append columns made batch by batch; a column of ``df`` with a new column's name is replaced, ``dropped`` ones are not returned."""
+    new = {f.name for f in fields} | {*dropped}
     kept = [f for f in df.schema.fields if f.name not in new]
     schema = StructType(kept + fields)
     kept_names = [f.name for f in kept]

@@ -46,7 +46,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from tablelens.llm.common import LOWER, ROUND_BYTES, WHITE, extend, fold, mix, rounds, runs, span_hashes, text_bytes
@@ -120,17 +120,35 @@ def _buckets(spark: SparkSession, size: int) -> int:
     return min(max(1, spread, -(-size // (32 << 20))), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
 
 
-def _pack(codes: np.ndarray) -> bytes:
+def _planes(codes: np.ndarray) -> np.ndarray:
     """32-bit codes, small ones of either sign first, as four planes of bytes, which compress well."""
     small = ((codes << 1) ^ (codes >> 31)).astype(np.uint32)
-    return small.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.ascontiguousarray(small.view(np.uint8).reshape(-1, 4).T)
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    small = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    small = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
     return (small >> 1) ^ -(small & 1)
 
 
+def _pack(codes: np.ndarray) -> bytes:
+    return _planes(codes).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return _from_planes(np.frombuffer(packed, np.uint8).reshape(4, -1))
+
+
+def _unpack_all(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all texts of a column end to end, and how many each has."""
+    data, offsets = text_bytes(column)
+    ends = offsets // 4
+    planes = np.empty((4, int(ends[-1])), np.uint8)
+    for x, y in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        planes[:, x:y] = data[4 * x : 4 * y].reshape(4, -1)
+    return _from_planes(planes), np.diff(ends)
+
+
 def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Words of these lengths that lie end to end in ``data``."""
     ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
@@ -173,16 +191,31 @@ def count_words(docs: DataFrame, text_col: str = "text", frequent: int = FREQUEN
     return Vocabulary(counts, path, sums[0] + ends, sums[1] + (ends > 0), ends, pa.concat_arrays([pa.array([], pa.string()), *head.column("word").cast(pa.string()).chunks]), numbers, seeds)
 
 
-def _lookup(hashes: np.ndarray, keys: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Rank of every hash in the head of the vocabulary, or -1."""
-    if not len(keys):
-        return np.full(len(hashes), -1)
-    place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return np.where(keys[place] == hashes, order[place], -1)
+def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """Where the sorted 64-bit ``keys`` with each possible beginning start (about four beginnings a key), and the bits after it."""
+    bits = max(1, len(keys).bit_length() + 1)
+    after = np.uint64(64 - bits)
+    return np.append(0, np.cumsum(np.bincount((keys >> after).astype(np.int64), minlength=1 << bits))).astype(np.int32), after
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
-    """Append what later passes need of each text.
+def _lookup(hashes: np.ndarray, keys: np.ndarray, order: np.ndarray, slots: tuple[np.ndarray, np.uint64]) -> np.ndarray:
+    """Rank of every hash in the head of the vocabulary, or -1."""
+    rank = np.full(len(hashes), -1)
+    first, after = slots
+    slot = (hashes >> after).astype(np.int64)
+    at, end = first[slot], first[slot + 1]
+    left = np.flatnonzero(at < end)
+    at, end, sought = at[left], end[left], hashes[left]
+    while len(left):  # as often as most keys begin alike
+        equal = keys[at] == sought
+        rank[left[equal]] = order[at[equal]]
+        more = ~equal & (at + 1 < end)
+        left, at, end, sought = left[more], at[more] + 1, end[more], sought[more]
+    return rank
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """Append what later passes need of each text, which may be left out.
 
     ``codes`` (packed, a number a token, the end last: place in the head plus 2, or -1
     minus the place in ``rest``), ``n_tokens``, ``n_head`` and ``head_log`` (count,
@@ -193,6 +226,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
     hashes = span_hashes(data, offsets[:-1], offsets[1:])
     order = np.argsort(hashes)
     keys = hashes[order]
+    slots = _slots(keys)
     logs = np.log10(vocabulary.numbers + 1.0)
 
     def work(batch: pa.RecordBatch) -> list:
@@ -203,7 +237,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
             starts, ends, text = runs((~WHITE)[part].view(np.uint8), local)
             n = b - a
             hashed = span_hashes(part, starts, ends)
-            rank = _lookup(hashed, keys, order)
+            rank = _lookup(hashed, keys, order, slots)
             inside = rank >= 0
             count = np.bincount(text, minlength=n)
             first = np.cumsum(count) - count
@@ -228,14 +262,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
             code[spot[others]] = -1 - (met[which] - (np.cumsum(held[-1]) - held[-1])[owner])
             rest.append(words.take(pa.array(firsts[order_met])))
             times.append(n_times[order_met])
-            coded += [_pack(code[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            planes = _planes(code)
+            coded += [planes[:, x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         pairs = pa.StructArray.from_arrays([pa.concat_arrays(rest), pa.array(np.concatenate(times), pa.int64())], names=["word", "n"])
         ends_held = np.append(0, np.cumsum(np.concatenate(held))).astype(np.int32)
         return [pa.array(coded, pa.binary()), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(known)), pa.array(np.concatenate(gain)), pa.ListArray.from_arrays(pa.array(ends_held), pairs)]
 
     pair = StructType([StructField("word", StringType()), StructField("n", LongType())])
     fields = [StructField("codes", BinaryType()), StructField("n_tokens", LongType()), StructField("n_head", LongType()), StructField("head_log", DoubleType()), StructField("rest", ArrayType(pair))]
-    return extend(docs, fields, work)
+    return extend(docs, fields, work, () if keep_text else (text_col,))
 
 
 @dataclass(frozen=True)
@@ -279,17 +314,17 @@ def _first_mass(counts: DataFrame, states: int) -> np.ndarray:
     return np.array(sums.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in names]).first())
 
 
-def _first_shared(counts: DataFrame, states: int, scale: np.ndarray) -> DataFrame:
-    """id, r0, r1, ...: first ratios of the words that several places hold."""
+def _first_shared(counts: DataFrame, states: int) -> DataFrame:
+    """id, r0, r1, ...: first ratios, not yet scaled, of the words that several places hold."""
     names = _names(states)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = _first_ratios(_numbers(batch, "seed"), states) * scale
-                yield pa.RecordBatch.from_arrays([batch.column(0), *_floats(made)], names=["id", *names])
+                made = _first_ratios(_numbers(batch, "seed"), states)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(made.T))], names=["id", *names])
 
-    return counts.filter("c > 1").select("id", F.xxhash64("word").alias("seed")).mapInArrow(work, "id long, " + ", ".join(f"{n} float" for n in names))
+    return counts.filter("c > 1").select("id", F.xxhash64("word").alias("seed")).mapInArrow(work, "id long, " + ", ".join(f"{n} double" for n in names))
 
 
 def _first_own(pairs: DataFrame, states: int) -> DataFrame:
@@ -327,41 +362,57 @@ def _live(size: np.ndarray) -> list[int]:
     return np.searchsorted(-size, -np.arange(int(size[0]))).tolist()
 
 
-def _boundaries(flat: np.ndarray, inside: np.ndarray, begin: np.ndarray, size: np.ndarray, model: HiddenMarkov) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scaled(values: np.ndarray, t: int) -> np.ndarray:
+    """Columns where only directions are used, brought back to sum 1 every eighth step."""
+    return values / values.sum(0) if t % 8 == 7 else values
+
+
+def _boundaries(flat: np.ndarray, inside: np.ndarray, begin: np.ndarray, size: np.ndarray, model: HiddenMarkov, back: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What each segment takes from its neighbours, so that all segments of a sequence run side by side.
 
     Columns: the states it starts from, those at the end of the segment before (0 for a first
-    one), and the direction of the backward numbers at its end.  Exact: the product of moves and
-    emissions over a segment is a matrix of states x states, and the matrices are chained.
+    one), and, where ``back``, the direction of the backward numbers at its end.  Exact: the product
+    of moves and emissions over a segment is a matrix of states x states, and the matrices are
+    chained.  A first segment is only left and a last one only entered: a vector does for those.
     """
     states, n = len(model.start), len(begin)
     enter, before, leave = np.repeat(model.start[:, None], n, 1), np.zeros((states, n)), np.ones((states, n))
-    several = (inside > 0) | (np.append(inside[1:], 0) > 0)
-    if not several.any():
+    later, ahead = inside > 0, np.append(inside[1:], 0) > 0
+    if not later.any():
         return enter, before, leave
-    which = np.flatnonzero(several)
-    which = which[np.argsort(-size[which], kind="stable")]
-    at, table = begin[which], model.emit.T
-    product = np.repeat(np.eye(states)[:, None, :], len(which), 1)  # from, segment, to
-    for t, k in enumerate(_live(size[which])):
-        part = product[:, :k]
-        if t:
-            part = (part.reshape(-1, states) @ model.move).reshape(states, k, states)
-        part = part * table[flat[at[:k] + t]]
-        product[:, :k] = part / part.sum((0, 2))[:, None] if t % 8 == 7 else part  # only directions are used
-    whole = np.empty((n, states, states))
-    whole[which] = product.transpose(1, 0, 2)
-    order = np.argsort(inside[several], kind="stable")
-    numbered = np.flatnonzero(several)[order]
+    table = model.emit.T
+    firsts, middles, lasts = np.flatnonzero(~later & ahead), np.flatnonzero(later & ahead), np.flatnonzero(later & ~ahead)
+    ended, begun = np.zeros((states, n)), np.zeros((states, n))  # the end of each first segment, the beginning of each last one
+    at, a = begin[firsts], enter[:, firsts]  # all segments but the last of a sequence are of one size
+    for t in range(int(size[firsts[0]])):
+        a = _scaled((a if t == 0 else model.move.T @ a) * table[flat[at + t]].T, t)
+    ended[:, firsts] = a
+    whole = np.zeros((n, states, states))
+    if len(middles):
+        at, product = begin[middles], np.repeat(np.eye(states)[:, None, :], len(middles), 1)  # from, segment, to
+        for t in range(int(size[middles[0]])):
+            if t:
+                product = (product.reshape(-1, states) @ model.move).reshape(states, -1, states)
+            product = product * table[flat[at + t]]
+            if t % 8 == 7:
+                product /= product.sum((0, 2))[:, None]  # only directions are used
+        whole[middles] = product.transpose(1, 0, 2)
+    if back:
+        lasts = lasts[np.argsort(-size[lasts], kind="stable")]
+        at, b = (begin + size)[lasts] - 1, np.ones((states, len(lasts)))
+        for t, k in enumerate(_live(size[lasts])):
+            b[:, :k] = _scaled((model.move @ b[:, :k] if t else b[:, :k]) * table[flat[at[:k] - t]].T, t)
+        begun[:, lasts] = b
+    numbered = np.flatnonzero(later)[np.argsort(inside[later], kind="stable")]
     bounds = np.searchsorted(inside[numbered], np.arange(1, int(inside.max()) + 2))
-    later = [numbered[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]  # the second ones, the third ones, ...
-    for those in later:
-        end = np.einsum("ik,kij->jk", enter[:, those - 1], whole[those - 1])
+    levels = [numbered[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]  # the second ones, the third ones, ...
+    for those in levels:
+        end = ended[:, those - 1] + np.einsum("ik,kij->jk", enter[:, those - 1], whole[those - 1])  # one of them is 0
         before[:, those] = end / end.sum(0)
         enter[:, those] = model.move.T @ before[:, those]
-    for those in later[::-1]:
-        back = model.move @ np.einsum("kij,jk->ik", whole[those], leave[:, those])
-        leave[:, those - 1] = back / back.sum(0)
+    for those in levels[::-1] if back else []:
+        behind = model.move @ (begun[:, those] + np.einsum("kij,jk->ik", whole[those], leave[:, those]))
+        leave[:, those - 1] = behind / behind.sum(0)
     return enter, before, leave
 
 
@@ -417,20 +468,29 @@ class Model:
     """All of a trained model but the ratios of the words outside its head."""
 
     hidden: HiddenMarkov
-    times: np.ndarray  # an own word's ratio is its packed number times this, by state,
-    plus: float  # and this added
+    share: np.ndarray  # by state: the scale of the first ratios, later N / T
+    trained: bool
+
+    def ratio(self, number, c, share):
+        """A word's ratio from its first ratio, or from its expected count and the count ``c``."""
+        return (number * share + 1) / (c + 1) if self.trained else number * share
 
     def own(self, packed: np.ndarray) -> np.ndarray:
-        return packed.reshape(-1, len(self.times)) * self.times + self.plus
+        return self.ratio(packed.reshape(-1, len(self.share)), 1, self.share)
+
+    def columns(self) -> list[Column]:
+        return [self.ratio(F.col(n), F.col("c"), F.lit(float(z))).cast("float").alias(n) for n, z in zip(_names(len(self.share)), self.share)]
 
 
-def _with_ratios(coded: DataFrame, buckets: int, pairs: DataFrame, shared: DataFrame, own: DataFrame, states: int) -> DataFrame:
-    """Append ``seen`` (place in ``rest``, number, count and ratios of every shared word), ``spots`` and ``packed`` (of own words).
+def _with_ratios(coded: DataFrame, buckets: int, pairs: DataFrame, shared: DataFrame, own: DataFrame, model: Model) -> DataFrame:
+    """Append ``seen`` (place in ``rest``, number and ratios of every shared word), ``spots`` and ``packed`` (of own words).
 
-    Only what is appended moves: to the buckets of ``coded``.
+    Only what is appended moves: to the buckets of ``coded``.  The sides that are hashed are
+    the ratios of a part's words, and what is appended to a bucket.
     """
-    seen = pairs.select("row", "place", "id", "c").join(shared, "id").repartition(buckets, "row").groupBy("row").agg(F.collect_list(F.struct("place", "id", "c", *_names(states))).alias("seen"))
-    return coded.join(seen, "row", "left").join(own.repartition(buckets, "row"), "row", "left")
+    met = pairs.select("row", "place", "id", "c").join(shared.hint("shuffle_hash"), "id").select("row", F.struct("place", "id", *model.columns()).alias("met"))
+    seen = met.repartition(buckets, "row").groupBy("row").agg(F.collect_list("met").alias("seen"))
+    return coded.join(seen.hint("shuffle_hash"), "row", "left").join(own.repartition(buckets, "row").hint("shuffle_hash"), "row", "left")
 
 
 def _tables(batch: pa.RecordBatch, model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray | None], list[pa.Array]]:
@@ -447,14 +507,15 @@ def _tables(batch: pa.RecordBatch, model: Model) -> tuple[list[np.ndarray], np.n
     place, *columns = seen.flatten().flatten()
     lengths = seen.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     shared = np.repeat(base, lengths) + place.to_numpy(zero_copy_only=False)
-    table[shared] = np.stack([r.to_numpy(zero_copy_only=False) for r in columns[2:]], 1)
+    table[shared] = np.stack([r.to_numpy(zero_copy_only=False) for r in columns[1:]], 1)
     own: list[np.ndarray | None] = []
     for b, spots, packed in zip(base.tolist(), get("spots").to_pylist(), get("packed").to_pylist()):
         own.append(None if spots is None else b + np.frombuffer(spots, np.int32).astype(np.int64))
         if spots is not None:
             table[own[-1]] = model.own(np.frombuffer(packed, np.float32))
-    codes = [_unpack(c) for c in get("codes").to_pylist()]
-    return [np.where(c < 0, b - 1 - c, c) for c, b in zip(codes, base.tolist())], table, shared, own, columns
+    flat, sizes = _unpack_all(get("codes"))
+    flat = np.where(flat < 0, np.repeat(base, sizes) - 1 - flat, flat)
+    return np.split(flat, np.cumsum(sizes)[:-1]), table, shared, own, columns
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,8 +541,8 @@ def _count(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     """Expected counts of a task's texts: rows of shared words, of texts with own words, and of chunks of the head."""
     hidden = model.hidden
     states, size = hidden.emit.shape
-    names = ["row", "at", "id", "c", "spots", "packed", *_names(states)]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.float32()] * states]
+    names = ["row", "at", "id", "spots", "packed", *_names(states)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.float32()] * states]
 
     def rows(n: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(n, t) for k, t in zip(names, kinds)], names=names)
@@ -497,7 +558,7 @@ def _count(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         rest[-2] += emit.sum(0)
         rest[-1, 0] += log
         if len(shared):
-            yield rows(len(shared), id=columns[0], c=columns[1], **dict(zip(names[6:], _floats(emit[shared]))))
+            yield rows(len(shared), id=columns[0], **dict(zip(names[5:], _floats(emit[shared]))))
         have = [i for i, at in enumerate(own) if at is not None]
         if have:
             packed = pa.array([emit[own[i]].astype(np.float32).tobytes() for i in have], pa.binary())
@@ -510,7 +571,7 @@ def _count(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 def train(coded: DataFrame, buckets: int, pairs: DataFrame, vocabulary: Vocabulary, states: int = STATES, steps: int = STEPS) -> tuple[Model, DataFrame, DataFrame, list[float]]:
     """Baum-Welch over all rows of ``coded``, which lie in ``buckets`` buckets of ``row``.
 
-    The model, the ratios of shared words (id, r0, ...), the own words (row, spots,
+    The model, the expected counts of shared words (id, r0, ...) and own words (row, spots,
     packed), and what the states add to the log likelihood before each step.
     """
     spark, names = coded.sparkSession, _names(states)
@@ -519,33 +580,32 @@ def train(coded: DataFrame, buckets: int, pairs: DataFrame, vocabulary: Vocabula
     mass = (counts[:2, None] + 1).sum(0) + _first_mass(vocabulary.counts, states)
     scale = (vocabulary.total + vocabulary.distinct + 1) / mass
     least = vocabulary.numbers.min(initial=np.iinfo(np.int64).max)
-    shared, shared_path = _kept(_first_shared(vocabulary.counts.filter(F.col("c") < F.lit(int(least))), states, scale), "ratios")
+    shared = _first_shared(vocabulary.counts.filter(F.col("c") < F.lit(int(least))), states)
     own, own_path = _kept(_first_own(pairs, states), "own")
-    _forget(spark, vocabulary.path)
+    past = [vocabulary.path, own_path]  # what the next step is the last to read
     move = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
-    model, history = Model(HiddenMarkov(np.full(states, 1 / states), move, (head * scale).T), scale, 0.0), []
-    schema = "row long, at int, id long, c long, spots binary, packed binary, " + ", ".join(f"{n} float" for n in names)
+    model, history = Model(HiddenMarkov(np.full(states, 1 / states), move, (head * scale).T), scale, False), []
+    schema = "row long, at int, id long, spots binary, packed binary, " + ", ".join(f"{n} float" for n in names)
     several = pairs.filter("training AND c > 1")
     for _ in range(steps):
         held = spark.sparkContext.broadcast(model)  # bounded by the head
-        found = _with_ratios(coded.select("row", "codes", "n_rest"), buckets, several, shared, own, states)
+        found = _with_ratios(coded.select("row", "codes", "n_rest"), buckets, several, shared, own, model)
         made, made_path = _kept(found.mapInArrow(lambda batches, held=held: _count(batches, held.value), schema), "expected")
         held.destroy()
+        for path in past:
+            _forget(spark, path)
+        past = [made_path]
         chunks = made.filter("at IS NOT NULL").select("at", "packed").mapInArrow(_add_chunks, "at int, packed binary")
         packed = {r["at"]: np.frombuffer(r["packed"], np.float64).reshape(-1, states) for r in chunks.repartition("at").mapInArrow(_add_chunks, "at int, packed binary").collect()}
         head, rest = np.zeros((len(counts), states)), packed.pop(-1)
         for at, part in packed.items():
             head[at * CHUNK : at * CHUNK + len(part)] = part
         share = vocabulary.total / np.maximum(rest[-2], 1e-300)
-        ratios = [((F.sum(n) * F.lit(float(z)) + 1) / (F.max("c") + 1)).cast("float").alias(n) for n, z in zip(names, share)]
-        next_shared, next_path = _kept(made.filter("id IS NOT NULL").groupBy("id").agg(*ratios), "ratios")
-        _forget(spark, shared_path)
-        _forget(spark, own_path)  # before the first step the first ratios, later the table of the step before
-        shared, shared_path = next_shared, next_path
-        own, own_path = made.filter("row IS NOT NULL").select("row", "spots", "packed"), made_path
+        shared = made.filter("id IS NOT NULL").groupBy("id").agg(*[F.sum(n).alias(n) for n in names])
+        own = made.filter("row IS NOT NULL").select("row", "spots", "packed")
         start, move = rest[0] + 1 / states, rest[1 : 1 + states] + 1 / states
         hidden = HiddenMarkov(start / start.sum(), move / move.sum(1, keepdims=True), ((head * share + 1) / (counts + 1)[:, None]).T)
-        model = Model(hidden, share / 2, 0.5)
+        model = Model(hidden, share, True)
         history.append(float(rest[-1, 0]))
     return model, shared, own, history
 
@@ -556,7 +616,7 @@ def forward(codes: list[np.ndarray], model: HiddenMarkov) -> np.ndarray:
     flat, table = np.concatenate(codes).astype(np.int64), model.emit.T
     owner, inside, begin, size = _cut(sizes, SPAN)
     order = np.argsort(-size, kind="stable")
-    alpha = _boundaries(flat, inside, begin, size, model)[0][:, order]
+    alpha = _boundaries(flat, inside, begin, size, model, back=False)[0][:, order]
     at, log = begin[order], np.zeros(len(order))
     for t, k in enumerate(_live(size[order])):
         alpha = (alpha if t == 0 else model.move.T @ alpha[:, :k]) * table[flat[at[:k] + t]].T
@@ -566,16 +626,15 @@ def forward(codes: list[np.ndarray], model: HiddenMarkov) -> np.ndarray:
     return np.bincount(owner[order], weights=log, minlength=len(codes))
 
 
-def _own_ratios(own: DataFrame, model: Model, states: int) -> DataFrame:
-    """row, place, r0, ...: the ratios that stay with the texts, one row a word."""
-    held = own.sparkSession.sparkContext.broadcast(model)
+def _own_words(own: DataFrame, states: int) -> DataFrame:
+    """row, place, r0, ...: the packed numbers that stay with the texts, one row a word."""
     names = _names(states)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 spots = [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
-                values = np.concatenate([held.value.own(np.frombuffer(x, np.float32)) for x in batch.column(2).to_pylist()])
+                values = np.concatenate([np.frombuffer(x, np.float32) for x in batch.column(2).to_pylist()]).reshape(-1, states)
                 row = np.repeat(_numbers(batch, "row"), [len(x) for x in spots])
                 yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate(spots)), *_floats(values)], names=["row", "place", *names])
 
@@ -604,7 +663,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     vocabulary = count_words(texts.filter("training"), "text", min(frequent, classes - 2))
     buckets = _buckets(docs.sparkSession, texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    coded = _bucketed(encode(texts, vocabulary).drop("text").withColumns({"row": F.monotonically_increasing_id(), "n_rest": F.size("rest")}), "row", buckets)
+    coded = _bucketed(encode(texts, vocabulary, keep_text=False).withColumns({"row": F.monotonically_increasing_id(), "n_rest": F.size("rest")}), "row", buckets)
     words = coded.select("row", "training", F.posexplode("rest").alias("place", "r")).select("row", "training", "place", "r.word", "r.n")
     seed = F.when(F.col("training") & (F.col("c") == 1), F.xxhash64("word")).alias("seed")
     pairs, _ = _kept(words.join(vocabulary.counts, "word").select("row", "training", "place", "n", "id", "c", seed), "pairs")
@@ -615,8 +674,8 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
         model, shared, own, _ = train(coded.filter("training"), buckets, pairs, vocabulary, states, steps)
         once = F.col("training") & (F.col("c") == 1)
         needed = pairs.filter(once).join(pairs.filter("NOT training AND c = 1").select("id").distinct(), "id", "left_semi").select("row", "place", "id")
-        lent = needed.join(_own_ratios(own, model, states), ["row", "place"]).select("id", *_names(states))
-        whole = _with_ratios(coded.select(*columns, "codes", "n_rest"), buckets, pairs.filter(~once), shared.unionByName(lent), own, states)
+        lent = needed.join(_own_words(own, states), ["row", "place"]).select("id", *_names(states))
+        whole = _with_ratios(coded.select(*columns, "codes", "n_rest"), buckets, pairs.filter(~once), shared.unionByName(lent), own, model)
         gained = add_gain(whole.join(rare.repartition(buckets, "row"), "row", "left"), model, [*columns, "n_rare", "rare_log"])
     else:
         gained = gained.withColumn("gain", F.lit(0.0)).join(rare, "row", "left")

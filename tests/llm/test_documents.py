@@ -324,6 +324,49 @@ def test_segments_of_long_texts_equal_plain_recursions(monkeypatch):
     assert max(map(len, taken)) <= span  # no recursion takes more steps, however long the text
 
 
+def test_matrices_are_made_of_middle_segments_only():
+    # what chains the segments of a text costs a vector a token in first and last ones; forward leaves last ones out
+    random = np.random.default_rng(10)
+    span, gathered = language_model.SPAN, []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            gathered.append(np.size(at))
+            return np.asarray(super().__getitem__(at))
+
+    model = language_model.HiddenMarkov(random.dirichlet(np.ones(3)), random.dirichlet(np.ones(3), 3), random.random((3, 50)).view(Counted))
+    codes = [random.integers(0, 50, n) for n in (2 * span, span + 9, 4)]
+    language_model.forward(codes, model)
+    assert sum(gathered) == sum(map(len, codes)) + 2 * span
+    plain = language_model.HiddenMarkov(model.start, model.move, np.asarray(model.emit))
+    assert np.allclose(language_model.forward(codes, model), language_model.forward(codes, plain))
+
+
+def test_lookup_finds_equal_hashes_only():
+    random = np.random.default_rng(11)
+    hashes = np.append(random.integers(0, 1 << 64, 500, dtype=np.uint64), np.uint64(7 << 60) + np.arange(40, dtype=np.uint64))  # 40 begin alike
+    sought = np.concatenate([hashes[::-1], hashes + np.uint64(100), [np.uint64(0), np.uint64((1 << 64) - 1)]])
+    place = {h: i for i, h in enumerate(hashes.tolist())}
+    for n in (540, 1, 0):
+        order = np.argsort(hashes[:n])
+        keys = hashes[:n][order]
+        got = language_model._lookup(sought, keys, order, language_model._slots(keys))
+        assert got.tolist() == [place[h] if place.get(h, n) < n else -1 for h in sought.tolist()]
+
+
+def test_codes_come_back_without_texts(spark):
+    made = spark.createDataFrame([(1, "a b c a"), (2, ""), (3, None), (4, "c d")], "doc_id long, text string")
+    known = language_model.count_words(made, frequent=2)
+    whole = {r["doc_id"]: r for r in language_model.encode(made, known).collect()}
+    bare = language_model.encode(made, known, keep_text=False)
+    assert "text" not in bare.columns
+    assert {r["doc_id"]: r.asDict() for r in bare.collect()} == {i: {k: v for k, v in r.asDict().items() if k != "text"} for i, r in whole.items()}
+    column = pa.array([whole[i]["codes"] for i in (1, 2, 3, 4)], pa.binary())
+    flat, sizes = language_model._unpack_all(column.slice(1))
+    assert sizes.tolist() == [1, 1, 3]
+    assert flat.tolist() == np.concatenate([language_model._unpack(c) for c in column.slice(1).to_pylist()]).tolist()
+
+
 def test_words_are_counted_and_numbered_in_batches(spark):
     texts = ["B a b\u00c4 a\tx", None, "", "x \u00e4 A  q q", "q" * 30 + "\n\u6f22 q"]
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
