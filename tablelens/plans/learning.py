@@ -115,17 +115,21 @@ def _parts(spark, sf):
 
 
 def _labelled(spark, sf):
-    """Documents with a quality label and a few counts to learn it from."""
+    """Documents with a quality label and a few counts to learn it from; an empty text has no shares."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     text = F.col("text")
+
+    def share(others: str):
+        return F.try_divide(F.length(F.regexp_replace(text, others, "")), F.length(text))
+
     return docs.join(labels, "doc_id").select(
         "doc_id",
         "lang",
         "source",
         "n_chars",
         F.size(F.split(text, r"\s+")).alias("n_words"),
-        (F.length(F.regexp_replace(text, r"[^0-9]", "")) / F.length(text)).alias("digit_share"),
-        (F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) / F.length(text)).alias("upper_share"),
+        share(r"[^0-9]").alias("digit_share"),
+        share(r"[^\p{Lu}]").alias("upper_share"),
         F.col("quality").cast("string").alias("quality"),
     )
 

@@ -77,3 +77,12 @@ def test_labelled_texts_are_measured_once(spark, monkeypatch):
         with pytest.raises(InterruptedError):
             query(spark, "/root/testdata/sf0.001")
     assert len(kept) == 2 and "Parquet" not in kept[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_empty_labelled_texts_have_no_shares(spark, tmp_path):
+    """One empty text among all must not end class_scores and classification_tournament."""
+    rows = [(1, "Ab1 2", "en", "s", 5), (2, "", "en", "s", 0), (3, None, "en", "s", None), (4, " \n", "en", "s", 2), (5, "no label", "en", "s", 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r["doc_id"]: tuple(r)[4:7] for r in learning._labelled(spark, str(tmp_path)).collect()}
+    assert found[1] == (2, 0.4, 0.2) and found[2] == (1, None, None) and found[3][1:] == (None, None) and found[4] == (2, 0.0, 0.0)
